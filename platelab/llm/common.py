@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import re
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A batch handed to Python ends here even if it holds few rows, so that very long texts do not pile up.
 BATCH_BYTES = 16 << 20
@@ -15,11 +18,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Limit what one Arrow batch holds, unless the session asks for less already."""
+def prepare(spark: SparkSession) -> None:
+    """What operators with Python code need: this package on the executors, and batches of bounded size."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(re.sub(r"\D", "", spark.conf.get(key))) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
+    sc = spark.sparkContext
+    if getattr(sc, "_has_platelab", None) != sc.applicationId:
+        root = Path(__file__).resolve().parents[1]
+        packed = Path(tempfile.mkdtemp(prefix="platelab-")) / "platelab_code.zip"
+        with zipfile.ZipFile(packed, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        sc.addPyFile(str(packed))
+        sc._has_platelab = sc.applicationId
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -37,3 +49,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def as_bytes(text: str | None) -> bytes:
     """UTF-8 of a text; null counts as empty, lone surrogates as question marks."""
     return b"" if text is None else text.encode("utf-8", "replace")
+
+
+#: A joined side is broadcast if it has been counted and has no more rows than this.
+BROADCAST_ROWS = 10_000
+
+
+def counted_side(df: DataFrame) -> DataFrame:
+    """``df``, written and counted; marked for broadcast only within the bound, else joined by shuffling."""
+    done = checkpointed(df)
+    return F.broadcast(done) if done.count() <= BROADCAST_ROWS else done

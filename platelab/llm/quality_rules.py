@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, checkpointed
+from .common import checkpointed, counted_side, prepare
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
@@ -144,7 +144,7 @@ def _within() -> Column:
 
 def measures(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source, the counts and the rates of every row."""
-    bound_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     m = docs.select("doc_id", "lang", "source", measured(F.col("text")).alias("m"))
     return m.select("doc_id", "lang", "source", "m.*", base_failed(F.col("m")).alias("base_failed"), *[c.alias(n) for n, c in _rates(F.col("m")).items()])
 
@@ -155,7 +155,7 @@ def judge(docs: DataFrame) -> DataFrame:
     Fences are drawn from all documents that pass the base rules.
     """
     m = checkpointed(measures(docs))
-    f = fences(m.where(~F.col("base_failed")))
+    f = counted_side(fences(m.where(~F.col("base_failed"))))
     d, g = m.alias("d"), f.alias("f")
     same = F.col("d.lang").eqNullSafe(F.col("f.lang")) & F.col("d.source").eqNullSafe(F.col("f.source"))
     return d.join(g, same, "left").select(
@@ -165,8 +165,8 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame) -> DataFrame:
     """The documents that ``judge`` keeps, with all their columns; measures are taken again rather than joined by key."""
-    bound_batches(docs.sparkSession)
-    f = fences(measures(docs).where(~F.col("base_failed")))
+    prepare(docs.sparkSession)
+    f = counted_side(fences(measures(docs).where(~F.col("base_failed"))))
     again = docs.withColumn("__m", measured(F.col("text")))
     rated = again.select(*[F.col(c) for c in docs.columns], base_failed(F.col("__m")).alias("__failed"), *[c.alias(n) for n, c in _rates(F.col("__m")).items()])
     same = F.col("d.lang").eqNullSafe(F.col("f.lang")) & F.col("d.source").eqNullSafe(F.col("f.source"))
