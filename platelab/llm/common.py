@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -34,18 +35,27 @@ def prepare(spark: SparkSession) -> None:
         sc._has_platelab = sc.applicationId
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the folder that the cluster shares and cut its lineage.
-
-    The folder is the session's ``spark.checkpoint.dir``; a folder of our own serves only where none is set.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares: the session's ``spark.checkpoint.dir``, or one of our own if none is set."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and cut its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder as Parquet and read it again."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def as_bytes(text: str | None) -> bytes:
     """UTF-8 of a text; null counts as empty, lone surrogates as question marks."""
     return b"" if text is None else text.encode("utf-8", "replace")

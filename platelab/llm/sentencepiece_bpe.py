@@ -237,22 +237,24 @@ def decoded(ids: Column, model_file: str | None = None) -> Column:
     return of(ids)
 
 
-_DIGESTS = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+_DIGESTS = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
 
 
-def round_trip(docs: DataFrame, model_file: str | None = None) -> DataFrame:
-    """doc_id, number of ids, and digests of the ids and of the text decoded from them."""
+def round_trip(docs: DataFrame, model_file: str | None = None, with_ids: bool = False) -> DataFrame:
+    """doc_id, number of ids, digests of the ids and of the text decoded from them, and if asked for the ids."""
     prepare(docs.sparkSession)
 
-    @F.arrow_udf(_DIGESTS)
+    @F.arrow_udf(T.StructType([*_DIGESTS, *[T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids]))
     def of(texts: pa.Array) -> pa.Array:
         table = prefix_table(model_file)
-        counts, ids, back = [], [], []
-        for x in texts:
-            row = table.encode(x.as_py())
-            counts.append(len(row) // 4)
-            ids.append(hashlib.sha256(row).hexdigest())
-            back.append(hashlib.sha256(table.decode(row).encode()).hexdigest())
-        return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
+        rows = [table.encode(x.as_py()) for x in texts]
+        columns = {
+            "n_tokens": pa.array([len(r) // 4 for r in rows], pa.int64()),
+            "ids_sha256": pa.array([hashlib.sha256(r).hexdigest() for r in rows], pa.string()),
+            "decoded_sha256": pa.array([hashlib.sha256(table.decode(r).encode()).hexdigest() for r in rows], pa.string()),
+        }
+        if with_ids:
+            columns["ids"] = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(r) // 4 for r in rows]), pa.int32()), pa.array(np.frombuffer(b"".join(rows), "<i4")))
+        return pa.StructArray.from_arrays(list(columns.values()), list(columns))
 
     return docs.select("doc_id", of(F.col("text")).alias("r")).select("doc_id", "r.*")
