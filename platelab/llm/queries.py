@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality_rules, repeats, sentencepiece_bpe, simhash
+from . import kmeans_tree, knn_quality, mixing, quality_rules, repeats, sentencepiece_bpe, simhash
 from .common import read
 
 
@@ -26,6 +26,14 @@ def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeats(read(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn_quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans_tree.search(read(spark, sf_dir, "embeddings"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"))
 
@@ -35,6 +43,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op4_mixing": op4_mixing,
     "op6_suffix_array": op6_suffix_array,
+    "op8_quality_classifier": op8_quality_classifier,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {
