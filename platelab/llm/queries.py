@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kmeans_tree, knn_quality, mixing, quality_rules, recurrent_lm, repeats, sentencepiece_bpe, simhash
+from . import kmeans_tree, knn_quality, licenses, mixing, quality_rules, recurrent_lm, repeats, sentencepiece_bpe, simhash, token_counts
 from .common import read
 
 
@@ -18,6 +18,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.round_trip(read(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -30,6 +34,10 @@ def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeats(read(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -45,14 +53,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_token_counts": op3_token_counts,
     "op4_mixing": op4_mixing,
     "op5_recurrent_lm": op5_recurrent_lm,
     "op6_suffix_array": op6_suffix_array,
+    "op7_license_scan": op7_license_scan,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {
     "op4_mixing": mixing.ORACLE_SQL,
+    "op7_license_scan": licenses.ORACLE_SQL,
     "op10_quality_rules": quality_rules.ORACLE_SQL,
 }
