@@ -14,8 +14,10 @@ from collections.abc import Iterator
 import numpy as np
 
 HIDDEN = 16
-LANES = 256
 WINDOW = 16
+#: Bounds of the number of lanes; between them, a batch has so many that it makes about ``UPDATES`` windows.
+LANES = 32, 256
+UPDATES = 300
 
 Params = dict[str, np.ndarray]
 
@@ -50,7 +52,9 @@ def shaped(values: np.ndarray, like: Params) -> Params:
 class Lanes:
     """Where each token of each document stands when documents of these lengths run in lanes, step by step."""
 
-    def __init__(self, lengths: np.ndarray, lanes: int = LANES):
+    def __init__(self, lengths: np.ndarray, lanes: int | None = None):
+        if lanes is None:
+            lanes = max(LANES[0], min(LANES[1], int(lengths.sum()) // (UPDATES * WINDOW)))
         lanes = max(1, min(lanes, len(lengths)))
         loads = [(0, i) for i in range(lanes)]
         lane = np.empty(len(lengths), np.int64)

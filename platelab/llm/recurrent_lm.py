@@ -132,7 +132,7 @@ class Vocabulary:
         self.base = np.log10((n + SMOOTHING) / size)
         self.ends_known = ends > 0
         own = np.array([ending(w) for w in self.words], np.int64)
-        mass = ending_counts + SMOOTHING * ending_words - np.bincount(own[:heads], n[:heads] + SMOOTHING, ENDINGS)
+        mass = np.maximum(ending_counts + SMOOTHING * ending_words - np.bincount(own[:heads], n[:heads] + SMOOTHING, ENDINGS), 0)
         self.rare = np.log10(mass + SMOOTHING)
         self.size = size
         place = np.arange(1, heads + 1)  # place 0 is the end
@@ -281,7 +281,7 @@ def _look_up(sent: Broadcast):
         times = np.concatenate(times) if times else np.zeros(0, np.int64)
         log = np.log10(c + SMOOTHING)
         uid, at = np.unique(docs, return_inverse=True)
-        per = lambda x: np.bincount(at, x * times, len(uid))
+        per = lambda x: np.bincount(at, x * times, len(uid)).astype(np.float64)
         added = [per((c > 0).astype(np.int64)).astype(np.int64), per(log - np.log10(vocabulary.size)), per(log - vocabulary.rare[np.array(ends, np.int64)])]
         return pa.table([uid, *added], names=["uid", "more_known", "more_base", "more_score"])
 

@@ -71,7 +71,7 @@ def _union(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
 
 def _blocks(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Places of ``x`` in blocks of like quarter counts (the last place repeats as filling), values, least and most counts."""
-    counts = np.bitwise_count(x.view(np.uint16).reshape(-1, 4)).astype(np.int16)
+    counts = np.bitwise_count(np.ascontiguousarray(x).view(np.uint16).reshape(-1, 4)).astype(np.int16)
     order = np.lexsort(counts.T)
     at = np.concatenate([order, np.repeat(order[-1:], -len(order) % BLOCK)]).reshape(-1, BLOCK)
     return at, x[at], counts[at].min(axis=1), counts[at].max(axis=1)
@@ -133,12 +133,12 @@ def links(fingerprints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Da
 
 
 def classes(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``rows`` with columns doc_id and fp gain ``component_id``; other columns stay."""
+    """``rows`` with columns doc_id and fp gain ``component_id`` and ``root``, which names the component; other columns stay."""
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = connected_components(links(distinct, radius))
     placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(placed.join(least, "root").select("fp", "component_id"), "fp")
+    return rows.join(placed.join(least, "root").select("fp", "component_id", "root"), "fp")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -153,7 +153,7 @@ def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
     prepare(docs.sparkSession)
     own = F.xxhash64(*[F.col(c) for c in docs.columns])
     rows = checkpointed(docs.select("doc_id", own.alias("own"), fingerprinted(F.col("text"), words).alias("fp")))
-    stay = classes(rows).groupBy("component_id").agg(F.min(F.struct("doc_id", "own")).alias("s")).select(F.col("s.doc_id").alias("id"), F.col("s.own").alias("own"))
+    stay = classes(rows).groupBy("root").agg(F.min(F.struct("doc_id", "own")).alias("s")).select(F.col("s.doc_id").alias("id"), F.col("s.own").alias("own"))
     marked = docs.withColumn("__own", own)
     kept = marked.join(stay, marked["doc_id"].eqNullSafe(stay["id"]) & (marked["__own"] == stay["own"]), "left_semi")
     return kept.dropDuplicates(["doc_id", "__own"]).select(*docs.columns)
