@@ -27,9 +27,9 @@ from pyspark.sql import types as T
 from .common import prepare
 
 SPACE = "▁"
-#: Words whose ids a worker remembers, and pairs whose compatibility it remembers.
-CACHED_WORDS = 600_000
-CACHED_PAIRS = 1_000_000
+#: Words whose ids a worker remembers (twice as many, as the last full cache is kept), and pairs it remembers.
+CACHED_WORDS = 150_000
+CACHED_PAIRS = 200_000
 
 codecs.register_error("mark_each_byte", lambda e: ("�", e.start + 1))
 
@@ -68,6 +68,7 @@ class PrefixTable(dict):
                 self.automaton.add_word(piece, (i, len(piece)))
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
+        self.before: dict[str, bytes] = {}
         raw = [p.replace(SPACE, " ").encode() for p in self.pieces]
         for i in ids:
             if model.is_control(i) or model.is_unknown(i):
@@ -159,10 +160,13 @@ class PrefixTable(dict):
         return out
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.run(len(word)) if word[-1] == SPACE else self.word(word)
         if len(self) >= CACHED_WORDS:
+            self.before = dict(self)
             self.clear()
-        found = self[word] = np.array(ids, "<u4").tobytes()
+        found = self.before.get(word)
+        if found is None:
+            found = np.array(self.run(len(word)) if word[-1] == SPACE else self.word(word), "<u4").tobytes()
+        self[word] = found
         return found
 
     def encode(self, text: str | None, ends: bool = True) -> bytes:
