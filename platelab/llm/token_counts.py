@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from .common import as_bytes, prepare
 
-CACHED = 600_000
+CACHED = 300_000
 WORD_END = "</w>"
 END = 256
 
