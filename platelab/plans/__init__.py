@@ -1,0 +1,3 @@
+"""Queries over the driver's tables."""
+
+from . import flexibility, impact, menus, nutrition, registry, statistics, vocabulary  # noqa: F401
