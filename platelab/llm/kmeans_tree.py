@@ -34,7 +34,8 @@ LEAF_ROWS = 128
 BRANCHES = 16
 CALIBRATION = 256
 RECALL = 0.97
-BLOCK_ROWS = 8192
+#: Bounds of the rows of a block; between them, rows make up about ``BLOCKS`` blocks.
+BLOCK_ROWS, BLOCKS = (512, 8192), 24
 CHUNK = 256
 
 _FOUND = "query_id long, found array<struct<minus: double, vec_id: long>>"
@@ -173,13 +174,14 @@ def search(vectors: DataFrame, k: int = NEIGHBOURS, every: int = EVERY, recall:
     some = queries.where(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(1 << 20)) < min(1 << 20, -(-CALIBRATION * (1 << 20) // max(1, asked)))).select("vec_id", "vector").orderBy("vec_id").toArrow()
     most = _calibrated(placed, tree.value, some, k, recall)
     sizes = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}  # at most LEAVES rows
+    most_rows = max(BLOCK_ROWS[0], min(BLOCK_ROWS[1], n // BLOCKS))
     first, parts, block, full = {}, {}, 0, 0
     for leaf in sorted(sizes):
-        if full and full + sizes[leaf] > BLOCK_ROWS:
+        if full and full + sizes[leaf] > most_rows:
             block, full = block + 1, 0
-        first[leaf], parts[leaf] = block, max(1, -(-sizes[leaf] // BLOCK_ROWS))
+        first[leaf], parts[leaf] = block, max(1, -(-sizes[leaf] // most_rows))
         block += parts[leaf] - 1
-        full = full + sizes[leaf] if parts[leaf] == 1 else BLOCK_ROWS
+        full = full + sizes[leaf] if parts[leaf] == 1 else most_rows
     leaves = tree.value.leaves
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
