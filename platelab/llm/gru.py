@@ -13,10 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 
-HIDDEN = 16
+HIDDEN = 12
 WINDOW = 16
 #: Bounds of the number of lanes; between them, a batch has so many that it makes about ``UPDATES`` windows.
-LANES = 32, 256
+LANES = 32, 512
 UPDATES = 300
 
 Params = dict[str, np.ndarray]
@@ -76,8 +76,8 @@ class Lanes:
         doc = np.repeat(np.arange(len(lengths)), lengths)
         inside = np.arange(len(doc)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         where = self.at[start[doc] + inside] + place[lane[doc]]
-        self.order = np.empty(len(doc), np.int64)
-        self.order[where] = np.arange(len(doc))
+        self.order = np.empty(len(doc), np.int32)
+        self.order[where] = np.arange(len(doc), dtype=np.int32)
 
     def windows(self, size: int) -> Iterator[tuple[int, int]]:
         for top in range(0, self.steps, size):
@@ -91,25 +91,37 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def run(params: Params, lanes: Lanes, top: int, end: int, inputs: np.ndarray, keep: np.ndarray, state: np.ndarray, trace: list | None = None) -> np.ndarray:
+class Trace:
+    """What a window's way back needs, one row per token."""
+
+    def __init__(self, n: int, dtype: np.dtype):
+        self.before, self.new, self.turned = (np.empty((n, HIDDEN), dtype) for _ in range(3))
+        self.gates = np.empty((n, 2 * HIDDEN), dtype)
+
+
+def run(params: Params, lanes: Lanes, top: int, end: int, inputs: np.ndarray, keep: np.ndarray, state: np.ndarray, trace: Trace | None = None) -> np.ndarray:
     """States after each token of steps ``top`` to ``end``; ``state`` is carried on in place."""
     first = lanes.at[top]
-    gates = params["inputs"][inputs]
-    out = np.empty((len(inputs), HIDDEN), np.float32)
+    given = params["inputs"][inputs]
+    out = np.empty((len(inputs), HIDDEN), given.dtype)
     turn = params["turn"]
     for t in range(top, end):
         a, b = lanes.at[t] - first, lanes.at[t + 1] - first
         h = state[: b - a] * keep[a:b, None]
         g = h @ turn
-        x = gates[a:b]
+        x = given[a:b]
         zr = _sigmoid(x[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])
         z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        n = np.tanh(x[:, 2 * HIDDEN :] + r * g[:, 2 * HIDDEN :])
-        new = n + z * (h - n)
-        out[a:b] = new
+        n = r * g[:, 2 * HIDDEN :]
+        n += x[:, 2 * HIDDEN :]
+        np.tanh(n, out=n)
+        new = out[a:b]
+        np.subtract(h, n, out=new)
+        new *= z
+        new += n
         state[: b - a] = new
         if trace is not None:
-            trace.append((a, b, h, z, r, n, g[:, 2 * HIDDEN :]))
+            trace.before[a:b], trace.gates[a:b], trace.new[a:b], trace.turned[a:b] = h, zr, n, g[:, 2 * HIDDEN :]
     return out
 
 
@@ -140,9 +152,9 @@ def log_probabilities(params: Params, states: np.ndarray, classes: np.ndarray, w
 
 def gradients(params: Params, lanes: Lanes, top: int, end: int, inputs: np.ndarray, keep: np.ndarray, classes: np.ndarray, words: np.ndarray, state: np.ndarray) -> tuple[Params, float]:
     """Gradients of the mean negative log-likelihood of a window, going back no further than its start; and the sum."""
-    trace: list = []
-    states = run(params, lanes, top, end, inputs, keep, state, trace)
     n = len(inputs)
+    trace = Trace(n, params["turn"].dtype)
+    states = run(params, lanes, top, end, inputs, keep, state, trace)
     every = np.arange(n)
     p = _log_softmax(states @ params["classes"] + params["class_bias"])
     loss = -float(p[every, classes].sum())
@@ -161,27 +173,32 @@ def gradients(params: Params, lanes: Lanes, top: int, end: int, inputs: np.ndarr
         grads["words"][c] = states[rows].T @ q
         grads["word_bias"][c] = q.sum(axis=0)
         back[rows] += q @ params["words"][c].T
-    d_gates = np.empty((n, 3 * HIDDEN), np.float32)
-    d_turned = np.empty((n, 3 * HIDDEN), np.float32)
-    before = np.empty((n, HIDDEN), np.float32)
-    turned = params["turn"].T
-    carry = np.zeros((0, HIDDEN), np.float32)
-    for a, b, h, z, r, c, g in reversed(trace):
-        dh = back[a:b]
+    z, r = trace.gates[:, :HIDDEN], trace.gates[:, HIDDEN:]
+    by_z = (trace.before - trace.new) * z * (1 - z)
+    by_new = (1 - z) * (1 - trace.new * trace.new)
+    by_r = trace.turned * r * (1 - r)
+    d_turned = np.empty((n, 3 * HIDDEN), back.dtype)
+    d_new = np.empty((n, HIDDEN), back.dtype)
+    turned = np.ascontiguousarray(params["turn"].T)
+    first = lanes.at[top]
+    carry = np.zeros((0, HIDDEN), back.dtype)
+    for t in range(end - 1, top - 1, -1):
+        a, b = lanes.at[t] - first, lanes.at[t + 1] - first
+        dh, dt, dn = back[a:b], d_turned[a:b], d_new[a:b]
         dh[: len(carry)] += carry
-        dn = dh * (1 - z) * (1 - c * c)
-        d_turned[a:b, :HIDDEN] = dh * (h - c) * z * (1 - z)
-        d_turned[a:b, HIDDEN : 2 * HIDDEN] = dn * g * r * (1 - r)
-        d_turned[a:b, 2 * HIDDEN :] = dn * r
-        d_gates[a:b, : 2 * HIDDEN] = d_turned[a:b, : 2 * HIDDEN]
-        d_gates[a:b, 2 * HIDDEN :] = dn
-        before[a:b] = h
-        carry = (dh * z + d_turned[a:b] @ turned) * keep[a:b, None]
-    grads["turn"] = before.T @ d_turned
+        np.multiply(dh, by_new[a:b], out=dn)
+        np.multiply(dh, by_z[a:b], out=dt[:, :HIDDEN])
+        np.multiply(dn, by_r[a:b], out=dt[:, HIDDEN : 2 * HIDDEN])
+        np.multiply(dn, r[a:b], out=dt[:, 2 * HIDDEN :])
+        carry = dt @ turned
+        carry += dh * z[a:b]
+        carry *= keep[a:b, None]
+    grads["turn"] = trace.before.T @ d_turned
     grads["inputs"] = np.zeros_like(params["inputs"])
     order = np.argsort(inputs, kind="stable")
     heads = np.concatenate([[0], np.flatnonzero(np.diff(inputs[order])) + 1])
-    grads["inputs"][inputs[order[heads]]] = np.add.reduceat(d_gates[order], heads, axis=0)
+    d_turned[:, 2 * HIDDEN :] = d_new
+    grads["inputs"][inputs[order[heads]]] = np.add.reduceat(d_turned[order], heads, axis=0)
     return grads, loss
 
 

@@ -31,12 +31,16 @@ from .common import as_bytes, checkpointed, prepare
 FOLDS = 10
 SMOOTHING = 0.1
 HEADS, WORDS_EACH = 16, 32
-ENDINGS = 48
+ENDINGS = 32
 #: Words whose counts are broadcast, at most.
 KNOWN = 1 << 18
 #: Sixteenths of the training documents in each round, and the rate of its steps.
 ROUNDS = ((2, 0.012), (6, 0.006), (8, 0.003))
-COUNTED = 300_000
+COUNTED = 200_000
+#: Text that a task holds as tokens at one time; texts of over ``LONG`` bytes are gathered and run side by side.
+CHUNK_BYTES, LONG = 6 << 20, 24 << 10
+#: Training starts anew after so many tokens of a document, so that long documents fill no lane of their own.
+SEGMENT = 512
 BUCKET_BYTES = 32 << 20
 SCORE_WINDOW = 64
 
@@ -136,9 +140,9 @@ class Vocabulary:
         self.rare = np.log10(mass + SMOOTHING)
         self.size = size
         place = np.arange(1, heads + 1)  # place 0 is the end
-        self.cls = np.concatenate([place // WORDS_EACH, HEADS + own[heads:]]).astype(np.int64)
+        self.cls = np.concatenate([place // WORDS_EACH, HEADS + own[heads:]]).astype(np.int32)
         self.sub = np.concatenate([place % WORDS_EACH, np.zeros(len(n) - heads, np.int64)])
-        self.inp = np.concatenate([place, HEADS * WORDS_EACH + own[heads:]]).astype(np.int64)
+        self.inp = np.concatenate([place, HEADS * WORDS_EACH + own[heads:]]).astype(np.int32)
         self.inside = np.concatenate([np.zeros(heads), np.log10(n[heads:] + SMOOTHING) - self.rare[own[heads:]]])
         head_mass = np.full(HEADS * WORDS_EACH, 1e-3)
         head_mass[0] = ends + SMOOTHING
@@ -164,23 +168,27 @@ class Vocabulary:
 class Tokens:
     """The tokens of a batch of texts end to end, each document closed by its end."""
 
-    def __init__(self, texts: list[bytes], vocabulary: Vocabulary):
+    def __init__(self, texts: list[bytes], vocabulary: Vocabulary, segment: int | None = None):
         get = vocabulary.index.get
-        lists = [t.lower().split() for t in texts]
-        self.lengths = np.array([len(x) + 1 for x in lists], np.int64)
+        words: list[bytes] = []
+        sizes = []
+        for t in texts:
+            before = len(words)
+            words += t.lower().split()
+            sizes.append(len(words) - before + 1)
+        self.lengths = np.array(sizes, np.int64)
         n = int(self.lengths.sum())
         last = np.cumsum(self.lengths) - 1
         is_end = np.zeros(n, bool)
         is_end[last] = True
-        at = np.full(n, -1, np.int64)
-        words = [w for x in lists for w in x]
-        at[~is_end] = [get(w, -1) for w in words]
+        at = np.full(n, -1, np.int32)
+        at[~is_end] = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
         self.at, self.is_end = at, is_end
         known = at >= 0
-        self.classes, self.places, ids = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.classes, self.places, ids = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32)
         self.classes[known], self.places[known], ids[known] = vocabulary.cls[at[known]], vocabulary.sub[at[known]], vocabulary.inp[at[known]]
         self.far = np.flatnonzero(~known & ~is_end)  # tokens that are not among the known words
-        doc = np.repeat(np.arange(len(lists)), self.lengths)
+        doc = np.repeat(np.arange(len(texts), dtype=np.int32), self.lengths)
         self.doc = doc
         self.far_words = [words[i] for i in (self.far - doc[self.far]).tolist()]
         ends = np.array([_ENDINGS[w[-2:]] for w in self.far_words], np.int64)
@@ -190,20 +198,40 @@ class Tokens:
         self.inputs = np.roll(ids, 1)
         self.inputs[first] = 0
         self.keep = np.ones(n, np.float32)
+        if segment:
+            parts = -(-self.lengths // segment)
+            place = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+            self.lengths = np.minimum(segment, np.repeat(self.lengths, parts) - segment * place)
+            first = np.cumsum(self.lengths) - self.lengths
         self.keep[first] = 0
 
 
+def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list[bytes], list[tuple]]]:
+    """Texts and the other columns of their rows, in chunks of bounded size; long texts come in chunks of their own."""
+    held: list[tuple[list[bytes], list[tuple]]] = [([], []), ([], [])]
+    full = [0, 0]
+    for batch in batches:
+        others = [batch.column(k).to_pylist() for k in range(batch.num_columns) if k != column]
+        for i, x in enumerate(batch.column(column)):
+            text = as_bytes(x.as_py())
+            kind = len(text) > LONG
+            if full[kind] and full[kind] + len(text) > CHUNK_BYTES:
+                yield held[kind]
+                held[kind], full[kind] = ([], []), 0
+            held[kind][0].append(text)
+            held[kind][1].append(tuple(c[i] for c in others))
+            full[kind] += len(text)
+    yield from (h for h in held if h[0])
+
+
 def _train(sent: Broadcast, rate: float):
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, values = sent.value
         params = gru.shaped(values, vocabulary.params())
         adam = gru.Adam(params, rate)
         seen = 0
-        for batch in batches:
-            texts = [as_bytes(x.as_py()) for x in batch.column(0)]
-            if not texts:
-                continue
-            tokens = Tokens(texts, vocabulary)
+        for texts, _ in _chunks(batches, 0):
+            tokens = Tokens(texts, vocabulary, SEGMENT)
             lanes = gru.Lanes(tokens.lengths)
             inputs, keep, classes, places = (x[lanes.order] for x in (tokens.inputs, tokens.keep, tokens.classes, tokens.places))
             state = np.zeros((lanes.lanes, gru.HIDDEN), np.float32)
@@ -229,10 +257,8 @@ def _score(sent: Broadcast, buckets: int):
         params = gru.shaped(values, vocabulary.params())
         names = [x.split()[0] for x in _SCORED.split(", ")]
         kinds = [{"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}[x.split()[1]] for x in _SCORED.split(", ")]
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            tokens = Tokens([as_bytes(x.as_py()) for x in batch.column(3)], vocabulary)
+        for texts, own in _chunks(batches, 3):
+            tokens = Tokens(texts, vocabulary)
             lanes = gru.Lanes(tokens.lengths)
             inputs, keep, classes, places = (x[lanes.order] for x in (tokens.inputs, tokens.keep, tokens.classes, tokens.places))
             state = np.zeros((lanes.lanes, gru.HIDDEN), np.float32)
@@ -246,12 +272,12 @@ def _score(sent: Broadcast, buckets: int):
             base = np.where(tokens.is_end, vocabulary.end_base, 0.0)
             base[known] = vocabulary.base[tokens.at[known]]
             log[known] += vocabulary.inside[tokens.at[known]]
-            m = batch.num_rows
+            m = len(texts)
+            uid, doc_id, held_out = zip(*own, strict=True)
             per = lambda x: np.bincount(tokens.doc, x, m)
-            rows = [None] * m, batch.column(0), batch.column(1), batch.column(2), tokens.lengths, per(known | (tokens.is_end & vocabulary.ends_known)).astype(np.int64), per(base), per(log), [None] * m, [None] * m, [None] * m
-            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], names)
-            uid = batch.column(0).to_numpy()
-            pairs = Counter(zip(tokens.far_words, uid[tokens.doc[tokens.far]].tolist(), strict=True))
+            rows = [None] * m, uid, doc_id, held_out, tokens.lengths, per(known | (tokens.is_end & vocabulary.ends_known)).astype(np.int64), per(base), per(log), [None] * m, [None] * m, [None] * m
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], names)
+            pairs = Counter(zip(tokens.far_words, np.array(uid, np.int64)[tokens.doc[tokens.far]].tolist(), strict=True))
             words = [w for w, _ in pairs]
             docs = np.array([d for _, d in pairs], "<i8")
             n = np.array(list(pairs.values()), "<i8")

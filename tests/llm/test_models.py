@@ -119,7 +119,7 @@ def test_recurrent_lm_learns_what_comes_next(spark):
 
 
 def test_recurrent_lm_probabilities_sum_to_one():
-    v = recurrent_lm.Vocabulary([b"a", b"b", b"c"], np.array([5, 3, 1]), 4, 13, 4, np.zeros(48), np.zeros(48))
+    v = recurrent_lm.Vocabulary([b"a", b"b", b"c"], np.array([5, 3, 1]), 4, 13, 4, np.zeros(recurrent_lm.ENDINGS), np.zeros(recurrent_lm.ENDINGS))
     assert v.class_share.sum() == pytest.approx(1) and v.word_share.sum(axis=1) == pytest.approx(np.ones(16))
 
 
