@@ -186,3 +186,16 @@ def unique_names(wanted: list[tuple[float, list[str]]]) -> list[str | None]:
 
 def clade_label(text: Column, words: int = 4) -> Column:
     return F.array_join(F.slice(F.split(F.trim(F.regexp_replace(text, "[\"'`.]", "")), "\\s+"), 1, words), " ")
+
+
+def projection(dishes: DataFrame, top: float = 1000.0) -> DataFrame:
+    """idx, x and y: the two principal components of the vectors, scaled to 0 to ``top``.
+
+    A stand-in for projections that cannot be reproduced; it keeps large distances, not neighbourhoods.
+    """
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    x = dishes.select("idx", array_to_vector(F.col("vector").cast("array<double>")).alias("v"))
+    p = PCA(k=2, inputCol="v", outputCol="p").fit(x).transform(x).select("idx", vector_to_array("p").alias("p"))
+    return p.select("idx", scaled(F.get("p", F.lit(0)), top=top).alias("x"), scaled(F.get("p", F.lit(1)), top=top).alias("y"))

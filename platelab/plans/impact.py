@@ -192,3 +192,22 @@ k AS (SELECT recipe_id, ingredient, CASE WHEN w > 0 THEN v / w ELSE 0 END AS sha
 )
 def variance_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return montecarlo.variance_drivers(_draws(spark, sf_dir)).withColumn("share", F.round("share", 4))
+
+
+@query(
+    "keyword_candidates",
+    "WITH i AS (SELECT DISTINCT p_name AS item FROM part), w AS (SELECT item, unnest(string_split(item, ' ')) AS word FROM i), p AS (SELECT p_partkey AS product_id, lower(concat(p_type, ' ', p_name)) AS product FROM part WHERE p_partkey % 7 = 0), h AS (SELECT DISTINCT item, product_id FROM w JOIN p ON contains(product, word) WHERE length(word) > 2) SELECT item, product_id FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY product_id) AS r FROM h) WHERE r <= 5",
+)
+def keyword_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = I.read(spark, sf_dir, "part")
+    items = p.selectExpr("p_name AS item", "p_name AS name").distinct()
+    return impact.keyword_candidates(items, p.where("p_partkey % 7 = 0").selectExpr("p_partkey AS product_id", "concat(p_type, ' ', p_name) AS name"))
+
+
+@query(
+    "multi_query_topk",
+    "WITH f AS (SELECT p_brand AS item, p_name AS name, (p_partkey * 7919 % 10007)::DOUBLE AS score FROM part), n AS (SELECT item, lower(name) AS key, max(score) AS score FROM f GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, key) AS rank FROM n) SELECT item, key AS name, score, rank::INT AS rank FROM r WHERE rank <= 4",
+)
+def multi_query_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = I.read(spark, sf_dir, "part").selectExpr("p_brand AS item", "p_name AS name", "CAST(p_partkey * 7919 % 10007 AS DOUBLE) AS score")
+    return impact.best_of_queries(f, 4)

@@ -156,3 +156,53 @@ def dish_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = I.read(spark, sf_dir, "part").selectExpr("p_size % 5 AS region", "p_partkey + 1 AS count", "p_retailprice AS x", "p_retailprice AS y")
     return manifold.gazetteer(x, "region").select("region", "n", F.round("mean_log", 6).alias("mean_log"), "total")
+
+
+@query("log_bins", "WITH x AS (SELECT CASE WHEN log10(o_totalprice) < 3 THEN 0 WHEN log10(o_totalprice) >= 6 THEN 7 ELSE CAST(floor((log10(o_totalprice) - 3) / 3 * 6) AS BIGINT) + 1 END AS bin, o_totalprice FROM orders WHERE o_totalprice > 0) SELECT bin, round(median(o_totalprice), 4) AS median, count(*) AS n FROM x GROUP BY 1")
+def log_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = statistics.log_bins(I.read(spark, sf_dir, "orders"), "o_totalprice", "o_totalprice", 1000.0, 1_000_000.0, 6)
+    return x.withColumn("median", F.round("median", 4))
+
+
+@query(
+    "menu_blend",
+    "WITH x AS (SELECT p_partkey, p_brand, p_retailprice AS g, p_size::DOUBLE AS s FROM part WHERE p_retailprice > 0), y AS (SELECT *, 0.55::DOUBLE * coalesce((ln(g) - min(ln(g)) OVER w) / nullif(max(ln(g)) OVER w - min(ln(g)) OVER w, 0), 0) + 0.45::DOUBLE * coalesce((s - min(s) OVER w) / nullif(max(s) OVER w - min(s) OVER w, 0), 0) AS blend FROM x WINDOW w AS (PARTITION BY p_brand)) SELECT p_partkey, round(blend, 6) AS blend FROM y",
+)
+def menu_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.menu_blend(I.read(spark, sf_dir, "part"), "p_brand", "p_retailprice", "p_size").select("p_partkey", F.round("blend", 6).alias("blend"))
+
+
+@query("clipped_colour", "WITH e AS (SELECT quantile_cont(o_totalprice, 0.02) AS lo, quantile_cont(o_totalprice, 0.98) AS hi FROM orders) SELECT o_orderkey, round((greatest(least(o_totalprice, hi), lo) - lo) / (hi - lo), 6) AS colour FROM orders, e")
+def clipped_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.clipped_colour(I.read(spark, sf_dir, "orders"), "o_totalprice").select("o_orderkey", F.round("colour", 6).alias("colour"))
+
+
+@query(
+    "functional_units",
+    "SELECT o_orderkey, round(o_totalprice / 4, 4) AS per_serving, round(o_totalprice * 1000 / (o_custkey + 7), 4) AS per_kg, round(o_totalprice * 1000 / nullif(o_orderkey % 13, 0), 4) AS per_1000_kcal, round(o_totalprice * 100 / (o_orderkey % 11 + 3), 4) AS per_100_g_protein FROM orders",
+)
+def functional_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = I.read(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_totalprice", "CAST(o_orderkey % 13 AS DOUBLE) AS kcal", "CAST(o_orderkey % 11 + 3 AS DOUBLE) AS protein", "CAST(o_custkey + 7 AS DOUBLE) AS mass")
+    out = statistics.functional_units(x, "o_totalprice", "kcal", "protein", "mass")
+    return out.select("o_orderkey", *[F.round(c, 4).alias(c) for c in ("per_serving", "per_kg", "per_1000_kcal", "per_100_g_protein")])
+
+
+@query("colour_ranks", "SELECT p_type, count(*) AS n, (row_number() OVER (ORDER BY count(*) DESC, p_type) - 1)::INT AS rank FROM part GROUP BY 1")
+def colour_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifold.colour_ranks(I.read(spark, sf_dir, "part"), "p_type")
+
+
+@query("density_grid", "SELECT CAST(least(floor((p_partkey % 1000) / 1000.0 * 20), 19) AS INT) AS cx, CAST(least(floor((p_partkey * 7 % 1000) / 1000.0 * 20), 19) AS INT) AS cy, round(sum(log10(p_size + 1)), 6) AS weight FROM part GROUP BY ALL")
+def density_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = I.read(spark, sf_dir, "part").selectExpr("CAST(p_partkey % 1000 AS DOUBLE) AS x", "CAST(p_partkey * 7 % 1000 AS DOUBLE) AS y", "p_size AS count")
+    return manifold.density_grid(x, 20).withColumn("weight", F.round("weight", 6))
+
+
+@query("contribution_bars", "SELECT l_orderkey, l_linenumber, round(l_extendedprice / max(l_extendedprice) OVER (PARTITION BY l_orderkey), 6) AS bar FROM lineitem")
+def contribution_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifold.contribution_bars(I.read(spark, sf_dir, "lineitem"), "l_orderkey", "l_extendedprice").select("l_orderkey", "l_linenumber", F.round("bar", 6).alias("bar"))
+
+
+@query("projection")
+def projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifold.projection(I.read(spark, sf_dir, "embeddings").selectExpr("vec_id AS idx", "embedding AS vector"))
