@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 M = 1 << 31
+#: Draws for each recipe (the reference's number).
+N = 10_000
+PERCENTILES = {"p2_5": 0.025, "p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p97_5": 0.975}
 
 
 def uniform(k: Column, j: Column, stream: int) -> Column:
     """A number between 0 and 1 from two counters and a stream."""
-    x = F.pmod(k * 2654435761 + j * 40503 + stream * 97, F.lit(M))
+    x = F.pmod(F.pmod(k, F.lit(M)) * 2654435761 + j * 40503 + stream * 97, F.lit(M))
     for c in (739982445, 695872825, 1103515245):
         x = F.pmod(x.bitwiseXOR(F.shiftright(x, 15)) * c, F.lit(M))
     return (x.bitwiseXOR(F.shiftright(x, 16)) + 0.5) / M
@@ -44,10 +51,9 @@ def draws(rows: DataFrame, n: int, seed: int = 0, mass_error: float = 0.15) -> D
 def summarised(drawn: DataFrame) -> DataFrame:
     """Mean, deviation and percentiles of each recipe's total over the draws."""
     totals = drawn.groupBy("recipe_id", "draw").agg(F.sum("impact").alias("total"))
-    at = {"p2_5": 0.025, "p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p97_5": 0.975}
-    shares = F.percentile("total", F.array(*[F.lit(p) for p in at.values()]))
+    shares = F.percentile("total", F.array(*[F.lit(p) for p in PERCENTILES.values()]))
     out = totals.groupBy("recipe_id").agg(F.avg("total").alias("mean"), F.stddev_samp("total").alias("sd"), shares.alias("p"))
-    return out.select("recipe_id", "mean", "sd", *[F.element_at("p", i + 1).alias(n) for i, n in enumerate(at)])
+    return out.select("recipe_id", "mean", "sd", *[F.element_at("p", i + 1).alias(n) for i, n in enumerate(PERCENTILES)])
 
 
 def variance_drivers(drawn: DataFrame, top: int = 5) -> DataFrame:
@@ -58,3 +64,73 @@ def variance_drivers(drawn: DataFrame, top: int = 5) -> DataFrame:
     share = F.when(F.col("whole") > 0, F.col("variance") / F.col("whole")).otherwise(0.0)
     w = Window.partitionBy("recipe_id").orderBy(F.desc("share"), "ingredient")
     return last.join(total, "recipe_id").withColumn("share", share).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("recipe_id", "rank", "ingredient", "share")
+
+
+def _uniforms(k: np.ndarray, j: np.ndarray, stream: int) -> np.ndarray:
+    """``uniform`` of counters modulo 2^32, which leaves its lowest 31 bits as they are."""
+    x = k * np.uint32(2654435761) + (j * np.uint32(40503) + np.uint32(stream * 97))
+    x &= np.uint32(M - 1)
+    for c in (739982445, 695872825, 1103515245):
+        x ^= x >> np.uint32(15)
+        x *= np.uint32(c)
+        x &= np.uint32(M - 1)
+    x ^= x >> np.uint32(16)
+    return (x + 0.5) / M
+
+
+def impacts(recipe_id: int, position: np.ndarray, grams: np.ndarray, least: np.ndarray, mode: np.ndarray, most: np.ndarray, n: int, seed: int = 0, mass_error: float = 0.15) -> np.ndarray:
+    """The draws of one recipe as a matrix, one row for each ingredient; the numbers are those of ``draws``."""
+    k = (np.arange(n, dtype=np.int64) + (recipe_id + seed) * n % (1 << 32)).astype(np.uint32)[None]
+    j = position.astype(np.int64).astype(np.uint32)[:, None]
+    least, mode, most = least[:, None], mode[:, None], most[:, None]
+    width = np.where(most == least, 1.0, most - least)
+    u = _uniforms(k, j, 1)
+    high = u >= (mode - least) / width
+    side = np.where(high, (1 - u) * (width * (most - mode)), u * (width * (mode - least)))
+    np.sqrt(side, out=side)
+    factor = np.where(most == least, mode, np.where(high, most - side, least + side))
+    mass = np.sqrt(-2 * np.log(_uniforms(k, j, 2)))
+    mass *= np.cos(6.283185307179586 * _uniforms(k, j, 3))
+    mass *= mass_error
+    mass += 1
+    mass *= grams[:, None]
+    mass *= factor
+    return mass
+
+
+_OUT = "recipe_id long, mean double, sd double, " + ", ".join(f"{p} double" for p in PERCENTILES) + ", drivers array<struct<ingredient: string, share: double>>"
+_OUT_ARROW = pa.schema([("recipe_id", pa.int64()), *[(c, pa.float64()) for c in ("mean", "sd", *PERCENTILES)], ("drivers", pa.list_(pa.struct([("ingredient", pa.string()), ("share", pa.float64())])))])
+
+
+def _recipe(recipe_id: int, rows: list[dict], n: int, seed: int, mass_error: float, top: int) -> dict:
+    names = ("position", "grams", "least", "mode", "most")
+    known = [r for r in rows if all(r[c] is not None for c in names)]
+    if not known or recipe_id is None:
+        return {"recipe_id": recipe_id}
+    x = impacts(recipe_id, *[np.array([r[c] for r in known], np.int64 if c == "position" else np.float64) for c in names], n, seed, mass_error)
+    totals = x.sum(axis=0)
+    whole = float(totals.var(ddof=1)) if n > 1 else None
+    out = {"recipe_id": recipe_id, "mean": float(totals.mean()), "sd": None if whole is None else whole**0.5}
+    out |= dict(zip(PERCENTILES, np.quantile(totals, list(PERCENTILES.values())).tolist(), strict=True))
+    at: dict[tuple, list[int]] = {}
+    for i, r in enumerate(known):
+        at.setdefault((r["position"], r["ingredient"]), []).append(i)
+    last = {name: (float(x[i].var(ddof=1)) / whole if whole else 0.0) for (_, name), i in sorted(at.items(), key=lambda e: e[0][0])}
+    out["drivers"] = [{"ingredient": name, "share": share} for name, share in sorted(last.items(), key=lambda e: (-e[1], e[0] or ""))[:top]]
+    return out
+
+
+def simulated(rows: DataFrame, n: int = N, seed: int = 0, mass_error: float = 0.15, top: int = 5) -> DataFrame:
+    """One row for each recipe of ``rows``: what ``summarised`` finds, and as ``drivers`` what ``variance_drivers`` finds.
+
+    A recipe's draws are made and used up in one place, so no draw is ever a row or shuffled.
+    """
+    recipes = rows.groupBy("recipe_id").agg(F.collect_list(F.struct("position", "ingredient", *[F.col(c).cast("double").alias(c) for c in ("grams", "least", "mode", "most")])).alias("rows"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256).to_pylist()
+                yield pa.RecordBatch.from_pylist([_recipe(r["recipe_id"], r["rows"], n, seed, mass_error, top) for r in part], _OUT_ARROW)
+
+    return recipes.mapInArrow(run, _OUT)

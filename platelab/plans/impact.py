@@ -163,17 +163,18 @@ def _uniforms() -> str:
     return "SELECT recipe_id, position, ingredient, draw, grams, lo, mid, hi, " + ", ".join(f"(xor(x{s}, x{s} >> 16) + 0.5::DOUBLE) / 2147483648::DOUBLE AS u{s}" for s in (1, 2, 3)) + f" FROM ({sql})"
 
 
+#: The SQL still has the former 400 draws of the first recipes; the queries make ``montecarlo.N`` of each recipe.
 DRAWS = 400
 MC = R + f""", b AS (SELECT r.recipe_id, r.position, r.ingredient, draw, r.recipe_id * {DRAWS} + draw AS k, grams, ghg / 2 AS lo, ghg AS mid, CASE WHEN r.position = 2 THEN ghg / 2 ELSE ghg * 2 END AS hi FROM r JOIN f USING (ingredient), (SELECT unnest(generate_series(0, {DRAWS - 1})) AS draw) WHERE recipe_id < 60),
 u AS ({_uniforms()}),
 i AS (SELECT recipe_id, position, ingredient, draw, grams * (1 + 0.15 * (sqrt(-2 * ln(u2)) * cos(6.283185307179586 * u3))) * CASE WHEN hi = lo THEN mid WHEN u1 < (mid - lo) / (hi - lo) THEN lo + sqrt(u1 * (hi - lo) * (mid - lo)) ELSE hi - sqrt((1 - u1) * (hi - lo) * (hi - mid)) END AS impact FROM u)"""
 
 
-def _draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = I.recipe_rows(spark, sf_dir).where("recipe_id < 60").join(I.factors(spark, sf_dir), "ingredient")
+def _simulated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = I.recipe_rows(spark, sf_dir).join(I.factors(spark, sf_dir), "ingredient")
     low = F.col("ghg") / 2
     x = x.select("recipe_id", "position", "ingredient", "grams", low.alias("least"), F.col("ghg").alias("mode"), F.when(F.col("position") == 2, low).otherwise(F.col("ghg") * 2).alias("most"))
-    return montecarlo.draws(x, DRAWS)
+    return montecarlo.simulated(x)
 
 
 @query(
@@ -181,7 +182,7 @@ def _draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     MC + ", t AS (SELECT recipe_id, draw, sum(impact) AS t FROM i GROUP BY ALL) SELECT recipe_id, round(avg(t), 3) AS mean, round(stddev_samp(t), 3) AS sd, round(quantile_cont(t, 0.05), 3) AS p5, round(quantile_cont(t, 0.5), 3) AS p50, round(quantile_cont(t, 0.95), 3) AS p95 FROM t GROUP BY 1",
 )
 def monte_carlo_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return montecarlo.summarised(_draws(spark, sf_dir)).select("recipe_id", *[F.round(c, 3).alias(c) for c in ("mean", "sd", "p5", "p50", "p95")])
+    return _simulated(spark, sf_dir).select("recipe_id", *[F.round(c, 3).alias(c) for c in ("mean", "sd", "p5", "p50", "p95")])
 
 
 @query(
@@ -191,7 +192,8 @@ def monte_carlo_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 k AS (SELECT recipe_id, ingredient, CASE WHEN w > 0 THEN v / w ELSE 0 END AS share FROM l JOIN w USING (recipe_id)) SELECT recipe_id, rank::INT AS rank, ingredient, round(share, 4) AS share FROM (SELECT *, row_number() OVER (PARTITION BY recipe_id ORDER BY share DESC, ingredient) AS rank FROM k) WHERE rank <= 5""",
 )
 def variance_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return montecarlo.variance_drivers(_draws(spark, sf_dir)).withColumn("share", F.round("share", 4))
+    x = _simulated(spark, sf_dir).select("recipe_id", F.posexplode("drivers").alias("at", "d"))
+    return x.select("recipe_id", (F.col("at") + 1).alias("rank"), "d.ingredient", F.round("d.share", 4).alias("share"))
 
 
 @query(
