@@ -42,7 +42,7 @@ PAIRS = "(SELECT l_orderkey * 10 + l_linenumber AS k, l_quantity AS a, l_extende
 
 
 def _measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = I.read(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0")
+    li = I.read(spark, sf_dir, "lineitem")
     return li.selectExpr("l_orderkey * 10 + l_linenumber AS k", "l_quantity AS a", "l_extendedprice AS b", "CASE WHEN l_linenumber <> 3 THEN l_discount END AS c").groupBy("k").agg(F.max("a").alias("a"), F.max("b").alias("b"), F.max("c").alias("c"))
 
 
@@ -147,8 +147,10 @@ def cuisine_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     "WITH r AS (SELECT l_orderkey AS dish, l_quantity AS w, list_transform(embedding, lambda v: v::DOUBLE) AS v FROM lineitem JOIN embeddings ON vec_id = l_partkey % 500 WHERE l_orderkey < 300), s AS (SELECT dish, d, sum(w * v) AS s FROM (SELECT dish, w, unnest(v) AS v, generate_subscripts(v, 1) AS d FROM r) GROUP BY ALL), n AS (SELECT dish, sqrt(sum(s * s)) AS n FROM s GROUP BY 1) SELECT dish, round(sum(s / n * d), 4) AS checksum FROM s JOIN n USING (dish) GROUP BY 1",
 )
 def dish_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = I.read(spark, sf_dir, "lineitem").where("l_orderkey < 300").selectExpr("l_orderkey AS dish", "l_partkey % 500 AS ingredient", "l_quantity AS weight")
-    v = manifold.dish_vectors(rows, I.read(spark, sf_dir, "embeddings").selectExpr("vec_id AS ingredient", "CAST(embedding AS array<double>) AS vector"))
+    e = I.read(spark, sf_dir, "embeddings")
+    count = e.select(F.max("vec_id") + 1).first()[0] or 1
+    rows = I.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("dish"), (F.col("l_partkey") % count).alias("ingredient"), F.col("l_quantity").alias("weight"))
+    v = manifold.dish_vectors(rows, e.selectExpr("vec_id AS ingredient", "CAST(embedding AS array<double>) AS vector"))
     return v.select("dish", F.round(F.aggregate(F.transform("vector", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 4).alias("checksum"))
 
 
