@@ -148,12 +148,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return classes(rows).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, own: Column, placed: DataFrame) -> DataFrame:
+    """The row of the smallest doc_id of each root of ``placed`` (doc_id, own, root); ``own`` is a hash of the whole row."""
+    stay = placed.groupBy("root").agg(F.min(F.struct("doc_id", "own")).alias("s")).select(F.col("s.doc_id").alias("id"), F.col("s.own").alias("own"))
+    marked = docs.withColumn("__own", own)
+    kept = marked.join(stay, marked["doc_id"].eqNullSafe(stay["id"]) & (marked["__own"] == stay["own"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__own"]).select(*docs.columns)
+
+
 def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """One row of each component: the one of the smallest doc_id, ties by a hash of the whole row."""
     prepare(docs.sparkSession)
     own = F.xxhash64(*[F.col(c) for c in docs.columns])
     rows = checkpointed(docs.select("doc_id", own.alias("own"), fingerprinted(F.col("text"), words).alias("fp")))
-    stay = classes(rows).groupBy("root").agg(F.min(F.struct("doc_id", "own")).alias("s")).select(F.col("s.doc_id").alias("id"), F.col("s.own").alias("own"))
-    marked = docs.withColumn("__own", own)
-    kept = marked.join(stay, marked["doc_id"].eqNullSafe(stay["id"]) & (marked["__own"] == stay["own"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__own"]).select(*docs.columns)
+    return one_of_each(docs, own, classes(rows))
