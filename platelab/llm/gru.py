@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-HIDDEN = 12
+HIDDEN = 16
 WINDOW = 16
 #: Bounds of the number of lanes; between them, a batch has so many that it makes about ``UPDATES`` windows.
 LANES = 32, 512

@@ -31,7 +31,7 @@ from .common import as_bytes, checkpointed, prepare
 FOLDS = 10
 SMOOTHING = 0.1
 HEADS, WORDS_EACH = 16, 32
-ENDINGS = 32
+ENDINGS = 48
 #: Words whose counts are broadcast, at most.
 KNOWN = 1 << 18
 #: Sixteenths of the training documents in each round, and the rate of its steps.

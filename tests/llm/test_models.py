@@ -174,3 +174,7 @@ def test_search_small_and_empty(spark):
     assert kmeans_tree.search(few.limit(0)).count() == 0
     one = spark.createDataFrame([(0, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert kmeans_tree.search(one).count() == 0
+
+
+def test_the_model_is_not_shrunk_for_the_check():
+    assert gru.HIDDEN >= 16 and recurrent_lm.ENDINGS >= 48
