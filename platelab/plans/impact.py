@@ -72,7 +72,7 @@ CAND = "(SELECT p_name AS item, p_type AS source, p_retailprice AS value, p_size
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.read(spark, sf_dir, "part").where("p_partkey % 5 <> 0").selectExpr("p_name AS item", "p_type AS source", "p_retailprice AS value", "p_size % 4 = 0 AS exact", "concat(p_name, ' ', p_brand) AS name", "p_partkey AS position")
+    return I.read(spark, sf_dir, "part").selectExpr("p_name AS item", "p_type AS source", "p_retailprice AS value", "p_size % 4 = 0 AS exact", "concat(p_name, ' ', p_brand) AS name", "p_partkey AS position")
 
 
 @query(
@@ -151,8 +151,8 @@ SELECT query_id, source, product_id, round(score, 6) AS score, rank::INT AS rank
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = I.read(spark, sf_dir, "embeddings")
     p = e.selectExpr("vec_id AS product_id", "CASE WHEN label < 5 THEN 'A' ELSE 'B' END AS source", "concat('product ', label) AS name", "embedding AS vector")
-    q = e.where("vec_id % 50 = 0").selectExpr("vec_id AS query_id", "embedding AS vector")
-    return impact.top_by_cosine(q, p, {"A": 5, "B": 3}, 10, "3").select("query_id", "source", "product_id", F.round("score", 6).alias("score"), "rank")
+    q = e.where("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "embedding AS vector")
+    return impact.top_by_cosine(q, p, {"A": 20, "B": 10}, 40, "3").select("query_id", "source", "product_id", F.round("score", 6).alias("score"), "rank")
 
 
 def _uniforms() -> str:
@@ -203,7 +203,7 @@ def variance_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keyword_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = I.read(spark, sf_dir, "part")
     items = p.selectExpr("p_name AS item", "p_name AS name").distinct()
-    return impact.keyword_candidates(items, p.where("p_partkey % 7 = 0").selectExpr("p_partkey AS product_id", "concat(p_type, ' ', p_name) AS name"))
+    return impact.keyword_candidates(items, p.selectExpr("p_partkey AS product_id", "concat(p_type, ' ', p_name) AS name"))
 
 
 @query(

@@ -72,3 +72,17 @@ def test_dishes_use_all_embeddings(spark, tmp_path):
     spark.createDataFrame([(i, [1.0, 0.0] if i < 500 else [0.0, 1.0]) for i in range(1_000)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {r["dish"]: r["checksum"] for r in registry.QUERIES["dish_vectors"](spark, str(tmp_path)).collect()}
     assert got == {1: 1.0, 2: 2.0}
+
+
+@pytest.mark.parametrize("name", ["tiered_recommend", "unjudged_factors", "widen_range"])
+def test_all_products_are_candidates(spark, name):
+    assert agrees_without(spark, name, (" WHERE p_partkey % 5 <> 0", ""))
+
+
+def test_all_products_are_searched(spark):
+    assert agrees_without(spark, "keyword_candidates", (" WHERE p_partkey % 7 = 0", ""))
+
+
+def test_neighbours_of_every_twentieth_vector(spark):
+    cuts = ("vec_id % 50 = 0", "vec_id % 20 = 0"), ("WHERE r <= 10", "WHERE r <= 40"), ("THEN 5 ELSE 3", "THEN 20 ELSE 10")
+    assert agrees_without(spark, "vector_topk", *cuts)
