@@ -3,7 +3,7 @@
 Tokens fall into classes. A class of head words has a softmax over its words; a class of rare words has fixed
 probabilities within it, so the network predicts the class only. Documents run in lanes next to each other; a lane
 that ends one document starts the next with a blank state. Lanes are ordered by length, so at every step the lanes
-that are still running come first and nothing is padded.
+that are still running come first and nothing is padded. Head words are taken class by class.
 """
 
 from __future__ import annotations
@@ -13,48 +13,58 @@ from collections.abc import Iterator
 
 import numpy as np
 
-HIDDEN = 16
+#: Units of the state, and numbers that stand for an input token.
+HIDDEN, EMBEDDED = 24, 16
 WINDOW = 16
 #: Bounds of the number of lanes; between them, a batch has so many that it makes about ``UPDATES`` windows.
 LANES = 32, 512
-UPDATES = 300
+UPDATES = 120
+#: Logits are cut here in training, where sums of their powers need not be scaled.
+MOST = np.float32(70)
 
 Params = dict[str, np.ndarray]
 
 
-def new_params(inputs: int, class_share: np.ndarray, word_share: np.ndarray, seed: int = 11) -> Params:
-    """Small random weights; biases give the shares, so that an untrained model is a unigram model."""
-    rng = np.random.default_rng(seed)
-    small = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
-    heads, words = word_share.shape
+def sizes(inputs: int, classes: int, heads: int, words: int) -> dict[str, tuple[int, ...]]:
     return {
-        "inputs": small(inputs, 3 * HIDDEN),
-        "turn": small(HIDDEN, 3 * HIDDEN),
-        "classes": small(HIDDEN, len(class_share)),
-        "class_bias": np.log(class_share).astype(np.float32),
-        "words": small(heads, HIDDEN, words),
-        "word_bias": np.log(word_share).astype(np.float32),
+        "inputs": (inputs, EMBEDDED),
+        "given_gates": (EMBEDDED, 2 * HIDDEN),
+        "given_new": (EMBEDDED, HIDDEN),
+        "turn_gates": (HIDDEN, 2 * HIDDEN),
+        "turn_new": (HIDDEN, HIDDEN),
+        "classes": (HIDDEN + 1, classes),  # the last row of either is for the constant that goes with each state
+        "words": (heads, HIDDEN + 1, words),
     }
 
 
-def flat(params: Params) -> np.ndarray:
-    return np.concatenate([params[k].ravel() for k in sorted(params)])
-
-
-def shaped(values: np.ndarray, like: Params) -> Params:
+def views(flat: np.ndarray, shapes: dict[str, tuple[int, ...]]) -> Params:
+    """The parameters as views of one vector."""
     out, at = {}, 0
-    for k in sorted(like):
-        out[k] = np.asarray(values[at : at + like[k].size], np.float32).reshape(like[k].shape).copy()
-        at += like[k].size
+    for name, shape in shapes.items():
+        n = int(np.prod(shape))
+        out[name] = flat[at : at + n].reshape(shape)
+        at += n
     return out
 
 
+def new_params(shapes: dict[str, tuple[int, ...]], class_share: np.ndarray, word_share: np.ndarray, seed: int = 11) -> np.ndarray:
+    """Small random weights; last rows give the shares, so that an untrained model is about a unigram model."""
+    flat = (np.random.default_rng(seed).standard_normal(sum(int(np.prod(s)) for s in shapes.values())) * 0.1).astype(np.float32)
+    params = views(flat, shapes)
+    for name, size in (("given_gates", 3), ("given_new", 3), ("turn_gates", 2), ("turn_new", 2), ("words", 0.1)):
+        params[name] *= np.float32(size)
+    params["inputs"][:, 0] = 1  # a bias for all inputs
+    params["classes"][-1] = np.log(class_share)
+    params["words"][:, -1] = np.log(word_share)
+    return flat
+
+
 class Lanes:
     """Where each token of each document stands when documents of these lengths run in lanes, step by step."""
 
     def __init__(self, lengths: np.ndarray, lanes: int | None = None):
         if lanes is None:
-            lanes = max(LANES[0], min(LANES[1], int(lengths.sum()) // (UPDATES * WINDOW)))
+            lanes = max(LANES[0], min(LANES[1], int(lengths.sum()) // max(UPDATES * WINDOW, int(lengths.max(initial=1)))))
         lanes = max(1, min(lanes, len(lengths)))
         loads = [(0, i) for i in range(lanes)]
         lane = np.empty(len(lengths), np.int64)
@@ -84,137 +94,224 @@ class Lanes:
             yield top, min(self.steps, top + size)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.negative(x, out=x)
-    np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
-
-
-class Trace:
-    """What a window's way back needs, one row per token."""
-
-    def __init__(self, n: int, dtype: np.dtype):
-        self.before, self.new, self.turned = (np.empty((n, HIDDEN), dtype) for _ in range(3))
-        self.gates = np.empty((n, 2 * HIDDEN), dtype)
-
-
-def run(params: Params, lanes: Lanes, top: int, end: int, inputs: np.ndarray, keep: np.ndarray, state: np.ndarray, trace: Trace | None = None) -> np.ndarray:
-    """States after each token of steps ``top`` to ``end``; ``state`` is carried on in place."""
-    first = lanes.at[top]
-    given = params["inputs"][inputs]
-    out = np.empty((len(inputs), HIDDEN), given.dtype)
-    turn = params["turn"]
-    for t in range(top, end):
-        a, b = lanes.at[t] - first, lanes.at[t + 1] - first
-        h = state[: b - a] * keep[a:b, None]
-        g = h @ turn
-        x = given[a:b]
-        zr = _sigmoid(x[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        n = r * g[:, 2 * HIDDEN :]
-        n += x[:, 2 * HIDDEN :]
-        np.tanh(n, out=n)
-        new = out[a:b]
-        np.subtract(h, n, out=new)
-        new *= z
-        new += n
-        state[: b - a] = new
-        if trace is not None:
-            trace.before[a:b], trace.gates[a:b], trace.new[a:b], trace.turned[a:b] = h, zr, n, g[:, 2 * HIDDEN :]
-    return out
+class Work:
+    """Arrays that every window uses again, as fresh memory costs more than the sums done in it."""
+
+    def __init__(self, rows: int, dtype: type = np.float32):
+        self.rows, self.dtype, self.held = rows, dtype, {}
 
+    def __call__(self, name: str, rows: int, width: int) -> np.ndarray:
+        if name not in self.held:
+            self.held[name] = np.empty((self.rows, width), self.dtype)
+        return self.held[name][:rows]
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-    return x
 
+def run(params: Params, work: Work, lanes: Lanes, top: int, end: int, inputs: np.ndarray, keep: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """States after each token of steps ``top`` to ``end``; ``state`` is carried on in place.
 
-def _by_class(classes: np.ndarray, heads: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Rows of each head class that occurs."""
+    ``work`` keeps what the way back needs, one row per token: the state before, the gates (update, reset), the
+    candidate and its share of the state. Gates are 1 / (1 + exp(x)).
+    """
+    n = len(inputs)
+    embedded = np.take(params["inputs"], inputs, axis=0, out=work("embedded", n, EMBEDDED), mode="clip")
+    to_gates = np.matmul(embedded, params["given_gates"], out=work("to_gates", n, 2 * HIDDEN))
+    to_new = np.matmul(embedded, params["given_new"], out=work("to_new", n, HIDDEN))
+    out, before, all_gates, all_new, all_turned = (work(x, n, w * HIDDEN) for x, w in (("states", 1), ("before", 1), ("gates", 2), ("new", 1), ("turned", 1)))
+    turn_gates, turn_new, keep = params["turn_gates"], params["turn_new"], keep[:, None]
+    cuts = (lanes.at[top : end + 1] - lanes.at[top]).tolist()
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        now = state[: b - a]
+        h = np.multiply(now, keep[a:b], out=before[a:b])
+        gates = np.matmul(h, turn_gates, out=all_gates[a:b])
+        gates += to_gates[a:b]
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
+        turned = np.matmul(h, turn_new, out=all_turned[a:b])
+        new = np.multiply(gates[:, HIDDEN:], turned, out=all_new[a:b])
+        new += to_new[a:b]
+        np.tanh(new, out=new)
+        after = np.subtract(h, new, out=out[a:b])
+        after *= gates[:, :HIDDEN]
+        after += new
+        now[:] = after
+    return out
+
+
+def _by_class(classes: np.ndarray, heads: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Rows of head words in the order of their classes, and each class that occurs with its part of them."""
     rows = np.flatnonzero(classes < heads)
-    rows = rows[np.argsort(classes[rows], kind="stable")]
-    cuts = np.flatnonzero(np.diff(classes[rows])) + 1
-    for part in np.split(rows, cuts):
-        if len(part):
-            yield int(classes[part[0]]), part
+    of = classes[rows].astype(np.int16)
+    ends = np.cumsum(np.bincount(of, minlength=heads)).tolist()
+    parts = [(c, a, b) for c, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if a < b]
+    return rows[np.argsort(of, kind="stable")], parts
+
+
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    """Logarithm of the sum of each row's powers, for logits of any size; ``x`` is used up."""
+    most = 0
+    if x.size and x.max() > MOST:
+        most = x.max(axis=1)
+        x -= most[:, None]
+    return np.log(np.exp(x, out=x) @ np.ones(x.shape[1], x.dtype)) + most
 
 
-def log_probabilities(params: Params, states: np.ndarray, classes: np.ndarray, words: np.ndarray) -> np.ndarray:
+def _with_one(work: Work, states: np.ndarray) -> np.ndarray:
+    out = work("with_one", len(states), HIDDEN + 1)
+    out[:, :HIDDEN] = states
+    out[:, HIDDEN] = 1
+    return out
+
+
+def _classes(params: Params, work: Work, given: np.ndarray) -> np.ndarray:
+    """Logits of the classes."""
+    return np.matmul(given, params["classes"], out=work("classes", len(given), params["classes"].shape[1]))
+
+
+def _inside(params: Params, work: Work, given: np.ndarray, parts: list[tuple[int, int, int]]) -> np.ndarray:
+    """Logits of the words of each row's class."""
+    out = work("words", len(given), params["words"].shape[2])
+    for c, a, b in parts:
+        np.matmul(given[a:b], params["words"][c], out=out[a:b])
+    return out
+
+
+def log_probabilities(params: Params, work: Work, states: np.ndarray, classes: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Natural log of the probability of each token's class and, for head words, of the word in its class."""
-    out = _log_softmax(states @ params["classes"] + params["class_bias"])[np.arange(len(classes)), classes].astype(np.float64)
-    for c, rows in _by_class(classes, len(params["words"])):
-        inside = _log_softmax(states[rows] @ params["words"][c] + params["word_bias"][c])
-        out[rows] += inside[np.arange(len(rows)), words[rows]]
+    given = _with_one(work, states)
+    x = _classes(params, work, given)
+    out = x[np.arange(len(x)), classes].astype(np.float64)
+    out -= _log_sum(x)
+    rows, parts = _by_class(classes, len(params["words"]))
+    own = np.take(given, rows, axis=0, out=work("own", len(rows), HIDDEN + 1), mode="clip")
+    y = _inside(params, work, own, parts)
+    out[rows] += y[np.arange(len(rows)), words[rows]] - _log_sum(y)
     return out
 
 
-def gradients(params: Params, lanes: Lanes, top: int, end: int, inputs: np.ndarray, keep: np.ndarray, classes: np.ndarray, words: np.ndarray, state: np.ndarray) -> tuple[Params, float]:
-    """Gradients of the mean negative log-likelihood of a window, going back no further than its start; and the sum."""
+def _surprise(logits: np.ndarray, target: np.ndarray, weights: np.ndarray) -> float:
+    """Turn logits into what the loss changes by with each; returns the negative log-likelihood of the targets."""
+    every = np.arange(len(logits))
+    if np.abs(weights).sum(axis=-2).max() > MOST:  # states lie between -1 and 1, so that bounds the logits
+        np.minimum(logits, MOST, out=logits)
+    loss = -float(logits[every, target].sum())
+    np.exp(logits, out=logits)
+    total = logits @ np.ones(logits.shape[1], logits.dtype)
+    logits *= (1 / total)[:, None]
+    logits[every, target] -= 1
+    return loss + float(np.log(total).sum())
+
+
+def gradients(params: Params, grads: Params, work: Work, lanes: Lanes, top: int, end: int, inputs: np.ndarray, keep: np.ndarray, classes: np.ndarray, words: np.ndarray, state: np.ndarray) -> float:
+    """Add the gradients of a window's negative log-likelihood, going back no further than its start; returns that sum."""
     n = len(inputs)
-    trace = Trace(n, params["turn"].dtype)
-    states = run(params, lanes, top, end, inputs, keep, state, trace)
-    every = np.arange(n)
-    p = _log_softmax(states @ params["classes"] + params["class_bias"])
-    loss = -float(p[every, classes].sum())
-    np.exp(p, out=p)
-    p[every, classes] -= 1
-    p /= n
-    grads = {"classes": states.T @ p, "class_bias": p.sum(axis=0), "words": np.zeros_like(params["words"]), "word_bias": np.zeros_like(params["word_bias"])}
-    back = p @ params["classes"].T
-    for c, rows in _by_class(classes, len(params["words"])):
-        q = _log_softmax(states[rows] @ params["words"][c] + params["word_bias"][c])
-        own = np.arange(len(rows))
-        loss -= float(q[own, words[rows]].sum())
-        np.exp(q, out=q)
-        q[own, words[rows]] -= 1
-        q /= n
-        grads["words"][c] = states[rows].T @ q
-        grads["word_bias"][c] = q.sum(axis=0)
-        back[rows] += q @ params["words"][c].T
-    z, r = trace.gates[:, :HIDDEN], trace.gates[:, HIDDEN:]
-    by_z = (trace.before - trace.new) * z * (1 - z)
-    by_new = (1 - z) * (1 - trace.new * trace.new)
-    by_r = trace.turned * r * (1 - r)
-    d_turned = np.empty((n, 3 * HIDDEN), back.dtype)
-    d_new = np.empty((n, HIDDEN), back.dtype)
-    turned = np.ascontiguousarray(params["turn"].T)
-    first = lanes.at[top]
+    states = run(params, work, lanes, top, end, inputs, keep, state)
+    given = _with_one(work, states)
+    p = _classes(params, work, given)
+    loss = _surprise(p, classes, params["classes"])
+    grads["classes"] += given.T @ p
+    back = np.matmul(p, params["classes"][:HIDDEN].T, out=work("back", n, HIDDEN))
+    rows, parts = _by_class(classes, len(params["words"]))
+    own = np.take(given, rows, axis=0, out=work("own", len(rows), HIDDEN + 1), mode="clip")
+    q = _inside(params, work, own, parts)
+    loss += _surprise(q, words[rows], params["words"])
+    by_own = work("by_own", len(rows), HIDDEN)
+    for c, a, b in parts:
+        grads["words"][c] += own[a:b].T @ q[a:b]
+        np.matmul(q[a:b], params["words"][c, :HIDDEN].T, out=by_own[a:b])
+    back[rows] += by_own
+    before, gates, new, turned = (work(x, n, 0) for x in ("before", "gates", "new", "turned"))
+    z, r = work("z", n, HIDDEN), work("r", n, HIDDEN)
+    z[:], r[:] = gates[:, :HIDDEN], gates[:, HIDDEN:]
+    spare, by_z, by_r, by_new = (work(x, n, HIDDEN) for x in ("spare", "by_z", "by_r", "by_new"))
+    np.subtract(1, z, out=spare)
+    np.subtract(new, before, out=by_z)  # the gates fall as x grows
+    by_z *= z
+    by_z *= spare
+    np.multiply(new, new, out=by_new)
+    np.subtract(1, by_new, out=by_new)
+    by_new *= spare
+    np.subtract(r, 1, out=by_r)
+    by_r *= r
+    by_r *= turned
+    d_gates, d_turned, d_new = work("d_gates", n, 2 * HIDDEN), work("d_turned", n, HIDDEN), work("d_new", n, HIDDEN)
+    turn_gates, turn_new = np.ascontiguousarray(params["turn_gates"].T), np.ascontiguousarray(params["turn_new"].T)
+    cuts = (lanes.at[top : end + 1] - lanes.at[top]).tolist()
+    keep = keep[:, None]
     carry = np.zeros((0, HIDDEN), back.dtype)
-    for t in range(end - 1, top - 1, -1):
-        a, b = lanes.at[t] - first, lanes.at[t + 1] - first
-        dh, dt, dn = back[a:b], d_turned[a:b], d_new[a:b]
+    for a, b in zip(cuts[-2::-1], cuts[:0:-1], strict=True):
+        dh, dg = back[a:b], d_gates[a:b]
         dh[: len(carry)] += carry
-        np.multiply(dh, by_new[a:b], out=dn)
-        np.multiply(dh, by_z[a:b], out=dt[:, :HIDDEN])
-        np.multiply(dn, by_r[a:b], out=dt[:, HIDDEN : 2 * HIDDEN])
-        np.multiply(dn, r[a:b], out=dt[:, 2 * HIDDEN :])
-        carry = dt @ turned
-        carry += dh * z[a:b]
-        carry *= keep[a:b, None]
-    grads["turn"] = trace.before.T @ d_turned
-    grads["inputs"] = np.zeros_like(params["inputs"])
-    order = np.argsort(inputs, kind="stable")
-    heads = np.concatenate([[0], np.flatnonzero(np.diff(inputs[order])) + 1])
-    d_turned[:, 2 * HIDDEN :] = d_new
-    grads["inputs"][inputs[order[heads]]] = np.add.reduceat(d_turned[order], heads, axis=0)
-    return grads, loss
+        dn = np.multiply(dh, by_new[a:b], out=d_new[a:b])
+        np.multiply(dh, by_z[a:b], out=dg[:, :HIDDEN])
+        np.multiply(dn, by_r[a:b], out=dg[:, HIDDEN:])
+        dt = np.multiply(dn, r[a:b], out=d_turned[a:b])
+        carry = dg @ turn_gates
+        carry += dt @ turn_new
+        dh *= z[a:b]
+        carry += dh
+        carry *= keep[a:b]
+    embedded = work("embedded", n, EMBEDDED)
+    for name, by, changed in (("turn_gates", before, d_gates), ("turn_new", before, d_turned), ("given_gates", embedded, d_gates), ("given_new", embedded, d_new)):
+        grads[name] += by.T @ changed
+    by_input = d_gates @ params["given_gates"].T
+    by_input += d_new @ params["given_new"].T
+    places = (inputs.astype(np.int64) * EMBEDDED)[:, None] + np.arange(EMBEDDED)
+    np.add.at(grads["inputs"].reshape(-1), places.ravel(), by_input.ravel())
+    return loss
 
 
 class Adam:
-    """Adaptive steps for one worker's share of the tokens."""
+    """Adaptive steps for one worker's share of the tokens; gradients gather in ``grads`` until there are enough of them."""
 
-    def __init__(self, params: Params, rate: float):
-        self.rate, self.t = rate, 0
-        self.mean = {k: np.zeros_like(v) for k, v in params.items()}
-        self.square = {k: np.zeros_like(v) for k, v in params.items()}
+    def __init__(self, flat: np.ndarray, shapes: dict[str, tuple[int, ...]], rate: float):
+        self.flat, self.rate, self.t, self.tokens = flat, rate, 0, 0
+        self.sum, self.mean, self.square, self.spare = (np.zeros_like(flat) for _ in range(4))
+        self.grads = views(self.sum, shapes)
 
-    def step(self, params: Params, grads: Params) -> None:
+    def step(self) -> None:
+        if not self.tokens:
+            return
         self.t += 1
         rate = self.rate * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
-        for k, g in grads.items():
-            np.clip(g, -1, 1, out=g)
-            self.mean[k] += 0.1 * (g - self.mean[k])
-            self.square[k] += 0.01 * (g * g - self.square[k])
-            params[k] -= (rate * self.mean[k] / (np.sqrt(self.square[k]) + 1e-7)).astype(np.float32)
+        g, spare = self.sum, self.spare
+        g /= self.tokens
+        self.mean *= 0.9
+        self.mean += np.multiply(g, 0.1, out=spare)
+        self.square *= 0.99
+        np.multiply(g, g, out=spare)
+        spare *= 0.01
+        self.square += spare
+        np.sqrt(self.square, out=spare)
+        spare += 1e-7
+        np.divide(self.mean, spare, out=spare)
+        spare *= np.float32(rate)
+        self.flat -= spare
+        g.fill(0)
+        self.tokens = 0
+
+
+def train(params: Params, adam: Adam, lanes: Lanes, inputs: np.ndarray, keep: np.ndarray, classes: np.ndarray, words: np.ndarray) -> float:
+    """One pass over tokens in lane order; states carry over from window to window. Returns the negative log-likelihood."""
+    state = np.zeros((lanes.lanes, HIDDEN), np.float32)
+    work = Work(lanes.lanes * WINDOW)
+    loss = 0.0
+    for top, end in lanes.windows(WINDOW):
+        s = slice(lanes.at[top], lanes.at[end])
+        loss += gradients(params, adam.grads, work, lanes, top, end, inputs[s], keep[s], classes[s], words[s], state)
+        adam.tokens += s.stop - s.start
+        if 2 * adam.tokens >= work.rows:
+            adam.step()
+    adam.step()
+    return loss
+
+
+def score(params: Params, lanes: Lanes, inputs: np.ndarray, keep: np.ndarray, classes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """``log_probabilities`` of all tokens in lane order, the states carried through whole documents."""
+    state = np.zeros((lanes.lanes, HIDDEN), np.float32)
+    work = Work(lanes.lanes * WINDOW)
+    out = np.empty(len(inputs))
+    for top, end in lanes.windows(WINDOW):
+        s = slice(lanes.at[top], lanes.at[end])
+        out[s] = log_probabilities(params, work, run(params, work, lanes, top, end, inputs[s], keep[s], state), classes[s], words[s])
+    return out

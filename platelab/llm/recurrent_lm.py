@@ -3,14 +3,17 @@
 1. Words of the training documents are counted: each task counts its own, buckets of words add up.
 2. The vocabulary for the model: the most frequent words are head words of their own; all other words fall into
    classes by their ending, within which a word has its share of the counts, with one place for words never seen.
-3. Training reads every training document once, in ``ROUNDS`` rounds. In each round every task starts from the
-   broadcast model, trains on its part by truncated backpropagation, and the models are averaged by tokens.
-4. Scoring carries the state through each whole document. Words beyond the ``KNOWN`` most frequent have their counts
-   looked up bucket by bucket, so that what is broadcast stays within a bound.
+3. Every document is turned into codes once: two bytes a token, written to the shared folder. Words beyond the ``KNOWN``
+   most frequent have their counts looked up bucket by bucket, so that what is broadcast stays within a bound.
+4. Training reads the codes of every training document once, in ``ROUNDS`` rounds. In each round every task starts from
+   the broadcast model, trains on its part by truncated backpropagation with states carried from window to window, and
+   the models are averaged by tokens. The average depends on how the table is split into tasks, not on their order.
+5. Scoring carries the state through each whole document.
 
 Defined results: null text counts as empty, so it is scored for its end alone; a null doc_id is taken as the empty
-string for the split; repeated rows are separate documents; without training documents every token has base
-probability 1 and the model is uniform; other columns are ignored.
+string for the split; repeated rows are separate documents; very long texts are whole documents like any other, run side
+by side with other long ones; words of equal counts are ranked by their bytes; without training documents every token
+has base probability 1 and the model is uniform; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,31 +21,33 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import as_bytes, checkpointed, prepare
+from .common import as_bytes, checkpointed, prepare, written
 
 FOLDS = 10
 SMOOTHING = 0.1
-HEADS, WORDS_EACH = 16, 32
+HEADS, WORDS_EACH = 48, 64
 ENDINGS = 48
 #: Words whose counts are broadcast, at most.
 KNOWN = 1 << 18
 #: Sixteenths of the training documents in each round, and the rate of its steps.
 ROUNDS = ((2, 0.012), (6, 0.006), (8, 0.003))
 COUNTED = 200_000
-#: Text that a task holds as tokens at one time; texts of over ``LONG`` bytes are gathered and run side by side.
-CHUNK_BYTES, LONG = 6 << 20, 24 << 10
-#: Training starts anew after so many tokens of a document, so that long documents fill no lane of their own.
-SEGMENT = 512
+#: Text that a task turns into codes at one time.
+CHUNK_BYTES = 4 << 20
+#: Tokens that a task runs side by side, but for a longer document; documents of over ``LONG`` tokens run among themselves.
+CHUNK_TOKENS, LONG = 1 << 20, 4096
 BUCKET_BYTES = 32 << 20
-SCORE_WINDOW = 64
+#: Parameters in a row of a task's model, and tasks whose models are added up at one place.
+PIECE, TOGETHER = 1 << 13, 256
 
 _COUNTS = "bucket long, words binary, n binary"
 
@@ -60,7 +65,7 @@ class _Endings(dict):
 _ENDINGS = _Endings()
 
 
-def _blobs(words: list[bytes], values: np.ndarray, buckets: int) -> Iterator[tuple[int, list[int]]]:
+def _blobs(words: list[bytes], buckets: int) -> Iterator[tuple[int, list[int]]]:
     """Indexes of words by bucket."""
     by: dict[int, list[int]] = {}
     for i, w in enumerate(words):
@@ -79,7 +84,7 @@ def _count(buckets: int):
         def flush() -> Iterator[pa.RecordBatch]:
             words = list(found)
             n = np.array(list(found.values()), "<i8")
-            for bucket, at in _blobs(words, n, buckets):
+            for bucket, at in _blobs(words, buckets):
                 yield _batch(["bucket", "words", "n"], bucket, b" ".join([words[i] for i in at]), n[at].tobytes())
             found.clear()
 
@@ -121,8 +126,11 @@ def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+SHAPES = gru.sizes(HEADS * WORDS_EACH + ENDINGS, HEADS + ENDINGS, HEADS, WORDS_EACH)
+
+
 class Vocabulary:
-    """What is broadcast: known words with their counts, and for each the model's input, class and place."""
+    """What is broadcast: known words with their counts, and for each its code: a head word's place, or its ending's."""
 
     def __init__(self, words: list[bytes], n: np.ndarray, ends: int, total: int, different: int, ending_words: np.ndarray, ending_counts: np.ndarray):
         order = np.lexsort((np.arange(len(words)), -n))  # words come sorted
@@ -140,11 +148,9 @@ class Vocabulary:
         self.rare = np.log10(mass + SMOOTHING)
         self.size = size
         place = np.arange(1, heads + 1)  # place 0 is the end
-        self.cls = np.concatenate([place // WORDS_EACH, HEADS + own[heads:]]).astype(np.int32)
-        self.sub = np.concatenate([place % WORDS_EACH, np.zeros(len(n) - heads, np.int64)])
-        self.inp = np.concatenate([place, HEADS * WORDS_EACH + own[heads:]]).astype(np.int32)
+        self.code = np.concatenate([place, HEADS * WORDS_EACH + own[heads:]]).astype(np.int16)
         self.inside = np.concatenate([np.zeros(heads), np.log10(n[heads:] + SMOOTHING) - self.rare[own[heads:]]])
-        head_mass = np.full(HEADS * WORDS_EACH, 1e-3)
+        head_mass = np.full(HEADS * WORDS_EACH, 1e-25)  # places without a word
         head_mass[0] = ends + SMOOTHING
         head_mass[1 : heads + 1] = n[:heads] + SMOOTHING
         head_mass = head_mass.reshape(HEADS, WORDS_EACH)
@@ -152,8 +158,8 @@ class Vocabulary:
         self.class_share = shares / shares.sum()
         self.word_share = head_mass / head_mass.sum(axis=1, keepdims=True)
 
-    def params(self) -> gru.Params:
-        return gru.new_params(HEADS * WORDS_EACH + ENDINGS, self.class_share, self.word_share)
+    def params(self) -> np.ndarray:
+        return gru.new_params(SHAPES, self.class_share, self.word_share)
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "_index"}
@@ -165,124 +171,155 @@ class Vocabulary:
         return self._index
 
 
-class Tokens:
-    """The tokens of a batch of texts end to end, each document closed by its end."""
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[list]]]:
+    """Texts (the last column) and the other columns of their rows, in chunks of bounded size."""
+    for batch in batches:
+        texts = batch.column(batch.num_columns - 1)
+        others = [batch.column(k) for k in range(batch.num_columns - 1)]
+        held: list[bytes] = []
+        top = full = 0
+        for i, x in enumerate(texts):
+            text = as_bytes(x.as_py())
+            if held and full + len(text) > CHUNK_BYTES:
+                yield held, [c.slice(top, i - top) for c in others]
+                held, top, full = [], i, 0
+            held.append(text)
+            full += len(text)
+        if held:
+            yield held, [c.slice(top, len(held)) for c in others]
+
+
+_ENCODED = "bucket long, uid long, doc_id long, held_out boolean, share int, n_tokens long, n_known long, base double, inside double, codes binary, words binary, docs binary, n binary"
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}
+_FIELDS = {x.split()[0]: _KINDS[x.split()[1]] for x in _ENCODED.split(", ")}
+
+
+def _rows(rows: int, **values) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.nulls(rows, t) if f not in values else values[f] if isinstance(values[f], pa.Array) else pa.array(values[f], t) for f, t in _FIELDS.items()], list(_FIELDS))
 
-    def __init__(self, texts: list[bytes], vocabulary: Vocabulary, segment: int | None = None):
+
+def _encode(sent: Broadcast, buckets: int):
+    """Rows of documents (bucket null): codes, and what known words add to the scores whatever the network says.
+
+    And rows of words whose counts are still to be looked up, by bucket.
+    """
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = sent.value
         get = vocabulary.index.get
-        words: list[bytes] = []
-        sizes = []
-        for t in texts:
-            before = len(words)
-            words += t.lower().split()
-            sizes.append(len(words) - before + 1)
-        self.lengths = np.array(sizes, np.int64)
-        n = int(self.lengths.sum())
-        last = np.cumsum(self.lengths) - 1
-        is_end = np.zeros(n, bool)
-        is_end[last] = True
-        at = np.full(n, -1, np.int32)
-        at[~is_end] = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
-        self.at, self.is_end = at, is_end
-        known = at >= 0
-        self.classes, self.places, ids = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32)
-        self.classes[known], self.places[known], ids[known] = vocabulary.cls[at[known]], vocabulary.sub[at[known]], vocabulary.inp[at[known]]
-        self.far = np.flatnonzero(~known & ~is_end)  # tokens that are not among the known words
-        doc = np.repeat(np.arange(len(texts), dtype=np.int32), self.lengths)
-        self.doc = doc
-        self.far_words = [words[i] for i in (self.far - doc[self.far]).tolist()]
-        ends = np.array([_ENDINGS[w[-2:]] for w in self.far_words], np.int64)
-        self.classes[self.far] = HEADS + ends
-        ids[self.far] = HEADS * WORDS_EACH + ends
-        first = np.concatenate([[0], last[:-1] + 1])
-        self.inputs = np.roll(ids, 1)
-        self.inputs[first] = 0
-        self.keep = np.ones(n, np.float32)
-        if segment:
-            parts = -(-self.lengths // segment)
-            place = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-            self.lengths = np.minimum(segment, np.repeat(self.lengths, parts) - segment * place)
-            first = np.cumsum(self.lengths) - self.lengths
-        self.keep[first] = 0
-
-
-def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list[bytes], list[tuple]]]:
-    """Texts and the other columns of their rows, in chunks of bounded size; long texts come in chunks of their own."""
-    held: list[tuple[list[bytes], list[tuple]]] = [([], []), ([], [])]
+        for texts, (uid, doc_id, held_out, share) in _chunks(batches):
+            words: list[bytes] = []
+            sizes = []
+            for t in texts:
+                before = len(words)
+                words += t.lower().split()
+                sizes.append(len(words) - before)
+            at = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
+            sizes = np.array(sizes, np.int64)
+            doc = np.repeat(np.arange(len(texts)), sizes)
+            far = np.flatnonzero(at < 0)
+            known = at >= 0
+            codes = np.zeros(len(words) + len(texts), np.int16)  # an end's code is 0
+            own = np.empty(len(words), np.int16)
+            own[known] = vocabulary.code[at[known]]
+            far_words = [words[i] for i in far.tolist()]
+            own[far] = np.array([HEADS * WORDS_EACH + _ENDINGS[w[-2:]] for w in far_words], np.int16)
+            codes[np.arange(len(words)) + doc] = own
+            ends = np.cumsum(sizes + 1).tolist()
+            raw = codes.astype("<i2").tobytes()
+            per = lambda x: np.bincount(doc[known], x[at[known]], len(texts))
+            n_known = np.bincount(doc[known], minlength=len(texts)) + int(vocabulary.ends_known)
+            yield _rows(
+                len(texts), uid=uid, doc_id=doc_id, held_out=held_out, share=share, n_tokens=sizes + 1, n_known=n_known, base=per(vocabulary.base) + vocabulary.end_base, inside=per(vocabulary.inside),
+                codes=[raw[2 * a : 2 * b] for a, b in zip([0, *ends[:-1]], ends, strict=True)],
+            )
+            ids = uid.to_numpy(zero_copy_only=False)
+            pairs = Counter(zip(far_words, ids[doc[far]].tolist(), strict=True))
+            words = [w for w, _ in pairs]
+            docs = np.array([d for _, d in pairs], "<i8")
+            n = np.array(list(pairs.values()), "<i8")
+            if words:
+                to, places = zip(*_blobs(words, buckets), strict=True)
+                yield _rows(len(to), bucket=to, words=[b" ".join([words[i] for i in k]) for k in places], docs=[docs[k].tobytes() for k in places], n=[n[k].tobytes() for k in places])
+
+    return encode
+
+
+class Tokens:
+    """Documents' codes in lane order: the token before each, whether the state is kept, class and place of each."""
+
+    def __init__(self, docs: list[np.ndarray]):
+        lengths = np.array([len(d) for d in docs], np.int64)
+        codes = np.concatenate(docs)
+        self.lanes = gru.Lanes(lengths)
+        self.doc = np.repeat(np.arange(len(docs), dtype=np.int32), lengths)[self.lanes.order]
+        first = np.cumsum(lengths) - lengths
+        inputs = np.roll(codes, 1)
+        inputs[first] = 0
+        keep = np.ones(len(codes), np.float32)
+        keep[first] = 0
+        codes = codes[self.lanes.order]
+        head = codes < HEADS * WORDS_EACH
+        self.of = inputs[self.lanes.order], keep[self.lanes.order], np.where(head, codes // WORDS_EACH, codes - HEADS * (WORDS_EACH - 1)), np.where(head, codes % WORDS_EACH, 0)
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[np.ndarray, pa.RecordBatch]]]:
+    """Documents (codes in the first column) to run side by side, each with its row."""
+    held: tuple[list, list] = ([], [])
     full = [0, 0]
     for batch in batches:
-        others = [batch.column(k).to_pylist() for k in range(batch.num_columns) if k != column]
-        for i, x in enumerate(batch.column(column)):
-            text = as_bytes(x.as_py())
-            kind = len(text) > LONG
-            if full[kind] and full[kind] + len(text) > CHUNK_BYTES:
+        others = batch.select(list(range(1, batch.num_columns)))
+        for i, x in enumerate(batch.column(0)):
+            codes = np.frombuffer(x.as_py(), "<i2")
+            kind = len(codes) > LONG
+            if full[kind] and full[kind] + len(codes) > CHUNK_TOKENS:
                 yield held[kind]
-                held[kind], full[kind] = ([], []), 0
-            held[kind][0].append(text)
-            held[kind][1].append(tuple(c[i] for c in others))
-            full[kind] += len(text)
-    yield from (h for h in held if h[0])
+                held[kind].clear()
+                full[kind] = 0
+            held[kind].append((codes, others.slice(i, 1)))
+            full[kind] += len(codes)
+    yield from (h for h in held if h)
 
 
 def _train(sent: Broadcast, rate: float):
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, values = sent.value
-        params = gru.shaped(values, vocabulary.params())
-        adam = gru.Adam(params, rate)
-        seen = 0
-        for texts, _ in _chunks(batches, 0):
-            tokens = Tokens(texts, vocabulary, SEGMENT)
-            lanes = gru.Lanes(tokens.lengths)
-            inputs, keep, classes, places = (x[lanes.order] for x in (tokens.inputs, tokens.keep, tokens.classes, tokens.places))
-            state = np.zeros((lanes.lanes, gru.HIDDEN), np.float32)
-            for top, end in lanes.windows(gru.WINDOW):
-                s = slice(lanes.at[top], lanes.at[end])
-                grads, _ = gru.gradients(params, lanes, top, end, inputs[s], keep[s], classes[s], places[s], state)
-                adam.step(params, grads)
-            seen += len(inputs)
+        flat = sent.value.copy()
+        params, adam, seen = gru.views(flat, SHAPES), gru.Adam(flat, SHAPES, rate), 0
+        for held in _together(batches):
+            tokens = Tokens([codes for codes, _ in held])
+            gru.train(params, adam, tokens.lanes, *tokens.of)
+            seen += len(tokens.doc)
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([gru.flat(params)], pa.list_(pa.float32()))], ["tokens", "params"])
+            task = TaskContext.get().partitionId()
+            pieces = range(-(-len(flat) // PIECE))
+            n = len(pieces)
+            values = [(flat[k * PIECE : (k + 1) * PIECE].astype("<f8") * seen).tobytes() for k in pieces]
+            yield pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.int64()), pa.array([task] * n, pa.int64()), pa.array([float(seen)] * n), pa.array(values, pa.binary())], ["piece", "task", "tokens", "values"])
 
     return train
 
 
-_SCORED = "bucket long, uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, words binary, docs binary, n binary"
+_MODEL = "piece long, task long, tokens double, values binary"
 
 
-def _score(sent: Broadcast, buckets: int):
-    """Rows of documents (bucket null), and rows of words whose counts are still to be looked up."""
+def _summed(table: pa.Table) -> pa.Table:
+    """Pieces of models, added up in the order of their tasks."""
+    rows = sorted(zip(table.column("task").to_pylist(), table.column("tokens").to_pylist(), table.column("values").to_pylist(), strict=True))
+    total = np.zeros(len(rows[0][2]) // 8)
+    for _, _, values in rows:
+        total += np.frombuffer(values, "<f8")
+    return pa.table([table.column("piece").slice(0, 1).combine_chunks(), pa.array([rows[0][0]], pa.int64()), pa.array([sum(r[1] for r in rows)]), pa.array([total.tobytes()], pa.binary())], names=["piece", "task", "tokens", "values"])
 
+
+def _score(sent: Broadcast):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, values = sent.value
-        params = gru.shaped(values, vocabulary.params())
-        names = [x.split()[0] for x in _SCORED.split(", ")]
-        kinds = [{"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}[x.split()[1]] for x in _SCORED.split(", ")]
-        for texts, own in _chunks(batches, 3):
-            tokens = Tokens(texts, vocabulary)
-            lanes = gru.Lanes(tokens.lengths)
-            inputs, keep, classes, places = (x[lanes.order] for x in (tokens.inputs, tokens.keep, tokens.classes, tokens.places))
-            state = np.zeros((lanes.lanes, gru.HIDDEN), np.float32)
-            found = np.empty(len(inputs))
-            for top, end in lanes.windows(SCORE_WINDOW):
-                s = slice(lanes.at[top], lanes.at[end])
-                found[s] = gru.log_probabilities(params, gru.run(params, lanes, top, end, inputs[s], keep[s], state), classes[s], places[s])
-            log = np.empty(len(found))
-            log[lanes.order] = found / np.log(10)
-            known = tokens.at >= 0
-            base = np.where(tokens.is_end, vocabulary.end_base, 0.0)
-            base[known] = vocabulary.base[tokens.at[known]]
-            log[known] += vocabulary.inside[tokens.at[known]]
-            m = len(texts)
-            uid, doc_id, held_out = zip(*own, strict=True)
-            per = lambda x: np.bincount(tokens.doc, x, m)
-            rows = [None] * m, uid, doc_id, held_out, tokens.lengths, per(known | (tokens.is_end & vocabulary.ends_known)).astype(np.int64), per(base), per(log), [None] * m, [None] * m, [None] * m
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], names)
-            pairs = Counter(zip(tokens.far_words, np.array(uid, np.int64)[tokens.doc[tokens.far]].tolist(), strict=True))
-            words = [w for w, _ in pairs]
-            docs = np.array([d for _, d in pairs], "<i8")
-            n = np.array(list(pairs.values()), "<i8")
-            for bucket, at in _blobs(words, n, buckets):
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([bucket, *[None] * 7, b" ".join([words[i] for i in at]), docs[at].tobytes(), n[at].tobytes()], kinds, strict=True)], names)
+        params = gru.views(sent.value, SHAPES)
+        for held in _together(batches):
+            tokens = Tokens([codes for codes, _ in held])
+            found = np.bincount(tokens.doc, gru.score(params, tokens.lanes, *tokens.of), len(held)) / np.log(10)
+            rows = pa.Table.from_batches([row for _, row in held]).combine_chunks().to_batches()[0]
+            inside = rows.column(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([*rows.columns[1:], pa.array(found + inside)], [*rows.schema.names[1:], "score"])
 
     return score
 
@@ -291,7 +328,7 @@ def _look_up(sent: Broadcast):
     """A bucket's counts and the documents' words in it, to what those words add to each document."""
 
     def look_up(counts: pa.Table, asked: pa.Table) -> pa.Table:
-        vocabulary, _ = sent.value
+        vocabulary = sent.value
         known: dict[bytes, int] = {}
         for words, n in zip(counts.column("words").to_pylist(), counts.column("n").to_pylist(), strict=True):
             known.update(zip(words.split(), np.frombuffer(n, "<i8").tolist(), strict=True))
@@ -345,32 +382,49 @@ def vocabulary_of(training: DataFrame, buckets: int, ends: int) -> tuple[DataFra
     return counts, Vocabulary([words[i] for i in order], n[order], ends, total, int(ending_words.sum()) + (ends > 0), ending_words, ending_counts)
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
+def encoded(docs: DataFrame) -> tuple[DataFrame, DataFrame, Vocabulary]:
+    """The codes of all documents, the counts of all training words, and the vocabulary."""
     spark = docs.sparkSession
     prepare(spark)
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold == 0).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(sum(n for n, _ in ROUNDS))).cast("int")
+    whole = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), (fold == 0).alias("held_out"), share.alias("share"), F.coalesce("text", F.lit("")).alias("text"))
     training = whole.where(~F.col("held_out"))
     size = whole.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count_if(~F.col("held_out")).alias("ends")).first()
     buckets = max(32, -(-(size["bytes"] or 0) // BUCKET_BYTES))
     counts, vocabulary = vocabulary_of(training, buckets, size["ends"])
-    values = gru.flat(vocabulary.params())
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(sum(n for n, _ in ROUNDS)))
-    done = 0
+    return written(whole.mapInArrow(_encode(spark.sparkContext.broadcast(vocabulary), buckets), _ENCODED)), counts, vocabulary
+
+
+def trained(codes: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
+    """The parameters after all rounds."""
+    values, done = vocabulary.params(), 0
     for part, rate in ROUNDS:
-        sent = spark.sparkContext.broadcast((vocabulary, values))
-        models = training.where((share >= done) & (share < done + part)).select("text").mapInArrow(_train(sent, rate), "tokens double, params array<float>")
-        each = models.select("tokens", F.posexplode("params").alias("at", "v")).groupBy("at").agg((F.sum(F.col("tokens") * F.col("v")) / F.sum("tokens")).alias("v")).collect()
-        for r in each:
-            values[r["at"]] = r["v"]
+        sent = codes.sparkSession.sparkContext.broadcast(values)
+        mine = codes.where(F.col("bucket").isNull() & ~F.col("held_out") & (F.col("share") >= done) & (F.col("share") < done + part)).select("codes")
+        models = mine.mapInArrow(_train(sent, rate), _MODEL).groupBy("piece", F.floor(F.col("task") / TOGETHER).alias("t")).applyInArrow(_summed, _MODEL)
+        values = values.copy()
+        for r in models.groupBy("piece").applyInArrow(_summed, _MODEL).collect():  # the model, in pieces
+            values[r["piece"] * PIECE : (r["piece"] + 1) * PIECE] = np.frombuffer(bytes(r["values"]), "<f8") / r["tokens"]
         done += part
-    sent = spark.sparkContext.broadcast((vocabulary, values))
-    scored = checkpointed(whole.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", "text").mapInArrow(_score(sent, buckets), _SCORED))
-    asked = scored.where("bucket is not null").select("bucket", "words", "docs", "n")
-    more = counts.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_look_up(sent), "uid long, more_known long, more_base double, more_score double")
+    return values
+
+
+def scored(codes: DataFrame, counts: DataFrame, vocabulary: Vocabulary, values: np.ndarray) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
+    sc = codes.sparkSession.sparkContext
+    asked = codes.where("bucket is not null").select("bucket", "words", "docs", "n")
+    more = counts.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_look_up(sc.broadcast(vocabulary)), "uid long, more_known long, more_base double, more_score double")
     more = more.groupBy("uid").agg(F.sum("more_known").alias("more_known"), F.sum("more_base").alias("more_base"), F.sum("more_score").alias("more_score"))
+    per_doc = codes.where("bucket is null").select("codes", "inside", "uid", "doc_id", "held_out", "n_tokens", "n_known", "base")
+    near = per_doc.mapInArrow(_score(sc.broadcast(values)), "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
     plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
-    return scored.where("bucket is null").join(more, "uid", "left").select(
+    return near.join(more, "uid", "left").select(
         "doc_id", "held_out", "n_tokens", plus("n_known", "more_known").alias("n_known"), F.lit(vocabulary.total).cast("long").alias("train_tokens"), plus("base", "more_base").alias("base_score"), plus("score", "more_score").alias("score")
     )
+
+
+def score(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
+    codes, counts, vocabulary = encoded(docs)
+    return scored(codes, counts, vocabulary, trained(codes, vocabulary))

@@ -48,25 +48,28 @@ def test_token_counts(docs, rows, no_docs):
 
 def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(0)
-    params = {k: v.astype(np.float64) * 3 for k, v in gru.new_params(10, np.ones(6) / 6, np.ones((2, 4)) / 4).items()}
+    shapes = gru.sizes(10, 6, 2, 4)
+    flat = gru.new_params(shapes, np.ones(6) / 6, np.ones((2, 4)) / 4).astype(np.float64) * 2
     lengths = np.array([5, 3, 7, 2])
     lanes, n = gru.Lanes(lengths, 2), lengths.sum()
     keep = np.ones(n)
     keep[np.cumsum(lengths) - lengths] = 0
     inputs, classes, words, keep = (x[lanes.order] for x in (rng.integers(0, 10, n), rng.integers(0, 6, n), rng.integers(0, 4, n), keep))
+    work = gru.Work(n, np.float64)
+    blank = lambda: np.zeros((lanes.lanes, gru.HIDDEN))
 
-    def loss(p):
-        return -gru.log_probabilities(p, gru.run(p, lanes, 0, lanes.steps, inputs, keep, np.zeros((lanes.lanes, gru.HIDDEN))), classes, words).sum() / n
+    def loss(values):
+        p = gru.views(values, shapes)
+        return -gru.log_probabilities(p, work, gru.run(p, work, lanes, 0, lanes.steps, inputs, keep, blank()), classes, words).sum()
 
-    grads, _ = gru.gradients(params, lanes, 0, lanes.steps, inputs, keep, classes, words, np.zeros((lanes.lanes, gru.HIDDEN)))
-    for k in params:
-        at = tuple(np.unravel_index(np.abs(grads[k]).argmax(), grads[k].shape))
-        ends = []
-        for step in (0.01, -0.01):
-            moved = {a: b.copy() for a, b in params.items()}
-            moved[k][at] += step
-            ends.append(loss(moved))
-        assert grads[k][at] == pytest.approx((ends[0] - ends[1]) / 0.02, rel=0.02)
+    total = np.zeros_like(flat)
+    assert gru.gradients(gru.views(flat, shapes), gru.views(total, shapes), work, lanes, 0, lanes.steps, inputs, keep, classes, words, blank()) == pytest.approx(loss(flat))
+    for part in gru.views(np.arange(len(flat)), shapes).values():
+        at = part.ravel()[np.abs(total[part.ravel()]).argmax()]
+        moved = [flat.copy(), flat.copy()]
+        moved[0][at] += 1e-4
+        moved[1][at] -= 1e-4
+        assert total[at] == pytest.approx((loss(moved[0]) - loss(moved[1])) / 2e-4, rel=1e-3)
 
 
 def test_lanes_hold_every_token_once_and_in_order():
@@ -118,9 +121,70 @@ def test_recurrent_lm_learns_what_comes_next(spark):
     assert held["s"] > 0.75 * held["b"], held
 
 
+def plain_steps(params, codes):
+    """Probabilities of all classes, and of the words of a head class, before each token, one token at a time."""
+    sigmoid = lambda x: 1 / (1 + np.exp(x))  # noqa: E731  gates fall as x grows
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    p = {k: v.astype(float) for k, v in params.items()}
+    h, before = np.zeros(gru.HIDDEN), 0
+    for code in codes:
+        x = p["inputs"][before]
+        z, r = np.split(sigmoid(x @ p["given_gates"] + h @ p["turn_gates"]), 2)
+        new = np.tanh(x @ p["given_new"] + r * (h @ p["turn_new"]))
+        h = z * h + (1 - z) * new
+        one = np.append(h, 1)
+        yield softmax(one @ p["classes"]), lambda c, one=one: softmax(one @ p["words"][c])
+        before = code
+
+
+@pytest.mark.parametrize("known", [recurrent_lm.KNOWN, 50])
+def test_recurrent_lm_scores_like_a_plain_loop(docs, known, monkeypatch):
+    monkeypatch.setattr(recurrent_lm, "KNOWN", known)
+    codes, counts, vocabulary = recurrent_lm.encoded(docs)
+    values = recurrent_lm.trained(codes, vocabulary)
+    params = gru.views(values, recurrent_lm.SHAPES)
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], r["score"]) for r in recurrent_lm.scored(codes, counts, vocabulary, values).collect())
+    found = Counter()
+    for r in counts.collect():
+        found.update(dict(zip(bytes(r["words"]).split(), np.frombuffer(bytes(r["n"]), "<i8").tolist(), strict=True)))
+    width, head = recurrent_lm.WORDS_EACH, recurrent_lm.HEADS * recurrent_lm.WORDS_EACH
+    assert len(found) > head  # so that there are rare words
+    heads = {w: k + 1 for k, w in enumerate(vocabulary.words[: head - 1])}
+    mass = np.full(recurrent_lm.ENDINGS, 0.1)  # of each ending's words that are no head words, and of one place for new ones
+    for w, n in found.items():
+        if w not in heads:
+            mass[recurrent_lm.ending(w)] += n + 0.1
+    want = []
+    for r in docs.collect():
+        words = (r["text"] or "").encode().lower().split()
+        code = [heads.get(w, head + recurrent_lm.ending(w)) for w in words] + [0]
+        score = 0.0
+        for w, c, (classes, inside) in zip([*words, None], code, plain_steps(params, code), strict=True):
+            score += math.log10(classes[c // width] * inside(c // width)[c % width] if c < head else classes[recurrent_lm.HEADS + c - head] * (found[w] + 0.1) / mass[c - head])
+        want.append((-1 if r["doc_id"] is None else r["doc_id"], len(code), score))
+    assert len(got) == len(want)
+    for a, b in zip(got, sorted(want), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-4, abs=1e-3)
+
+
 def test_recurrent_lm_probabilities_sum_to_one():
-    v = recurrent_lm.Vocabulary([b"a", b"b", b"c"], np.array([5, 3, 1]), 4, 13, 4, np.zeros(recurrent_lm.ENDINGS), np.zeros(recurrent_lm.ENDINGS))
-    assert v.class_share.sum() == pytest.approx(1) and v.word_share.sum(axis=1) == pytest.approx(np.ones(16))
+    """Over all words, one place for new words in each ending's class, and the end."""
+    rng = random.Random(2)
+    words = sorted({bytes(rng.choice(b"abcdefghijkl") for _ in range(rng.randint(1, 6))) for _ in range(9000)})
+    n = np.array([rng.randint(1, 50) for _ in words])
+    own = [recurrent_lm.ending(w) for w in words]
+    v = recurrent_lm.Vocabulary(words, n, 40, int(n.sum()) + 40, len(words) + 1, np.bincount(own, minlength=recurrent_lm.ENDINGS), np.bincount(own, n, recurrent_lm.ENDINGS))
+    assert len(words) > recurrent_lm.HEADS * recurrent_lm.WORDS_EACH
+    flat = v.params() + np.random.default_rng(3).normal(0, 0.3, len(v.params())).astype(np.float32)
+    codes = np.concatenate([v.code[:50], v.code[-50:], [0]])
+    for classes, inside in plain_steps(gru.views(flat, recurrent_lm.SHAPES), codes):
+        head = recurrent_lm.HEADS * recurrent_lm.WORDS_EACH
+        place = np.concatenate([[0], v.code])  # the end, and all words
+        words_of = [inside(c) for c in range(recurrent_lm.HEADS)]
+        p = np.array([classes[c // recurrent_lm.WORDS_EACH] * words_of[c // recurrent_lm.WORDS_EACH][c % recurrent_lm.WORDS_EACH] if c < head else classes[recurrent_lm.HEADS + c - head] for c in place])
+        p[1:] *= 10.0**v.inside
+        new = (classes[recurrent_lm.HEADS :] * 0.1 / 10.0**v.rare).sum()
+        assert p.sum() + new == pytest.approx(1, abs=1e-6)
 
 
 def test_lm_empty(no_docs):
@@ -177,4 +241,4 @@ def test_search_small_and_empty(spark):
 
 
 def test_the_model_is_not_shrunk_for_the_check():
-    assert gru.HIDDEN >= 16 and recurrent_lm.ENDINGS >= 48
+    assert gru.HIDDEN >= 16 and recurrent_lm.ENDINGS >= 48 and recurrent_lm.HEADS * recurrent_lm.WORDS_EACH >= 3072
