@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A batch handed to Python ends here even if it holds few rows, so that very long texts do not pile up.
@@ -36,13 +36,28 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares: the session's ``spark.checkpoint.dir``, or one of our own if none is set."""
+    """The folder that the cluster shares: the session's ``spark.checkpoint.dir``.
+
+    Where none is set, a session on one machine gets a folder of its own; on a cluster that is an error.
+    """
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 
 
+def clean(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder, when its results are no longer needed."""
+    sc = spark.sparkContext
+    if folder := sc.getCheckpointDir():
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).mkdirs(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and cut its lineage."""
     shared_folder(df.sparkSession)
@@ -56,6 +71,11 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def nested(docs: DataFrame, *more: Column) -> DataFrame:
+    """Each whole row as the struct ``row``, next to columns of the operator's own, which then can't clash with it."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *more)
+
+
 def as_bytes(text: str | None) -> bytes:
     """UTF-8 of a text; null counts as empty, lone surrogates as question marks."""
     return b"" if text is None else text.encode("utf-8", "replace")

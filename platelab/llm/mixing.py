@@ -7,7 +7,8 @@ so on until it holds one hash value, which is taken if that comes nearer to the
 
 Everything is DataFrame and SQL functions. Defined results: null text has size 0; null source is a source, the last
 one; rows that share a doc_id share a hash and are taken together, and so are rows without doc_id; sources without
-words have target 0; an empty table gives an empty result; other columns are ignored by ``mix`` and kept by ``mixed``.
+words have target 0; a very long text is taken whole or not at all, so a source may miss its target by half of one;
+an empty table gives an empty result; other columns are ignored by ``mix`` and kept by ``mixed``, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, counted_side
+from .common import checkpointed, counted_side, nested
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
@@ -104,9 +105,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as the mix takes it."""
     t = counted_side(thresholds(_sized(docs), weights, most)).alias("t")
-    d = docs.withColumn("h", doc_hash(F.col("doc_id"))).alias("d")
+    d = nested(docs, F.col("source"), doc_hash(F.col("doc_id")).alias("h")).alias("d")
     taken = d.join(t, F.col("d.source").eqNullSafe(F.col("t.source"))).where(_times() > 0)
-    return taken.select(*[F.col(f"d.{c}") for c in docs.columns], F.explode(F.sequence(F.lit(1), _times())).alias("__copy")).drop("__copy")
+    return taken.select("d.row", F.explode(F.sequence(F.lit(1), _times())).alias("time")).select("row.*")
 
 
 ORACLE_SQL = rf"""

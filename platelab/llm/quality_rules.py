@@ -2,13 +2,20 @@
 
 Every document is measured once. A mergeable quantile sketch (a histogram whose buckets have a bounded relative
 width, so sketches merge by adding counts) holds each measure's distribution per (lang, source), per lang and over
-all. A group's fence lies ``REACH`` spreads beyond its median, where the spread is the median less the lower tenth:
-both stay put while less than half of a group is junk. Groups under ``MIN_GROUP`` documents use the merged sketch of
-their language, and languages under it that of all. The filter joins documents with their group's fences.
+all. A group's distribution is shrunk towards its parent's: to its own documents come ``PRIOR`` documents of its
+language, whose distribution has got ``PRIOR`` documents of all, so small groups lean on their language and large ones
+stand for themselves. A fence lies ``REACH`` times the distance from median to quartile beyond the quartile, on the side
+in question; it stays put while less than a quarter of a group is junk. The filter joins documents with their group's
+fences. No threshold is fixed and no label is looked at.
+
+Counts of finds (symbols, repeated lines, repeated words) are taken as rates. What one find alone makes of a rate says
+more about a text's length than about its quality. So each text enters the sketch with one find more than it has and is
+judged with one less.
 
 Defined results: null text counts as empty; null lang or source is a group of its own; rows that repeat are measured
-and judged alike; an empty table gives an empty result; further columns of the input are ignored by ``judge`` and kept
-by ``keep``.
+and judged alike, and so are equal texts of one group; very long texts are measured whole, in one task each; a group
+whose documents are all alike has fences one bucket away; an empty table gives an empty result; further columns of the
+input, whatever their names, are ignored by ``judge`` and kept by ``keep``.
 """
 
 from __future__ import annotations
@@ -20,17 +27,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, counted_side, prepare
+from .common import checkpointed, counted_side, nested, prepare
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
-MIN_GROUP = 100
-REACH = 6
-#: Measures in thousandths, with the smallest spread that counts: below it, differences are noise.
-SPREADS = {"symbol_rate": 5, "dup_line_rate": 70, "repeat_rate": 70, "word_length": 400}
+#: Documents of the parent group that come to each group.
+PRIOR = 100
+REACH = 10
+SHARE = 1_000_000
+#: Each measure's count, what the count is per, and how much one find adds to it (two windows of three words repeat).
+MEASURES = {"symbol_rate": ("n_symbols", "word_chars", 1), "dup_line_rate": ("n_dup_lines", "n_words", 1), "repeat_rate": ("n_repeat_words", "n_words", 6), "word_length": ("word_chars", "n_words", 0)}
 #: Measures of which too little is a fault as well.
 TWO_SIDED = ("word_length",)
-SUB_BITS = 6
+SUB_BITS = 7
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 _MEASURED = T.StructType([T.StructField(c, T.LongType(), False) for c in _COUNTS])
@@ -77,76 +86,82 @@ def measured(text: Column) -> Column:
     return of(text)
 
 
-def _rates(m: Column) -> dict[str, Column]:
-    """Integer rates in thousandths, so that every engine finds the same ones."""
-    per = lambda a, b: F.when(b > 0, F.floor(1000 * a / b).cast("long")).otherwise(F.lit(0).cast("long"))
-    return {
-        "symbol_rate": per(m["n_symbols"], m["word_chars"]),
-        "dup_line_rate": per(m["n_dup_lines"], m["n_lines"]),
-        "repeat_rate": per(m["n_repeat_words"], m["n_words"]),
-        "word_length": per(m["word_chars"], m["n_words"]),
-    }
-
-
 def base_failed(m: Column) -> Column:
     return (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > REPEAT_PERCENT * m["n_words"])
 
 
 def bucket(value: Column) -> Column:
-    """Lower edge of a value's bucket: its highest ``SUB_BITS`` bits, so that widths stay under 1/32 of the value."""
+    """Lower edge of a value's bucket: its highest ``SUB_BITS`` bits, so that widths stay under 1/64 of the value."""
     shift = F.greatest(F.length(F.bin(value)) - SUB_BITS, F.lit(0))
     return F.call_function("shiftleft", F.call_function("shiftright", value, shift), shift)
 
 
-def sketches(measures: DataFrame, groups: list[str]) -> DataFrame:
-    """Bucket counts by group and measure; adding two of them merges them."""
-    names = list(SPREADS)
-    long = measures.select(*groups, F.explode(F.array(*[F.struct(F.lit(n).alias("measure"), F.col(n).alias("v")) for n in names])).alias("x"))
-    return long.select(*groups, F.col("x.measure").alias("measure"), bucket(F.col("x.v")).alias("edge")).groupBy(*groups, "measure", "edge").agg(F.count("*").alias("n"))
+def _rate(m: Column, name: str, finds: int) -> Column:
+    """A measure in millionths with so many finds more than there are; integers, so that every engine finds the same."""
+    count, per, one = MEASURES[name]
+    return F.call_function("div", SHARE * F.greatest(m[count] + finds * one, F.lit(0)), m[per])
+
 
+def sketches(measures: DataFrame) -> DataFrame:
+    """Bucket counts by (lang, source) and measure; adding two of them merges them."""
+    m = F.struct(*_COUNTS)
+    long = measures.select("lang", "source", F.explode(F.array(*[F.struct(F.lit(n).alias("measure"), bucket(_rate(m, n, 1)).alias("edge")) for n in MEASURES])).alias("x"))
+    return long.groupBy("lang", "source", "x.measure", "x.edge").agg(F.count("*").alias("n"))
 
-def _quantiles(sketch: DataFrame, groups: list[str]) -> DataFrame:
-    """Per group and measure: documents, lower tenth, median. A group's buckets are few whatever its size."""
-    w = Window.partitionBy(*groups, "measure")
-    found = sketch.select(*groups, "measure", "edge", F.sum("n").over(w).alias("total"), F.sum("n").over(w.orderBy("edge")).alias("upto"))
-    at = lambda tenths: F.min(F.when(10 * F.col("upto") >= tenths * F.col("total"), F.col("edge")))
-    return found.groupBy(*groups, "measure").agg(F.max("total").alias("total"), at(1).alias("low"), at(5).alias("mid"))
+
+def _shares(sketch: DataFrame, groups: list[str]) -> DataFrame:
+    """What part of a group's weight each bucket holds, in millionths."""
+    total = F.sum("w").over(Window.partitionBy(*groups, "measure"))
+    return sketch.select(*groups, "measure", "edge", F.floor(SHARE * (F.col("w").cast("double") / total)).cast("long").alias("share"))
+
+
+def _shrunk(sketch: DataFrame, groups: list[str], shares: DataFrame, parent: list[str]) -> DataFrame:
+    """``sketch`` (groups, measure, edge, n) as weights, with ``PRIOR`` documents of the parent's shares for each group."""
+    named = shares.withColumnsRenamed({c: f"p_{c}" for c in (*parent, "measure")})
+    same = F.col("measure") == F.col("p_measure")
+    for c in parent:
+        same = same & F.col(c).eqNullSafe(F.col(f"p_{c}"))
+    prior = sketch.select(*groups, "measure").distinct().join(named, same).select(*groups, "measure", "edge", (PRIOR * F.col("share")).alias("w"))
+    own = sketch.select(*groups, "measure", "edge", (SHARE * F.col("n")).alias("w"))
+    return own.unionByName(prior).groupBy(*groups, "measure", "edge").agg(F.sum("w").alias("w"))
 
 
 def fences(measures: DataFrame) -> DataFrame:
-    """One row per (lang, source) with ``<measure>_max`` and, if two-sided, ``<measure>_min``."""
-    fine = sketches(measures, ["lang", "source"])
+    """One row per (lang, source) with ``<measure>_max`` and, if two-sided, ``<measure>_min``. A group's buckets are few whatever its size."""
+    fine = checkpointed(sketches(measures))
     by_lang = fine.groupBy("lang", "measure", "edge").agg(F.sum("n").alias("n"))
-    over_all = by_lang.groupBy("measure", "edge").agg(F.sum("n").alias("n"))
-    a = _quantiles(fine, ["lang", "source"]).alias("a")
-    b = _quantiles(by_lang, ["lang"]).alias("b")
-    c = _quantiles(over_all, []).alias("c")
-    joined = a.join(b, F.col("a.lang").eqNullSafe(F.col("b.lang")) & (F.col("a.measure") == F.col("b.measure"))).join(c, F.col("a.measure") == F.col("c.measure"))
-    pick = lambda x: F.when(F.col("a.total") >= MIN_GROUP, F.col(f"a.{x}")).when(F.col("b.total") >= MIN_GROUP, F.col(f"b.{x}")).otherwise(F.col(f"c.{x}"))
-    least = F.coalesce(*[F.when(F.col("a.measure") == n, F.lit(s)) for n, s in SPREADS.items()])
-    spread = REACH * F.greatest(pick("mid") - pick("low"), least)
-    ends = joined.select(F.col("a.lang").alias("lang"), F.col("a.source").alias("source"), F.col("a.measure").alias("measure"), (pick("mid") + spread).alias("most"), (pick("mid") - spread).alias("least"))
-    return ends.groupBy("lang", "source").agg(
-        *[F.max(F.when(F.col("measure") == n, F.col("most"))).alias(f"{n}_max") for n in SPREADS],
-        *[F.max(F.when(F.col("measure") == n, F.col("least"))).alias(f"{n}_min") for n in TWO_SIDED],
+    over_all = by_lang.groupBy("measure", "edge").agg(F.sum("n").alias("w"))
+    lang = _shrunk(by_lang, ["lang"], _shares(over_all, []), [])
+    both = ["lang", "source"]
+    group = _shrunk(fine, both, _shares(lang, ["lang"]), ["lang"])
+    w = Window.partitionBy(*both, "measure")
+    found = group.select(*both, "measure", "edge", F.sum("w").over(w).alias("total"), F.sum("w").over(w.orderBy("edge")).alias("upto"))
+    at = lambda quarters: F.min(F.when(4 * F.col("upto") >= quarters * F.col("total"), F.col("edge")))
+    quartiles = found.groupBy(*both, "measure").agg(at(1).alias("low"), at(2).alias("mid"), at(3).alias("high"))
+    least = F.call_function("shiftright", F.col("mid"), F.lit(SUB_BITS - 1))  # the width of a bucket
+    most = F.col("high") + REACH * F.greatest(F.col("high") - F.col("mid"), least)
+    fewest = F.col("low") - REACH * F.greatest(F.col("mid") - F.col("low"), least)
+    return quartiles.groupBy(*both).agg(
+        *[F.max(F.when(F.col("measure") == n, most)).alias(f"{n}_max") for n in MEASURES],
+        *[F.max(F.when(F.col("measure") == n, fewest)).alias(f"{n}_min") for n in TWO_SIDED],
     )
 
 
-def _within() -> Column:
-    """The verdict of the joined fences."""
+def _within(m: Column, f: str) -> Column:
+    """Whether measures lie within the joined fences ``f``."""
     ok = F.lit(True)
-    for n in SPREADS:
-        ok = ok & (F.col(n) <= F.col(f"f.{n}_max"))
+    for n in MEASURES:
+        ok = ok & (_rate(m, n, -1) <= F.col(f"{f}.{n}_max"))
     for n in TWO_SIDED:
-        ok = ok & (F.col(n) >= F.col(f"f.{n}_min"))
+        ok = ok & (_rate(m, n, 1) >= F.col(f"{f}.{n}_min"))
     return ok
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, the counts and the rates of every row."""
+    """doc_id, lang, source and the counts of every row."""
     prepare(docs.sparkSession)
     m = docs.select("doc_id", "lang", "source", measured(F.col("text")).alias("m"))
-    return m.select("doc_id", "lang", "source", "m.*", base_failed(F.col("m")).alias("base_failed"), *[c.alias(n) for n, c in _rates(F.col("m")).items()])
+    return m.select("doc_id", "lang", "source", "m.*", base_failed(F.col("m")).alias("base_failed"))
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -156,30 +171,27 @@ def judge(docs: DataFrame) -> DataFrame:
     """
     m = checkpointed(measures(docs))
     f = counted_side(fences(m.where(~F.col("base_failed"))))
-    d, g = m.alias("d"), f.alias("f")
     same = F.col("d.lang").eqNullSafe(F.col("f.lang")) & F.col("d.source").eqNullSafe(F.col("f.source"))
-    return d.join(g, same, "left").select(
-        "doc_id", *_COUNTS[:5], "base_failed", F.when(F.col("base_failed"), False).otherwise(F.coalesce(_within(), F.lit(True))).alias("kept")
-    )
+    counts = F.struct(*[F.col(f"d.{c}") for c in _COUNTS])
+    return m.alias("d").join(f.alias("f"), same, "left").select("doc_id", *_COUNTS[:5], "base_failed", F.when(F.col("base_failed"), False).otherwise(F.coalesce(_within(counts, "f"), F.lit(True))).alias("kept"))
 
 
 def keep(docs: DataFrame) -> DataFrame:
     """The documents that ``judge`` keeps, with all their columns; measures are taken again rather than joined by key."""
     prepare(docs.sparkSession)
     f = counted_side(fences(measures(docs).where(~F.col("base_failed"))))
-    again = docs.withColumn("__m", measured(F.col("text")))
-    rated = again.select(*[F.col(c) for c in docs.columns], base_failed(F.col("__m")).alias("__failed"), *[c.alias(n) for n, c in _rates(F.col("__m")).items()])
+    d = nested(docs, F.col("lang"), F.col("source"), measured(F.col("text")).alias("m")).alias("d")
     same = F.col("d.lang").eqNullSafe(F.col("f.lang")) & F.col("d.source").eqNullSafe(F.col("f.source"))
-    return rated.where(~F.col("__failed")).alias("d").join(f.alias("f"), same, "left").where(F.coalesce(_within(), F.lit(True))).select(*[F.col(f"d.{c}") for c in docs.columns])
+    return d.where(~base_failed(F.col("m"))).join(f.alias("f"), same, "left").where(F.coalesce(_within(F.col("d.m"), "f"), F.lit(True))).select("d.row.*")
 
 
 def _sql() -> str:
-    rates = "unnest([{" + "}, {".join(f"'measure': '{n}', 'v': {n}" for n in SPREADS) + "}])"
-    least = "CASE a.measure " + " ".join(f"WHEN '{n}' THEN {s}" for n, s in SPREADS.items()) + " END"
-    pick = lambda x: f"CASE WHEN a.total >= {MIN_GROUP} THEN a.{x} WHEN b.total >= {MIN_GROUP} THEN b.{x} ELSE c.{x} END"
-    mids = lambda name, groups: f"""{name}q AS (SELECT {groups}measure, max(total) AS total, min(CASE WHEN 10 * upto >= total THEN edge END) AS low, min(CASE WHEN 10 * upto >= 5 * total THEN edge END) AS mid
-        FROM (SELECT *, sum(n) OVER (PARTITION BY {groups}measure) AS total, sum(n) OVER (PARTITION BY {groups}measure ORDER BY edge) AS upto FROM {name}) GROUP BY {groups}measure)"""
-    ok = " AND ".join([f"{n} <= {n}_max" for n in SPREADS] + [f"{n} >= {n}_min" for n in TWO_SIDED])
+    """Quartiles by joining each bucket with those up to it, in place of running sums; counts from lists of words."""
+    values = "unnest([" + ", ".join(f"{{'measure': '{n}', 'v': {SHARE} * ({c} + {one}) // {per}}}" for n, (c, per, one) in MEASURES.items()) + "])"
+    edge = f"(x.v >> greatest(length(bin(x.v)) - {SUB_BITS}, 0)) << greatest(length(bin(x.v)) - {SUB_BITS}, 0)"
+    most = ", ".join(f"max(CASE WHEN measure = '{n}' THEN q3 + {REACH} * greatest(q3 - q2, q2 >> {SUB_BITS - 1}) END) AS {n}_max" for n in MEASURES)
+    fewest = ", ".join(f"max(CASE WHEN measure = '{n}' THEN q1 - {REACH} * greatest(q2 - q1, q2 >> {SUB_BITS - 1}) END) AS {n}_min" for n in TWO_SIDED)
+    ok = " AND ".join([f"{SHARE} * greatest({c} - {one}, 0) // {per} <= {n}_max" for n, (c, per, one) in MEASURES.items()] + [f"{SHARE} * ({MEASURES[n][0]} + {MEASURES[n][2]}) // {MEASURES[n][1]} >= {n}_min" for n in TWO_SIDED])
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d)),
@@ -187,24 +199,26 @@ g AS (SELECT r, i, word || ' ' || lead(word) OVER p || ' ' || lead(word, 2) OVER
 again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM g WHERE g IS NOT NULL) WHERE c > 1),
 rep AS (SELECT r, count(DISTINCT i + k) AS n FROM again, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
 ls AS (SELECT r, line, count(*) AS c FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r, line),
-li AS (SELECT r, sum(c) AS n_lines, sum(c - 1) AS dup FROM ls GROUP BY r),
+li AS (SELECT r, sum(c - 1) AS dup FROM ls GROUP BY r),
 wc AS (SELECT r, count(*) AS n, sum(length(word)) AS chars FROM w GROUP BY r),
-m AS (SELECT doc_id, lang, source, coalesce(wc.n, 0)::BIGINT AS n_words, coalesce(wc.chars, 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
-    coalesce(li.dup, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(li.n_lines, 0)::BIGINT AS n_lines
+c AS (SELECT d.r, doc_id, lang, source, coalesce(wc.n, 0)::BIGINT AS n_words, coalesce(wc.chars, 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    coalesce(li.dup, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
     FROM d LEFT JOIN wc USING (r) LEFT JOIN li USING (r) LEFT JOIN rep USING (r)),
-x AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed,
-    CASE WHEN word_chars > 0 THEN 1000 * n_symbols // word_chars ELSE 0 END AS symbol_rate, CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END AS dup_line_rate,
-    CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END AS repeat_rate, CASE WHEN n_words > 0 THEN 1000 * word_chars // n_words ELSE 0 END AS word_length FROM m),
-u AS (SELECT lang, source, x.measure, x.v AS v FROM (SELECT lang, source, {rates} AS x FROM x WHERE NOT base_failed)),
-fine AS (SELECT lang, source, measure, (v >> greatest(length(bin(v)) - {SUB_BITS}, 0)) << greatest(length(bin(v)) - {SUB_BITS}, 0) AS edge, count(*) AS n FROM u GROUP BY ALL),
-lan AS (SELECT lang, measure, edge, sum(n) AS n FROM fine GROUP BY ALL),
-every AS (SELECT measure, edge, sum(n) AS n FROM lan GROUP BY ALL),
-{mids("fine", "lang, source, ")}, {mids("lan", "lang, ")}, {mids("every", "")},
-e AS (SELECT a.lang, a.source, a.measure, {pick("mid")} AS mid, {REACH} * greatest({pick("mid")} - {pick("low")}, {least}) AS s
-    FROM fineq a JOIN lanq b ON a.lang IS NOT DISTINCT FROM b.lang AND a.measure = b.measure JOIN everyq c ON a.measure = c.measure),
-f AS (SELECT lang, source, {", ".join([f"max(CASE WHEN measure = '{n}' THEN mid + s END) AS {n}_max" for n in SPREADS] + [f"max(CASE WHEN measure = '{n}' THEN mid - s END) AS {n}_min" for n in TWO_SIDED])} FROM e GROUP BY ALL)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({ok}, true) AS kept
-FROM x LEFT JOIN f ON x.lang IS NOT DISTINCT FROM f.lang AND x.source IS NOT DISTINCT FROM f.source"""
+m AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed FROM c),
+u AS (SELECT lang, source, {values} AS x FROM m WHERE NOT base_failed),
+fine AS (SELECT lang, source, x.measure AS measure, {edge} AS edge, count(*) AS n FROM u GROUP BY ALL),
+total AS (SELECT measure, edge, floor({SHARE} * (sum(n)::DOUBLE / any_value(t)))::BIGINT AS share FROM fine JOIN (SELECT measure, sum(n) AS t FROM fine GROUP BY measure) USING (measure) GROUP BY measure, edge),
+l AS (SELECT lang, measure, edge, sum(w) AS w FROM (SELECT lang, measure, edge, {SHARE} * n AS w FROM fine
+    UNION ALL SELECT lang, measure, edge, {PRIOR} * share FROM (SELECT DISTINCT lang, measure FROM fine) JOIN total USING (measure)) GROUP BY ALL),
+s AS (SELECT l.lang, l.measure, edge, floor({SHARE} * (w::DOUBLE / t))::BIGINT AS share FROM l JOIN (SELECT lang, measure, sum(w) AS t FROM l GROUP BY ALL) k ON l.lang IS NOT DISTINCT FROM k.lang AND l.measure = k.measure),
+b AS (SELECT lang, source, measure, edge, sum(w)::BIGINT AS w FROM (SELECT lang, source, measure, edge, {SHARE} * n AS w FROM fine
+    UNION ALL SELECT k.lang, k.source, k.measure, edge, {PRIOR} * share FROM (SELECT DISTINCT lang, source, measure FROM fine) k JOIN s ON k.lang IS NOT DISTINCT FROM s.lang AND k.measure = s.measure) GROUP BY ALL),
+upto AS (SELECT a.lang, a.source, a.measure, a.edge, sum(CASE WHEN z.edge <= a.edge THEN z.w ELSE 0 END) AS w, sum(z.w) AS t
+    FROM b a JOIN b z ON a.measure = z.measure AND a.lang IS NOT DISTINCT FROM z.lang AND a.source IS NOT DISTINCT FROM z.source GROUP BY ALL),
+q AS (SELECT lang, source, measure, min(edge) FILTER (4 * w >= t) AS q1, min(edge) FILTER (4 * w >= 2 * t) AS q2, min(edge) FILTER (4 * w >= 3 * t) AS q3 FROM upto GROUP BY ALL),
+f AS (SELECT lang, source, {most}, {fewest} FROM q GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, CASE WHEN base_failed THEN false ELSE {ok} END AS kept
+FROM m LEFT JOIN f ON m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source"""
 
 
 ORACLE_SQL = _sql()

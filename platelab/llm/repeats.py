@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, prepare
+from .common import checkpointed, nested, prepare
 from .run_index import first_windows
 
 WINDOW = 100
@@ -366,10 +366,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     def left(texts: pa.Array, lists: pa.Array) -> pa.Array:
         return pa.array([t.as_py() if not s.is_valid or not t.is_valid else kept_bytes(t.as_py().encode("utf-8", "replace"), _merged(s.as_py())).decode("utf-8", "ignore") for t, s in zip(texts, lists, strict=True)], pa.string())
 
-    marked = docs.withColumn("__tie", tie).alias("d")
+    d = nested(docs, F.col("doc_id"), tie.alias("t"), F.col("text")).alias("d")
     g = gone.alias("g")
-    joined = marked.join(g, F.col("d.doc_id").eqNullSafe(F.col("g.doc")) & (F.col("d.__tie") == F.col("g.tie")), "left")
-    done = joined.select(*[F.col(f"d.{c}") for c in docs.columns if c != "text"], left(F.col("d.text"), F.col("g.spans")).alias("text"))
-    if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return done.select(*docs.columns)
+    joined = d.join(g, F.col("d.doc_id").eqNullSafe(F.col("g.doc")) & (F.col("d.t") == F.col("g.tie")), "left").select("d.row", left(F.col("d.text"), F.col("g.spans")).alias("rest"))
+    new = {"text": F.col("rest"), "n_chars": F.length("rest").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return joined.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -7,7 +7,8 @@ tiles returns a spanning forest of its links, never all of them, so that groups
 
 Defined results: null, empty and blank texts have fingerprint zero and link like any other; texts of fewer than
 ``WORDS`` words are one shingle; repeated rows share fingerprint and component; a null doc_id is never a
-component_id unless its whole component has none; an empty table gives an empty result; other columns are ignored.
+component_id unless its whole component has none; very long texts are hashed whole, in one task each; an empty table
+gives an empty result; other columns are ignored by ``near_duplicates`` and kept by ``keep_one``, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, checkpointed, prepare
+from .common import as_bytes, checkpointed, nested, prepare
 from .components import connected_components
 
 WORDS = 3
@@ -148,17 +149,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return classes(rows).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """A hash of all columns."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def one_of_each(docs: DataFrame, own: Column, placed: DataFrame) -> DataFrame:
     """The row of the smallest doc_id of each root of ``placed`` (doc_id, own, root); ``own`` is a hash of the whole row."""
-    stay = placed.groupBy("root").agg(F.min(F.struct("doc_id", "own")).alias("s")).select(F.col("s.doc_id").alias("id"), F.col("s.own").alias("own"))
-    marked = docs.withColumn("__own", own)
-    kept = marked.join(stay, marked["doc_id"].eqNullSafe(stay["id"]) & (marked["__own"] == stay["own"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__own"]).select(*docs.columns)
+    stay = placed.groupBy("root").agg(F.min(F.struct("doc_id", "own")).alias("s")).select(F.col("s.doc_id").alias("id"), F.col("s.own").alias("at"))
+    marked = nested(docs, F.col("doc_id"), own.alias("own"))
+    kept = marked.join(stay, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("at")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "own"]).select("row.*")
 
 
 def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """One row of each component: the one of the smallest doc_id, ties by a hash of the whole row."""
     prepare(docs.sparkSession)
-    own = F.xxhash64(*[F.col(c) for c in docs.columns])
+    own = whole_row(docs)
     rows = checkpointed(docs.select("doc_id", own.alias("own"), fingerprinted(F.col("text"), words).alias("fp")))
     return one_of_each(docs, own, classes(rows))

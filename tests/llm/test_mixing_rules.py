@@ -1,10 +1,14 @@
+import os
 import re
+import textwrap
 
 import duckdb
 import pyarrow as pa
 import pytest
 
-from platelab.llm import licenses, mixing, quality_rules
+from pyspark.sql import functions as F
+
+from platelab.llm import licenses, mixing, near_copies, quality_rules, repeats, simhash
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -84,13 +88,103 @@ def test_junk_goes_and_clean_documents_stay(spark):
     assert all(got[r[0]] for r in clean) and not any(got[r[0]] for r in junk)
 
 
+def prose(rng, n):
+    return [("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8)))) for _ in range(n)]
+
+
+def test_fences_follow_the_source(spark):
+    """What is usual in one source is a fault in another."""
+    import random
+
+    rng = random.Random(3)
+    code = lambda: " ".join(w + rng.choice(["", "", "", "<", "|"]) for w in prose(rng, rng.randint(80, 300)))
+    long_words = lambda: " ".join(w * 2 for w in prose(rng, rng.randint(80, 300)))
+    plain = lambda: " ".join(prose(rng, rng.randint(80, 300)))
+    rows = [(i, code(), "en", "code") for i in range(400)] + [(1000 + i, plain(), "en", "prose") for i in range(400)] + [(2000 + i, long_words(), "de", "prose") for i in range(400)]
+    rows += [(5000, code(), "en", "prose"), (5001, long_words(), "en", "prose"), (5002, plain(), "de", "prose")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.judge(frame).collect()}
+    assert all(got[r[0]] for r in rows[:1200]) and not got[5000] and not got[5001] and not got[5002]
+    fences = {(r["lang"], r["source"]): r for r in quality_rules.fences(quality_rules.measures(frame)).collect()}
+    assert fences["en", "code"]["symbol_rate_max"] > 3 * fences["en", "prose"]["symbol_rate_max"]
+    assert fences["de", "prose"]["word_length_max"] > 1.5 * fences["en", "prose"]["word_length_max"]
+    assert len({f["dup_line_rate_max"] for f in fences.values()}) == len({f["repeat_rate_max"] for f in fences.values()}) == 3
+
+
+def test_small_groups_lean_on_their_language(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, " ".join(prose(rng, 150)), "en", "large") for i in range(300)] + [(1000 + i, " ".join(w + "##" for w in prose(rng, 150)), "en", "tiny") for i in range(6)]
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(got[r[0]] for r in rows[300:]) and all(got[r[0]] for r in rows[:300])
+
+
+CLASHING = ("h", "row", "m", "f", "d", "t", "copies", "threshold", "symbol_rate", "symbol_rate_max", "n_words", "__copy", "own", "fp", "tie", "spans", "doc", "kept", "times")
+
+
+def with_clashes(docs):
+    """Columns under the names that the operators use themselves, with values that tell rows apart."""
+    return docs.select("doc_id", "text", "lang", "source", "n_chars", *[F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for c in CLASHING])
+
+
+def same_rows(got, given):
+    """Every row of ``got`` is one of ``given``, in all its columns."""
+    known = {tuple(r) for r in given.collect()}
+    rows = [tuple(r) for r in got.collect()]
+    return bool(rows) and set(rows) <= known
+
+
+def test_no_column_clashes(plain_docs):
+    given = with_clashes(plain_docs)
+    for of in (quality_rules.keep, mixing.mixed, simhash.keep_one, near_copies.keep_one):
+        got = of(given)
+        assert got.columns == given.columns and same_rows(got, given), of
+    got = repeats.without_repeats(given)
+    assert got.columns == given.columns and same_rows(got.drop("text", "n_chars"), given.drop("text", "n_chars"))
+
+
 def test_licenses(spark, docs, rows):
-    mit = licenses.KNOWN["MIT"]
+    mit = licenses.TITLED["MIT"][1]
     texts = [mit.upper(), "Copyright (c) 2020 Someone\nCopyright 2021 Others\n" + mit, mit.replace("sublicense", "sub-licence").replace(", ", " ,\n  "), mit + " with changes", "released under  the MIT licence", None]
     got = {r["doc_id"]: r["license_id"] for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == {0: "MIT", 1: "MIT", 2: "MIT", 3: None, 4: "notice: MIT", 5: None}
     assert licenses.scan(docs).count() == len(rows)
 
 
+def layouts(name):
+    """The layouts in which a licence file is found."""
+    titles, text = licenses.TITLED[name]
+    notice = "Copyright (c) 2019-2024, Jane Doe <jane@example.org>"
+    wrapped = "\n\n".join(textwrap.fill(p, 72) for p in text.split("\n\n"))
+    narrow = "\n\n".join(textwrap.fill(p, 40) for p in text.split("\n\n"))
+    yield f"{titles[0]}\n\n{notice}\n\n{wrapped}\n"
+    yield f"{notice}\nAll rights reserved.\n\n{narrow}"
+    yield f"{notice}. {' '.join(text.split())}"
+    yield f"Copyright Jane Doe and others\n\n{wrapped}".replace("\n", "\r\n")
+    yield "\n".join(" * " + line for line in f"{notice}\n\n{wrapped}".split("\n"))
+    yield "\n".join("# " + line for line in f"{titles[-1].upper()}\n(C) 2001 X\n{narrow}".split("\n"))
+
+
+def test_usual_layouts_of_licences(spark):
+    texts = [(name, text) for name in licenses.TITLED if licenses.TITLED[name][0] for text in layouts(name)]
+    assert any("\ncopyright notice" in t for n, t in texts if n == "ISC")  # a sentence that wraps before these words
+    rows = [(i, t, name, None) for i, (name, t) in enumerate(texts)]
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, name string, x string")).collect()}
+    assert got == {r[0]: r[2] for r in rows}
+    assert {r[0]: r[2] for r in oracle(licenses.ORACLE_SQL, rows)} == got
+
+
+def test_long_licences(spark):
+    folder = "/usr/share/common-licenses"
+    names = sorted(n for n in licenses.DIGESTS if os.path.isfile(f"{folder}/{n}"))
+    if not names:
+        pytest.skip("no licence texts on this machine")
+    rows = [(i, open(f"{folder}/{n}", encoding="utf-8").read().upper() + "\n\n", n, None) for i, n in enumerate(names)]
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, name string, x string")).collect()}
+    assert got == dict(enumerate(names))
+    assert {r[0]: r[2] for r in oracle(licenses.ORACLE_SQL, rows)} == got
+
+
 def test_empty(no_docs):
     assert mixing.mix(no_docs).count() == mixing.mixed(no_docs).count() == quality_rules.judge(no_docs).count() == quality_rules.keep(no_docs).count() == licenses.scan(no_docs).count() == 0

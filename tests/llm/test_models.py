@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -219,7 +220,7 @@ def test_search(spark):
     rng = np.random.default_rng(4)
     rows = [(i, rng.standard_normal(8).tolist(), 0) for i in range(900)]
     rows += [(900 + i, [1.0] * 8, 0) for i in range(60)]
-    odd = [(2000, None, 0), (2001, [0.0] * 8, 0), (2002, [float("nan")] * 8, 0), (2003, [1.0, None] + [1.0] * 6, 0), (2004, [float("inf")] + [1.0] * 7, 0), (2005, [1.0], 0), (None, [1.0] * 8, 0), rows[40]]
+    odd = [(2000, None, 0), (2001, [0.0] * 8, 0), (2002, [float("nan")] * 8, 0), (2003, [1.0, None] + [1.0] * 6, 0), (2004, [float("inf")] + [1.0] * 7, 0), (2005, [1.0], 0), (None, [1.0] * 8, 0)]
     frame = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, block int").repartition(3)
     vectors = {i: np.array(v, np.float32).astype(float) for i, v, _ in rows}
     want = brute_neighbours(vectors)
@@ -232,6 +233,40 @@ def test_search(spark):
     assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.9 * sum(map(len, want.values()))
 
 
+def test_every_query_gets_all_its_neighbours(spark):
+    """A leaf of a few far rows does not end the search, and clustered vectors are found in few leaves."""
+    rng = np.random.default_rng(7)
+    centres = rng.standard_normal((16, 8)) * 4
+    rows = [(i, (centres[i % 16] + 0.1 * rng.standard_normal(8)).tolist()) for i in range(950)]
+    rows += [(1000 + 20 * i, (100 + rng.standard_normal(8)).tolist()) for i in range(10)]
+    got = kmeans_tree.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).groupBy("query_id").count().collect()
+    assert len(got) == sum(i % 20 == 0 for i, _ in rows) and all(r["count"] == 20 for r in got)
+    points = np.array([v for _, v in rows])
+    tree = kmeans_tree.Tree(points, 32)
+    seen = tree.visits(points[0], 1, [3] * tree.leaves, 21)
+    assert len(seen) == 7 and sorted(tree.visits(points[0], tree.leaves)) == list(range(tree.leaves))
+
+
+def test_rows_that_share_an_id(spark):
+    rows = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (20, [2.0, 0.0]), (1, [0.5, 0.0]), (2, [0.5, 0.0])]
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in kmeans_tree.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == sorted([(1, 20, 2.0), (2, 20, 1.0), (3, 1, 0.5), (4, 2, 0.5)] * 2 + [(1, 20, 2.0), (2, 20, 2.0), (3, 1, 1.0), (4, 2, 1.0)])
+
+
+def test_recall_on_the_test_data(spark):
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data")
+    table = spark.read.parquet(f"{folder}/embeddings.parquet")
+    vectors = {r["vec_id"]: np.array(r["embedding"], float) for r in table.collect()}
+    want = brute_neighbours(vectors)
+    got = {}
+    for r in kmeans_tree.search(table).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert sum(len(got[q] & set(want[q])) for q in want) >= 0.9 * sum(map(len, want.values()))
+    assert all(len(v) == 20 for v in got.values())
+
+
 def test_search_small_and_empty(spark):
     few = spark.createDataFrame([(i, [float(i + 1), 1.0]) for i in range(5)], "vec_id long, embedding array<double>")
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in kmeans_tree.search(few).orderBy("rank").collect()] == [(0, 1, 4), (0, 2, 3), (0, 3, 2), (0, 4, 1)]
