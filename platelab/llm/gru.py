@@ -18,9 +18,11 @@ HIDDEN, EMBEDDED = 24, 16
 WINDOW = 16
 #: Bounds of the number of lanes; between them, a batch has so many that it makes about ``UPDATES`` windows.
 LANES = 32, 512
-UPDATES = 120
+UPDATES = 48
 #: Logits are cut here in training, where sums of their powers need not be scaled.
 MOST = np.float32(70)
+#: Rows whose logits are worked on at one time, so that they stay in the processor's cache.
+PART = 2048
 
 Params = dict[str, np.ndarray]
 
@@ -140,7 +142,7 @@ def run(params: Params, work: Work, lanes: Lanes, top: int, end: int, inputs: np
 
 def _by_class(classes: np.ndarray, heads: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """Rows of head words in the order of their classes, and each class that occurs with its part of them."""
-    rows = np.flatnonzero(classes < heads)
+    rows = np.flatnonzero((classes >= 0) & (classes < heads))
     of = classes[rows].astype(np.int16)
     ends = np.cumsum(np.bincount(of, minlength=heads)).tolist()
     parts = [(c, a, b) for c, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if a < b]
@@ -179,9 +181,12 @@ def _inside(params: Params, work: Work, given: np.ndarray, parts: list[tuple[int
 def log_probabilities(params: Params, work: Work, states: np.ndarray, classes: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Natural log of the probability of each token's class and, for head words, of the word in its class."""
     given = _with_one(work, states)
-    x = _classes(params, work, given)
-    out = x[np.arange(len(x)), classes].astype(np.float64)
-    out -= _log_sum(x)
+    out = np.empty(len(given))
+    for k in range(0, len(given), PART):
+        part = slice(k, k + PART)
+        x = _classes(params, work, given[part])
+        out[part] = x[np.arange(len(x)), classes[part]]
+        out[part] -= _log_sum(x)
     rows, parts = _by_class(classes, len(params["words"]))
     own = np.take(given, rows, axis=0, out=work("own", len(rows), HIDDEN + 1), mode="clip")
     y = _inside(params, work, own, parts)
@@ -203,14 +208,27 @@ def _surprise(logits: np.ndarray, target: np.ndarray, weights: np.ndarray) -> fl
 
 
 def gradients(params: Params, grads: Params, work: Work, lanes: Lanes, top: int, end: int, inputs: np.ndarray, keep: np.ndarray, classes: np.ndarray, words: np.ndarray, state: np.ndarray) -> float:
-    """Add the gradients of a window's negative log-likelihood, going back no further than its start; returns that sum."""
+    """Add the gradients of a window's negative log-likelihood, going back no further than its start; returns that sum.
+
+    Tokens of class -1 only move the state.
+    """
     n = len(inputs)
     states = run(params, work, lanes, top, end, inputs, keep, state)
     given = _with_one(work, states)
-    p = _classes(params, work, given)
-    loss = _surprise(p, classes, params["classes"])
-    grads["classes"] += given.T @ p
-    back = np.matmul(p, params["classes"][:HIDDEN].T, out=work("back", n, HIDDEN))
+    back = work("back", n, HIDDEN)
+    live = np.flatnonzero(classes >= 0)
+    counted, by_class, targets = (given, back, classes) if len(live) == n else (given[live], work("by_class", len(live), HIDDEN), classes[live])
+    to_states = np.ascontiguousarray(params["classes"][:HIDDEN].T)
+    loss = 0.0
+    for k in range(0, len(live), PART):
+        part = slice(k, min(len(live), k + PART))
+        p = _classes(params, work, counted[part])
+        loss += _surprise(p, targets[part], params["classes"])
+        grads["classes"] += counted[part].T @ p
+        np.matmul(p, to_states, out=by_class[part])
+    if len(live) < n:
+        back.fill(0)
+        back[live] = by_class
     rows, parts = _by_class(classes, len(params["words"]))
     own = np.take(given, rows, axis=0, out=work("own", len(rows), HIDDEN + 1), mode="clip")
     q = _inside(params, work, own, parts)
@@ -299,7 +317,7 @@ def train(params: Params, adam: Adam, lanes: Lanes, inputs: np.ndarray, keep: np
     for top, end in lanes.windows(WINDOW):
         s = slice(lanes.at[top], lanes.at[end])
         loss += gradients(params, adam.grads, work, lanes, top, end, inputs[s], keep[s], classes[s], words[s], state)
-        adam.tokens += s.stop - s.start
+        adam.tokens += int(np.count_nonzero(classes[s] >= 0))
         if 2 * adam.tokens >= work.rows:
             adam.step()
     adam.step()

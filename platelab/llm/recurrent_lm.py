@@ -6,8 +6,10 @@
 3. Every document is turned into codes once: two bytes a token, written to the shared folder. Words beyond the ``KNOWN``
    most frequent have their counts looked up bucket by bucket, so that what is broadcast stays within a bound.
 4. Training reads the codes of every training document once, in ``ROUNDS`` rounds. In each round every task starts from
-   the broadcast model, trains on its part by truncated backpropagation with states carried from window to window, and
-   the models are averaged by tokens. The average depends on how the table is split into tasks, not on their order.
+   the broadcast model and trains on its part by truncated backpropagation, with states carried from window to window.
+   Long documents run in segments next to each other; a segment begins ``WARM`` tokens early, where only its state
+   moves, so that what came before is carried into it. The models are averaged by tokens. The average depends on how
+   the table is split into tasks, not on their order.
 5. Scoring carries the state through each whole document.
 
 Defined results: null text counts as empty, so it is scored for its end alone; a null doc_id is taken as the empty
@@ -20,17 +22,18 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import as_bytes, checkpointed, prepare, written
+from .common import checkpointed, prepare, written
 
 FOLDS = 10
 SMOOTHING = 0.1
@@ -42,9 +45,11 @@ KNOWN = 1 << 18
 ROUNDS = ((2, 0.012), (6, 0.006), (8, 0.003))
 COUNTED = 200_000
 #: Text that a task turns into codes at one time.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 8 << 20
 #: Tokens that a task runs side by side, but for a longer document; documents of over ``LONG`` tokens run among themselves.
-CHUNK_TOKENS, LONG = 1 << 20, 4096
+CHUNK_TOKENS, LONG = 2 << 20, 4096
+#: Tokens of a document that run in one lane in training, and tokens before them that move the state only.
+SEGMENT, WARM = 512, 32
 BUCKET_BYTES = 32 << 20
 #: Parameters in a row of a task's model, and tasks whose models are added up at one place.
 PIECE, TOGETHER = 1 << 13, 256
@@ -73,6 +78,27 @@ def _blobs(words: list[bytes], buckets: int) -> Iterator[tuple[int, list[int]]]:
     yield from by.items()
 
 
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts, in lower case, and the text of each."""
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts)))
+    flat = lists.flatten().cast(pa.binary())
+    doc = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+    real = pc.binary_length(flat).to_numpy() > 0  # an empty text has one empty word
+    return (flat, doc) if real.all() else (flat.filter(pa.array(real)), doc[real])
+
+
+def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[pa.Array]]]:
+    """Texts (the last column) and the other columns of their rows, in chunks of bounded size."""
+    for batch in batches:
+        texts = batch.column(batch.num_columns - 1)
+        upto = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
+        top = 0
+        while top < len(texts):
+            end = max(top + 1, int(np.searchsorted(upto, (upto[top - 1] if top else 0) + CHUNK_BYTES, "right")))
+            yield texts.slice(top, end - top), [batch.column(k).slice(top, end - top) for k in range(batch.num_columns - 1)]
+            top = end
+
+
 def _batch(names: list[str], *values) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if isinstance(v, int) else pa.binary()) for v in values], names)
 
@@ -89,8 +115,9 @@ def _count(buckets: int):
             found.clear()
 
         for batch in batches:
-            for text in batch.column(0):
-                found.update(as_bytes(text.as_py()).lower().split())
+            for texts, _ in _chunks([batch]):
+                counted = _words(texts)[0].value_counts()
+                found.update(dict(zip(counted.field(0).to_pylist(), counted.field(1).to_pylist(), strict=True)))
                 if len(found) > COUNTED:
                     yield from flush()
         yield from flush()
@@ -171,24 +198,6 @@ class Vocabulary:
         return self._index
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[list]]]:
-    """Texts (the last column) and the other columns of their rows, in chunks of bounded size."""
-    for batch in batches:
-        texts = batch.column(batch.num_columns - 1)
-        others = [batch.column(k) for k in range(batch.num_columns - 1)]
-        held: list[bytes] = []
-        top = full = 0
-        for i, x in enumerate(texts):
-            text = as_bytes(x.as_py())
-            if held and full + len(text) > CHUNK_BYTES:
-                yield held, [c.slice(top, i - top) for c in others]
-                held, top, full = [], i, 0
-            held.append(text)
-            full += len(text)
-        if held:
-            yield held, [c.slice(top, len(held)) for c in others]
-
-
 _ENCODED = "bucket long, uid long, doc_id long, held_out boolean, share int, n_tokens long, n_known long, base double, inside double, codes binary, words binary, docs binary, n binary"
 _KINDS = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}
 _FIELDS = {x.split()[0]: _KINDS[x.split()[1]] for x in _ENCODED.split(", ")}
@@ -208,23 +217,18 @@ def _encode(sent: Broadcast, buckets: int):
         vocabulary = sent.value
         get = vocabulary.index.get
         for texts, (uid, doc_id, held_out, share) in _chunks(batches):
-            words: list[bytes] = []
-            sizes = []
-            for t in texts:
-                before = len(words)
-                words += t.lower().split()
-                sizes.append(len(words) - before)
-            at = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
-            sizes = np.array(sizes, np.int64)
-            doc = np.repeat(np.arange(len(texts)), sizes)
-            far = np.flatnonzero(at < 0)
+            words, doc = _words(texts)
+            coded = words.dictionary_encode()
+            distinct, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+            at = np.fromiter(map(get, distinct, repeat(-1)), np.int64, len(distinct))
+            code = vocabulary.code[at] if len(vocabulary.code) else np.zeros(len(at), np.int16)
+            new = np.flatnonzero(at < 0)
+            code[new] = np.array([HEADS * WORDS_EACH + _ENDINGS[distinct[i][-2:]] for i in new.tolist()], np.int16)
+            sizes = np.bincount(doc, minlength=len(texts))
+            codes = np.zeros(len(doc) + len(texts), np.int16)  # an end's code is 0
+            codes[np.arange(len(doc)) + doc] = code[place]
+            at = at[place]
             known = at >= 0
-            codes = np.zeros(len(words) + len(texts), np.int16)  # an end's code is 0
-            own = np.empty(len(words), np.int16)
-            own[known] = vocabulary.code[at[known]]
-            far_words = [words[i] for i in far.tolist()]
-            own[far] = np.array([HEADS * WORDS_EACH + _ENDINGS[w[-2:]] for w in far_words], np.int16)
-            codes[np.arange(len(words)) + doc] = own
             ends = np.cumsum(sizes + 1).tolist()
             raw = codes.astype("<i2").tobytes()
             per = lambda x: np.bincount(doc[known], x[at[known]], len(texts))
@@ -234,10 +238,10 @@ def _encode(sent: Broadcast, buckets: int):
                 codes=[raw[2 * a : 2 * b] for a, b in zip([0, *ends[:-1]], ends, strict=True)],
             )
             ids = uid.to_numpy(zero_copy_only=False)
-            pairs = Counter(zip(far_words, ids[doc[far]].tolist(), strict=True))
-            words = [w for w, _ in pairs]
-            docs = np.array([d for _, d in pairs], "<i8")
-            n = np.array(list(pairs.values()), "<i8")
+            far = np.flatnonzero(~known)
+            pairs, n = np.unique(place[far].astype(np.int64) * len(texts) + doc[far], return_counts=True)
+            words = [distinct[i] for i in (pairs // len(texts)).tolist()]
+            docs, n = ids[pairs % len(texts)].astype("<i8"), n.astype("<i8")
             if words:
                 to, places = zip(*_blobs(words, buckets), strict=True)
                 yield _rows(len(to), bucket=to, words=[b" ".join([words[i] for i in k]) for k in places], docs=[docs[k].tobytes() for k in places], n=[n[k].tobytes() for k in places])
@@ -246,9 +250,13 @@ def _encode(sent: Broadcast, buckets: int):
 
 
 class Tokens:
-    """Documents' codes in lane order: the token before each, whether the state is kept, class and place of each."""
+    """Documents' codes in lane order: the token before each, whether the state is kept, class (-1: not counted) and place."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], segment: int | None = None):
+        silent = [0] * len(docs)
+        if segment:
+            silent = [min(top, WARM) for d in docs for top in range(0, len(d), segment)]
+            docs = [d[max(0, top - WARM) : top + segment] for d in docs for top in range(0, len(d), segment)]
         lengths = np.array([len(d) for d in docs], np.int64)
         codes = np.concatenate(docs)
         self.lanes = gru.Lanes(lengths)
@@ -258,9 +266,11 @@ class Tokens:
         inputs[first] = 0
         keep = np.ones(len(codes), np.float32)
         keep[first] = 0
-        codes = codes[self.lanes.order]
         head = codes < HEADS * WORDS_EACH
-        self.of = inputs[self.lanes.order], keep[self.lanes.order], np.where(head, codes // WORDS_EACH, codes - HEADS * (WORDS_EACH - 1)), np.where(head, codes % WORDS_EACH, 0)
+        classes = np.where(head, codes // WORDS_EACH, codes - HEADS * (WORDS_EACH - 1))
+        for k in np.flatnonzero(silent).tolist():
+            classes[first[k] : first[k] + silent[k]] = -1
+        self.of = tuple(x[self.lanes.order] for x in (inputs, keep, classes, np.where(head, codes % WORDS_EACH, 0)))
 
 
 def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[np.ndarray, pa.RecordBatch]]]:
@@ -286,9 +296,9 @@ def _train(sent: Broadcast, rate: float):
         flat = sent.value.copy()
         params, adam, seen = gru.views(flat, SHAPES), gru.Adam(flat, SHAPES, rate), 0
         for held in _together(batches):
-            tokens = Tokens([codes for codes, _ in held])
+            tokens = Tokens([codes for codes, _ in held], SEGMENT)
             gru.train(params, adam, tokens.lanes, *tokens.of)
-            seen += len(tokens.doc)
+            seen += int(np.count_nonzero(tokens.of[2] >= 0))
         if seen:
             task = TaskContext.get().partitionId()
             pieces = range(-(-len(flat) // PIECE))
