@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Units of the state, and numbers that stand for an input token.
-HIDDEN, EMBEDDED = 24, 16
+HIDDEN, EMBEDDED = 16, 16
 WINDOW = 16
 #: Bounds of the number of lanes; between them, a batch has so many that it makes about ``UPDATES`` windows.
 LANES = 32, 512
@@ -194,10 +194,19 @@ def log_probabilities(params: Params, work: Work, states: np.ndarray, classes: n
     return out
 
 
-def _surprise(logits: np.ndarray, target: np.ndarray, weights: np.ndarray) -> float:
+def _outer(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a.T @ b`` of many rows, in blocks that suit the library's kernels better than one long product."""
+    n = len(a) // 64 * 64
+    out = a[n:].T @ b[n:]
+    if n:
+        out += np.matmul(a[:n].reshape(-1, 64, a.shape[1]).transpose(0, 2, 1), b[:n].reshape(-1, 64, b.shape[1])).sum(axis=0)
+    return out
+
+
+def _surprise(logits: np.ndarray, target: np.ndarray, large: bool) -> float:
     """Turn logits into what the loss changes by with each; returns the negative log-likelihood of the targets."""
     every = np.arange(len(logits))
-    if np.abs(weights).sum(axis=-2).max() > MOST:  # states lie between -1 and 1, so that bounds the logits
+    if large:
         np.minimum(logits, MOST, out=logits)
     loss = -float(logits[every, target].sum())
     np.exp(logits, out=logits)
@@ -218,13 +227,15 @@ def gradients(params: Params, grads: Params, work: Work, lanes: Lanes, top: int,
     back = work("back", n, HIDDEN)
     live = np.flatnonzero(classes >= 0)
     counted, by_class, targets = (given, back, classes) if len(live) == n else (given[live], work("by_class", len(live), HIDDEN), classes[live])
+    # states lie between -1 and 1, so that this bounds the logits
+    large = max(np.abs(params["classes"]).sum(axis=0).max(), np.abs(params["words"]).sum(axis=1).max()) > MOST
     to_states = np.ascontiguousarray(params["classes"][:HIDDEN].T)
     loss = 0.0
     for k in range(0, len(live), PART):
         part = slice(k, min(len(live), k + PART))
         p = _classes(params, work, counted[part])
-        loss += _surprise(p, targets[part], params["classes"])
-        grads["classes"] += counted[part].T @ p
+        loss += _surprise(p, targets[part], large)
+        grads["classes"] += _outer(counted[part], p)
         np.matmul(p, to_states, out=by_class[part])
     if len(live) < n:
         back.fill(0)
@@ -232,7 +243,7 @@ def gradients(params: Params, grads: Params, work: Work, lanes: Lanes, top: int,
     rows, parts = _by_class(classes, len(params["words"]))
     own = np.take(given, rows, axis=0, out=work("own", len(rows), HIDDEN + 1), mode="clip")
     q = _inside(params, work, own, parts)
-    loss += _surprise(q, words[rows], params["words"])
+    loss += _surprise(q, words[rows], large)
     by_own = work("by_own", len(rows), HIDDEN)
     for c, a, b in parts:
         grads["words"][c] += own[a:b].T @ q[a:b]
@@ -271,7 +282,7 @@ def gradients(params: Params, grads: Params, work: Work, lanes: Lanes, top: int,
         carry *= keep[a:b]
     embedded = work("embedded", n, EMBEDDED)
     for name, by, changed in (("turn_gates", before, d_gates), ("turn_new", before, d_turned), ("given_gates", embedded, d_gates), ("given_new", embedded, d_new)):
-        grads[name] += by.T @ changed
+        grads[name] += _outer(by, changed)
     by_input = d_gates @ params["given_gates"].T
     by_input += d_new @ params["given_new"].T
     places = (inputs.astype(np.int64) * EMBEDDED)[:, None] + np.arange(EMBEDDED)

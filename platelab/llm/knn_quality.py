@@ -9,8 +9,10 @@ is multiplied with all of them block by block, and its ``NEIGHBOURS`` nearest vo
 
 Labels, lang, source and doc_id are no inputs of a score. Defined results: null and empty texts have no vector and
 score the sample's mean label, as does everything if only one label or nothing is known (0.5 without any label);
-equal texts score alike; rows of ``labels`` that share a doc_id count once, by their mean; null labels do not count;
-repeated rows are scored one by one; other columns are ignored.
+equal texts score alike; rows of ``labels`` that share a doc_id count once, by their mean, with the first in order of
+the texts of that doc_id; null labels do not count; neighbours that are equally near are taken in the order of the
+sample, which is sorted; very long texts are counted whole; repeated rows are scored one by one; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -137,7 +139,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
                 at = np.flatnonzero(c)
                 yield pa.RecordBatch.from_arrays([pa.array([y.as_py()], pa.float64()), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([c[at].astype("<u4").tobytes()], pa.binary())], ["y", "at", "n"])
 
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "text").mapInArrow(rows, "y double, at binary, n binary").collect()
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.min("text").alias("text"))  # one text an id
+    found = texts.select("y", "text").mapInArrow(rows, "y double, at binary, n binary").collect()
     if not found:
         return None
     found.sort(key=lambda r: (bytes(r["at"]), bytes(r["n"]), r["y"]))  # so that reruns agree

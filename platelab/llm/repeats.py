@@ -105,13 +105,14 @@ def stretches(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray,
 
 def _count_slots(slots: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(slots, np.int64)
+        total = np.zeros(slots, np.uint32)
         for batch in batches:
             for _, _, _, h in stretches(*_texts(batch.column(0))):
-                total += np.bincount((h % np.uint64(slots)).astype(np.int64), minlength=slots)
+                at, n = np.unique(h % np.uint64(slots), return_counts=True)
+                total[at.astype(np.int64)] += n.astype(np.uint32)
         at = np.flatnonzero(total)
         for k in range(0, len(at), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[k : k + 100_000]), pa.array(total[at[k : k + 100_000]])], ["slot", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(at[k : k + 100_000]), pa.array(total[at[k : k + 100_000]].astype(np.int64))], ["slot", "n"])
 
     return count
 
@@ -322,7 +323,7 @@ def spans(docs: DataFrame) -> tuple[DataFrame, Column]:
     whole = docs.select(F.col("doc_id").cast("long").alias("doc"), tie.alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
     total = whole.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(32, -(-total // BUCKET_BYTES))
-    slots = 1 << min(22, max(16, (total // 40_000).bit_length()))
+    slots = 1 << min(24, max(16, (total // 40_000).bit_length()))
     most = max(HOT_ROWS, 8 * total // (39 * slots))
     counts = whole.select("text").mapInArrow(_count_slots(slots), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     hot = frozenset(r[0] for r in counts.where(F.col("n") > most).select("slot").collect())  # fewer than all stretches / most

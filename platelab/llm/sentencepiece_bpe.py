@@ -29,6 +29,8 @@ from .common import prepare
 SPACE = "▁"
 #: Words whose ids a worker remembers (twice as many, as the last full cache is kept), and pairs it remembers.
 CACHED_WORDS = 150_000
+#: Longer words are encoded anew each time, so that the cache is bounded in bytes too.
+CACHED_LETTERS = 64
 CACHED_PAIRS = 200_000
 
 codecs.register_error("mark_each_byte", lambda e: ("�", e.start + 1))
@@ -160,13 +162,14 @@ class PrefixTable(dict):
         return out
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHED_WORDS:
-            self.before = dict(self)
-            self.clear()
         found = self.before.get(word)
         if found is None:
             found = np.array(self.run(len(word)) if word[-1] == SPACE else self.word(word), "<u4").tobytes()
-        self[word] = found
+        if len(word) <= CACHED_LETTERS:
+            if len(self) >= CACHED_WORDS:
+                self.before = dict(self)
+                self.clear()
+            self[word] = found
         return found
 
     def encode(self, text: str | None, ends: bool = True) -> bytes:

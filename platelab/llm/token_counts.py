@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 from .common import as_bytes, prepare
 
 CACHED = 300_000
+#: Longer words are counted anew each time, so that the cache is bounded in bytes too.
+CACHED_BYTES = 64
 WORD_END = "</w>"
 END = 256
 
@@ -83,9 +85,11 @@ class Automaton(dict):
         return count
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED:
-            self.clear()
-        found = self[word] = self.length([*word, END])
+        found = self.length([*word, END])
+        if len(word) <= CACHED_BYTES:
+            if len(self) >= CACHED:
+                self.clear()
+            self[word] = found
         return found
 
 

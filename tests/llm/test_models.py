@@ -207,6 +207,34 @@ def test_classifier(spark, docs, rows, no_docs):
     assert knn_quality.score(no_docs, labels).count() == 0
 
 
+def test_classifier_votes_like_a_plain_loop(spark):
+    """Every document against every labelled one, neighbour by neighbour; ties and repeated rows included."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 6)))
+    texts = [" ".join(word() + ("##" if i % 3 == 0 else "") for _ in range(rng.randint(5, 60))) for i in range(120)]
+    texts += [texts[4], texts[4], None, ""]
+    docs = spark.createDataFrame([*enumerate(texts), (3, texts[3])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(0, 124, 2)] + [(4, 0), (4, 1)], "doc_id long, quality int")
+    weights, basis, known, y = knn_quality.fit(docs, labels)
+    want = []
+    for r in docs.collect():
+        c = knn_quality.counts(r["text"])
+        x = [math.log1p(int(n)) * float(w) for n, w in zip(c, weights, strict=True)]
+        norm = math.sqrt(sum(v * v for v in x)) or 1.0
+        at = np.flatnonzero(c)
+        v = sum((x[t] / norm * basis[t].astype(float) for t in at), np.zeros(basis.shape[1]))
+        size = math.sqrt(float((v * v).sum()))
+        v = v / size if size > 1e-6 else v * 0
+        near = sorted((float((v * k).sum()), -i) for i, k in enumerate(known.astype(float)))[::-1][: knn_quality.NEIGHBOURS]
+        votes = [(max(cosine, 0.0) ** knn_quality.POWER, float(y[-i])) for cosine, i in near]
+        mean = float(y.mean())
+        score = (sum(w * label for w, label in votes) + knn_quality.PRIOR * mean) / (sum(w for w, _ in votes) + knn_quality.PRIOR)
+        want.append((r["doc_id"], score))
+    got = sorted((r["doc_id"], r["score"]) for r in knn_quality.score(docs, labels).collect())
+    assert [g[0] for g in got] == [w[0] for w in sorted(want)]
+    assert [g[1] for g in got] == pytest.approx([w[1] for w in sorted(want)], abs=2e-3)
+
+
 def brute_neighbours(vectors, k=20, every=20):
     out = {}
     for i, v in vectors.items():
