@@ -81,11 +81,26 @@ def nutri_score(energy_kcal: Column, sugars_g: Column, saturated_g: Column, sodi
     )
 
 
-def food_kind(name: Column, fat_cheese_share: Column, water_terms: Sequence[str] = ("water",), drinks: str = "\\b(juice|soda|lemonade|smoothie|coffee|tea|latte|shake|drink)\\b", solids: str = "\\b(cake|bread|rice|noodle|soup|chicken|cookie)\\b") -> Column:
-    """kind and water: drinks by name unless a solid is named too, fat or cheese where one makes up more than half."""
-    lower = F.lower(name)
-    water = lower.isin(*water_terms)
-    kind = F.when(water | (lower.rlike(drinks) & ~lower.rlike(solids)), "beverage").when(fat_cheese_share["cheese"] > 0.5, "cheese").when(fat_cheese_share["fat"] > 0.5, "fat").otherwise("general")
+# Names of drinks, words of solid food that overrule them, and names of water.
+DRINKS = (
+    "smoothie", "smoothies", "milkshake", "milkshakes", "milk shake", "shake", "shakes", "latte", "lattes", "cappuccino", "espresso", "macchiato", "frappuccino", "frappe", "frappes", "lemonade",
+    "soda", "cola", "juice", "boba", "horchata", "milk tea", "iced coffee", "iced tea", "hot chocolate", "hot cocoa", "bubble tea", "agua fresca", "protein shake", "chai latte", "matcha latte",
+)
+SOLIDS = (
+    "cake", "cheesecake", "bread", "muffin", "cookie", "pie", "tart", "donut", "doughnut", "sandwich", "brownie", "pancake", "waffle", "soup", "ice cream", "popsicle", "sorbet", "parfait", "bowl",
+    "oatmeal", "porridge", "pudding", "bake", "glazed", "ribs", "wing", "rice", "noodle", "salad", "bar", "pizza", "taco", "burrito", "chicken", "beef", "pork", "steak", "shrimp", "fish", "burger",
+    "wrap", "platter", "plate", "sauce", "glaze",
+)
+WATERS = ("sparkling water", "mineral water", "still water", "bottled water")
+
+
+def food_kind(name: Column, dominant: Column, share: Column) -> Column:
+    """kind and water: water by name, drinks by whole words unless a solid is named too, else cheese or fat where the
+    dominant food is of that class and makes up more than half."""
+    lower = F.lower(F.coalesce(name, F.lit("")))
+    water = contains_any(lower, WATERS) | (F.trim(lower) == "water")
+    drink = lower.rlike("\\b(" + "|".join(DRINKS) + ")\\b") & ~contains_any(lower, SOLIDS)
+    kind = F.when(water | drink, "beverage").when((share > 0.5) & dominant.isin("cheese", "fat"), dominant).otherwise("general")
     return F.struct(kind.alias("kind"), water.alias("water"))
 
 

@@ -50,8 +50,9 @@ FORMATS = (
 WRONG_CASE_ENTITY = re.compile("&(amp|quot|apos|lt|gt|nbsp);", re.IGNORECASE)
 
 
-def html_unescape(text: Column, rounds: int = 5) -> Column:
-    """Decode HTML entities until nothing changes, at most ``rounds`` times; names in the wrong case count too."""
+def html_unescape(text: Column, rounds: int = 5, wrong_case: bool = True) -> Column:
+    """Decode HTML entities until nothing changes, at most ``rounds`` times; names in the wrong case count too if
+    ``wrong_case`` is set."""
 
     @F.arrow_udf("string")
     def decode(values: pa.Array) -> pa.Array:
@@ -59,7 +60,7 @@ def html_unescape(text: Column, rounds: int = 5) -> Column:
         for value in values:
             s = value.as_py()
             for _ in range(rounds if s and "&" in s else 0):
-                plain = html.unescape(WRONG_CASE_ENTITY.sub(lambda m: m[0].lower(), s))
+                plain = html.unescape(WRONG_CASE_ENTITY.sub(lambda m: m[0].lower(), s) if wrong_case else s)
                 if plain == s:
                     break
                 s = plain
@@ -83,8 +84,11 @@ def literal_array(values: Iterable[str]) -> Column:
 
 
 def normalize(name: Column, unescape: bool = True) -> Column:
-    """Sorted lower-case words of a name without numbering, counts, measures, sizes and noise; duplicates stay."""
-    text = F.lower(html_unescape(name) if unescape else name)
+    """Sorted lower-case words of a name without numbering, counts, measures, sizes and noise; duplicates stay.
+
+    Entities are decoded once, so what was escaped twice keeps its entity's name as a word.
+    """
+    text = F.lower(html_unescape(name, rounds=1, wrong_case=False) if unescape else name)
     text = reduce(lambda t, step: F.regexp_replace(t, F.lit("(?i)" + step[0]), F.lit(step[1])), NORMAL_STEPS, text)
     return joined(F.array_sort(tokens(text)))
 
@@ -95,13 +99,10 @@ def format_of(category: Column) -> Column:
     return F.when(F.size(F.array_distinct(named)) == 1, F.get(named, F.lit(0)))
 
 
-def plural_formats() -> dict[str, str]:
-    out = {}
-    for _, token in FORMATS:
-        out[token + "s"] = out[token + "es"] = token
-        if token.endswith("y"):
-            out[token[:-1] + "ies"] = token
-    return out
+def singular_format(word: Column) -> Column:
+    """A word that is a format with an ending of the plural becomes that format."""
+    stems = [F.regexp_replace(word, ending, stem) for ending, stem in (("s$", ""), ("es$", ""), ("ies$", "y"))]
+    return F.coalesce(*[F.when((s != word) & s.isin(*[token for _, token in FORMATS]), s) for s in stems], word)
 
 
 def replaced(array: Column, words: Mapping[str, str]) -> Column:
@@ -116,7 +117,7 @@ def normalize_with_format(name: Column, category: Column, unescape: bool = True)
     """As ``normalize``; where the category names a format, that word joins in, plurals of formats become singular and
     each word stays once."""
     base, fmt = normalize(name, unescape), format_of(category)
-    words = F.array_union(replaced(tokens(base), plural_formats()), F.array(fmt))
+    words = F.array_union(F.transform(tokens(base), singular_format), F.array(fmt))
     return F.when(fmt.isNull(), base).otherwise(joined(F.array_sort(F.array_distinct(words))))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platelab.functions import text as T
+from platelab.session import checkpointed
 
 
 def exclude_by_tags(rows: DataFrame, tags: Column, excluded: Iterable[str]) -> DataFrame:
@@ -93,13 +94,67 @@ def merge_verdicts(parts: list[DataFrame], key: str = "name") -> tuple[DataFrame
     return every.where(F.lower("verdict") == "keep").orderBy(F.desc("n"), key), every.groupBy("verdict", "reason").agg(F.count("*").alias("names"), F.sum("n").alias("rows"))
 
 
+def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """``place`` from 0 in the given order, without a window over all rows: rows are dealt to ranges of the order,
+    numbered within them, and the ranges' sizes are added up."""
+    dealt = checkpointed(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("range"), F.monotonically_increasing_id().alias("within")))
+    low = F.col("within") - F.shiftleft(F.col("range").cast("long"), 33)
+    sizes = sorted(dealt.groupBy("range").count().collect())  # one row per range
+    starts, at = [], 0
+    for part, n in sizes:
+        starts.append((part, at))
+        at += n
+    first = F.broadcast(rows.sparkSession.createDataFrame(starts, "range int, first long"))
+    return dealt.join(first, "range").withColumn("place", F.col("first") + low).drop("range", "within", "first")
+
+
 def equal_chunks(rows: DataFrame, order: list[Column], chunks: int) -> DataFrame:
     """``chunk`` from 0: consecutive rows in chunks of one size, the last one smaller."""
-    total = rows.count()
-    size = max(1, -(-total // chunks))
-    return rows.withColumn("chunk", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size).cast("int"))
+    placed = numbered(rows, order)
+    size = max(1, -(-rows.count() // chunks))
+    return placed.withColumn("chunk", F.floor(F.col("place") / size).cast("int")).drop("place")
 
 
 def shard(rows: DataFrame, order: list[Column], shards: int) -> DataFrame:
     """``shard``: rows dealt out one by one in order."""
-    return rows.withColumn("shard", F.pmod(F.row_number().over(Window.orderBy(*order)) - 1, F.lit(shards)).cast("int"))
+    return numbered(rows, order).withColumn("shard", F.pmod("place", F.lit(shards)).cast("int")).drop("place")
+
+
+def changed_count(rows: DataFrame) -> DataFrame:
+    """How many rows of ``remap_tags`` were changed."""
+    return rows.agg(F.count("*").alias("rows"), F.count_if("changed").alias("changed"))
+
+
+def without_flagged(rows: DataFrame, flag: str = "flag") -> DataFrame:
+    """Rows that carry neither flag."""
+    return rows.where(~F.coalesce(F.lower(F.trim(F.col(flag))), F.lit("")).isin("x", "?"))
+
+
+def rule_cascade(text: Column, rules: Iterable[tuple[str, str, str]]) -> Column:
+    """verdict and reason by the first of the ordered rules (verdict, reason, pattern) whose pattern is found; else keep.
+
+    Rules come from a table of a few hundred rows at most; they become one chain of conditions.
+    """
+    out = F.struct(F.lit("keep").alias("verdict"), F.lit("default").alias("reason"))
+    for verdict, reason, pattern in reversed(list(rules)):
+        out = F.when(text.rlike(pattern), F.struct(F.lit(verdict).alias("verdict"), F.lit(reason).alias("reason"))).otherwise(out)
+    return out
+
+
+def exported(rows: DataFrame, tags: Column, excluded: Iterable[str], name: str) -> DataFrame:
+    """Rows without excluded tags, nulls as empty texts, in order of name."""
+    kept = exclude_by_tags(rows, tags, excluded)
+    return kept.select(*[F.coalesce(c, F.lit("")).alias(c) if t == "string" else F.col(c) for c, t in kept.dtypes]).orderBy(name)
+
+
+def review_split(verdicts: DataFrame, dropped: DataFrame, key: str, count: str, chunks: int = 3) -> DataFrame:
+    """Rows to be reviewed that have not been dropped since, the most frequent first, in consecutive chunks."""
+    left = verdicts.where(F.lower(F.trim("verdict")) == "review").join(dropped.select(key).distinct(), key, "left_anti")
+    return equal_chunks(left, [F.desc(count), F.col(key)], chunks)
+
+
+def applied_synonyms(rows: DataFrame) -> DataFrame:
+    """Word and what it stands for, of rows (alias_token, canonical_token, notes) whose note begins with APPLY; words
+    that stand for themselves are left out, and of a word's rows the last in order of what it stands for counts."""
+    a, c = F.lower(F.trim("alias_token")), F.lower(F.trim("canonical_token"))
+    return rows.where(F.coalesce(F.trim("notes"), F.lit("")).startswith("APPLY")).select(a.alias("word"), c.alias("canonical")).where("word <> canonical").groupBy("word").agg(F.max("canonical").alias("canonical"))

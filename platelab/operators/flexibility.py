@@ -105,11 +105,11 @@ def best_pick(pairs: DataFrame, metrics: DataFrame, metric: str, radius: float,
 
 
 def swap_search(pairs: DataFrame, dishes: DataFrame, radius: float = 0.2) -> DataFrame:
-    """For each dish (idx, cuisine, ghg, health) the swap that gains most: no more emission, no less health, of the same
-    cuisine if there is one."""
+    """For each dish (idx, cuisine, ghg, health) the swap that gains most: emission cut by more than a tenth, no less
+    health, of the same cuisine if there is one. Dishes without a finite value do not come into question."""
     a = dishes.select(F.col("idx").alias("i"), F.col("cuisine").alias("ci"), F.col("ghg").alias("gi"), F.col("health").alias("hi"))
     b = dishes.select(F.col("idx").alias("j"), F.col("cuisine").alias("cj"), F.col("ghg").alias("gj"), F.col("health").alias("hj"))
-    x = pairs.where((F.col("distance") <= radius) & (F.col("i") != F.col("j"))).join(a, "i").join(b, "j").where("gj <= gi and hj >= hi and gi > 0")
+    x = pairs.where((F.col("distance") <= radius) & (F.col("i") != F.col("j"))).join(a, "i").join(b, "j").where((F.col("gj") < 0.9 * F.col("gi")) & (F.col("hj") >= F.col("hi")) & (F.col("gi") > 0) & ~F.isnan("gj") & ~F.isnan("hj") & (F.abs("hj") != float("inf")))
     score = (F.col("gi") - F.col("gj")) / F.col("gi") + 2 * F.greatest(F.lit(0.0), F.col("hj") - F.col("hi"))
     other = F.when(F.col("ci").eqNullSafe(F.col("cj")), 0).otherwise(1)
     return x.groupBy(F.col("i").alias("idx")).agg(F.min_by("j", F.struct(other, -F.round(score, 9), F.col("j"))).alias("swap"))

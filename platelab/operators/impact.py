@@ -103,7 +103,7 @@ def keyword_candidates(items: DataFrame, products: DataFrame, most: int = 5) ->
     Words of products are indexed by their three-letter parts, so that only names that share one are compared.
     """
     grams = lambda s: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 2, F.lit(1))), lambda i: F.substring(s, i, F.lit(3))))
-    words = items.select("item", F.explode(F.array_distinct(F.split(F.lower("name"), "[^a-z0-9]+"))).alias("word")).where("length(word) > 2")
+    words = words_of(items, "item")
     known = products.select("product_id", F.lower("name").alias("product")).withColumn("gram", F.explode(grams(F.col("product"))))
     hits = words.withColumn("gram", F.substring("word", 1, 3)).join(known, "gram").where("contains(product, word)").select("item", "product_id").distinct()
     w = Window.partitionBy("item").orderBy("product_id")
@@ -136,13 +136,23 @@ def recommended(candidates: DataFrame, main: str) -> DataFrame:
 
 
 def cross_source(items: DataFrame, products: DataFrame) -> DataFrame:
-    """Values of products with a word that contains a keyword of the item, or is contained in it (item, value)."""
-    words = lambda x, key, name: x.select(key, F.explode(F.array_distinct(F.split(F.lower(name), "[^a-z0-9]+"))).alias("word")).where("length(word) > 2")
-    a, b = words(items, "item", "name").distinct(), words(products, "product_id", "name").distinct()
-    left, right = a.select("word").distinct(), b.select(F.col("word").alias("other")).distinct()
-    pre = F.substring("word", 1, 3) == F.substring("other", 1, 3)
-    inside = left.join(right, pre & (F.col("word").contains(F.col("other")) | F.col("other").contains(F.col("word"))))
-    return a.join(inside, "word").join(b.withColumnRenamed("word", "other"), "other").select("item", "product_id").distinct().join(products.select("product_id", "value"), "product_id").select("item", "value")
+    """Values of products with a keyword that contains a word of the item (over two letters), or is contained in it
+    (item, name, value); each product name once, as its first product has it.
+
+    Either containment is an equality with a part: all parts of the words are listed, which are few as words are short.
+    """
+    parts = lambda w: F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.transform(F.sequence(F.lit(1), F.length(w) - i + 1), lambda n: F.substring(w, i, n))))))
+    a = words_of(items, "item")
+    b = words_of(products, "product_id").withColumnRenamed("word", "keyword")
+    left, right = a.select("word").distinct(), b.select("keyword").distinct()
+    inside = left.select("word", parts(F.col("word")).alias("keyword")).join(right, "keyword").select("word", "keyword").union(right.select("keyword", parts(F.col("keyword")).alias("word")).join(left, "word").select("word", "keyword")).distinct()
+    found = a.join(inside, "word").join(b, "keyword").select("item", "product_id").distinct().join(products.select("product_id", "name", "value"), "product_id")
+    return found.groupBy("item", "name").agg(F.min_by("value", "product_id").alias("value"))
+
+
+def words_of(rows: DataFrame, key: str) -> DataFrame:
+    """Words of over two letters in ``name``, from which everything but letters and spaces is deleted."""
+    return rows.select(key, F.explode(F.array_distinct(F.split(F.regexp_replace(F.lower("name"), "[^a-z ]", ""), " +"))).alias("word")).where("length(word) > 2")
 
 
 def widened(rec: Column, least: Column, most: Column, cross: Column) -> Column:
@@ -172,6 +182,16 @@ def recipe_rows(recipes: DataFrame) -> DataFrame:
     return recipes.select("recipe_id", F.posexplode("ingredients").alias("position", "x")).select("recipe_id", "position", F.col("x.ingredient").alias("ingredient"), F.col("x.grams").alias("grams"))
 
 
+#: Digits to which values per kg are given (fixed values).
+PER_KG_DIGITS = {"ghg": 4, "water": 4, "land": 3, "acidification": 5, "eutrophication": 6}
+RATE_DIGITS = 3
+
+
+def per_kg(value: Column, mass_g: Column, kind: str) -> Column:
+    """An impact by kg of mass, null without mass."""
+    return F.round(F.try_divide(value, mass_g / 1000), PER_KG_DIGITS[kind])
+
+
 def recipe_impact(rows: DataFrame, factors: DataFrame, impacts: dict[str, str]) -> DataFrame:
     """Impact of each recipe from its rows (recipe_id, position, ingredient, grams).
 
@@ -190,10 +210,9 @@ def recipe_impact(rows: DataFrame, factors: DataFrame, impacts: dict[str, str])
         *[F.sum(kg * F.col(f"f_{n}")).alias(n) for n in impacts],
         F.array_sort(F.array_distinct(F.collect_list(F.when(F.col("valid") & ~F.col("matched"), F.col("ingredient"))))).alias("unmatched"),
     )
-    per_kg = F.col("recipe_mass_g") / 1000
     return sums.select(
-        "*", F.round(F.try_divide(F.col("n_matched").cast("double"), F.col("n_ingredients")), 4).alias("match_rate_count"), F.round(F.try_divide(F.coalesce("matched_g", F.lit(0.0)), F.col("recipe_mass_g")), 4).alias("match_rate_mass"),
-        F.round(F.try_divide(F.col("ghg_g") / 1000, per_kg), 4).alias("ghg_per_kg"), *[F.round(F.try_divide(F.col(n), per_kg), 6).alias(f"{n}_per_kg") for n in impacts],
+        "*", F.round(F.try_divide(F.col("n_matched").cast("double"), F.col("n_ingredients")), RATE_DIGITS).alias("match_rate_count"), F.round(F.try_divide(F.coalesce("matched_g", F.lit(0.0)), F.col("recipe_mass_g")), RATE_DIGITS).alias("match_rate_mass"),
+        per_kg(F.col("ghg_g") / 1000, F.col("recipe_mass_g"), "ghg").alias("ghg_per_kg"), *[per_kg(F.col(n), F.col("recipe_mass_g"), n).alias(f"{n}_per_kg") for n in impacts],
     )
 
 
@@ -222,3 +241,34 @@ def product_pedigree(rows: DataFrame) -> DataFrame:
     x = rows.withColumn("total", F.sum("ghg_g").over(w)).withColumn("share", F.round(F.try_divide(100 * F.col("ghg_g"), F.col("total")), 1))
     gaps = F.array_sort(F.collect_list(F.when(F.col("average") > 3.5, F.struct("ingredient", "share"))))
     return x.groupBy("recipe_id").agg(F.round(mean, 2).alias("average"), gaps.alias("gaps"))
+
+
+#: Impact categories of the factor table and their names here (fixed values).
+IMPACT_NAMES = {
+    "Changement climatique": "climate_change",
+    "Appauvrissement de la couche d'ozone": "ozone_depletion",
+    "Rayonnements ionisants": "ionizing_radiation",
+    "Formation photochimique d'ozone": "photochemical_ozone_formation",
+    "Particules fines": "particulate_matter",
+    "Effets toxicologiques sur la santé humaine : substances non-cancérogènes": "human_toxicity_non_carcinogenic",
+    "Effets toxicologiques sur la santé humaine : substances cancérogènes": "human_toxicity_carcinogenic",
+    "Acidification terrestre et eaux douces": "acidification",
+    "Eutrophisation eaux douces": "eutrophication_freshwater",
+    "Eutrophisation marine": "eutrophication_marine",
+    "Eutrophisation terrestre": "eutrophication_terrestrial",
+    "Écotoxicité pour écosystèmes aquatiques d'eau douce": "freshwater_ecotoxicity",
+    "Utilisation du sol": "land_use",
+    "Épuisement des ressources eau": "water_use",
+    "Épuisement des ressources énergétiques": "resource_use_energy",
+    "Épuisement des ressources minéraux": "resource_use_minerals",
+}
+
+
+def impact_table(products: DataFrame, product: str, farm_and_processing: str) -> DataFrame:
+    """All impacts of each product under the names above: 0 where one is missing, and for climate the value of farm and
+    processing where there is one."""
+    have = set(products.columns)
+    value = lambda c: F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) if c in have else F.lit(0.0)
+    climate = "climate_change"
+    cols = [(F.coalesce(F.col(farm_and_processing).cast("double"), value(old)) if new == climate else value(old)).alias(new) for old, new in IMPACT_NAMES.items()]
+    return products.select(F.trim(product).alias("product"), *cols)

@@ -61,19 +61,27 @@ def trace(menus: DataFrame, key: str, synonyms: Mapping[str, str]) -> DataFrame:
     return found.groupBy("name", "category").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name")
 
 
-def count_distribution(counts: DataFrame, shares: Iterable[float] = (0.1, 0.25, 0.5, 0.75, 0.9, 0.99)) -> DataFrame:
-    """Nearest-rank quantiles of ``n``."""
-    total = Window.partitionBy()
-    ranked = counts.withColumn("r", F.row_number().over(total.orderBy("n", "name"))).withColumn("m", F.count("*").over(total))
-    wanted = F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share")
-    return ranked.select("n", "r", "m", wanted).where(F.col("r") == F.greatest(F.lit(1), F.floor(F.col("m") * F.col("share")))).select("share", F.col("n").alias("value"))
+def count_distribution(counts: DataFrame, shares: Iterable[float] = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999)) -> DataFrame:
+    """Nearest-rank quantiles of ``n``, from the number of names with each count rather than by ranking all names."""
+    each = counts.groupBy("n").agg(F.count("*").alias("names"))
+    total = counts.count()
+    upto = each.withColumn("upto", F.sum("names").over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)))
+    wanted = F.explode(F.array(*[F.struct(F.lit(float(s)).alias("share"), F.lit(max(1, int(total * s))).alias("rank")) for s in shares])).alias("w")
+    return upto.select("n", "names", "upto", wanted).where("w.rank <= upto and w.rank > upto - names").select("w.share", F.col("n").alias("value"))
 
 
-def concentration(counts: DataFrame, tops: Iterable[int] = (10, 100, 1000)) -> DataFrame:
-    """Share of all rows that the most frequent names have."""
-    every = Window.partitionBy()
-    x = counts.withColumn("r", F.row_number().over(every.orderBy(F.desc("n"), "name"))).withColumn("total", F.sum("n").over(every))
-    return x.select("n", "r", "total", F.explode(F.array(*map(F.lit, tops))).alias("top")).where("r <= top").groupBy("top").agg((F.sum("n") / F.max("total")).alias("share"))
+def concentration(counts: DataFrame, tops: Iterable[int] = (10, 100, 1000, 5000, 10_000, 50_000, 100_000)) -> DataFrame:
+    """Percent of all rows that the most frequent names have, for as many as there are.
+
+    Names of one count weigh the same, so the distinct counts, which are few, are ranked.
+    """
+    each = counts.groupBy("n").agg(F.count("*").alias("names"))
+    w = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+    x = each.withColumn("upto", F.sum("names").over(w)).withColumn("rows", F.sum(F.col("n") * F.col("names")).over(w))
+    total, names = counts.agg(F.sum("n"), F.count("*")).first()
+    top = F.explode(F.array(*[F.lit(t) for t in tops if t <= (names or 0)] or [F.lit(None).cast("int")])).alias("top")
+    fit = x.select("n", "names", "upto", "rows", top).where("top <= upto and top > upto - names")
+    return fit.select("top", (100 * (F.col("rows") - (F.col("upto") - F.col("top")) * F.col("n")) / F.lit(float(total or 1))).alias("percent"))
 
 
 def top_raw_name(rows: DataFrame, key: str, name: str) -> DataFrame:
@@ -103,3 +111,18 @@ def dish_context(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """Per canonical dish: top name, bucket, rows, distinct restaurants and its cluster id, where it has one."""
     counts = rows.groupBy("canonical_dish").agg(F.count("*").alias("n_rows"), F.countDistinct("restaurant_id").alias("n_restaurants"))
     return counts.join(top_raw_name(rows, "canonical_dish", "raw_menu_name"), "canonical_dish").join(bucket_vote(rows, "canonical_dish", "bucket"), "canonical_dish").join(ids.withColumnRenamed("canonical_name", "canonical_dish"), "canonical_dish", "left")
+
+
+#: Upper ends of the count buckets (fixed values); the last bucket has none.
+COUNT_BUCKETS = (1, 2, 3, 5, 10, 20, 50, 100, 500)
+
+
+def count_buckets(counts: DataFrame) -> DataFrame:
+    """Names and rows by bucket of their count."""
+    bucket = F.coalesce(*[F.when(F.col("n") <= top, F.lit(k)) for k, top in enumerate(COUNT_BUCKETS)], F.lit(len(COUNT_BUCKETS)))
+    return counts.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("names"), F.sum("n").alias("rows"))
+
+
+def next_dishes(context: DataFrame, done: DataFrame, key: str, count: str, top: int) -> DataFrame:
+    """Of the ``top`` most frequent dishes those that are not done yet."""
+    return context.orderBy(F.desc(count), key).limit(top).join(done.select(key).distinct(), key, "left_anti")

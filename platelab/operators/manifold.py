@@ -8,6 +8,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from platelab.functions.text import contains_any
+
+from .cleaning import numbered
+
 
 def usable_dishes(recipes: DataFrame, least: int = 2) -> DataFrame:
     """Recipes without error, with mass and seen at least so often (recipe_id, error, total_count, mass)."""
@@ -16,7 +20,7 @@ def usable_dishes(recipes: DataFrame, least: int = 2) -> DataFrame:
 
 def vocabulary(rows: DataFrame, name: str) -> DataFrame:
     """Distinct values in order with their place from 0."""
-    return rows.select(F.col(name).alias("value")).where("value is not null").distinct().withColumn("place", F.row_number().over(Window.orderBy("value")) - 1)
+    return numbered(rows.select(F.col(name).alias("value")).where("value is not null").distinct(), [F.col("value")])
 
 
 def dish_vectors(rows: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -107,8 +111,18 @@ def detail_records(meta: DataFrame, **parts: DataFrame) -> DataFrame:
     return out
 
 
+#: Rows that the kernels below take; they run on the driver and their work grows with the square of the rows.
+MOST_LEAVES = 4096
+
+
+def _bounded(vectors: np.ndarray) -> None:
+    if len(vectors) > MOST_LEAVES:
+        raise ValueError(f"{len(vectors)} rows are more than the {MOST_LEAVES} that fit one machine; cluster them first")
+
+
 def ward_tree(vectors: np.ndarray) -> list[tuple[int, int, float, int]]:
     """Merges (a, b, height, size) of Ward's linkage by chains of nearest neighbours; for a bounded number of rows."""
+    _bounded(vectors)
     n = len(vectors)
     centres = {i: (vectors[i].astype(float), 1) for i in range(n)}
     merges, chain = [], []
@@ -155,6 +169,7 @@ def cut_tree(merges: list[tuple[int, int, float, int]], n: int, k: int) -> list[
 
 def average_linkage(centres: np.ndarray, threshold: float) -> list[int]:
     """Group of each centre: the two groups with the least mean distance merge while it is below the threshold."""
+    _bounded(centres)
     groups = [[i] for i in range(len(centres))]
     d = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(axis=2))
     while len(groups) > 1:
@@ -199,3 +214,57 @@ def projection(dishes: DataFrame, top: float = 1000.0) -> DataFrame:
     x = dishes.select("idx", array_to_vector(F.col("vector").cast("array<double>")).alias("v"))
     p = PCA(k=2, inputCol="v", outputCol="p").fit(x).transform(x).select("idx", vector_to_array("p").alias("p"))
     return p.select("idx", scaled(F.get("p", F.lit(0)), top=top).alias("x"), scaled(F.get("p", F.lit(1)), top=top).alias("y"))
+
+
+def overlaid(rows: DataFrame, lost_years: str, classes: Iterable[str], default: str = "other") -> DataFrame:
+    """Health as the negative of lost years, and classes that are missing by their default."""
+    return rows.withColumn("health", -F.col(lost_years)).withColumns({c: F.coalesce(c, F.lit(default)) for c in classes})
+
+
+def enriched_leaves(edges: DataFrame, dishes: DataFrame) -> DataFrame:
+    """Edges (parent, child, is_leaf) of a tree; leaves get the columns of the dish whose idx they are."""
+    return edges.join(dishes, (F.col("child") == F.col("idx")) & F.col("is_leaf"), "left").drop("idx")
+
+
+def clade_members(clades: DataFrame, top: int = 20) -> DataFrame:
+    """The most frequent dishes of each clade (clade, name, count), and its size."""
+    w = Window.partitionBy("clade")
+    return clades.withColumn("rank", F.row_number().over(w.orderBy(F.desc("count"), "name"))).withColumn("size", F.count("*").over(w)).where(F.col("rank") <= top)
+
+
+# Parts of ingredients' names by class, in order, and names that are of no class.
+PROTEINS = (
+    ("fish", ("fish", "shrimp", "prawn", "salmon", "tuna", "cod", "tilapia", "crab", "lobster", "scallop", "calamari", "squid", "clam", "mussel", "anchov", "halibut", "catfish", "mahi", "snapper", "trout", "seafood", "octopus", "crawfish", "haddock", "sardine", "eel")),
+    ("lamb", ("lamb", "mutton", "goat")),
+    ("turkey", ("turkey",)),
+    ("chicken", ("chicken",)),
+    ("beef", ("beef", "steak", "brisket", "sirloin", "veal")),
+    ("pork", ("pork", "bacon", "ham", "sausage", "prosciutt", "chorizo", "pancetta", "pepperoni", "salami", "carnitas")),
+    ("egg", ("egg",)),
+    ("tofu", ("tofu", "tempeh", "seitan", "edamame")),
+    ("beans", ("bean", "chickpea", "garbanzo", "lentil")),
+    ("cheese", ("cheese", "paneer", "feta", "mozzarella", "cheddar", "parmesan", "ricotta", "queso", "gouda", "provolone")),
+)
+NO_PROTEIN = ("stock", "broth", "bouillon", "sauce", "powder", "seasoning")
+PROTEIN_BUT = {"egg": ("eggplant", "noodle"), "beans": ("green bean", "string bean", "bean sprout", "vanilla bean", "coffee bean", "cocoa bean")}
+CARBS = (
+    ("potato", ("potato", "fries", "hash brown", "tater", "yam", "cassava", "yuca", "plantain")),
+    ("corn", ("corn", "masa", "polenta", "hominy", "grits", "cornmeal")),
+    ("rice", ("rice",)),
+    ("wheat", ("bread", "pasta", "flour", "tortilla", "noodle", "spaghetti", "macaroni", "bun", "dough", "naan", "pita", "couscous", "bulgur", "crust", "wrap", "biscuit", "cracker", "orzo", "gnocchi", "udon", "ramen", "vermicelli")),
+)
+NO_CARB = ("cornstarch", "rice vinegar", "rice wine", "rice paper")
+
+
+def class_of(ingredient: Column, rules: Iterable[tuple[str, Iterable[str]]], none: Iterable[str], but: dict[str, Iterable[str]] | None = None) -> Column:
+    """The first class with a part of its in the name, unless the name has one of the class's exceptions; null for names
+    of no class."""
+    name = F.lower(F.coalesce(ingredient, F.lit("")))
+    hit = lambda label, parts: contains_any(name, parts) & ~contains_any(name, but[label]) if but and label in but else contains_any(name, parts)
+    return F.when(~contains_any(name, none), F.coalesce(*[F.when(hit(label, parts), F.lit(label)) for label, parts in rules]))
+
+
+def primary_class(rows: DataFrame, kind: Column, default: str = "none") -> DataFrame:
+    """The class with most grams of each recipe, the one named first of equals; rows of no class do not count."""
+    sums = rows.select("recipe_id", kind.alias("class"), F.coalesce("grams", F.lit(0.0)).alias("g"), "position").groupBy("recipe_id", "class").agg(F.sum("g").alias("g"), F.min("position").alias("p"))
+    return sums.groupBy("recipe_id").agg(F.coalesce(F.min_by("class", F.when(F.col("class").isNotNull(), F.struct(-F.col("g"), F.col("p"), F.col("class")))), F.lit(default)).alias("class"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,18 +86,26 @@ def densities(rows: DataFrame, table: DataFrame, nutrients: tuple[str, ...]) ->
     )
 
 
-def meal_groups(rows: DataFrame, groups: DataFrame, servings: int = 4, least: float = 0.05) -> DataFrame:
-    """Grams of each diet group in a serving (recipe_id, group_grams as a map); cooked foods count as raw ones.
+#: Parts of a food's description that say it is cooked (fixed values).
+COOKED = ("cook", "boil", "roast", "braise", "grill", "broil", "fried", "baked", "bake,", "steam", "stew", "canned", "simmer", "prepared", "drained", "moist heat", "dry heat")
+#: Weight as sold of a unit of cooked weight (fixed values).
+COOKED_GRAINS, COOKED_LEGUMES, COOKED_MEAT = 0.45, 0.40, 1 / 0.7
+
+
+def meal_groups(rows: DataFrame, groups: DataFrame, servings: Column | float = 1.0, least: float = 0.05) -> DataFrame:
+    """Grams of each diet group in a serving (recipe_id, group_grams as a map); cooked foods count at the weight that
+    they had dry or raw.
 
-    ``groups`` has ingredient and group. Dried pulses and grains weigh 0.45 and 0.40 of what they do when cooked, meat
-    0.7 the other way; a name that says so is cooked.
+    ``groups`` has ingredient, group and the description of the matched food. ``servings`` is a number or a column of
+    ``rows``; none or 0 counts as 1. Groups under ``least`` grams a serving are left out before rounding.
     """
-    g = groups.select(F.lower(F.trim("ingredient")).alias("key"), F.col("group").alias("g")).dropDuplicates(["key"])
+    g = groups.select(F.lower(F.trim("ingredient")).alias("key"), F.col("group").alias("g"), F.lower(F.coalesce("description", F.lit(""))).alias("about")).dropDuplicates(["key"])
     x = rows.where("grams > 0").withColumn("key", F.lower(F.trim("ingredient"))).join(g, "key").where("g <> 'other'")
-    cooked = F.col("key").rlike("\\b(cooked|boiled|canned|steamed|roasted|grilled|fried|baked)\\b")
-    basis = F.when((F.col("g") == "legumes") & cooked, 0.45).when((F.col("g") == "whole_grains") & cooked, 0.40).when(F.col("g").isin("red_meat", "processed_meat") & ~cooked, 0.7).otherwise(1.0)
-    sums = x.groupBy("recipe_id", "g").agg(F.round(F.sum(F.col("grams") * basis) / servings, 3).alias("v")).where(F.col("v") >= least)
-    return sums.groupBy("recipe_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("g", "v")))).alias("group_grams"))
+    cooked = reduce(lambda a, b: a | b, [F.col("about").contains(word) for word in COOKED])
+    basis = F.when(cooked & (F.col("g") == "whole_grains"), COOKED_GRAINS).when(cooked & (F.col("g") == "legumes"), COOKED_LEGUMES).when(cooked & F.col("g").isin("red_meat", "processed_meat"), COOKED_MEAT).otherwise(1.0)
+    per = F.coalesce(F.nullif(servings if isinstance(servings, Column) else F.lit(float(servings)), F.lit(0.0)), F.lit(1.0))
+    sums = x.groupBy("recipe_id", "g").agg((F.sum(F.col("grams") * basis) / F.max(per)).alias("v")).where(F.col("v") >= least)
+    return sums.groupBy("recipe_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("g", F.round("v", 3).alias("v"))))).alias("group_grams"))
 
 
 def fixed_groups(rows: DataFrame, groups: tuple[str, ...]) -> DataFrame:
@@ -118,3 +128,20 @@ def histogram(rows: DataFrame, column: str) -> DataFrame:
 def ingredient_table(rows: DataFrame, matches: DataFrame, nutrients: DataFrame) -> DataFrame:
     """Distinct ingredients with their match and contents, the most frequent first."""
     return rows.join(matches, "ingredient", "left").join(nutrients, "fdc_id", "left").withColumn("unmatched", F.coalesce("unmatched", F.lit(True))).orderBy(F.desc("occurrences"), "ingredient")
+
+
+def dominant_food(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """The known ingredient with most mass of each recipe, the first of equals, its share of the mass, and its class.
+
+    ``table`` has ingredient and class.
+    """
+    t = table.select(F.lower(F.trim("ingredient")).alias("key"), "class").dropDuplicates(["key"])
+    x = rows.where("grams > 0").withColumn("key", F.lower(F.trim("ingredient"))).join(t, "key", "left").withColumn("known", F.col("class").isNotNull())
+    best = F.min_by(F.struct("ingredient", "class", "grams"), F.when(F.col("known"), F.struct(-F.col("grams"), F.col("position"), F.col("ingredient"))))
+    one = x.groupBy("recipe_id").agg(best.alias("d"), F.sum("grams").alias("mass"))
+    return one.where("d.class is not null").select("recipe_id", "d.ingredient", "d.class", F.try_divide("d.grams", "mass").alias("share"))
+
+
+def manifold(meta: DataFrame, results: DataFrame, key: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``meta`` with their results, in order; and how many have none."""
+    return meta.join(results, key).orderBy(order), meta.join(results, key, "left_anti").agg(F.count("*").alias("missing"))

@@ -102,11 +102,12 @@ def area_stats(rows: DataFrame, area: str, price: str, lat: str, lng: str, metri
     return x.groupBy(area).agg(F.count("*").alias("n"), F.median(price).alias("price"), F.median(lat).alias("lat"), F.median(lng).alias("lng"), *[F.avg(m).alias(m) for m in metrics]).where(F.col("n") >= least)
 
 
-def unified_table(base: DataFrame, parts: Sequence[tuple[DataFrame, str, dict[str, str]]]) -> DataFrame:
-    """``base`` with renamed columns of each part (frame, key, {new: old}); the last row of a key counts."""
+def unified_table(base: DataFrame, parts: Sequence[tuple[DataFrame, str, str, dict[str, str]]]) -> DataFrame:
+    """``base`` with renamed columns of each part (frame, key, order, {new: old}); the last row of a key in that order
+    counts."""
     out = base
-    for frame, key, names in parts:
-        one = frame.groupBy(key).agg(F.last(F.struct(*[F.col(old).alias(new) for new, old in names.items()])).alias("x")).select(key, "x.*")
+    for frame, key, order, names in parts:
+        one = frame.groupBy(key).agg(F.max_by(F.struct(*[F.col(old).alias(new) for new, old in names.items()]), order).alias("x")).select(key, "x.*")
         out = out.join(one, key, "left")
     return out
 
@@ -170,3 +171,8 @@ def complete_boxes(rows: DataFrame, group: str, metrics: Sequence[str]) -> DataF
         ok = ok & (F.col(m) > 0)
     cols = [c for m in metrics for c in (F.avg(m).alias(f"{m}_mean"), *[F.percentile(m, F.lit(p)).alias(f"{m}_{n}") for p, n in ((0.25, "p25"), (0.5, "median"), (0.75, "p75"))])]
     return rows.where(ok).groupBy(group).agg(F.count("*").alias("n"), *cols)
+
+
+def area_income(rows: DataFrame, incomes: DataFrame, area: str, income: str, share: float = 0.99) -> DataFrame:
+    """Rows of areas with a known income, without the areas above the quantile of the joined incomes."""
+    return capped(rows.join(incomes, area).where(F.col(income).isNotNull()), income, share)

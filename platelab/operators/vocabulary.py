@@ -7,13 +7,15 @@ always derived.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platelab.functions import text as T
+from platelab.session import checkpointed
 
 COLUMNS = ["canonical_name", "alias_name", "alias_count", "cluster_id", "method"]
 
@@ -169,28 +171,49 @@ def long_singletons(clusters: DataFrame, allowed: Iterable[str], least: int = 5)
     return clusters.where((F.col("total_count") == 1) & (F.size(tokens) >= least) & ~F.arrays_overlap(tokens, T.literal_array(sorted(allowed))))
 
 
+def _rarity(*tables: DataFrame) -> DataFrame:
+    """How many names of the tables (words) have each word."""
+    every = tables[0].select("words")
+    for t in tables[1:]:
+        every = every.union(t.select("words"))
+    return every.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("names"))
+
+
+def _rarest(rows: DataFrame, rarity: DataFrame, key: str, least: Column) -> DataFrame:
+    """The ``least`` rarest words of each row (key, words): (key, word)."""
+    each = rows.select(key, least.alias("least"), F.explode("words").alias("word")).join(rarity, "word")
+    ranked = each.groupBy(key).agg(F.max("least").alias("least"), F.array_sort(F.collect_list(F.struct("names", "word"))).alias("w"))
+    return ranked.select(key, F.explode(F.slice("w", F.lit(1), F.col("least").cast("int"))).alias("x")).select(key, "x.word")
+
+
 def merge_candidates(clusters: DataFrame, target_least: int = 5, source_most: int = 1, overlap: float = 0.6, growth: int = 2, top: int = 3, sizes: tuple[int, int] = (2, 6)) -> DataFrame:
-    """Rare names with the frequent names that share most of their words, through an index of words."""
+    """Rare names with the frequent names that share most of their words, through an index of words.
+
+    A name that shares at least ``overlap`` of a source's words shares one of its rarest words, of which there are as
+    many as it may miss and one more. So frequent words are looked up for names only that have no rare ones.
+    """
     words = clusters.withColumn("words", F.array_distinct(T.tokens(F.col("canonical_name")))).withColumn("size", F.size("words"))
-    s = words.where((F.col("total_count") <= source_most) & F.col("size").between(*sizes))
-    s = s.select(F.col("cluster_id").alias("source_id"), F.col("size").alias("source_size"), F.explode("words").alias("word"))
-    t = words.where(F.col("total_count") >= target_least)
-    t = t.select(F.col("cluster_id").alias("target_id"), F.col("total_count").alias("target_count"), F.col("size").alias("target_size"), F.explode("words").alias("word"))
-    pairs = s.join(t, "word").where("source_id <> target_id and target_size <= " + str(growth) + " * source_size")
-    shared = pairs.groupBy("source_id", "target_id", "source_size", "target_count").agg(F.count("*").alias("shared"))
+    s = words.where((F.col("total_count") <= source_most) & F.col("size").between(*sizes)).select(F.col("cluster_id").alias("source_id"), F.col("words"), F.col("size").alias("source_size"))
+    t = words.where(F.col("total_count") >= target_least).select(F.col("cluster_id").alias("target_id"), F.col("total_count").alias("target_count"), F.col("size").alias("target_size"), F.col("words"))
+    need = F.ceil(F.col("source_size") * overlap - 1e-9)
+    probes = _rarest(s, _rarity(t, s), "source_id", F.col("source_size") - need + 1)
+    met = probes.join(t.select("target_id", F.explode("words").alias("word")), "word").select("source_id", "target_id").distinct()
+    pairs = met.join(s, "source_id").join(t.withColumnRenamed("words", "target_words"), "target_id").where(f"source_id <> target_id and target_size <= {growth} * source_size")
+    shared = pairs.withColumn("shared", F.size(F.array_intersect("words", "target_words")).cast("long")).where("shared > 0")
     ratio = F.col("shared") / F.col("source_size")
     w = Window.partitionBy("source_id").orderBy(F.desc("ratio"), F.desc("target_count"), "target_id")
     return shared.withColumn("ratio", ratio).where(F.col("ratio") >= overlap).withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).select("source_id", "target_id", "target_count", "shared", "ratio")
 
 
 def rescue_candidates(dropped: DataFrame, kept: DataFrame, blocked: Iterable[str], dropped_least: int = 5, kept_least: int = 20, noise: tuple[int, int] = (1, 2), top: int = 3) -> DataFrame:
-    """Dropped names that hold all words of a frequent kept name and one or two more."""
-    words = lambda x, least: x.where(F.col("total_count") >= least).withColumn("words", F.array_distinct(T.tokens(F.col("canonical_name")))).withColumn("size", F.size("words"))
-    d = words(dropped, dropped_least).select(F.col("cluster_id").alias("dropped_id"), F.col("size").alias("dropped_size"), F.explode("words").alias("word"))
+    """Dropped names that hold all words of a frequent kept name and one or two more; found by its rarest word."""
+    words = lambda x, least: x.where(F.col("total_count") >= least).withColumn("words", F.array_distinct(T.tokens(F.col("canonical_name")))).withColumn("size", F.size("words")).where("size > 0")
+    d = words(dropped, dropped_least).select(F.col("cluster_id").alias("dropped_id"), F.col("size").alias("dropped_size"), "words")
     k = words(kept, kept_least).where(~F.arrays_overlap("words", T.literal_array(sorted(blocked))))
-    k = k.select(F.col("cluster_id").alias("target_id"), F.col("total_count").alias("target_count"), F.col("size").alias("target_size"), F.explode("words").alias("word"))
-    held = d.join(k, "word").groupBy("dropped_id", "target_id", "dropped_size", "target_size", "target_count").agg(F.count("*").alias("shared")).where("shared = target_size")
-    held = held.withColumn("noise", F.col("dropped_size") - F.col("target_size")).where(F.col("noise").between(*noise))
+    k = k.select(F.col("cluster_id").alias("target_id"), F.col("total_count").alias("target_count"), F.col("size").alias("target_size"), "words")
+    probes = _rarest(k, _rarity(d, k), "target_id", F.lit(1))
+    met = probes.join(d.select("dropped_id", F.explode("words").alias("word")), "word").join(d.withColumnRenamed("words", "dropped_words"), "dropped_id").join(k, "target_id")
+    held = met.where(F.size(F.array_except("words", "dropped_words")) == 0).withColumn("noise", F.col("dropped_size") - F.col("target_size")).where(F.col("noise").between(*noise))
     w = Window.partitionBy("dropped_id").orderBy("noise", F.desc("target_count"), "target_id")
     return held.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).select("dropped_id", "target_id", "noise", "target_count")
 
@@ -321,31 +344,148 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * common / (len(a) + len(b))
 
 
+#: Names in a tile; bins of the letters that a name is made of.
+TILE, BINS = 1024, 64
+
+
+def _letters(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths, and how many letters of each bin every name has."""
+    lengths = np.array([len(x) for x in names], np.int32)
+    codes = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), "<u4") % BINS
+    at = np.repeat(np.arange(len(names)), lengths) * BINS + codes
+    counts = np.bincount(at, minlength=len(names) * BINS).reshape(-1, BINS)
+    return lengths, counts.astype(np.int16 if lengths.max(initial=0) < 1 << 15 else np.int32)
+
+
+def _short_ratios(a: list[str], b: list[str], p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """``indel_ratio`` of pairs of names of at most 64 letters, all at once: one word of bits for each pair."""
+    letters = {ch: k for k, ch in enumerate(sorted(set("".join(a))))}
+    masks = np.zeros((len(a), len(letters) + 1), np.uint64)
+    for i, name in enumerate(a):
+        for j, ch in enumerate(name):
+            masks[i, letters[ch]] |= np.uint64(1 << j)
+    codes = np.full((len(b), 64), len(letters))
+    for i, name in enumerate(b):
+        codes[i, : len(name)] = [letters.get(ch, len(letters)) for ch in name]
+    state = np.full(len(p), np.uint64(2**64 - 1))
+    la, lb = np.array([len(x) for x in a])[p], np.array([len(x) for x in b])[q]
+    for j in range(int(lb.max(initial=0))):
+        hit = state & masks[p, codes[q, j]]
+        state = (state + hit) | (state - hit)
+    used = np.uint64(2**64 - 1) >> (64 - la).astype(np.uint64)
+    return 200.0 * np.bitwise_count(~state & used) / (la + lb)
+
+
+def _tile_pairs(a: list[str], b: list[str] | None, ratio: float) -> Iterator[tuple[int, int, float]]:
+    """Places and ratio of similar names: a bound from lengths and letters first, the common subsequence then."""
+    la, ca = _letters(a)
+    lb, cb = (la, ca) if b is None else _letters(b)
+    other = a if b is None else b
+    for top in range(0, len(a), 16):
+        most = np.zeros((len(ca[top : top + 16]), len(other)), np.int32)
+        for bin_ in range(0, BINS, 8):
+            most += np.minimum(ca[top : top + 16, None, bin_ : bin_ + 8], cb[None, :, bin_ : bin_ + 8]).sum(axis=2, dtype=np.int32)
+        p, q = np.nonzero(200.0 * most >= ratio * (la[top : top + 16, None] + lb[None]))
+        p += top
+        if b is None:
+            p, q = p[p < q], q[p < q]
+        short = (la[p] <= 64) & (lb[q] <= 64)
+        if short.any():
+            found = _short_ratios(a[top : top + 16], other, p[short] - top, q[short])
+            yield from ((int(i), int(j), float(r)) for i, j, r in zip(p[short], q[short], found, strict=True) if r >= ratio)
+        for i, j in zip(p[~short].tolist(), q[~short].tolist(), strict=True):
+            if (r := indel_ratio(a[i], other[j])) >= ratio:
+                yield i, j, r
+
+
+def similar_pairs(names: DataFrame, ratio: float) -> DataFrame:
+    """Names (uid, name, k) to pairs (v, u, ratio) of equal k, v < u, whose ``indel_ratio`` is at least ``ratio``.
+
+    Names are dealt into tiles by k and by length, in steps of the greatest factor that the ratio allows; a tile meets
+    the tiles of its own step and the next. Tiles are of bounded size, so a k that many names share is many tasks.
+    """
+    step = F.floor(F.log(F.length("name").cast("double")) / float(np.log((200 - ratio) / ratio))).cast("int")
+    rows = names.select("uid", "name", "k", step.alias("c"))
+    parts = rows.groupBy("k", "c").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
+    tiles = rows.join(parts, ["k", "c"]).groupBy("k", "c", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int").alias("part")).agg(F.collect_list(F.struct("uid", "name")).alias("rows"))
+    after = parts.select("k", (F.col("c") - 1).alias("c"), F.col("parts").alias("next_parts"))
+    to = tiles.join(parts, ["k", "c"]).join(after, ["k", "c"], "left")
+    own = F.transform(F.sequence(F.col("part"), F.col("parts") - 1), lambda x: F.struct(F.col("c").alias("c"), x.alias("part")))
+    following = F.when(F.col("next_parts").isNull(), F.array().cast("array<struct<c:int,part:int>>")).otherwise(F.transform(F.sequence(F.lit(0), F.col("next_parts") - 1), lambda x: F.struct((F.col("c") + 1).alias("c"), x.alias("part"))))
+    left = to.select("k", F.col("c").alias("c0"), F.col("part").alias("p0"), F.col("rows").alias("left"), F.explode(F.concat(own, following)).alias("t")).select("k", "c0", "p0", "left", "t.c", "t.part")
+    same = (F.col("c0") == F.col("c")) & (F.col("p0") == F.col("part"))
+    work = left.join(tiles, ["k", "c", "part"]).select("left", F.when(~same, F.col("rows")).alias("right"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch.column(0), batch.column(1), strict=True):
+                ids, a = x.values.field("uid").to_numpy(), x.values.field("name").to_pylist()
+                others, b = (ids, None) if not y.is_valid else (y.values.field("uid").to_numpy(), y.values.field("name").to_pylist())
+                found = list(_tile_pairs(a, b, ratio))
+                if found:
+                    p, q, r = zip(*found, strict=True)
+                    u, v = ids[list(p)], others[list(q)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(r, pa.float64())], ["v", "u", "ratio"])
+
+    return work.mapInArrow(compare, "v long, u long, ratio double")
+
+
 def fuzzy_clusters(counts: DataFrame, ratio: float = 90.0) -> DataFrame:
     """Aliases from distinct names (name, n): in order of frequency, each name joins the most similar canonical name of
-    as many words, or becomes one.
+    as many words, the one that was opened first if several are, or becomes one.
 
-    The rule looks at names one after another, so a bucket of word counts is the unit of work; only canonical names
-    whose length allows the ratio are compared. Cluster ids are hashes of the canonical name.
+    Pairs that are similar enough are found first, in parallel. Whether a name is canonical then depends on its earlier
+    similar names only: it is an alias if one of these is canonical, and canonical once all of them are aliases. Rounds
+    over the pairs settle all names; only names with similar ones take part. Cluster ids are hashes of the canonical name.
     """
-    def cluster(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table.column("name").to_pylist(), table.column("n").to_pylist(), strict=True), key=lambda r: (-r[1], r[0]))
-        by_length: dict[int, list[str]] = {}
-        own = []
-        shortest = ratio / (200 - ratio)
-        for name, n in rows:
-            best, score = None, ratio
-            for length in range(int(len(name) * shortest), int(len(name) / shortest) + 1):
-                for other in by_length.get(length, ()):
-                    r = indel_ratio(other, name)
-                    if r > score or (r == score and best is None):
-                        best, score = other, r
-            if best is None:
-                by_length.setdefault(len(name), []).append(name)
-            own.append((best or name, name, n, "fuzzy" if best else "self"))
-        return pa.table({"canonical_name": [r[0] for r in own], "alias_name": [r[1] for r in own], "alias_count": pa.array([r[2] for r in own], pa.int64()), "method": [r[3] for r in own]})
-
-    words = counts.where("name <> ''").select("name", "n", F.size(T.tokens(F.col("name"))).alias("k"))
-    found = words.groupBy("k").applyInArrow(cluster, "canonical_name string, alias_name string, alias_count long, method string")
-    return found.withColumn("cluster_id", F.xxhash64("canonical_name")).select(*COLUMNS)
+    rows = counts.where("name <> ''").select("name", "n", F.size(T.tokens(F.col("name"))).alias("k")).orderBy(F.desc("n"), "name")
+    names = checkpointed(rows.select(F.monotonically_increasing_id().alias("uid"), "name", "n", "k"))  # ids follow the order
+    pairs = checkpointed(similar_pairs(names, ratio))
+    waiting, aliases = pairs.select("u").distinct(), None
+    while not waiting.isEmpty():
+        x = pairs.join(waiting, "u").join(waiting.select(F.col("u").alias("v"), F.lit(True).alias("waits")), "v", "left")
+        x = x.withColumn("alias", F.lit(None).cast("boolean")) if aliases is None else x.join(aliases.select(F.col("u").alias("v"), F.lit(True).alias("alias")), "v", "left")
+        state = checkpointed(x.groupBy("u").agg(F.bool_or(F.col("waits").isNull() & F.col("alias").isNull()).alias("joins"), F.bool_or(F.col("waits").isNotNull()).alias("waits")))
+        found = state.where("joins").select("u")
+        aliases = found if aliases is None else aliases.union(found)
+        waiting = state.where("not joins and waits").select("u")
+    if aliases is None:
+        best = names.limit(0).select(F.col("uid").alias("u"), F.col("uid").alias("v"))
+    else:
+        best = pairs.join(aliases, "u").join(aliases.select(F.col("u").alias("v")), "v", "left_anti").groupBy("u").agg(F.max_by("v", F.struct("ratio", -F.col("v"))).alias("v"))
+    own = names.join(best, F.col("uid") == F.col("u"), "left").select("name", "n", "u", F.coalesce("v", "uid").alias("head"))
+    done = own.join(names.select(F.col("uid").alias("head"), F.col("name").alias("canonical_name")), "head")
+    method = F.when(F.col("u").isNull(), "self").otherwise("fuzzy")
+    return done.select("canonical_name", F.col("name").alias("alias_name"), F.col("n").alias("alias_count"), F.xxhash64("canonical_name").alias("cluster_id"), method.alias("method"))
+
+
+def drop_audit(aliases: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Clusters, aliases and rows that ``drop_clusters`` takes away and leaves."""
+    gone = dropped.select("cluster_id").distinct().withColumn("gone", F.lit(True))
+    x = aliases.join(gone, "cluster_id", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+    return x.groupBy("gone").agg(F.countDistinct("cluster_id").alias("clusters"), F.count("*").alias("aliases"), F.sum("alias_count").alias("rows"))
+
+
+def bucket_examples(buckets: DataFrame, top: int = 3, sample: int = 2) -> DataFrame:
+    """Of each bucket the most frequent names, and of each bucket and reason names in the order of a hash."""
+    best = Window.partitionBy("bucket").orderBy(F.desc("total_count"), "canonical_name")
+    some = Window.partitionBy("bucket", "second_reason").orderBy(F.md5("canonical_name"), "canonical_name")
+    one = buckets.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("bucket", F.lit("top").alias("kind"), F.lit(None).cast("string").alias("reason"), "rank", "canonical_name")
+    two = buckets.withColumn("rank", F.row_number().over(some)).where(F.col("rank") <= sample).select("bucket", F.lit("sample").alias("kind"), F.col("second_reason").alias("reason"), "rank", "canonical_name")
+    return one.unionByName(two)
+
+
+def judge_batches(pairs: DataFrame, order: list[Column], line: Column, size: int = 20) -> DataFrame:
+    """Numbered lines of pairs in batches of ``size``, one prompt text per batch."""
+    from .cleaning import numbered
+
+    x = numbered(pairs, order).withColumn("batch", F.floor(F.col("place") / size).cast("int")).withColumn("item", (F.pmod("place", F.lit(size)) + 1).cast("int"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("item", line.alias("line")))), lambda r: F.concat(r["item"].cast("string"), F.lit(". "), r["line"]))
+    return x.groupBy("batch").agg(F.array_join(lines, "\n").alias("prompt"), F.count("*").alias("items"))
+
 
+def review_records(aliases: DataFrame, merges: DataFrame, forms: int = 3) -> DataFrame:
+    """Of each cluster its most frequent forms and the clusters that it might merge into (source_id, target_id, ratio)."""
+    top = aliases.groupBy("cluster_id").agg(F.max("canonical_name").alias("canonical_name"), F.sum("alias_count").alias("total_count"), F.slice(F.array_sort(F.collect_list(F.struct((-F.col("alias_count")).alias("minus"), "alias_name"))), 1, forms).alias("f"))
+    to = merges.groupBy(F.col("source_id").alias("cluster_id")).agg(F.array_sort(F.collect_list(F.struct((-F.col("ratio")).alias("minus"), "target_id"))).alias("m"))
+    return top.join(to, "cluster_id", "left").select("cluster_id", "canonical_name", "total_count", F.transform("f", lambda x: x["alias_name"]).alias("forms"), F.coalesce(F.transform("m", lambda x: x["target_id"]), F.array().cast("array<long>")).alias("suggestions"))

@@ -1,3 +1,3 @@
 """Queries over the driver's tables."""
 
-from . import flexibility, impact, menus, nutrition, registry, statistics, vocabulary  # noqa: F401
+from . import dishes, flexibility, impact, judgments, menus, nutrition, registry, statistics, storage, vocabulary  # noqa: F401

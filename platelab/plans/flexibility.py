@@ -43,12 +43,15 @@ def best_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.best_pick(_pairs(spark, sf_dir, 0.8), _dishes(spark, sf_dir), "ghg", 0.8)
 
 
+SWAPS = "p_partkey AS idx, CAST(1 + p_size AS DOUBLE) AS ghg, CAST(p_partkey % 7 AS DOUBLE) AS health, p_type AS cuisine"
+
+
 @query(
     "swap_search",
-    D + ", k AS (SELECT i, j, CASE WHEN a.cuisine = b.cuisine THEN 0 ELSE 1 END AS o, (a.ghg - b.ghg) / a.ghg + 2 * greatest(0, b.health - a.health) AS s FROM p JOIN m a ON a.idx = i JOIN m b ON b.idx = j WHERE d <= 0.8 AND i <> j AND b.ghg <= a.ghg AND b.health >= a.health AND a.ghg > 0) SELECT i AS idx, first(j ORDER BY o, round(s, 9) DESC, j) AS swap FROM k GROUP BY 1",
+    D.replace("p_retailprice / 100 AS ghg, CAST(p_size AS DOUBLE) AS health", "CAST(1 + p_size AS DOUBLE) AS ghg, CAST(p_partkey % 7 AS DOUBLE) AS health") + ", k AS (SELECT i, j, a.cuisine <> b.cuisine AS o, (a.ghg - b.ghg) / a.ghg + 2 * (b.health - a.health) AS s FROM p JOIN m a ON a.idx = i JOIN m b ON b.idx = j WHERE d <= 0.8 AND i <> j AND b.ghg < a.ghg * 0.9 AND b.health >= a.health) SELECT i AS idx, first(j ORDER BY o, round(s, 9) DESC, j) AS swap FROM k GROUP BY 1",
 )
 def swap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.swap_search(_pairs(spark, sf_dir, 0.8), _dishes(spark, sf_dir), 0.8)
+    return X.swap_search(_pairs(spark, sf_dir, 0.8), I.read(spark, sf_dir, "part").selectExpr(*SWAPS.split(", ")), 0.8)
 
 
 @query(

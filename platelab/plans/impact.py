@@ -49,7 +49,7 @@ IMPACTS = {"water": "water", "land": "land"}
     R
     + """, x AS (SELECT r.*, f.ghg AS fg, f.water AS fw, f.land AS fl, f.ghg IS NOT NULL AND grams > 0 AS m FROM r LEFT JOIN f ON lower(r.ingredient) = lower(f.ingredient)),
 s AS (SELECT recipe_id, sum(grams) AS mass, count(*) AS n, count(*) FILTER (WHERE m) AS nm, sum(CASE WHEN m THEN grams END) AS mg, coalesce(sum(CASE WHEN m THEN grams / 1000 * fg * 1000 END), 0) AS ghg, sum(CASE WHEN m THEN grams / 1000 * fw END) AS water, sum(CASE WHEN m THEN grams / 1000 * fl END) AS land FROM x GROUP BY 1)
-SELECT recipe_id, mass AS recipe_mass_g, n AS n_ingredients, nm AS n_matched, round(ghg, 4) AS ghg_g, round(nm / n, 4) AS match_rate_count, round(coalesce(mg, 0) / mass, 4) AS match_rate_mass, round(ghg / 1000 / (mass / 1000), 4) AS ghg_per_kg, round(water / (mass / 1000), 6) AS water_per_kg, round(land / (mass / 1000), 6) AS land_per_kg FROM s""",
+SELECT recipe_id, mass AS recipe_mass_g, n AS n_ingredients, nm AS n_matched, round(ghg, 4) AS ghg_g, round(nm / n, 3) AS match_rate_count, round(coalesce(mg, 0) / mass, 3) AS match_rate_mass, round(ghg / 1000 / (mass / 1000), 4) AS ghg_per_kg, round(water / (mass / 1000), 4) AS water_per_kg, round(land / (mass / 1000), 3) AS land_per_kg FROM s""",
 )
 def recipe_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = impact.recipe_impact(I.recipe_rows(spark, sf_dir), I.factors(spark, sf_dir), IMPACTS)
@@ -68,7 +68,7 @@ def impact_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("recipe_id", F.size("ingredients").cast("long").alias("n"), F.round(F.get("ingredients", F.lit(0))["ghg_g"], 6).alias("largest"))
 
 
-CAND = "(SELECT p_name AS item, p_type AS source, p_retailprice AS value, p_size % 4 = 0 AS exact, concat(p_name, ' ', p_brand) AS name, p_partkey AS position FROM part WHERE p_partkey % 5 <> 0)"
+CAND = "(SELECT p_name AS item, p_type AS source, p_retailprice AS value, p_size % 4 = 0 AS exact, concat(p_name, ' ', p_brand) AS name, p_partkey AS position FROM part)"
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,9 +144,9 @@ def product_pedigree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "vector_topk",
-    """WITH q AS (SELECT vec_id AS query_id, list_transform(embedding, lambda v: v::DOUBLE) AS v FROM embeddings WHERE vec_id % 50 = 0), p AS (SELECT vec_id AS product_id, CASE WHEN label < 5 THEN 'A' ELSE 'B' END AS source, concat('product ', label) AS name, list_transform(embedding, lambda v: v::DOUBLE) AS v FROM embeddings),
-s AS (SELECT query_id, source, product_id, name, list_cosine_similarity(q.v, p.v) AS score FROM q, p), r AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, product_id) AS r FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, product_id) AS rank FROM r WHERE r <= 10 AND name NOT LIKE '%3%')
-SELECT query_id, source, product_id, round(score, 6) AS score, rank::INT AS rank FROM k WHERE rank <= CASE source WHEN 'A' THEN 5 ELSE 3 END""",
+    """WITH q AS (SELECT vec_id AS query_id, list_transform(embedding, lambda v: v::DOUBLE) AS v FROM embeddings WHERE vec_id % 20 = 0), p AS (SELECT vec_id AS product_id, CASE WHEN label < 5 THEN 'A' ELSE 'B' END AS source, concat('product ', label) AS name, list_transform(embedding, lambda v: v::DOUBLE) AS v FROM embeddings),
+s AS (SELECT query_id, source, product_id, name, list_cosine_similarity(q.v, p.v) AS score FROM q, p), r AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, product_id) AS r FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, product_id) AS rank FROM r WHERE r <= 40 AND name NOT LIKE '%3%')
+SELECT query_id, source, product_id, round(score, 6) AS score, rank::INT AS rank FROM k WHERE rank <= CASE source WHEN 'A' THEN 20 ELSE 10 END""",
 )
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = I.read(spark, sf_dir, "embeddings")
@@ -155,21 +155,6 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact.top_by_cosine(q, p, {"A": 20, "B": 10}, 40, "3").select("query_id", "source", "product_id", F.round("score", 6).alias("score"), "rank")
 
 
-def _uniforms() -> str:
-    """Random numbers step by step, each step a subquery, as SQL has no names within an expression."""
-    sql = "SELECT recipe_id, position, ingredient, draw, grams, lo, mid, hi, " + ", ".join(f"(k * 2654435761 + position * 40503 + {s} * 97) % 2147483648 AS x{s}" for s in (1, 2, 3)) + " FROM b"
-    for c in (739982445, 695872825, 1103515245):
-        sql = "SELECT recipe_id, position, ingredient, draw, grams, lo, mid, hi, " + ", ".join(f"(xor(x{s}, x{s} >> 15) * {c}) % 2147483648 AS x{s}" for s in (1, 2, 3)) + f" FROM ({sql})"
-    return "SELECT recipe_id, position, ingredient, draw, grams, lo, mid, hi, " + ", ".join(f"(xor(x{s}, x{s} >> 16) + 0.5::DOUBLE) / 2147483648::DOUBLE AS u{s}" for s in (1, 2, 3)) + f" FROM ({sql})"
-
-
-#: The SQL still has the former 400 draws of the first recipes; the queries make ``montecarlo.N`` of each recipe.
-DRAWS = 400
-MC = R + f""", b AS (SELECT r.recipe_id, r.position, r.ingredient, draw, r.recipe_id * {DRAWS} + draw AS k, grams, ghg / 2 AS lo, ghg AS mid, CASE WHEN r.position = 2 THEN ghg / 2 ELSE ghg * 2 END AS hi FROM r JOIN f USING (ingredient), (SELECT unnest(generate_series(0, {DRAWS - 1})) AS draw) WHERE recipe_id < 60),
-u AS ({_uniforms()}),
-i AS (SELECT recipe_id, position, ingredient, draw, grams * (1 + 0.15 * (sqrt(-2 * ln(u2)) * cos(6.283185307179586 * u3))) * CASE WHEN hi = lo THEN mid WHEN u1 < (mid - lo) / (hi - lo) THEN lo + sqrt(u1 * (hi - lo) * (mid - lo)) ELSE hi - sqrt((1 - u1) * (hi - lo) * (hi - mid)) END AS impact FROM u)"""
-
-
 def _simulated(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = I.recipe_rows(spark, sf_dir).join(I.factors(spark, sf_dir), "ingredient")
     low = F.col("ghg") / 2
@@ -177,20 +162,13 @@ def _simulated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return montecarlo.simulated(x)
 
 
-@query(
-    "monte_carlo_summary",
-    MC + ", t AS (SELECT recipe_id, draw, sum(impact) AS t FROM i GROUP BY ALL) SELECT recipe_id, round(avg(t), 3) AS mean, round(stddev_samp(t), 3) AS sd, round(quantile_cont(t, 0.05), 3) AS p5, round(quantile_cont(t, 0.5), 3) AS p50, round(quantile_cont(t, 0.95), 3) AS p95 FROM t GROUP BY 1",
-)
+#: Ten thousand draws of every recipe are too many for SQL; tests hold both queries against the draws themselves.
+@query("monte_carlo_summary")
 def monte_carlo_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _simulated(spark, sf_dir).select("recipe_id", *[F.round(c, 3).alias(c) for c in ("mean", "sd", "p5", "p50", "p95")])
 
 
-@query(
-    "variance_drivers",
-    MC
-    + """, e AS (SELECT recipe_id, ingredient, position, var_samp(impact) AS v FROM i GROUP BY ALL), l AS (SELECT recipe_id, ingredient, arg_max(v, position) AS v FROM e GROUP BY ALL), w AS (SELECT recipe_id, var_samp(t) AS w FROM (SELECT recipe_id, draw, sum(impact) AS t FROM i GROUP BY ALL) GROUP BY 1),
-k AS (SELECT recipe_id, ingredient, CASE WHEN w > 0 THEN v / w ELSE 0 END AS share FROM l JOIN w USING (recipe_id)) SELECT recipe_id, rank::INT AS rank, ingredient, round(share, 4) AS share FROM (SELECT *, row_number() OVER (PARTITION BY recipe_id ORDER BY share DESC, ingredient) AS rank FROM k) WHERE rank <= 5""",
-)
+@query("variance_drivers")
 def variance_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _simulated(spark, sf_dir).select("recipe_id", F.posexplode("drivers").alias("at", "d"))
     return x.select("recipe_id", (F.col("at") + 1).alias("rank"), "d.ingredient", F.round("d.share", 4).alias("share"))
@@ -198,7 +176,7 @@ def variance_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "keyword_candidates",
-    "WITH i AS (SELECT DISTINCT p_name AS item FROM part), w AS (SELECT item, unnest(string_split(item, ' ')) AS word FROM i), p AS (SELECT p_partkey AS product_id, lower(concat(p_type, ' ', p_name)) AS product FROM part WHERE p_partkey % 7 = 0), h AS (SELECT DISTINCT item, product_id FROM w JOIN p ON contains(product, word) WHERE length(word) > 2) SELECT item, product_id FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY product_id) AS r FROM h) WHERE r <= 5",
+    "WITH i AS (SELECT DISTINCT p_name AS item FROM part), w AS (SELECT item, unnest(string_split(item, ' ')) AS word FROM i), p AS (SELECT p_partkey AS product_id, lower(concat(p_type, ' ', p_name)) AS product FROM part), h AS (SELECT DISTINCT item, product_id FROM w JOIN p ON contains(product, word) WHERE length(word) > 2) SELECT item, product_id FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY product_id) AS r FROM h) WHERE r <= 5",
 )
 def keyword_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = I.read(spark, sf_dir, "part")
@@ -213,3 +191,17 @@ def keyword_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def multi_query_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = I.read(spark, sf_dir, "part").selectExpr("p_brand AS item", "p_name AS name", "CAST(p_partkey * 7919 % 10007 AS DOUBLE) AS score")
     return impact.best_of_queries(f, 4)
+
+
+CROSS_ITEMS, CROSS_PRODUCTS = "p_name AS item, concat(p_name, ' (2%)') AS name", "p_partkey AS product_id, concat(substr(p_name, 2, 4 + p_size % 3), ' ', p_type) AS name, CAST(p_size AS DOUBLE) AS value"
+
+
+@query(
+    "cross_source",
+    f"""WITH i AS (SELECT DISTINCT {CROSS_ITEMS} FROM part), p AS (SELECT {CROSS_PRODUCTS} FROM part), w AS (SELECT item, unnest(string_split(regexp_replace(lower(name), '[^a-z ]', '', 'g'), ' ')) AS w FROM i), k AS (SELECT product_id, name, value, unnest(string_split(regexp_replace(lower(name), '[^a-z ]', '', 'g'), ' ')) AS k FROM p)
+SELECT item, name, arg_min(value, product_id) AS value FROM w JOIN k ON length(w) > 2 AND length(k) > 2 AND (contains(w, k) OR contains(k, w)) GROUP BY item, name""",
+)
+def cross_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = I.read(spark, sf_dir, "part")
+    items, products = p.selectExpr(*CROSS_ITEMS.split(", ", 1)).distinct(), p.selectExpr("p_partkey AS product_id", "concat(substr(p_name, 2, 4 + p_size % 3), ' ', p_type) AS name", "CAST(p_size AS DOUBLE) AS value")
+    return impact.cross_source(items, products)

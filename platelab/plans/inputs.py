@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-NAME = """CASE p_partkey % 8 WHEN 0 THEN concat('#13 ', p_name, ' wraps') WHEN 1 THEN concat(p_size, ' pc. ', p_name, ' (spicy)') WHEN 2 THEN concat('The ', p_name, ' &amp; prawns')
+NAME = """CASE p_partkey % 8 WHEN 0 THEN concat('#13 ', p_name, ' wraps') WHEN 1 THEN concat(p_size, ' pc. ', p_name, ' (spicy)') WHEN 2 THEN concat('The ', p_name, ' &amp;', CASE WHEN p_size % 2 = 0 THEN 'amp;' ELSE '' END, ' prawns')
  WHEN 3 THEN concat(p_name, ' 8 oz hamburger') WHEN 4 THEN concat('ten ', p_name, ' tenders') WHEN 5 THEN concat('A) ', p_name, ' w/bacon [vegan]') WHEN 6 THEN concat(p_name, ' of ', p_name, ' fettuccini') ELSE NULL END"""
 CATEGORY = "CASE p_partkey % 6 WHEN 0 THEN 'Wraps' WHEN 1 THEN 'Hoagies' WHEN 2 THEN 'Burgers & Bowls' WHEN 3 THEN 'Drinks' WHEN 4 THEN 'Noodles' ELSE NULL END"
 TAGS = "CASE s_suppkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'Pizza, Bar' WHEN 2 THEN 'Grocery' WHEN 3 THEN ' Burgers ,Grocery' ELSE 'Sandwiches, Thai' END"

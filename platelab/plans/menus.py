@@ -35,9 +35,15 @@ def replaced(x: str, table: dict[str, str]) -> str:
     return f"list_transform({x}, lambda t: CASE t {cases} ELSE t END)"
 
 
+def singular(x: str) -> str:
+    """Plurals of formats by the endings that a format takes."""
+    ends = " ".join(f"WHEN t IN ('{f}s', '{f}es'{f", '{f[:-1]}ies'" if f.endswith('y') else ''}) THEN '{f}'" for _, f in T.FORMATS)
+    return f"list_transform({x}, lambda t: CASE {ends} ELSE t END)"
+
+
 KEYED = f"""WITH m AS (SELECT *, {normal("name")} AS base, {fmt("category")} AS f FROM {I.MENU_SQL}),
 n AS (SELECT *, CASE WHEN len(list_distinct(f)) = 1 THEN f[1] END AS fmt FROM m),
-w AS (SELECT *, CASE WHEN fmt IS NULL THEN base ELSE array_to_string(list_sort(list_distinct(list_append({replaced(words("base"), T.plural_formats())}, fmt))), ' ') END AS with_format FROM n),
+w AS (SELECT *, CASE WHEN fmt IS NULL THEN base ELSE array_to_string(list_sort(list_distinct(list_append({singular(words("base"))}, fmt))), ' ') END AS with_format FROM n),
 k AS (SELECT *, nullif(array_to_string(list_sort(list_distinct({replaced(words("with_format"), I.SYNONYMS)})), ' '), '') AS key FROM w)"""
 
 
@@ -197,27 +203,3 @@ def bucket_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     tiers = [{"thai": "Asian"}, {"burgers": "American", "pizza": "Italian"}]
     x = I.read(spark, sf_dir, "supplier").join(I.restaurants(spark, sf_dir), F.col("s_suppkey") == F.col("id"))
     return index.bucket_vote(x.withColumn("bucket", index.tier_bucket(T.tags(F.col("category")), tiers, "Other")), "s_nationkey", "bucket")
-
-
-@query(
-    "count_distribution",
-    "WITH c AS (SELECT p_name AS name, count(*) AS n FROM part GROUP BY 1), r AS (SELECT n, row_number() OVER (ORDER BY n, name) AS r, count(*) OVER () AS m FROM c) SELECT s.share::DOUBLE AS share, n AS value FROM r, (SELECT unnest([0.1, 0.25, 0.5, 0.75, 0.9, 0.99]::DOUBLE[]) AS share) s WHERE r = greatest(1, floor(m * s.share))",
-)
-def count_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.count_distribution(cleaning.count_names(I.read(spark, sf_dir, "part"), F.col("p_name")))
-
-
-@query("concentration", "WITH c AS (SELECT p_name AS name, count(*) AS n FROM part GROUP BY 1), r AS (SELECT n, row_number() OVER (ORDER BY n DESC, name) AS r, sum(n) OVER () AS total FROM c) SELECT top, round(sum(n) / max(total), 6) AS share FROM r, (SELECT unnest([10, 100, 1000]) AS top) WHERE r <= top GROUP BY top")
-def concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.concentration(cleaning.count_names(I.read(spark, sf_dir, "part"), F.col("p_name"))).withColumn("share", F.round("share", 6))
-
-
-@query("equal_chunks", "SELECT p_partkey, CAST(floor((row_number() OVER (ORDER BY p_name, p_partkey) - 1) / ceil((SELECT count(*) FROM part) / 7.0)) AS INT) AS chunk FROM part")
-def equal_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleaning.equal_chunks(I.read(spark, sf_dir, "part"), [F.col("p_name"), F.col("p_partkey")], 7).select("p_partkey", "chunk")
-
-
-@query("html_unescape")
-def html_unescape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = I.read(spark, sf_dir, "pages")
-    return x.select("page_id", F.length(T.html_unescape(F.col("html"))).alias("n"))

@@ -103,17 +103,20 @@ def class_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 GROUPS = "CASE WHEN ingredient LIKE '%gear%' THEN 'legumes' WHEN ingredient LIKE '%bolt%' THEN 'red_meat' WHEN ingredient LIKE '%ring%' THEN 'whole_grains' ELSE 'other' END"
+ABOUT = "concat(ingredient, CASE right(ingredient, 1) WHEN '1' THEN ', cooked' WHEN '2' THEN ', Canned, drained' WHEN '3' THEN ', stewed meat' WHEN '4' THEN ', dry heat' ELSE ', raw' END)"
 
 
 @query(
     "meal_groups",
-    f"""WITH r AS {I.ROWS_SQL}, x AS (SELECT recipe_id, {GROUPS} AS g, grams * CASE WHEN ingredient LIKE '%bolt%' THEN 0.7 ELSE 1.0 END AS v FROM r), s AS (SELECT recipe_id, g, round((sum(v) / 4)::DOUBLE, 3) AS v FROM x WHERE g <> 'other' GROUP BY ALL HAVING sum(v) / 4 >= 0.05)
-SELECT recipe_id, coalesce(max(v) FILTER (WHERE g = 'legumes'), 0) AS legumes, coalesce(max(v) FILTER (WHERE g = 'red_meat'), 0) AS red_meat, coalesce(max(v) FILTER (WHERE g = 'whole_grains'), 0) AS whole_grains FROM s GROUP BY 1""",
+    f"""WITH r AS {I.ROWS_SQL}, d AS (SELECT *, {GROUPS} AS g, lower({ABOUT}) AS about, CASE WHEN recipe_id % 3 = 0 THEN 1 ELSE recipe_id % 3 END AS servings FROM r),
+x AS (SELECT recipe_id, g, servings, grams * CASE WHEN NOT regexp_matches(about, 'cook|boil|roast|brais|grill|broil|fried|baked|steam|stew|canned|simmer|prepared|drained|moist heat|dry heat') THEN 1 WHEN g = 'whole_grains' THEN 0.45 WHEN g = 'legumes' THEN 0.4 WHEN g = 'red_meat' THEN 1 / 0.7 ELSE 1 END AS v FROM d WHERE g <> 'other'),
+s AS (SELECT recipe_id, g, (sum(v) / any_value(servings))::DOUBLE AS v FROM x GROUP BY ALL HAVING sum(v) / any_value(servings) >= 0.05)
+SELECT recipe_id, round(coalesce(max(v) FILTER (WHERE g = 'legumes'), 0), 3) AS legumes, round(coalesce(max(v) FILTER (WHERE g = 'red_meat'), 0), 3) AS red_meat, round(coalesce(max(v) FILTER (WHERE g = 'whole_grains'), 0), 3) AS whole_grains FROM s GROUP BY 1""",
 )
 def meal_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = I.recipe_rows(spark, sf_dir)
-    groups = rows.select("ingredient").distinct().withColumn("group", F.expr(GROUPS))
-    return nutrition.fixed_groups(nutrition.meal_groups(rows, groups), ("legumes", "red_meat", "whole_grains"))
+    groups = rows.select("ingredient").distinct().withColumn("group", F.expr(GROUPS)).withColumn("description", F.expr(ABOUT))
+    return nutrition.fixed_groups(nutrition.meal_groups(rows, groups, (F.col("recipe_id") % 3).cast("double")), ("legumes", "red_meat", "whole_grains"))
 
 
 @query(

@@ -38,7 +38,7 @@ def box_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("c_mktsegment", "n", F.round("mean", 4).alias("mean"), "weight", *[F.round(c, 4).alias(c) for c in ("q05", "q50", "q95")])
 
 
-PAIRS = "(SELECT l_orderkey * 10 + l_linenumber AS k, l_quantity AS a, l_extendedprice AS b, CASE WHEN l_linenumber <> 3 THEN l_discount END AS c FROM lineitem WHERE l_orderkey % 10 = 0)"
+PAIRS = "(SELECT l_orderkey * 10 + l_linenumber AS k, l_quantity AS a, l_extendedprice AS b, CASE WHEN l_linenumber <> 3 THEN l_discount END AS c FROM lineitem)"
 
 
 def _measures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +144,7 @@ def cuisine_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "dish_vectors",
-    "WITH r AS (SELECT l_orderkey AS dish, l_quantity AS w, list_transform(embedding, lambda v: v::DOUBLE) AS v FROM lineitem JOIN embeddings ON vec_id = l_partkey % 500 WHERE l_orderkey < 300), s AS (SELECT dish, d, sum(w * v) AS s FROM (SELECT dish, w, unnest(v) AS v, generate_subscripts(v, 1) AS d FROM r) GROUP BY ALL), n AS (SELECT dish, sqrt(sum(s * s)) AS n FROM s GROUP BY 1) SELECT dish, round(sum(s / n * d), 4) AS checksum FROM s JOIN n USING (dish) GROUP BY 1",
+    "WITH r AS (SELECT l_orderkey AS dish, l_quantity AS w, list_transform(embedding, lambda v: v::DOUBLE) AS v FROM lineitem JOIN embeddings ON vec_id = l_partkey % (SELECT max(vec_id) + 1 FROM embeddings)), s AS (SELECT dish, d, sum(w * v) AS s FROM (SELECT dish, w, unnest(v) AS v, generate_subscripts(v, 1) AS d FROM r) GROUP BY ALL), n AS (SELECT dish, sqrt(sum(s * s)) AS n FROM s GROUP BY 1) SELECT dish, round(sum(s / n * d), 4) AS checksum FROM s JOIN n USING (dish) GROUP BY 1",
 )
 def dish_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = I.read(spark, sf_dir, "embeddings")

@@ -196,5 +196,4 @@ def recanonicalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("fuzzy_clusters")
 def fuzzy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = F.lower(F.array_join(F.slice(F.split("text", " "), 1, 4), " "))
-    return V.fuzzy_clusters(cleaning.count_names(I.read(spark, sf_dir, "documents"), names))
+    return V.fuzzy_clusters(cleaning.count_names(I.read(spark, sf_dir, "documents"), F.lower("text")))

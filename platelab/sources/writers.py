@@ -9,7 +9,8 @@ from .readers import exists
 
 
 def sorted_csv(rows: DataFrame, path: str, *order: Column) -> None:
-    rows.orderBy(*order).write.option("header", True).mode("overwrite").csv(path)
+    """CSV in order; quotes within values are doubled, as ``readers.csv`` and most programs expect."""
+    rows.orderBy(*order).write.option("header", True).option("escape", '"').mode("overwrite").csv(path)
 
 
 def clustered(rows: DataFrame, path: str, *keys: str, partition: str | None = None) -> None:

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from platelab.operators import cleaning, flexibility, impact, manifold, montecarlo, statistics
+from platelab.operators import cleaning, flexibility, impact, manifold, montecarlo, nutrition, statistics
 from platelab.operators import vocabulary as V
 
 
@@ -32,6 +32,38 @@ def test_fuzzy_clusters(spark):
     assert got["chiken pad thai"]["cluster_id"] == got["chicken pad thai"]["cluster_id"] and got["chiken pad thai"]["method"] == "fuzzy"
 
 
+def greedy_clusters(names, ratio=90.0):
+    """The rule one name after another."""
+    heads, out = [], {}
+    for name, _ in sorted(names, key=lambda r: (-r[1], r[0])):
+        scores = [(V.indel_ratio(h, name), -k) for k, h in enumerate(heads) if len(h.split()) == len(name.split())]
+        best = max(scores, default=(0.0, 0))
+        if best[0] >= ratio:
+            out[name] = heads[-best[1]]
+        else:
+            heads.append(name)
+            out[name] = name
+    return out
+
+
+def test_fuzzy_clusters_follow_the_sequential_rule(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(V, "TILE", 40)
+    base = ["".join(rng.choice(list("abcdeé "), rng.integers(5, 30))) for _ in range(40)] + ["".join(rng.choice(list("abcde "), 150)) for _ in range(6)]
+    names = {}
+    for b in base:
+        for _ in range(8):
+            x = list(b)
+            for _ in range(rng.integers(0, max(2, len(x) // 8))):
+                x[rng.integers(0, len(x))] = rng.choice(list("abcde"))
+            name = " ".join("".join(x).split())
+            if name:
+                names[name] = int(rng.integers(1, 20))
+    got = {r["alias_name"]: r["canonical_name"] for r in V.fuzzy_clusters(spark.createDataFrame(list(names.items()), "name string, n long").repartition(3)).collect()}
+    want = greedy_clusters(list(names.items()))
+    assert got == want and len(set(want.values())) < len(want)
+
+
 def test_policies(spark):
     a = aliases(spark, [("w ham", "w ham", 3, 1, "self"), ("w ham", "w hamm", 1, 1, "fuzzy"), ("ham", "ham", 9, 2, "self"), ("b egg roll", "b egg roll", 2, 3, "self"), ("x", "x", 1, 4, "self")])
     d = V.cleaned_decisions(V.summary(a), V.without_single_letters(F.col("canonical_name")))
@@ -128,3 +160,24 @@ def test_ward_tree():
 def test_smoothing_keeps_the_mass(spark):
     grid = spark.createDataFrame([(300, 300, 10.0)], "cx int, cy int, weight double")
     assert manifold.smoothed_grid(grid).agg(F.sum("weight")).first()[0] == pytest.approx(10, rel=0.01)
+
+
+def test_cross_source_finds_words_within_words(spark):
+    items = spark.createDataFrame([(1, "Pineapple (1)"), (2, "coconut oil"), (3, "nut"), (4, "x2y z")], "item int, name string")
+    products = spark.createDataFrame([(1, "apple", 1.0), (2, "nut", 2.0), (3, "Oils", 3.0), (4, "rice", 4.0), (5, "hazelnut", 5.0)], "product_id int, name string, value double")
+    got = {(r["item"], r["name"], r["value"]) for r in impact.cross_source(items, products).collect()}
+    assert got == {(1, "apple", 1.0), (2, "nut", 2.0), (2, "Oils", 3.0), (3, "nut", 2.0), (3, "hazelnut", 5.0)}
+
+
+def test_swaps_cut_more_than_a_tenth(spark):
+    pairs = spark.createDataFrame([(1, 2, 0.1), (1, 3, 0.1), (1, 4, 0.15), (2, 1, 0.1)], "i long, j long, distance double")
+    dishes = spark.createDataFrame([(1, "a", 10.0, 1.0), (2, "a", 9.5, 5.0), (3, "b", 5.0, 1.0), (4, "b", float("nan"), 9.0)], "idx long, cuisine string, ghg double, health double")
+    assert [(r["idx"], r["swap"]) for r in flexibility.swap_search(pairs, dishes).collect()] == [(1, 3)]
+
+
+def test_cooked_food_counts_at_its_weight_before(spark):
+    rows = spark.createDataFrame([(1, "Beef", 400.0), (2, "beef raw", 400.0), (3, "rice", 100.0), (3, "beans", 100.0), (4, "beans", 0.05)], "recipe_id long, ingredient string, grams double")
+    groups = spark.createDataFrame([("beef", "red_meat", "Beef, GRILLED"), ("beef raw", "red_meat", "Beef, raw"), ("rice", "whole_grains", "Rice, cooked"), ("beans", "legumes", "Beans, boiled")], "ingredient string, group string, description string")
+    got = {r["recipe_id"]: {k: round(v, 3) for k, v in r["group_grams"].items()} for r in nutrition.meal_groups(rows, groups, 4.0).collect()}
+    assert got == {1: {"red_meat": 142.857}, 2: {"red_meat": 100.0}, 3: {"whole_grains": 11.25, "legumes": 10.0}}
+    assert {r["recipe_id"] for r in nutrition.meal_groups(rows, groups, F.lit(0.0)).collect()} == {1, 2, 3}
