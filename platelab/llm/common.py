@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A batch handed to Python ends here even if it holds few rows, so that very long texts do not pile up.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

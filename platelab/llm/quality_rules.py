@@ -20,8 +20,7 @@ input, whatever their names, are ignored by ``judge`` and kept by ``keep``.
 
 from __future__ import annotations
 
-from collections import Counter
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,6 +46,31 @@ _SPACES = " \t\n\r\x0b\x0c"
 _SYMBOLS = "#*$%&|<>"
 
 
+def repeat_words(words: list[bytes]) -> int:
+    """Words in windows of three words that occur twice or more; exact, on numbers in place of words."""
+    if len(words) < 4:
+        return 0
+    number: dict[bytes, int] = {}
+    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+    different = len(number)
+    if different < 1 << 20:
+        windows = (ids[:-2] * different + ids[1:-1]) * different + ids[2:]
+    else:
+        pairs = np.unique(ids[:-1] * different + ids[1:], return_inverse=True)[1]
+        windows = pairs[:-1] * different + ids[2:]
+    order = np.argsort(windows, kind="stable")
+    same = np.diff(windows[order]) == 0
+    if not same.any():
+        return 0
+    again = np.zeros(len(windows), bool)
+    again[order[1:][same]] = again[order[:-1][same]] = True
+    covered = np.zeros(len(words), bool)
+    covered[:-2] = again
+    covered[1:-1] |= again
+    covered[2:] |= again
+    return int(covered.sum())
+
+
 def measure_text(text: str | None) -> tuple[int, int, int, int, int, int]:
     """Words, code points in words, symbols, repeated lines, words in repeated windows of three, lines with a word."""
     if not text:
@@ -63,15 +87,7 @@ def measure_text(text: str | None) -> tuple[int, int, int, int, int, int]:
                 dup_lines += 1
             else:
                 seen.add(line)
-    windows = list(zip(words, words[1:], words[2:], strict=False))
-    repeated = 0
-    if len(set(windows)) < len(windows):
-        counts = Counter(windows)
-        covered = 0  # words before this place are counted or done with
-        for at, window in enumerate(windows):
-            if counts[window] > 1:
-                repeated += at + 3 - max(at, covered)
-                covered = at + 3
+    repeated = repeat_words(words)
     return len(words), chars, symbols, dup_lines, repeated, lines
 
 
