@@ -16,18 +16,22 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - dot)
 
 
+def _block_pairs(rows: DataFrame, block: int) -> DataFrame:
+    """``sides``: one or two blocks of whole rows (with idx), for each pair of blocks and each block by itself."""
+    parts = max(1, -(-rows.count() // block))
+    own = F.pmod(F.xxhash64("idx"), F.lit(parts)).cast("int")
+    packed = rows.groupBy(own.alias("b")).agg(F.collect_list(F.struct(*rows.columns)).alias("rows"))
+    sides = packed.select("b", "rows", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("o"))
+    return sides.groupBy(F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q")).agg(F.collect_list(F.struct("b", "rows")).alias("sides")).select("sides")
+
+
 def pairs_within(dishes: DataFrame, radius: float, block: int = 2048) -> DataFrame:
     """(i, j, distance) of all dishes (idx, vector) at most ``radius`` apart; a dish is at distance 0 of itself.
 
     Dishes are dealt into blocks of bounded size, and each pair of blocks is one row of work: a block is sent to as
     many tasks as there are blocks, and a task holds two of them.
     """
-    n = dishes.count()
-    parts = max(1, -(-n // block))
-    own = F.pmod(F.xxhash64("idx"), F.lit(parts)).cast("int")
-    packed = dishes.groupBy(own.alias("b")).agg(F.collect_list(F.struct("idx", F.col("vector").cast("array<double>").alias("vector"))).alias("rows"))
-    sides = packed.select("b", "rows", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("o"))
-    work = sides.groupBy(F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q")).agg(F.collect_list(F.struct("b", "rows")).alias("sides"))
+    work = _block_pairs(dishes.select("idx", F.col("vector").cast("array<double>").alias("vector")), block)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -47,7 +51,7 @@ def pairs_within(dishes: DataFrame, radius: float, block: int = 2048) -> DataFra
                         if len(held) == 2:
                             yield pa.RecordBatch.from_arrays([pa.array(j[y]), pa.array(i[top + x]), pa.array(d[x, y])], ["i", "j", "distance"])
 
-    return work.select("sides").mapInArrow(compare, "i long, j long, distance double")
+    return work.mapInArrow(compare, "i long, j long, distance double")
 
 
 def improvements(pairs: DataFrame, metrics: DataFrame, lower: Sequence[str], higher: Sequence[str], radii: Sequence[float], allowed: Column | None = None) -> DataFrame:
@@ -72,6 +76,54 @@ def improvements(pairs: DataFrame, metrics: DataFrame, lower: Sequence[str], hig
     return best.select(F.col("i").alias("idx"), rows.alias("r")).select("idx", "r.*")
 
 
+def best_gains(dishes: DataFrame, metrics: DataFrame, lower: Sequence[str], higher: Sequence[str], radii: Sequence[float], block: int = 2048) -> DataFrame:
+    """What ``improvements`` finds among all dishes (idx, vector) that have metrics, without putting out any pair.
+
+    A task compares two blocks of dishes and returns, for each dish and radius, how many neighbours the other block has
+    and the best of each metric among them. These few rows are merged.
+    """
+    names = [*lower, *higher]
+    rows = dishes.select("idx", F.col("vector").cast("array<double>").alias("vector")).join(metrics.select("idx", F.array(*[F.col(n).cast("double") for n in names]).alias("m")), "idx")
+    work = _block_pairs(rows, block)
+    steps = [float(r) for r in radii]
+    sign = np.array([1.0] * len(lower) + [-1.0] * len(higher))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.column(0):
+                held = []
+                for side in row:
+                    x = side["rows"].values
+                    ids = x.field("idx").to_numpy()
+                    values = np.array(x.field("m").to_pylist(), float).reshape(len(ids), -1) * sign
+                    held.append((ids, x.field("vector").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1), values))
+                for (i, a, _), (j, b, v) in [(held[0], held[0])] if len(held) == 1 else [(held[0], held[1]), (held[1], held[0])]:
+                    for top in range(0, len(i), 256):
+                        own = i[top : top + 256]
+                        d = np.maximum(0.0, 1 - a[top : top + 256] @ b.T)
+                        d[own[:, None] == j[None]] = 0.0
+                        step = np.searchsorted(steps, d)
+                        n, best = np.zeros((len(own), len(steps)), np.int64), np.full((len(own), len(steps), len(names)), np.nan)
+                        for k in range(len(steps)):
+                            here = step == k
+                            n[:, k] = here.sum(axis=1)
+                            if n[:, k].any():
+                                for c in range(len(names)):
+                                    best[:, k, c] = np.fmin.reduce(np.where(here, v[:, c], np.nan), axis=1)
+                        n, best = np.cumsum(n, axis=1), np.fmin.accumulate(best, axis=1) * sign
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.repeat(own, len(steps))), pa.array(np.tile(np.arange(len(steps), dtype=np.int32), len(own))), pa.array(n.ravel()), *[pa.array(best[:, :, c].ravel(), from_pandas=True) for c in range(len(names))]],
+                            ["idx", "step", "n", *[f"b{c}" for c in range(len(names))]],
+                        )
+
+    found = work.mapInArrow(compare, "idx long, step int, n long, " + ", ".join(f"b{c} double" for c in range(len(names))))
+    best = found.groupBy("idx", "step").agg(F.sum("n").alias("neighbors"), *[(F.min if c < len(lower) else F.max)(f"b{c}").alias(f"b{c}") for c in range(len(names))])
+    own = metrics.select("idx", *[F.col(n).alias(f"own_{n}") for n in names])
+    gain = lambda c, n: (F.when(F.col(f"own_{n}") > 0, (F.col(f"own_{n}") - F.col(f"b{c}")) / F.col(f"own_{n}")) if n in lower else F.col(f"b{c}") - F.col(f"own_{n}")).alias(n)
+    radius = F.element_at(F.array(*map(F.lit, steps)), F.col("step") + 1).alias("radius")
+    return best.join(own, "idx").select("idx", radius, "neighbors", *[gain(c, n) for c, n in enumerate(names)])
+
+
 def curve(gains: DataFrame, names: Sequence[str]) -> DataFrame:
     """By radius: mean and median neighbours, and mean and quartiles of each gain."""
     each = [c for n in names for c in (F.avg(n).alias(f"{n}_mean"), *[F.percentile(n, F.lit(p)).alias(f"{n}_{label}") for p, label in ((0.25, "p25"), (0.5, "median"), (0.75, "p75"))])]

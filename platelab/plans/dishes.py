@@ -262,7 +262,7 @@ def _valid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     for c in ("ghg", "water", "land"):
         m = statistics.clean_metric(m, c, True)
     v = I.read(spark, sf_dir, "embeddings").selectExpr("vec_id AS idx", "embedding AS vector").join(m.select("idx"), "idx", "left_semi")
-    return X.pairs_within(v, RADII[-1]), m
+    return v, m
 
 
 @query(
@@ -271,15 +271,15 @@ def _valid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 SELECT radius, round(avg(n), 6) AS mean_neighbors, quantile_cont(n, 0.5) AS median_neighbors, """ + ", ".join(f"round(avg({n}), 6) AS {n}_mean, round(quantile_cont({n}, 0.25), 6) AS {n}_p25, round(quantile_cont({n}, 0.5), 6) AS {n}_median, round(quantile_cont({n}, 0.75), 6) AS {n}_p75" for n in ("ghg", "water", "land")) + " FROM g GROUP BY radius",
 )
 def footprint_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs, m = _valid(spark, sf_dir)
-    c = X.curve(X.improvements(pairs, m, ["ghg", "water", "land"], [], RADII), ["ghg", "water", "land"])
+    vectors, m = _valid(spark, sf_dir)
+    c = X.curve(X.best_gains(vectors, m, ["ghg", "water", "land"], [], RADII), ["ghg", "water", "land"])
     return c.select(*[F.round(x, 6).alias(x) if x not in ("radius", "median_neighbors") else F.col(x) for x in c.columns])
 
 
 @query("score_curve", VALID + ", g AS (SELECT i, radius, max(k.land) - o.land AS score FROM p JOIN m o ON o.idx = i JOIN m k ON k.idx = j JOIN r ON d <= radius GROUP BY i, radius, o.land) SELECT radius, round(avg(score), 6) AS score_mean, round(quantile_cont(score, 0.75), 6) AS score_p75 FROM g GROUP BY radius")
 def score_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs, m = _valid(spark, sf_dir)
-    c = X.curve(X.improvements(pairs, m.select("idx", F.col("land").alias("score")), [], ["score"], RADII), ["score"])
+    vectors, m = _valid(spark, sf_dir)
+    c = X.curve(X.best_gains(vectors, m.select("idx", F.col("land").alias("score")), [], ["score"], RADII), ["score"])
     return c.select("radius", F.round("score_mean", 6).alias("score_mean"), F.round("score_p75", 6).alias("score_p75"))
 
 

@@ -15,8 +15,12 @@ D = """WITH e AS (SELECT vec_id AS idx, label, list_transform(embedding, lambda
 p AS (SELECT a.idx AS i, b.idx AS j, CASE WHEN a.idx = b.idx THEN 0 ELSE greatest(0, 1 - list_dot_product(a.v, b.v)) END AS d FROM e a, e b)"""
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.read(spark, sf_dir, "embeddings").selectExpr("vec_id AS idx", "embedding AS vector")
+
+
 def _pairs(spark: SparkSession, sf_dir: str, radius: float) -> DataFrame:
-    return X.pairs_within(I.read(spark, sf_dir, "embeddings").selectExpr("vec_id AS idx", "embedding AS vector"), radius)
+    return X.pairs_within(_vectors(spark, sf_dir), radius)
 
 
 def _dishes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,13 +32,13 @@ GAINS = D + f""", r AS (SELECT unnest({list(RADII)}::DOUBLE[]) AS radius), g AS
 
 @query("flex_gains", GAINS + " SELECT idx, radius, neighbors, round(ghg, 6) AS ghg, round(health, 6) AS health FROM g")
 def flex_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = X.improvements(_pairs(spark, sf_dir, RADII[-1]), _dishes(spark, sf_dir), ["ghg"], ["health"], RADII)
+    g = X.best_gains(_vectors(spark, sf_dir), _dishes(spark, sf_dir), ["ghg"], ["health"], RADII)
     return g.select("idx", "radius", "neighbors", F.round("ghg", 6).alias("ghg"), F.round("health", 6).alias("health"))
 
 
 @query("flex_curve", GAINS + " SELECT radius, round(avg(neighbors), 6) AS mean_neighbors, quantile_cont(neighbors, 0.5) AS median_neighbors, round(avg(ghg), 6) AS ghg_mean, round(quantile_cont(ghg, 0.25), 6) AS ghg_p25, round(quantile_cont(ghg, 0.5), 6) AS ghg_median FROM g GROUP BY 1")
 def flex_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = X.improvements(_pairs(spark, sf_dir, RADII[-1]), _dishes(spark, sf_dir), ["ghg"], ["health"], RADII)
+    g = X.best_gains(_vectors(spark, sf_dir), _dishes(spark, sf_dir), ["ghg"], ["health"], RADII)
     return X.curve(g, ["ghg"]).select("radius", F.round("mean_neighbors", 6).alias("mean_neighbors"), "median_neighbors", *[F.round(c, 6).alias(c) for c in ("ghg_mean", "ghg_p25", "ghg_median")])
 
 

@@ -267,6 +267,6 @@ def review_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("cluster_id", "canonical_name", "total_count", F.array_join("forms", "|").alias("forms"), F.array_join(F.transform("suggestions", lambda i: i.cast("string")), ",").alias("suggestions"))
 
 
-@query("traced_names", f"SELECT name, category, count(*) AS n FROM {I.MENU_SQL} WHERE name LIKE 'The hot gear &amp; prawns' AND category IS DISTINCT FROM 'Wraps' AND category IS DISTINCT FROM 'Hoagies' AND category IS DISTINCT FROM 'Noodles' GROUP BY ALL")
+@query("traced_names", f"SELECT name, category, count(*) AS n FROM {I.MENU_SQL} WHERE name = 'ten hot ring tenders' AND category IS DISTINCT FROM 'Wraps' AND category IS DISTINCT FROM 'Noodles' GROUP BY ALL")
 def traced_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.trace(I.menus(spark, sf_dir), "gear hot shrimp", I.SYNONYMS)
+    return index.trace(I.menus(spark, sf_dir), "hot ring tenders", I.SYNONYMS)

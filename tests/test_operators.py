@@ -133,6 +133,10 @@ def test_curve_invariants(spark):
     pairs = flexibility.pairs_within(dishes, 0.9, block=16)
     want = {(i, j) for i in range(60) for j in range(60) if i == j or 1 - v[i] @ v[j] <= 0.9}
     assert {(r["i"], r["j"]) for r in pairs.collect()} == want and pairs.count() == len(want)
+    metrics = dishes.select("idx", "ghg", F.when(F.col("idx") % 7 != 0, F.col("idx") % 11).cast("double").alias("health"))
+    value = lambda v: None if v is None else round(v, 9)
+    both = [{tuple(map(value, r)) for r in x.select("idx", "radius", "neighbors", "ghg", "health").collect()} for x in (flexibility.improvements(pairs, metrics, ["ghg"], ["health"], (0.0, 0.4, 0.9)), flexibility.best_gains(dishes, metrics, ["ghg"], ["health"], (0.0, 0.4, 0.9), block=16))]
+    assert both[0] == both[1]
     c = flexibility.curve(flexibility.improvements(pairs, dishes.select("idx", "ghg"), ["ghg"], [], (0.0, 0.4, 0.9)), ["ghg"]).orderBy("radius").collect()
     assert c[0]["ghg_mean"] == 0 and c[0]["mean_neighbors"] == 1 and c[0]["ghg_mean"] <= c[1]["ghg_mean"] <= c[2]["ghg_mean"]
 
