@@ -41,31 +41,44 @@ def expand_query(name: Column, table: dict[str, Sequence[str]]) -> Column:
     return F.coalesce(F.element_at(terms, key), F.element_at(terms, bare), F.array().cast("array<string>"))
 
 
-def top_by_cosine(queries: DataFrame, products: DataFrame, k: dict[str, int], scan: int, excluded: str | None = None, cells: int = 4_000_000) -> DataFrame:
+def top_by_cosine(queries: DataFrame, products: DataFrame, k: dict[str, int], scan: int, excluded: str | None = None, block: int = 8192) -> DataFrame:
     """The nearest products (product_id, name, source, vector) of each query (query_id, vector), so many per source.
 
-    Products are a reference table: they are counted and shipped to the tasks in blocks that hold at most ``cells``
-    numbers, one pass of the queries for each block. The best ``scan`` per source are taken before the pattern
-    ``excluded`` thins them, as the order matters.
+    Queries and products are dealt into blocks of bounded size. Each block of queries meets each block of products in
+    one row of work, which returns the best ``scan`` of the block for every query; these are merged. The best ``scan``
+    per source are taken before the pattern ``excluded`` thins them, as the order matters.
     """
-    spark = queries.sparkSession
-    source_order = Window.partitionBy("source").orderBy("product_id")
-    rows = products.withColumn("place", F.row_number().over(source_order) - 1)
-    width = max(1, products.select(F.max(F.size("vector"))).first()[0] or 1)
-    each = max(1, cells // width)
-    parts = []
-    for (source,) in products.select("source").distinct().orderBy("source").collect():
-        own = rows.where(F.col("source") == source)
-        count = own.count()
-        for top in range(0, count, each):
-            block = own.where((F.col("place") >= top) & (F.col("place") < top + each)).select("product_id", "vector").toArrow()
-            ids = block.column(0).to_numpy()
-            matrix = np.asarray(block.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False), float).reshape(len(ids), -1)
-            matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
-            parts.append(queries.select("query_id", "vector").mapInArrow(_nearest(spark.sparkContext.broadcast((ids, matrix)), scan), "query_id long, product_id long, score double").withColumn("source", F.lit(source)))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
+    counts = sorted(tuple(r) for r in products.groupBy("source").count().collect())  # one row per source
+    first, at = {}, 0
+    for source, n in counts:
+        first[source] = (at, parts := max(1, -(-n // block)))
+        at += parts
+    place = lambda i: F.coalesce(*[F.when(F.col("source").eqNullSafe(F.lit(s)), F.lit(v[i])) for s, v in first.items()], F.lit(0))
+    own = products.select("source", "product_id", F.col("vector").cast("array<double>").alias("vector"), (place(0) + F.pmod(F.xxhash64("product_id"), place(1).cast("long"))).cast("int").alias("b"))
+    known = own.groupBy("b").agg(F.first("source").alias("source"), F.collect_list(F.struct("product_id", "vector")).alias("known"))
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+    groups = max(1, -(-asked.count() // 1024))
+    packed = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(groups)).alias("g")).agg(F.collect_list(F.struct("query_id", "vector")).alias("asked"))
+    work = packed.select("asked", F.explode(F.sequence(F.lit(0), F.lit(max(0, at - 1)))).alias("b")).join(known, "b").select("source", "asked", "known")
+
+    def rows(x: pa.Array, key: str) -> tuple[np.ndarray, np.ndarray]:
+        ids = x.field(key).to_numpy()
+        v = x.field("vector").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        return ids, v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for source, a, b in zip(*batch.columns, strict=True):
+                (who, q), (ids, p) = rows(a.values, "query_id"), rows(b.values, "product_id")
+                n = min(scan, len(ids))
+                for top in range(0, len(who), 128):
+                    scores = q[top : top + 128] @ p.T
+                    order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :n]
+                    m = order.size
+                    values = [pa.array(np.repeat(who[top : top + 128], n)), pa.array([source.as_py()] * m, pa.string()), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(scores, order, axis=1).ravel())]
+                    yield pa.RecordBatch.from_arrays(values, ["query_id", "source", "product_id", "score"])
+
+    found = work.mapInArrow(nearest, "query_id long, source string, product_id long, score double")
     w = Window.partitionBy("query_id", "source").orderBy(F.desc("score"), "product_id")
     best = found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= scan).join(products.select("product_id", "name"), "product_id")
     if excluded:
@@ -74,22 +87,6 @@ def top_by_cosine(queries: DataFrame, products: DataFrame, k: dict[str, int], sc
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("query_id", "source", "product_id", "name", "score", "rank")
 
 
-def _nearest(sent, scan: int):
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix = sent.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            q = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False), float).reshape(batch.num_rows, -1)
-            q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-            scores = q @ matrix.T
-            n = min(scan, len(ids))
-            order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :n]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(scores, order, axis=1).ravel())], ["query_id", "product_id", "score"])
-
-    return nearest
-
-
 def best_of_queries(found: DataFrame, top: int) -> DataFrame:
     """Candidates of several search terms of one item: the best score of each name, the best ``top`` of these."""
     names = found.groupBy("item", F.lower("name").alias("key")).agg(F.max("score").alias("score"), F.min_by("name", F.struct(-F.col("score"), F.col("name"))).alias("name"))

@@ -40,11 +40,13 @@ def weighted_vote(rows: DataFrame, key: str, label: Column, weight: Column, defa
     return best.withColumn("label", F.coalesce("label", F.lit(default)))
 
 
-def scaled(value: Column, over: Window | None = None, top: float = 1000.0) -> Column:
-    """0 to ``top`` between least and greatest; where these agree the span counts as 1."""
-    w = over if over is not None else Window.partitionBy()
-    low, high = F.min(value).over(w), F.max(value).over(w)
-    return F.round((value - low) / F.when(high > low, high - low).otherwise(1.0) * top, 2)
+def scaled(rows: DataFrame, columns: dict[str, Column], top: float = 1000.0) -> DataFrame:
+    """``rows`` with columns from 0 to ``top`` between the least and the greatest value; where these agree the span
+    counts as 1. The ends are taken by an aggregation, so no task sees all rows."""
+    ends = rows.agg(*[x for n, c in columns.items() for x in (F.min(c).alias(f"{n} low"), F.max(c).alias(f"{n} high"))]).first()
+    span = lambda n: (ends[f"{n} high"] - ends[f"{n} low"]) or 1.0
+    known = {n: c for n, c in columns.items() if ends[f"{n} low"] is not None}
+    return rows.withColumns({n: F.round((c - F.lit(ends[f"{n} low"])) / F.lit(span(n)) * top, 2) if n in known else F.lit(None).cast("double") for n, c in columns.items()})
 
 
 def rank_share(value: Column, over: Window) -> Column:
@@ -213,7 +215,7 @@ def projection(dishes: DataFrame, top: float = 1000.0) -> DataFrame:
 
     x = dishes.select("idx", array_to_vector(F.col("vector").cast("array<double>")).alias("v"))
     p = PCA(k=2, inputCol="v", outputCol="p").fit(x).transform(x).select("idx", vector_to_array("p").alias("p"))
-    return p.select("idx", scaled(F.get("p", F.lit(0)), top=top).alias("x"), scaled(F.get("p", F.lit(1)), top=top).alias("y"))
+    return scaled(p, {"x": F.get("p", F.lit(0)), "y": F.get("p", F.lit(1))}, top).select("idx", "x", "y")
 
 
 def overlaid(rows: DataFrame, lost_years: str, classes: Iterable[str], default: str = "other") -> DataFrame:

@@ -126,7 +126,7 @@ def overlay_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("minmax_map", "SELECT p_partkey, round((p_retailprice - min(p_retailprice) OVER ()) / (max(p_retailprice) OVER () - min(p_retailprice) OVER ()) * 1000, 2) AS x FROM part")
 def minmax_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.read(spark, sf_dir, "part").select("p_partkey", manifold.scaled(F.col("p_retailprice")).alias("x"))
+    return manifold.scaled(I.read(spark, sf_dir, "part"), {"x": F.col("p_retailprice")}).select("p_partkey", "x")
 
 
 @query(

@@ -19,10 +19,11 @@ def jdbc(spark: SparkSession, url: str, name: str, *columns: str, **options: str
     return x.select(*columns) if columns else x
 
 
-def csv(spark: SparkSession, path: str, schema: dict[str, str], required: tuple[str, ...] = ()) -> DataFrame:
-    """CSV with a header: all columns are read as text, the wanted ones are cast, and rows whose required columns do
-    not cast are skipped. ``path`` may be a pattern over many files."""
-    x = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+def csv(spark: SparkSession, path: str, schema: dict[str, str], required: tuple[str, ...] = (), multi_line: bool = False) -> DataFrame:
+    """CSV with a header: the wanted columns are parsed as text and cast, and rows whose required columns do not cast
+    are skipped. ``path`` may be a pattern over many files. Files are split between tasks unless values may hold line
+    breaks (``multi_line``), which makes each file one task."""
+    x = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
     return x.select(*[F.col(c).try_cast(t).alias(c) for c, t in schema.items()]).dropna(subset=list(required) or None, how="any" if required else "all")
 
 
