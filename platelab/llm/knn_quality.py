@@ -2,8 +2,9 @@
 
 Fitting: of the labelled rows outside the held-out remainder, the ``SAMPLE`` with the least hash of doc_id (a bound,
 so fitting does not grow with the corpus) become weighted counts of hashed terms. Terms are words, in lower case, and
-the ends of words, as they stand, and the text's shape: words that repeat the one before,
-the share of different terms and the length. A randomised singular value decomposition of the sample gives the latent space. Its
+the ends of words, as they stand, and the text's shape: words that repeat the one before, the share of different terms
+and the length. (Trained on labelled rows of remainders 0 and 3 and judged on those of remainder 1, so without any
+held-out row, the shape takes the accuracy on sf0.1 from 0.968 to 0.996.) A randomised singular value decomposition of the sample gives the latent space. Its
 basis and the sample's vectors and labels, of bounded size whatever the corpus, are broadcast; each document's vector
 is multiplied with all of them block by block, and its ``NEIGHBOURS`` nearest vote with their similarity.
 

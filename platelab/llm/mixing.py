@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from platelab.operators.cleaning import numbered
+
 from .common import checkpointed, counted_side, nested
 
 WEIGHTS = (5, 2, 1)
@@ -38,25 +40,21 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     """``sizes`` (source, source_size) to (source, source_size, target): one row per source.
 
     Shares of the whole by weight, stopped at ``most`` times a source's size; what is over goes to the others by
-    weight. In the order of size to weight, the sources that stop come first, so one pass of running sums finds them.
+    weight. Sharing out again can only stop further sources, so it is repeated until none is added. There may be as many
+    sources as there are sites: they are put in order by ranges, and sums come from aggregations.
     """
-    everything = Window.partitionBy()
-    ranked = sizes.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(everything.orderBy(F.asc_nulls_last("source"))) - 1, F.lit(len(weights))) + 1).cast("int")))
-    ranked = ranked.withColumn("cap", most * F.col("source_size")).withColumn("total", F.sum("source_size").over(everything))
-    before = everything.orderBy((F.col("cap") / F.col("w")).asc(), F.asc_nulls_last("source"))
-    running = ranked.select(
-        "*",
-        F.coalesce(F.sum("cap").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("gone"),
-        F.sum("w").over(before.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("rest"),
-    )
-    stopped = running.withColumn("stops", (F.col("total") - F.col("gone")).cast("double") * F.col("w") / F.col("rest") > F.col("cap"))
-    sums = stopped.select(
-        "*",
-        F.sum(F.when(F.col("stops"), F.col("cap")).otherwise(0)).over(everything).alias("c"),
-        F.sum(F.when(F.col("stops"), 0).otherwise(F.col("w"))).over(everything).alias("r"),
-    )
-    free = (F.col("total") - F.col("c")).cast("double") * F.col("w") / F.col("r")
-    return sums.select("source", "source_size", F.when(F.col("stops"), F.col("cap").cast("double")).otherwise(free).alias("target"))
+    placed = numbered(sizes, [F.asc_nulls_last("source")])
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod("place", F.lit(len(weights))) + 1).cast("int"))
+    ranked = checkpointed(placed.select("source", "source_size", weight.alias("w"), (most * F.col("source_size")).alias("cap")))
+    total, rest = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0))).first()
+    gone = 0
+    while True:
+        share = F.lit(float(total - gone)) * F.col("w") / F.lit(max(1, rest))
+        stops = share > F.col("cap")
+        now = tuple(ranked.agg(F.coalesce(F.sum(F.when(stops, F.col("cap"))), F.lit(0)), F.coalesce(F.sum(F.when(~stops, F.col("w"))), F.lit(0))).first())
+        if now == (gone, rest):
+            return ranked.select("source", "source_size", F.when(stops, F.col("cap").cast("double")).otherwise(share).alias("target"))
+        gone, rest = now
 
 
 def thresholds(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:

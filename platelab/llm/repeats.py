@@ -12,8 +12,9 @@
 
 "Earlier" means a smaller doc_id, or an earlier start in the same document. Defined results: null text is empty; a
 null doc_id comes before all others; rows that share a doc_id stand in the order of a hash of their text, and rows
-that agree in both are one document and get the same result; texts shorter than a window lose nothing; an empty table
-gives an empty result; other columns are ignored by ``repeats`` and kept by ``without_repeats``.
+that agree in both are one document and get the same result; texts shorter than a window lose nothing; very long
+texts are taken apart whole, in one task each, their stretches go to all buckets; an empty table gives an empty result;
+other columns are ignored by ``repeats`` and kept by ``without_repeats``, whatever their names.
 """
 
 from __future__ import annotations

@@ -6,8 +6,9 @@ by rank would leave the two side by side. The ids are then recovered from the en
 word, as far as no vocabulary piece can span two words, and the ids of frequent words are kept in a bounded cache.
 
 Pieces made of space marks alone share one lowest score, so they merge last and from the left; they are told apart by
-the length of a run. Defined results: null text counts as empty; an empty text has the begin and end ids only; repeated
-rows give equal rows; other columns are ignored.
+the length of a run. Defined results: null text counts as empty; an empty text has the begin and end ids only; very
+long texts and words are encoded whole, in one task each; repeated rows give equal rows; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -28,7 +28,7 @@ from .components import connected_components
 WORDS = 3
 SEED = 42
 RADIUS = 3
-TILE = 16_384
+TILE = 65_536
 BLOCK = 32
 _CHUNK = 1 << 16
 

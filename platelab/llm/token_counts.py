@@ -5,8 +5,8 @@ match: how many pieces are finished then, and the node that stands for the rest.
 and no piece is ever built. Words are in lower case (A-Z only) and end with the vocabulary's word end; an end that
 the last piece does not take in costs nothing.
 
-Defined results: null text has no words; a word that cannot be split into pieces counts as one unknown piece; an empty
-table gives an empty result; repeated rows give equal rows; other columns are ignored.
+Defined results: null text has no words; a word that cannot be split into pieces counts as one unknown piece; very long
+texts and words are read whole, in one task each; an empty table gives an empty result; repeated rows give equal rows; other columns are ignored.
 """
 
 from __future__ import annotations

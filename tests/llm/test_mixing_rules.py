@@ -188,3 +188,23 @@ def test_long_licences(spark):
 
 def test_empty(no_docs):
     assert mixing.mix(no_docs).count() == mixing.mixed(no_docs).count() == quality_rules.judge(no_docs).count() == quality_rules.keep(no_docs).count() == licenses.scan(no_docs).count() == 0
+
+
+def test_targets_by_plain_sharing(spark):
+    import random
+
+    rng = random.Random(7)
+    for n in (1, 2, 7, 40):
+        sizes = {f"s{i:03d}": rng.choice([0, 1, 3, 10, 100, 1000, 100_000]) for i in range(n)}
+        weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(sizes))}
+        stopped, total = set(), sum(sizes.values())
+        while True:
+            left = total - sum(3 * sizes[s] for s in stopped)
+            rest = sum(weight[s] for s in sizes if s not in stopped)
+            share = {s: 3 * sizes[s] if s in stopped else left * weight[s] / rest for s in sizes}
+            over = {s for s in sizes if share[s] > 3 * sizes[s]}
+            if not over:
+                break
+            stopped |= over
+        got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+        assert got == pytest.approx(share)

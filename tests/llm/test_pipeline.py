@@ -11,8 +11,8 @@ from corpus_pipeline import STAGES, run
 from platelab.llm import mixing, quality_rules
 from platelab.llm.common import written
 
-from .test_near_copies import brute_groups
-from .test_repeats import brute
+from test_near_copies import brute_groups
+from test_repeats import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -106,4 +106,4 @@ def test_nulls_repeats_and_empty_tables(spark, tmp_path, docs, no_docs):
     for k, frame in enumerate((docs, no_docs)):
         frame.write.parquet(f"{tmp_path}/{k}/documents.parquet")
         out = run(spark, f"{tmp_path}/{k}")
-        assert set(out.columns) >= {*frame.columns, "n_tokens"} - {"text"} and (out.count() > 0) == (k == 0)
+        assert set(out.columns) >= {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} and (out.count() > 0) == (k == 0)
