@@ -203,3 +203,22 @@ def bucket_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     tiers = [{"thai": "Asian"}, {"burgers": "American", "pizza": "Italian"}]
     x = I.read(spark, sf_dir, "supplier").join(I.restaurants(spark, sf_dir), F.col("s_suppkey") == F.col("id"))
     return index.bucket_vote(x.withColumn("bucket", index.tier_bucket(T.tags(F.col("category")), tiers, "Other")), "s_nationkey", "bucket")
+
+
+@query("equal_chunks", "SELECT p_partkey, CAST(floor((row_number() OVER (ORDER BY p_name, p_partkey) - 1) / ceil((SELECT count(*) FROM part) / 7.0)) AS INT) AS chunk FROM part")
+def equal_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaning.equal_chunks(I.read(spark, sf_dir, "part"), [F.col("p_name"), F.col("p_partkey")], 7).select("p_partkey", "chunk")
+
+
+@query("html_unescape")
+def html_unescape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = I.read(spark, sf_dir, "pages")
+    return x.select("page_id", F.length(T.html_unescape(F.col("html"))).alias("n"))
+
+
+@query("html_entities", "SELECT p_partkey, concat(p_name, ' & \"', p_type, '\" <', CASE WHEN p_size % 2 = 0 THEN 'é' ELSE '&nosuch;' END, '>', chr(160), '''') AS name FROM part")
+def html_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities escaped up to three times, in either case, and one that is none."""
+    odd = F.when(F.col("p_size") % 2 == 0, "&amp;eacute;").otherwise("&amp;nosuch;")
+    text = F.concat(F.col("p_name"), F.lit(" &amp;amp;AMP; &QUOT;"), F.col("p_type"), F.lit("&amp;quot; &LT;"), odd, F.lit("&gt;&NBSP;&#39;"))
+    return I.read(spark, sf_dir, "part").select("p_partkey", T.html_unescape(text).alias("name"))
