@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kmeans_tree, knn_quality, licenses, mixing, quality_rules, recurrent_lm, repeats, sentencepiece_bpe, simhash, token_counts
+from . import byte_bpe, fill_middle, kmeans_tree, knn_quality, licenses, mixing, quality_rules, recurrent_lm, repeats, sentencepiece_bpe, simhash, spelling, token_counts
 from .common import read
 
 
@@ -50,6 +50,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(read(spark, sf_dir, "documents"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(read(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_sentencepiece": op2_sentencepiece,
@@ -61,9 +73,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_quality_rules": op10_quality_rules,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_spelling": op13_spelling,
 }
 ORACLES: dict[str, str] = {
     "op4_mixing": mixing.ORACLE_SQL,
     "op7_license_scan": licenses.ORACLE_SQL,
     "op10_quality_rules": quality_rules.ORACLE_SQL,
+    "op12_fill_middle": fill_middle.ORACLE_SQL,
+    "op13_spelling": spelling.ORACLE_SQL,
 }
