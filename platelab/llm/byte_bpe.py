@@ -31,11 +31,15 @@ from pyspark.sql import types as T
 from .common import prepare
 from .token_counts import byte_of_symbol
 
-#: Words and fragments that a worker remembers, and the longest it remembers, so that caches are bounded in bytes too.
+#: Words (twice as many, as the last full cache is kept) and fragments that a worker remembers, and the longest it remembers, so that caches are bounded in bytes too.
 CACHED = 150_000
 CACHED_LETTERS = 64
 #: Longer fragments are merged with a heap.
 SHORT = 48
+#: Ids have fewer bits than this; what stands for a pair that does not merge.
+BITS = 24
+MASK = (1 << BITS) - 1
+NONE = 1 << 2 * BITS
 
 #: The pattern that splits text before the merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -84,17 +88,18 @@ class ForcedSplitter(dict):
         self.joined = self.inside.tolist()
         for token, i in self.added.items():
             self.raw[i] = token.encode()
-        #: Rank and result of merging two ids.
-        self.merged: dict[int, tuple[int, int]] = {}
+        #: Rank and result of merging two ids, as one number that sorts by rank.
+        self.merged: dict[int, int] = {}
         for rank, merge in enumerate(read["model"]["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
-            self.merged[vocabulary[left] << 32 | vocabulary[right]] = (rank, vocabulary[left + right])
+            self.merged[vocabulary[left] << BITS | vocabulary[right]] = rank << BITS | vocabulary[left + right]
         self.decimal = [str(i) for i in range(len(self.raw))]
         self.words = regex.compile(PATTERN).findall
         self.words_later = regex.compile(_later_as_symbols(PATTERN), regex.V1).findall
         self.has_later = re.compile(f"[{LATER}]").search
         self.parts = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if added else None
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def fragments(self, word: bytes) -> list[bytes]:
         """``word`` cut wherever two bytes stand side by side that no token holds."""
@@ -111,35 +116,37 @@ class ForcedSplitter(dict):
         return [word[a:b] for a, b in zip(at, at[1:])]
 
     def _merge_short(self, ids: list[int]) -> list[int]:
-        merged = self.merged
-        while len(ids) > 1:
-            found = [merged.get(a << 32 | b) for a, b in zip(ids, ids[1:])]
-            best = min((f for f in found if f), default=None)
-            if best is None:
-                break
-            k = found.index(best)
-            ids[k : k + 2] = [best[1]]
+        known = self.merged.get
+        pairs = [known(a << BITS | b, NONE) for a, b in zip(ids, ids[1:])]
+        while pairs and (best := min(pairs)) != NONE:
+            k = pairs.index(best)
+            ids[k : k + 2] = [best & MASK]
+            del pairs[k]
+            if k:
+                pairs[k - 1] = known(ids[k - 1] << BITS | ids[k], NONE)
+            if k < len(pairs):
+                pairs[k] = known(ids[k] << BITS | ids[k + 1], NONE)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same merges from a heap of (rank, place), over a list linked both ways."""
-        merged, n = self.merged, len(ids)
+        known, n = self.merged.get, len(ids)
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        heap = [(f[0], k, f[1]) for k in range(n - 1) if (f := merged.get(ids[k] << 32 | ids[k + 1]))]
+        heap = [(f, k) for k in range(n - 1) if (f := known(ids[k] << BITS | ids[k + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, k, made = heapq.heappop(heap)
+            f, k = heapq.heappop(heap)
             nxt = after[k]
-            if ids[k] < 0 or nxt < 0 or (f := merged.get(ids[k] << 32 | ids[nxt])) is None or f[1] != made:
+            if ids[k] < 0 or nxt < 0 or known(ids[k] << BITS | ids[nxt]) != f:
                 continue
-            ids[k], ids[nxt] = made, -1
+            ids[k], ids[nxt] = f & MASK, -1
             after[k] = after[nxt]
             if after[k] >= 0:
                 before[after[k]] = k
-                if f := merged.get(made << 32 | ids[after[k]]):
-                    heapq.heappush(heap, (f[0], k, f[1]))
-            if before[k] >= 0 and (f := merged.get(ids[before[k]] << 32 | made)):
-                heapq.heappush(heap, (f[0], before[k], f[1]))
+                if (f := known(ids[k] << BITS | ids[after[k]])) is not None:
+                    heapq.heappush(heap, (f, k))
+            if before[k] >= 0 and (f := known(ids[before[k]] << BITS | ids[k])) is not None:
+                heapq.heappush(heap, (f, before[k]))
         return [i for i in ids if i >= 0]
 
     def fragment(self, raw: bytes) -> bytes:
@@ -155,9 +162,12 @@ class ForcedSplitter(dict):
         return found
 
     def __missing__(self, word: str) -> bytes:
-        found = b"".join(map(self.fragment, self.fragments(word.encode("utf-8", "replace"))))
+        found = self.before.get(word)
+        if found is None:
+            found = b"".join(map(self.fragment, self.fragments(word.encode("utf-8", "replace"))))
         if len(word) <= CACHED_LETTERS:
             if len(self) >= CACHED:
+                self.before = dict(self)
                 self.clear()
             self[word] = found
         return found
