@@ -72,20 +72,6 @@ def classify_categories(rows: DataFrame, category: str, exclude: Iterable[tuple[
     return rows.withColumn("verdict", F.when(out.isNotNull(), "exclude").when(maybe.isNotNull(), "ambiguous").otherwise("keep")).withColumn("label", F.coalesce(out, maybe))
 
 
-def flag_names(rows: DataFrame, name: str, words: Iterable[str], unsure: Iterable[str], phrases: Iterable[str], patterns: Iterable[str]) -> DataFrame:
-    """``flag``: x for no dish, ? for unsure, empty for a dish. The word lists are parameters; at their usual size they
-    are literals, and one alternation holds all patterns."""
-    text = F.coalesce(F.col(name), F.lit(""))
-    tokens = T.tokens(text)
-    one = F.get(tokens, F.lit(0))
-    in_words = lambda t: F.array_contains(T.literal_array(sorted(words)), t)
-    padded = F.concat(F.lit(" "), text, F.lit(" "))
-    instruction = padded.rlike(" (pick|build|make|create|choose|design) ") & padded.rlike(" (your|own|yours) ")
-    single = F.when(in_words(one), "x").when(one.isin(*unsure), "?").when((F.length(one) <= 2) & ~one.rlike("^\\d+$"), "x").otherwise("")
-    many = F.when(text.isin(*phrases) | F.forall(tokens, in_words) | instruction | text.rlike("(?i)" + "|".join(patterns)), "x").otherwise("")
-    return rows.withColumn("flag", F.when(F.size(tokens) == 0, "x").when(F.size(tokens) == 1, single).otherwise(many))
-
-
 def merge_verdicts(parts: list[DataFrame], key: str = "name") -> tuple[DataFrame, DataFrame]:
     """Verdict rows of all parts that say keep, most frequent first, and the counts by verdict and reason."""
     every = parts[0]
@@ -130,17 +116,6 @@ def without_flagged(rows: DataFrame, flag: str = "flag") -> DataFrame:
     return rows.where(~F.coalesce(F.lower(F.trim(F.col(flag))), F.lit("")).isin("x", "?"))
 
 
-def rule_cascade(text: Column, rules: Iterable[tuple[str, str, str]]) -> Column:
-    """verdict and reason by the first of the ordered rules (verdict, reason, pattern) whose pattern is found; else keep.
-
-    Rules come from a table of a few hundred rows at most; they become one chain of conditions.
-    """
-    out = F.struct(F.lit("keep").alias("verdict"), F.lit("default").alias("reason"))
-    for verdict, reason, pattern in reversed(list(rules)):
-        out = F.when(text.rlike(pattern), F.struct(F.lit(verdict).alias("verdict"), F.lit(reason).alias("reason"))).otherwise(out)
-    return out
-
-
 def exported(rows: DataFrame, tags: Column, excluded: Iterable[str], name: str) -> DataFrame:
     """Rows without excluded tags, nulls as empty texts, in order of name."""
     kept = exclude_by_tags(rows, tags, excluded)

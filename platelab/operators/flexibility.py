@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import weighted_quantiles
+
 
 def cosine_distance(a: Column, b: Column) -> Column:
     """1 less the inner product of unit vectors, not below 0."""
@@ -141,47 +143,136 @@ def total_variation(a: Column, b: Column) -> Column:
     return (F.abs(a["protein"] - b["protein"]) + F.abs(a["fat"] - b["fat"]) + F.abs(a["carb"] - b["carb"])) / 2
 
 
-def tolerance_sweep(pairs: DataFrame, dishes: DataFrame, metric: str, tolerances: Sequence[float], radius: float) -> DataFrame:
+Side = dict[str, np.ndarray]
+#: Rows of one side that are compared with all of the other at once.
+STRIP = 256
+
+
+def _sides(row: pa.StructScalar, texts: Sequence[str]) -> list[Side]:
+    """The blocks of a row of work as arrays; nulls are NaN, texts are numbers that agree between the blocks."""
+    blocks = [side["rows"].values for side in row]
+    out: list[Side] = []
+    for x in blocks:
+        ids = x.field("idx").to_numpy()
+        held = {f.name: x.field(f.name).to_numpy(zero_copy_only=False).astype(float) for f in x.type if f.name not in ("idx", "vector", *texts)}
+        out.append(held | {"idx": ids, "vector": x.field("vector").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)})
+    for name in texts:
+        codes = pa.concat_arrays([x.field(name) for x in blocks]).dictionary_encode().indices.fill_null(-1).to_numpy()
+        for held, part in zip(out, np.split(codes, np.cumsum([len(x) for x in blocks])[:-1]), strict=True):
+            held[name] = part
+    return out
+
+
+def nearest_best(rows: DataFrame, radius: float, visit: Callable[[Side, Side, np.ndarray], dict[str, np.ndarray]], schema: str, texts: Sequence[str] = (), block: int = 2048) -> DataFrame:
+    """What ``visit`` finds for each dish among those at most ``radius`` apart, block by block; no pair is put out.
+
+    ``rows`` has idx, vector, numbers and ``texts``. ``visit`` gets some dishes, a block of dishes, and which of these are
+    near which; it returns columns of ``schema``, a few rows a dish, which the caller merges over the blocks.
+    """
+    work = _block_pairs(rows.withColumn("vector", F.col("vector").cast("array<double>")), block)
+    names = [part.split()[0] for part in schema.split(",")]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.column(0):
+                held = _sides(row, texts)
+                for one, other in [(held[0], held[0])] if len(held) == 1 else [(held[0], held[1]), (held[1], held[0])]:
+                    for top in range(0, len(one["idx"]), STRIP):
+                        own = {k: v[top : top + STRIP] for k, v in one.items()}
+                        d = np.maximum(0.0, 1 - own["vector"] @ other["vector"].T)
+                        d[own["idx"][:, None] == other["idx"][None]] = 0.0
+                        found = visit(own, other, d <= radius)
+                        yield pa.RecordBatch.from_arrays([pa.array(found[n], from_pandas=True) for n in names], names)
+
+    return work.mapInArrow(compare, schema)
+
+
+def _first_best(value: np.ndarray, allowed: np.ndarray, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least value of each row where allowed (NaN never is), the least idx that has it, and its column; inf for none."""
+    held = np.where(allowed & ~np.isnan(value), value, np.inf)
+    best = held.min(axis=1, initial=np.inf)
+    order = np.argsort(idx, kind="stable")
+    at = order[np.argmax(held[:, order] == best[:, None], axis=1)]
+    return best, idx[at], at
+
+
+def tolerance_sweep(vectors: DataFrame, dishes: DataFrame, metric: str, tolerances: Sequence[float], radius: float, block: int = 2048) -> DataFrame:
     """Mean gain by how far the macronutrients of a neighbour may differ; ``dishes`` has idx, shares and the metric."""
-    a, b = dishes.select(F.col("idx").alias("i"), F.col("shares").alias("si"), F.col(metric).alias("own")), dishes.select(F.col("idx").alias("j"), F.col("shares").alias("sj"), F.col(metric).alias("m"))
-    x = pairs.where(F.col("distance") <= radius).join(a, "i").join(b, "j").withColumn("tv", F.when(F.col("i") == F.col("j"), 0.0).otherwise(total_variation(F.col("si"), F.col("sj"))))
-    best = x.groupBy("i", "own").agg(*[F.min(F.when(F.col("tv") <= t, F.col("m"))).alias(f"b{k}") for k, t in enumerate(tolerances)])
-    rows = F.explode(F.array(*[F.struct(F.lit(float(t)).alias("tolerance"), F.when(F.col("own") > 0, (F.col("own") - F.col(f"b{k}")) / F.col("own")).alias("gain")) for k, t in enumerate(tolerances)]))
-    return best.select(rows.alias("r")).groupBy("r.tolerance").agg(F.avg("r.gain").alias("mean_gain"))
+    parts = ("protein", "fat", "carb")
+    rows = vectors.select("idx", "vector").join(dishes.select("idx", F.col(metric).cast("double").alias("m"), *[F.col("shares")[p].alias(p) for p in parts]), "idx")
+    steps = [float(t) for t in tolerances]
+
+    def visit(own: Side, other: Side, near: np.ndarray) -> dict[str, np.ndarray]:
+        far = sum(np.abs(own[p][:, None] - other[p][None]) for p in parts) / 2
+        far[own["idx"][:, None] == other["idx"][None]] = 0.0
+        best = [_first_best(np.broadcast_to(other["m"], near.shape), near & (far <= t), other["idx"])[0] for t in steps]
+        n = len(own["idx"])
+        return {"idx": np.tile(own["idx"], len(steps)), "step": np.repeat(np.arange(len(steps), dtype=np.int32), n), "b": np.concatenate(best)}
+
+    found = nearest_best(rows, radius, visit, "idx long, step int, b double", (), block).where("b < double('inf')")
+    best = found.groupBy("idx", "step").agg(F.min("b").alias("b")).join(dishes.select("idx", F.col(metric).alias("own")), "idx")
+    gain = F.when(F.col("own") > 0, (F.col("own") - F.col("b")) / F.col("own"))
+    tolerance = F.element_at(F.array(*map(F.lit, steps)), F.col("step") + 1)
+    return best.groupBy(tolerance.alias("tolerance")).agg(F.avg(gain).alias("mean_gain"))
 
 
-def best_pick(pairs: DataFrame, metrics: DataFrame, metric: str, radius: float, lower: bool = True) -> DataFrame:
-    """The best neighbour of each dish; ties go to the first."""
-    x = pairs.where(F.col("distance") <= radius).join(metrics.select(F.col("idx").alias("j"), F.col(metric).alias("m")), "j").where("m is not null")
-    return x.groupBy(F.col("i").alias("idx")).agg(F.min_by("j", F.struct(F.col("m") if lower else -F.col("m"), F.col("j"))).alias("pick"))
+def best_pick(vectors: DataFrame, metrics: DataFrame, metric: str, radius: float, lower: bool = True, block: int = 2048) -> DataFrame:
+    """The best neighbour of each dish, itself included; ties go to the first."""
+    rows = vectors.select("idx", "vector").join(metrics.select("idx", F.col(metric).cast("double").alias("m")), "idx", "left")
+    sign = 1.0 if lower else -1.0
 
+    def visit(own: Side, other: Side, near: np.ndarray) -> dict[str, np.ndarray]:
+        best, pick, _ = _first_best(np.broadcast_to(sign * other["m"], near.shape), near, other["idx"])
+        return {"idx": own["idx"], "m": best, "pick": pick}
 
-def swap_search(pairs: DataFrame, dishes: DataFrame, radius: float = 0.2) -> DataFrame:
+    found = nearest_best(rows, radius, visit, "idx long, m double, pick long", (), block).where("m < double('inf')")
+    return found.groupBy("idx").agg(F.min_by("pick", F.struct("m", "pick")).alias("pick"))
+
+
+def swap_search(vectors: DataFrame, dishes: DataFrame, radius: float = 0.2, block: int = 2048) -> DataFrame:
     """For each dish (idx, cuisine, ghg, health) the swap that gains most: emission cut by more than a tenth, no less
     health, of the same cuisine if there is one. Dishes without a finite value do not come into question."""
-    a = dishes.select(F.col("idx").alias("i"), F.col("cuisine").alias("ci"), F.col("ghg").alias("gi"), F.col("health").alias("hi"))
-    b = dishes.select(F.col("idx").alias("j"), F.col("cuisine").alias("cj"), F.col("ghg").alias("gj"), F.col("health").alias("hj"))
-    x = pairs.where((F.col("distance") <= radius) & (F.col("i") != F.col("j"))).join(a, "i").join(b, "j").where((F.col("gj") < 0.9 * F.col("gi")) & (F.col("hj") >= F.col("hi")) & (F.col("gi") > 0) & ~F.isnan("gj") & ~F.isnan("hj") & (F.abs("hj") != float("inf")))
-    score = (F.col("gi") - F.col("gj")) / F.col("gi") + 2 * F.greatest(F.lit(0.0), F.col("hj") - F.col("hi"))
-    other = F.when(F.col("ci").eqNullSafe(F.col("cj")), 0).otherwise(1)
-    return x.groupBy(F.col("i").alias("idx")).agg(F.min_by("j", F.struct(other, -F.round(score, 9), F.col("j"))).alias("swap"))
+    rows = vectors.select("idx", "vector").join(dishes.select("idx", "cuisine", F.col("ghg").cast("double").alias("ghg"), F.col("health").cast("double").alias("health")), "idx")
+
+    def visit(own: Side, other: Side, near: np.ndarray) -> dict[str, np.ndarray]:
+        g, h = own["ghg"][:, None], own["health"][:, None]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            score = (g - other["ghg"]) / g + 2 * np.maximum(0.0, other["health"] - h)
+            fits = near & (own["idx"][:, None] != other["idx"]) & (other["ghg"] < 0.9 * g) & (other["health"] >= h) & (g > 0) & np.isfinite(other["health"])
+            cost = -np.floor(score * 1e9 + 0.5) / 1e9
+        same = own["cuisine"][:, None] == other["cuisine"]
+        first, second = _first_best(cost, fits & same, other["idx"]), _first_best(cost, fits & ~same, other["idx"])
+        n = len(own["idx"])
+        return {"idx": np.tile(own["idx"], 2), "other": np.repeat(np.arange(2, dtype=np.int32), n), "cost": np.concatenate([first[0], second[0]]), "swap": np.concatenate([first[1], second[1]])}
 
+    found = nearest_best(rows, radius, visit, "idx long, other int, cost double, swap long", ("cuisine",), block).where("cost < double('inf')")
+    return found.groupBy("idx").agg(F.min_by("swap", F.struct("other", "cost", "swap")).alias("swap"))
 
-def co_benefits(pairs: DataFrame, dishes: DataFrame, radius: float) -> DataFrame:
+
+def co_benefits(vectors: DataFrame, dishes: DataFrame, radius: float, block: int = 2048) -> DataFrame:
     """How often the greenest neighbour is healthier too, and the healthiest greener, and both better at once."""
-    greenest, healthiest = best_pick(pairs, dishes, "ghg", radius), best_pick(pairs, dishes, "health", radius, lower=False)
-    m = lambda p: dishes.select(F.col("idx").alias(p), F.col("ghg").alias(f"{p}_ghg"), F.col("health").alias(f"{p}_health"))
-    x = dishes.select("idx", "ghg", "health").join(greenest.withColumnRenamed("pick", "g"), "idx").join(m("g"), "g").join(healthiest.withColumnRenamed("pick", "h"), "idx").join(m("h"), "h")
-    rate = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
-    wins = pairs.where(F.col("distance") <= radius).join(dishes.select(F.col("idx").alias("i"), F.col("ghg").alias("gi"), F.col("health").alias("hi")), "i").join(dishes.select(F.col("idx").alias("j"), F.col("ghg").alias("gj"), F.col("health").alias("hj")), "j")
-    any_win = wins.groupBy("i").agg(F.max(F.when((F.col("gj") < F.col("gi")) & (F.col("hj") > F.col("hi")), 1.0).otherwise(0.0)).alias("win"))
-    return x.agg(rate(F.col("g_health") > F.col("health")).alias("greenest_healthier"), rate(F.col("h_ghg") < F.col("ghg")).alias("healthiest_greener")).join(any_win.agg(F.avg("win").alias("win_win")))
+    rows = vectors.select("idx", "vector").join(dishes.select("idx", F.col("ghg").cast("double").alias("ghg"), F.col("health").cast("double").alias("health")), "idx")
+
+    def visit(own: Side, other: Side, near: np.ndarray) -> dict[str, np.ndarray]:
+        ghg, g, at_g = _first_best(np.broadcast_to(other["ghg"], near.shape), near, other["idx"])
+        health, h, at_h = _first_best(np.broadcast_to(-other["health"], near.shape), near, other["idx"])
+        win = (near & (other["ghg"] < own["ghg"][:, None]) & (other["health"] > own["health"][:, None])).any(axis=1)
+        return {"idx": own["idx"], "ghg": ghg, "g": g, "g_health": other["health"][at_g], "health": -health, "h": h, "h_ghg": other["ghg"][at_h], "win": win}
+
+    found = nearest_best(rows, radius, visit, "idx long, ghg double, g long, g_health double, health double, h long, h_ghg double, win boolean", (), block)
+    green, healthy = F.col("ghg") < float("inf"), F.col("health") > -float("inf")
+    best = found.groupBy("idx").agg(
+        F.min_by("g_health", F.when(green, F.struct("ghg", "g"))).alias("g_health"), F.min_by("h_ghg", F.when(healthy, F.struct((-F.col("health")).alias("s"), "h"))).alias("h_ghg"),
+        F.bool_or(green).alias("has_g"), F.bool_or(healthy).alias("has_h"), F.bool_or("win").alias("win"),
+    )
+    x = best.join(dishes.select("idx", "ghg", "health"), "idx")
+    rate = lambda c: F.avg(F.when(F.col("has_g") & F.col("has_h"), F.when(c, 1.0).otherwise(0.0)))
+    win = F.avg(F.when(F.col("win"), 1.0).otherwise(0.0)).alias("win_win")
+    return x.agg(rate(F.col("g_health") > F.col("health")).alias("greenest_healthier"), rate(F.col("h_ghg") < F.col("ghg")).alias("healthiest_greener"), win)
 
 
 def weighted_curve(gains: DataFrame, name: str, weight: str) -> DataFrame:
     """Weighted mean and quartiles of a gain by radius."""
-    from .statistics import weighted_quantiles
-
     means = gains.where(F.col(name).isNotNull()).groupBy("radius").agg((F.sum(F.col(weight) * F.col(name)) / F.sum(weight)).alias("mean"))
     return means.join(weighted_quantiles(gains, ["radius"], name, weight, (0.25, 0.5, 0.75)), "radius")
 

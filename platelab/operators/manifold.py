@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from platelab.functions.text import contains_any
 
 from .cleaning import numbered
+from .ordering import ranked
 
 
 def usable_dishes(recipes: DataFrame, least: int = 2) -> DataFrame:
@@ -49,9 +50,12 @@ def scaled(rows: DataFrame, columns: dict[str, Column], top: float = 1000.0) ->
     return rows.withColumns({n: F.round((c - F.lit(ends[f"{n} low"])) / F.lit(span(n)) * top, 2) if n in known else F.lit(None).cast("double") for n, c in columns.items()})
 
 
-def rank_share(value: Column, over: Window) -> Column:
-    """Share of values that are less, among those that are not null."""
-    return F.when(value.isNotNull(), (F.rank().over(over.orderBy(value.asc_nulls_last())) - 1) / F.count(value).over(over))
+def rank_share(rows: DataFrame, column: str, name: str = "share") -> DataFrame:
+    """``rows`` with the share of values that are less, among those that are not null; null for null."""
+    known, order = F.col(column).isNotNull(), F.monotonically_increasing_id()
+    placed = ranked(rows.where(known).select(F.struct("*").alias("whole"), F.col(column).alias("v"), order.alias("t")), [], F.col("v"), F.col("t"))
+    share = placed.select("whole.*", ((F.col("rank") - 1) / F.col("n")).alias(name))
+    return share.unionByName(rows.where(~known).select("*", F.lit(None).cast("double").alias(name)))
 
 
 def colour_ranks(rows: DataFrame, category: str) -> DataFrame:

@@ -96,11 +96,14 @@ def meal_groups(rows: DataFrame, groups: DataFrame, servings: Column | float = 1
     """Grams of each diet group in a serving (recipe_id, group_grams as a map); cooked foods count at the weight that
     they had dry or raw.
 
-    ``groups`` has ingredient, group and the description of the matched food. ``servings`` is a number or a column of
+    ``groups`` has ingredient, group and the description of the matched food. An ingredient without a matched food is
+    classified by its own name and counts at its weight as used. ``servings`` is a number or a column of
     ``rows``; none or 0 counts as 1. Groups under ``least`` grams a serving are left out before rounding.
     """
     g = groups.select(F.lower(F.trim("ingredient")).alias("key"), F.col("group").alias("g"), F.lower(F.coalesce("description", F.lit(""))).alias("about")).dropDuplicates(["key"])
-    x = rows.where("grams > 0").withColumn("key", F.lower(F.trim("ingredient"))).join(g, "key").where("g <> 'other'")
+    own = S.diet_group(F.col("ingredient"), F.lit(""))
+    x = rows.where("grams > 0").withColumn("key", F.lower(F.trim("ingredient"))).join(g, "key", "left")
+    x = x.withColumns({"g": F.coalesce("g", own), "about": F.coalesce("about", F.lit(""))}).where("g <> 'other'")
     cooked = reduce(lambda a, b: a | b, [F.col("about").contains(word) for word in COOKED])
     basis = F.when(cooked & (F.col("g") == "whole_grains"), COOKED_GRAINS).when(cooked & (F.col("g") == "legumes"), COOKED_LEGUMES).when(cooked & F.col("g").isin("red_meat", "processed_meat"), COOKED_MEAT).otherwise(1.0)
     per = F.coalesce(F.nullif(servings if isinstance(servings, Column) else F.lit(float(servings)), F.lit(0.0)), F.lit(1.0))

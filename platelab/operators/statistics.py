@@ -7,23 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from platelab.session import checkpointed
 
-def weighted_quantiles(rows: DataFrame, groups: Sequence[str], value: str, weight: str, shares: Sequence[float], order: str | None = None) -> DataFrame:
-    """Quantiles of ``value`` by group as columns q<percent>: weights run up to the middle of each row, values between
-    are interpolated, ends are clamped. Equal values stand in ``order``."""
-    x = rows.where(F.col(value).isNotNull() & (F.col(weight) > 0))
-    by = Window.partitionBy(*groups)
-    run = by.orderBy(value, *([order] if order else []))
-    upto = F.sum(weight).over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    x = x.withColumn("c", (upto - F.col(weight) / 2) / F.sum(weight).over(by))
-    x = x.select(*groups, F.col(value).alias("v"), "c", F.lead(value).over(run).alias("v2"), F.lead("c").over(run).alias("c2"), F.lag("c").over(run).alias("c0"))
-
-    def at(q: float) -> Column:
-        inside = (F.col("c") <= q) & (F.col("c2") > q)
-        between = F.col("v") + (F.col("v2") - F.col("v")) * (q - F.col("c")) / (F.col("c2") - F.col("c"))
-        return F.max(F.when(inside, between).when(F.col("c0").isNull() & (F.col("c") > q), F.col("v")).when(F.col("c2").isNull() & (F.col("c") <= q), F.col("v")))
-
-    return x.groupBy(*groups).agg(*[at(q).alias(f"q{round(q * 100):02d}") for q in shares])
+from .cleaning import numbered
+from .ordering import ranked, weighted_quantiles
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:
@@ -32,29 +19,29 @@ def weighted_mean(value: Column, weight: Column) -> Column:
 
 
 def box_stats(rows: DataFrame, group: str, value: str, weight: str, least: int = 150, order: str | None = None) -> DataFrame:
-    """Weighted box of each group with enough rows: 5, 25, 50, 75 and 95 percent, mean, rows and weight."""
+    """Weighted box of each group with enough rows: 5, 25, 50, 75 and 95 percent, mean, rows, weight, and ``place``, from
+    0 for the group whose median is highest, which is the worst; ties go by group."""
     q = weighted_quantiles(rows, [group], value, weight, (0.05, 0.25, 0.5, 0.75, 0.95), order)
     n = rows.where(F.col(value).isNotNull() & (F.col(weight) > 0)).groupBy(group).agg(F.count("*").alias("n"), weighted_mean(F.col(value), F.col(weight)).alias("mean"), F.sum(weight).alias("weight"))
-    return n.where(F.col("n") >= least).join(q, group)
-
-
-def ordinal_rank(value: str, tie: str, over: Window | None = None) -> Column:
-    return F.row_number().over((over if over is not None else Window.partitionBy()).orderBy(value, tie))
+    boxes = checkpointed(n.where(F.col("n") >= least).join(q, group))
+    return numbered(boxes, [F.desc("q50"), F.col(group)])
 
 
 def spearman_matrix(rows: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
     """Rank correlation of each pair of columns over the rows that have both; ranks are ordinal, ties by key."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     each = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs]))
-    long = rows.select(key, each.alias("p")).select(key, "p.*").where("x is not null and y is not null and not isnan(x) and not isnan(y)")
-    w = Window.partitionBy("a", "b")
-    ranked = long.withColumn("rx", ordinal_rank("x", key, w).cast("double")).withColumn("ry", ordinal_rank("y", key, w).cast("double"))
-    return ranked.groupBy("a", "b").agg(F.corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
+    long = rows.select(F.col(key).alias("key"), each.alias("p")).select("key", "p.*").where("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    first = ranked(long, ["a", "b"], F.col("x"), F.col("key")).select("key", "a", "b", "y", F.col("place").cast("double").alias("rx"))
+    both = ranked(first, ["a", "b"], F.col("y"), F.col("key")).withColumn("ry", F.col("place").cast("double"))
+    return both.groupBy("a", "b").agg(F.corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
 
 
 def weighted_spearman(rows: DataFrame, x: str, y: str, weight: str, key: str) -> DataFrame:
     """Weighted correlation of ordinal ranks."""
-    r = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("rx", ordinal_rank(x, key).cast("double")).withColumn("ry", ordinal_rank(y, key).cast("double")).withColumn("w", F.col(weight).cast("double"))
+    known = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(key).alias("key"), F.col(x).alias("x"), F.col(y).alias("y"), F.col(weight).cast("double").alias("w"))
+    first = ranked(known, [], F.col("x"), F.col("key")).select("key", "y", "w", F.col("place").cast("double").alias("rx"))
+    r = ranked(first, [], F.col("y"), F.col("key")).select("w", "rx", F.col("place").cast("double").alias("ry"))
     s = r.agg(F.sum("w").alias("w"), *[F.sum(F.col("w") * c).alias(n) for n, c in {"x": F.col("rx"), "y": F.col("ry"), "xx": F.col("rx") * F.col("rx"), "yy": F.col("ry") * F.col("ry"), "xy": F.col("rx") * F.col("ry")}.items()])
     cov = lambda a, b, ab: F.col(ab) / F.col("w") - F.col(a) / F.col("w") * F.col(b) / F.col("w")
     return s.select((cov("x", "y", "xy") / F.sqrt(cov("x", "x", "xx") * cov("y", "y", "yy"))).alias("rho"))

@@ -13,6 +13,7 @@ from platelab.operators import impact, index, manifold, nutrition, statistics
 
 from . import inputs as I
 from .registry import query
+from .statistics import wq
 
 INDEXED = "p_name AS canonical_dish, p_partkey % 37 AS restaurant_id, concat(p_name, ' ', p_size % 4) AS raw_menu_name, p_type AS bucket"
 
@@ -87,11 +88,11 @@ def breakdown_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("recipe_id", (F.col("at") + 1).alias("place"), "i.ingredient", F.round("i.ghg_g", 6).alias("ghg_g"))
 
 
-@query("food_tables", "SELECT p_partkey AS fdc_id, p_name AS description, 'foundation' AS source FROM part WHERE p_type = 'PROMO' UNION ALL SELECT p_partkey + 1000000, p_name, 'survey' FROM part WHERE p_size > 25 UNION ALL SELECT p_partkey + 2000000, p_brand, 'legacy' FROM part")
+@query("food_tables", "SELECT p_partkey AS fdc_id, p_name AS description, 'foundation' AS source FROM part WHERE p_type = 'PROMO' UNION ALL SELECT p_partkey + 1000000, p_name, 'survey' FROM part UNION ALL SELECT p_partkey + 2000000, p_brand, 'legacy' FROM part")
 def food_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = I.read(spark, sf_dir, "part")
     a = p.selectExpr("p_partkey AS fdc_id", "p_name AS description", "CASE WHEN p_type = 'PROMO' THEN 'foundation_food' ELSE 'sample' END AS data_type")
-    return nutrition.foods((a, "foundation", "foundation_food"), (p.where("p_size > 25").selectExpr("p_partkey + 1000000 AS fdc_id", "p_name AS description"), "survey", None), (p.selectExpr("p_partkey + 2000000 AS fdc_id", "p_brand AS description"), "legacy", None))
+    return nutrition.foods((a, "foundation", "foundation_food"), (p.selectExpr("p_partkey + 1000000 AS fdc_id", "p_name AS description"), "survey", None), (p.selectExpr("p_partkey + 2000000 AS fdc_id", "p_brand AS description"), "legacy", None))
 
 
 @query("food_categories", "SELECT p_partkey AS fdc_id, CASE WHEN p_size % 3 = 0 AND p_size < 40 THEN concat('category ', p_size) WHEN p_partkey % 2 = 0 THEN p_type ELSE '' END AS fdc_category FROM part")
@@ -283,10 +284,16 @@ def score_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("radius", F.round("score_mean", 6).alias("score_mean"), F.round("score_p75", 6).alias("score_p75"))
 
 
-@query("weighted_curve", "SELECT CAST(p_size % 5 AS DOUBLE) AS radius, round(sum((1 + p_partkey % 3) * p_retailprice) / sum(1 + p_partkey % 3), 6) AS mean FROM part GROUP BY 1")
+CURVE = "(SELECT CAST(p_size % 5 AS DOUBLE) AS radius, p_retailprice AS gain, CAST(1 + p_partkey % 3 AS DOUBLE) AS w FROM part)"
+
+
+@query(
+    "weighted_curve",
+    "SELECT radius, round(mean, 6) AS mean, round(q25, 4) AS q25, round(q50, 4) AS q50, round(q75, 4) AS q75 FROM (SELECT radius, sum(w * gain) / sum(w) AS mean FROM " + CURVE + " GROUP BY 1) JOIN (" + wq(CURVE, "radius", "gain", "w", "w", [0.25, 0.5, 0.75]) + ") USING (radius)",
+)
 def weighted_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = I.read(spark, sf_dir, "part").selectExpr("CAST(p_size % 5 AS DOUBLE) AS radius", "p_retailprice AS gain", "CAST(1 + p_partkey % 3 AS DOUBLE) AS w")
-    return X.weighted_curve(x, "gain", "w").select("radius", F.round("mean", 6).alias("mean"))
+    return X.weighted_curve(x, "gain", "w").select("radius", F.round("mean", 6).alias("mean"), *[F.round(q, 4).alias(q) for q in ("q25", "q50", "q75")])
 
 
 @query("per_serving", "SELECT p_partkey, round(p_retailprice * p_size / 1000 / (1 + p_partkey % 4), 6) AS per_serving FROM part")

@@ -19,10 +19,6 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.read(spark, sf_dir, "embeddings").selectExpr("vec_id AS idx", "embedding AS vector")
 
 
-def _pairs(spark: SparkSession, sf_dir: str, radius: float) -> DataFrame:
-    return X.pairs_within(_vectors(spark, sf_dir), radius)
-
-
 def _dishes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.read(spark, sf_dir, "part").selectExpr("p_partkey AS idx", "p_retailprice / 100 AS ghg", "CAST(p_size AS DOUBLE) AS health", "p_type AS cuisine")
 
@@ -44,7 +40,7 @@ def flex_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("best_pick", D + ", k AS (SELECT i, j, ghg FROM p JOIN m ON m.idx = j WHERE d <= 0.8) SELECT i AS idx, first(j ORDER BY ghg, j) AS pick FROM k GROUP BY 1")
 def best_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.best_pick(_pairs(spark, sf_dir, 0.8), _dishes(spark, sf_dir), "ghg", 0.8)
+    return X.best_pick(_vectors(spark, sf_dir), _dishes(spark, sf_dir), "ghg", 0.8)
 
 
 SWAPS = "p_partkey AS idx, CAST(1 + p_size AS DOUBLE) AS ghg, CAST(p_partkey % 7 AS DOUBLE) AS health, p_type AS cuisine"
@@ -55,7 +51,7 @@ SWAPS = "p_partkey AS idx, CAST(1 + p_size AS DOUBLE) AS ghg, CAST(p_partkey % 7
     D.replace("p_retailprice / 100 AS ghg, CAST(p_size AS DOUBLE) AS health", "CAST(1 + p_size AS DOUBLE) AS ghg, CAST(p_partkey % 7 AS DOUBLE) AS health") + ", k AS (SELECT i, j, a.cuisine <> b.cuisine AS o, (a.ghg - b.ghg) / a.ghg + 2 * (b.health - a.health) AS s FROM p JOIN m a ON a.idx = i JOIN m b ON b.idx = j WHERE d <= 0.8 AND i <> j AND b.ghg < a.ghg * 0.9 AND b.health >= a.health) SELECT i AS idx, first(j ORDER BY o, round(s, 9) DESC, j) AS swap FROM k GROUP BY 1",
 )
 def swap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.swap_search(_pairs(spark, sf_dir, 0.8), I.read(spark, sf_dir, "part").selectExpr(*SWAPS.split(", ")), 0.8)
+    return X.swap_search(_vectors(spark, sf_dir), I.read(spark, sf_dir, "part").selectExpr(*SWAPS.split(", ")), 0.8)
 
 
 @query(
@@ -65,7 +61,7 @@ def swap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT round(avg(CASE WHEN a.health > o.health THEN 1 ELSE 0 END), 6) AS greenest_healthier, round(avg(CASE WHEN b.ghg < o.ghg THEN 1 ELSE 0 END), 6) AS healthiest_greener, round(avg(win), 6) AS win_win FROM g JOIN m o ON o.idx = i JOIN m a ON a.idx = g.g JOIN m b ON b.idx = g.h JOIN w USING (i)""",
 )
 def cobenefit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = X.co_benefits(_pairs(spark, sf_dir, 0.8), _dishes(spark, sf_dir), 0.8)
+    x = X.co_benefits(_vectors(spark, sf_dir), _dishes(spark, sf_dir), 0.8)
     return x.select(*[F.round(c, 6).alias(c) for c in ("greenest_healthier", "healthiest_greener", "win_win")])
 
 
@@ -82,4 +78,4 @@ t AS (SELECT unnest({list(TOL)}::DOUBLE[]) AS tolerance), g AS (SELECT i, tolera
 def flex_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = I.read(spark, sf_dir, "part").selectExpr("p_partkey AS idx", "p_retailprice / 100 AS ghg", *[e + "" for e in MACRO.split(", ")])
     dishes = x.select("idx", "ghg", X.macro_shares(F.col("pr"), F.col("fa"), F.col("ca")).alias("shares"))
-    return X.tolerance_sweep(_pairs(spark, sf_dir, 0.8), dishes, "ghg", TOL, 0.8).withColumn("mean_gain", F.round("mean_gain", 6))
+    return X.tolerance_sweep(_vectors(spark, sf_dir), dishes, "ghg", TOL, 0.8).withColumn("mean_gain", F.round("mean_gain", 6))

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platelab.functions import text as T
-from platelab.operators import cleaning, index
+from platelab.operators import cleaning, index, rules
 from platelab.operators import vocabulary as V
 
 from . import inputs as I
+from .menus import PASSAGE_WORDS, passage_rules
 from .registry import query
 
 VERDICT = "CASE p_partkey % 4 WHEN 0 THEN 'Keep' WHEN 1 THEN 'drop' WHEN 2 THEN ' Review ' ELSE 'keep' END"
@@ -39,9 +40,9 @@ def marked_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.marked(x, "value", "mark")
 
 
-@query("name_summary", "WITH c AS (SELECT p_name, count(*) AS n FROM part WHERE p_size = 7 GROUP BY 1) SELECT count(*) AS names, sum(n)::BIGINT AS rows, count(*) FILTER (WHERE n = 1) AS singletons FROM c")
+@query("name_summary", "WITH c AS (SELECT p_name, count(*) AS n FROM part GROUP BY 1) SELECT count(*) AS names, sum(n)::BIGINT AS rows, count(*) FILTER (WHERE n = 1) AS singletons FROM c")
 def name_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleaning.count_summary(cleaning.count_names(I.read(spark, sf_dir, "part").where("p_size = 7"), F.col("p_name")))
+    return cleaning.count_summary(cleaning.count_names(I.read(spark, sf_dir, "part"), F.col("p_name")))
 
 
 @query("count_distribution", "WITH c AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), l AS (SELECT list(n ORDER BY n) AS l FROM c) SELECT share, l[greatest(1, floor(len(l) * share)::BIGINT)] AS value FROM l, (SELECT unnest([0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999]::DOUBLE[]) AS share)")
@@ -71,16 +72,16 @@ def apply_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.without_flagged(x).select("p_partkey", "p_name")
 
 
-RULES = (("drop", "deal", "\\b(rod|shim)$"), ("review", "hot", "^hot "), ("drop", "bulk", "gear.*(LARGE|ECONOMY)"), ("drop", "number", "[0-9]{3}$"))
-
-
 @query(
     "rule_cascade",
-    "SELECT p_partkey, CASE WHEN p_name LIKE '% rod' OR p_name LIKE '% shim' THEN 'drop' WHEN starts_with(p_name, 'hot ') THEN 'review' WHEN p_name LIKE '%gear%' AND p_type IN ('LARGE', 'ECONOMY') THEN 'drop' ELSE 'keep' END AS verdict, CASE WHEN p_name LIKE '% rod' OR p_name LIKE '% shim' THEN 'deal' WHEN starts_with(p_name, 'hot ') THEN 'hot' WHEN p_name LIKE '%gear%' AND p_type IN ('LARGE', 'ECONOMY') THEN 'bulk' ELSE 'default' END AS reason FROM part",
+    f"""WITH d AS (SELECT doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^a-zà-ÿ0-9]+', ' ', 'g')), ' ') AS w FROM documents), p AS (SELECT place, w || ' ' || next AS two, w || '+' || next AS reason, CASE WHEN place // 1000 % 3 = 0 THEN 'review' ELSE 'drop' END AS verdict FROM {PASSAGE_WORDS} WHERE next IS NOT NULL),
+h AS (SELECT doc_id, min(place) AS place FROM (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS two FROM d) JOIN p USING (two) GROUP BY 1)
+SELECT doc_id, coalesce(verdict, 'keep') AS verdict, coalesce(reason, 'default') AS reason FROM d LEFT JOIN h USING (doc_id) LEFT JOIN p USING (place)""",
 )
 def rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat_ws(" ", "p_name", F.when(F.col("p_name").contains("gear"), F.col("p_type")))
-    return I.read(spark, sf_dir, "part").select("p_partkey", cleaning.rule_cascade(text, RULES).alias("r")).select("p_partkey", "r.*")
+    """Ordered rules from a table, over whole documents."""
+    x = I.read(spark, sf_dir, "documents").select("doc_id", F.trim(F.regexp_replace(F.lower("text"), "[^a-zà-ÿ0-9]+", " ")).alias("name"))
+    return rules.judged(x, "doc_id", "name", passage_rules(spark, sf_dir)).select("doc_id", "verdict", "reason")
 
 
 @query("kept_verdicts", f"SELECT name, n FROM {NAMED} WHERE lower(verdict) = 'keep'")

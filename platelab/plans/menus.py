@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platelab.functions import text as T
-from platelab.operators import cleaning, index
+from platelab.operators import cleaning, index, rules
 
 from . import inputs as I
 from .registry import query
@@ -85,29 +85,55 @@ def tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.tag_counts(I.restaurants(spark, sf_dir), "category")
 
 
-LINES = "(SELECT doc_id, lower(array_to_string(list_slice(string_split(text, ' '), 1, 14), ' ')) AS name FROM documents WHERE lang = 'en')"
+#: Sentences of all whole documents as names, and what the passages of another table make of rules.
+SENTENCE = "trim(regexp_replace(lower(s), '[^a-zà-ÿ0-9]+', ' ', 'g'))"
+SENTENCES = f"(SELECT doc_id * 100000 + i AS id, {SENTENCE} AS name FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[.\n]')) AS s, generate_subscripts(regexp_split_to_array(text, '[.\n]'), 1) AS i FROM documents))"
+PASSAGE_SENTENCES = f"(SELECT item_id, {SENTENCE} AS name FROM (SELECT item_id, unnest(regexp_split_to_array(text, '[.\n]')) AS s FROM benchmark))"
+PASSAGE_WORDS = "(SELECT item_id * 1000 + i AS place, w, lead(w) OVER (PARTITION BY item_id ORDER BY i) AS next FROM (SELECT item_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^a-zà-ÿ0-9]+', ' ', 'g')), ' ') AS w FROM benchmark)))"
+
+
+def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = I.read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "[.\n]")).alias("i", "s"))
+    return each.select((F.col("doc_id") * 100000 + F.col("i") + 1).alias("id"), _plain(F.col("s")).alias("name"))
+
+
+def _plain(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), "[^a-zà-ÿ0-9]+", " "))
+
+
+def passage_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule for each two words that follow one another in a passage: several hundred and more."""
+    w = I.read(spark, sf_dir, "benchmark").select("item_id", F.split(_plain(F.col("text")), " ").alias("w"))
+    two = w.select("item_id", F.posexplode(F.transform("w", lambda x, i: F.struct(x.alias("a"), F.get("w", i + 1).alias("b")))).alias("i", "p")).where("p.b is not null")
+    at = (F.col("item_id") * 1000 + F.col("i") + 1).alias("rule")
+    verdict = F.when(F.col("item_id") % 3 == 0, "review").otherwise("drop").alias("verdict")
+    pattern = F.concat(F.lit("(^| )"), "p.a", F.lit(" "), "p.b", F.lit("( |$)")).alias("pattern")
+    return two.select(at, verdict, F.concat("p.a", F.lit("+"), "p.b").alias("reason"), F.array("p.a", "p.b").alias("words"), pattern)
 
 
 @query(
     "fragment_filter",
-    f"""WITH x AS (SELECT doc_id, {words("name")} AS w FROM {LINES}), y AS (SELECT doc_id, len(w) AS n, list_transform(list_distinct(w), lambda t: len(list_filter(w, lambda u: u = t))) AS c FROM x)
-SELECT doc_id, n > 12 OR coalesce(list_max(c), 0) >= 3 OR len(list_filter(c, lambda v: v >= 2)) >= 2 AS fragment FROM y""",
+    f"""WITH x AS (SELECT id, {words("name")} AS w FROM {SENTENCES}), y AS (SELECT id, len(w) AS n, list_transform(list_distinct(w), lambda t: len(list_filter(w, lambda u: u = t))) AS c FROM x)
+SELECT id, n > 12 OR coalesce(list_max(c), 0) >= 3 OR len(list_filter(c, lambda v: v >= 2)) >= 2 AS fragment FROM y""",
 )
 def fragment_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = I.read(spark, sf_dir, "documents").where("lang = 'en'")
-    name = F.lower(F.array_join(F.slice(F.split("text", " "), 1, 14), " "))
-    return x.select("doc_id", T.is_fragment(name).alias("fragment"))
+    return _sentences(spark, sf_dir).select("id", T.is_fragment(F.col("name")).alias("fragment"))
 
 
 @query(
     "flag_names",
-    f"""WITH k AS (SELECT id, {normal("name")} AS name FROM {I.MENU_SQL}), t AS (SELECT *, {words("name")} AS w FROM k)
-SELECT id, CASE WHEN len(w) = 0 THEN 'x' WHEN len(w) = 1 THEN CASE WHEN w[1] IN ('hot', 'new', 'cold') THEN 'x' WHEN w[1] IN ('ring', 'plate') THEN '?' WHEN length(w[1]) <= 2 AND NOT regexp_matches(w[1], '^\\d+$') THEN 'x' ELSE '' END
- WHEN name IN ('hot plate') OR len(list_filter(w, lambda t: t NOT IN ('hot', 'new', 'cold'))) = 0 OR regexp_matches(name, '(?i)\\bgizmos?\\b|\\bbolt wraps\\b') THEN 'x' ELSE '' END AS flag FROM t""",
+    f"""WITH k AS (SELECT * FROM {SENTENCES}), t AS (SELECT *, {words("name")} AS w FROM k), p AS (SELECT * FROM {PASSAGE_WORDS}), l AS (SELECT DISTINCT w FROM p WHERE length(w) <= 4),
+q AS (SELECT DISTINCT w || ' ' || next AS two FROM p WHERE next IS NOT NULL), o AS (SELECT id, unnest(w) AS w FROM t), r AS (SELECT id, count(*) AS n, count(*) FILTER (WHERE w IN (SELECT w FROM l) AND length(w) <= 3) AS x FROM o GROUP BY 1),
+b AS (SELECT DISTINCT id FROM (SELECT id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS two FROM t) WHERE two IN (SELECT two FROM q))
+SELECT id, CASE WHEN len(w) = 0 THEN 'x' WHEN len(w) = 1 THEN CASE WHEN w[1] IN (SELECT w FROM l) THEN CASE WHEN length(w[1]) <= 3 THEN 'x' ELSE '?' END WHEN length(w[1]) <= 2 AND NOT regexp_matches(w[1], '^\d+$') THEN 'x' ELSE '' END
+ WHEN name IN (SELECT name FROM {PASSAGE_SENTENCES}) OR r.x = r.n OR b.id IS NOT NULL THEN 'x' ELSE '' END AS flag FROM t LEFT JOIN r USING (id) LEFT JOIN b USING (id)""",
 )
 def flag_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = I.menus(spark, sf_dir).select("id", T.normalize(F.col("name")).alias("name"))
-    return cleaning.flag_names(x, "name", ["hot", "new", "cold"], ["ring", "plate"], ["hot plate"], [r"\bgizmos?\b", r"\bbolt wraps\b"]).select("id", "flag")
+    passages = I.read(spark, sf_dir, "benchmark")
+    listed = passages.select(F.explode(F.split(_plain(F.col("text")), " ")).alias("word")).where("length(word) <= 4").distinct()
+    listed = listed.withColumn("flag", F.when(F.length("word") <= 3, "x").otherwise("?"))
+    phrases = passages.select(F.explode(F.split("text", "[.\n]")).alias("s")).select(_plain(F.col("s")).alias("phrase"))
+    return rules.flagged(_sentences(spark, sf_dir), "id", "name", listed, phrases, passage_rules(spark, sf_dir)).select("id", "flag")
 
 
 @query(

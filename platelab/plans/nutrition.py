@@ -47,7 +47,7 @@ def _split(expressions: str) -> list[str]:
     return [*out, expressions[start:]]
 
 
-AMOUNTS = "(SELECT l_orderkey AS fdc_id, CASE l_linenumber WHEN 1 THEN 1008 WHEN 2 THEN 2047 WHEN 3 THEN 1003 WHEN 4 THEN 1004 ELSE 1005 END AS nutrient_id, l_quantity AS amount FROM lineitem WHERE l_linenumber <= 5)"
+AMOUNTS = "(SELECT l_orderkey AS fdc_id, CASE l_linenumber WHEN 1 THEN 1008 WHEN 2 THEN 2047 WHEN 3 THEN 1003 WHEN 4 THEN 1004 ELSE 1005 END AS nutrient_id, l_quantity AS amount FROM lineitem)"
 
 
 @query(
@@ -56,7 +56,7 @@ AMOUNTS = "(SELECT l_orderkey AS fdc_id, CASE l_linenumber WHEN 1 THEN 1008 WHEN
 SELECT o_orderkey AS fdc_id, round(coalesce(e1, e2), 2) AS energy_kcal, round(coalesce(p, 0), 2) AS protein_g, round(coalesce(f, 0), 2) AS fat_g FROM orders JOIN p ON o_orderkey = fdc_id WHERE coalesce(e1, e2) IS NOT NULL""",
 )
 def nutrient_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    amounts = I.read(spark, sf_dir, "lineitem").where("l_linenumber <= 5").selectExpr("l_orderkey AS fdc_id", "CASE l_linenumber WHEN 1 THEN 1008 WHEN 2 THEN 2047 WHEN 3 THEN 1003 WHEN 4 THEN 1004 ELSE 1005 END AS nutrient_id", "l_quantity AS amount")
+    amounts = I.read(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS fdc_id", "CASE l_linenumber WHEN 1 THEN 1008 WHEN 2 THEN 2047 WHEN 3 THEN 1003 WHEN 4 THEN 1004 ELSE 1005 END AS nutrient_id", "l_quantity AS amount")
     food = I.read(spark, sf_dir, "orders").selectExpr("o_orderkey AS fdc_id")
     return nutrition.pivot_nutrients(food, amounts, {"energy_kcal": (2047, 1008), "protein_g": (1003,), "fat_g": (1004,)}, required="energy_kcal")
 
@@ -103,19 +103,22 @@ def class_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 GROUPS = "CASE WHEN ingredient LIKE '%gear%' THEN 'legumes' WHEN ingredient LIKE '%bolt%' THEN 'red_meat' WHEN ingredient LIKE '%ring%' THEN 'whole_grains' ELSE 'other' END"
+#: Ingredients without a matched food, which their names tell.
+UNMATCHED = "CASE WHEN ingredient LIKE '%widget%' THEN concat('Ground Beef, cooked ', ingredient) WHEN ingredient LIKE '%anvil%' THEN concat('rice, brown ', ingredient) ELSE ingredient END"
 ABOUT = "concat(ingredient, CASE right(ingredient, 1) WHEN '1' THEN ', cooked' WHEN '2' THEN ', Canned, drained' WHEN '3' THEN ', stewed meat' WHEN '4' THEN ', dry heat' ELSE ', raw' END)"
 
 
 @query(
     "meal_groups",
-    f"""WITH r AS {I.ROWS_SQL}, d AS (SELECT *, {GROUPS} AS g, lower({ABOUT}) AS about, CASE WHEN recipe_id % 3 = 0 THEN 1 ELSE recipe_id % 3 END AS servings FROM r),
-x AS (SELECT recipe_id, g, servings, grams * CASE WHEN NOT regexp_matches(about, 'cook|boil|roast|brais|grill|broil|fried|baked|steam|stew|canned|simmer|prepared|drained|moist heat|dry heat') THEN 1 WHEN g = 'whole_grains' THEN 0.45 WHEN g = 'legumes' THEN 0.4 WHEN g = 'red_meat' THEN 1 / 0.7 ELSE 1 END AS v FROM d WHERE g <> 'other'),
+    f"""WITH r AS {I.ROWS_SQL}, d AS (SELECT *, CASE WHEN ingredient LIKE '%widget%' THEN 'red_meat' WHEN ingredient LIKE '%anvil%' THEN 'whole_grains' ELSE {GROUPS} END AS g, lower({ABOUT}) AS about, CASE WHEN recipe_id % 3 = 0 THEN 1 ELSE recipe_id % 3 END AS servings FROM r),
+x AS (SELECT recipe_id, g, servings, grams * CASE WHEN ingredient LIKE '%widget%' OR ingredient LIKE '%anvil%' THEN 1 WHEN NOT regexp_matches(about, 'cook|boil|roast|brais|grill|broil|fried|baked|steam|stew|canned|simmer|prepared|drained|moist heat|dry heat') THEN 1 WHEN g = 'whole_grains' THEN 0.45 WHEN g = 'legumes' THEN 0.4 WHEN g = 'red_meat' THEN 1 / 0.7 ELSE 1 END AS v FROM d WHERE g <> 'other'),
 s AS (SELECT recipe_id, g, (sum(v) / any_value(servings))::DOUBLE AS v FROM x GROUP BY ALL HAVING sum(v) / any_value(servings) >= 0.05)
 SELECT recipe_id, round(coalesce(max(v) FILTER (WHERE g = 'legumes'), 0), 3) AS legumes, round(coalesce(max(v) FILTER (WHERE g = 'red_meat'), 0), 3) AS red_meat, round(coalesce(max(v) FILTER (WHERE g = 'whole_grains'), 0), 3) AS whole_grains FROM s GROUP BY 1""",
 )
 def meal_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = I.recipe_rows(spark, sf_dir)
-    groups = rows.select("ingredient").distinct().withColumn("group", F.expr(GROUPS)).withColumn("description", F.expr(ABOUT))
+    rows = I.recipe_rows(spark, sf_dir).withColumn("ingredient", F.expr(UNMATCHED))
+    known = "ingredient NOT LIKE 'Ground%' AND ingredient NOT LIKE 'rice,%'"
+    groups = rows.where(known).select("ingredient").distinct().withColumn("group", F.expr(GROUPS)).withColumn("description", F.expr(ABOUT))
     return nutrition.fixed_groups(nutrition.meal_groups(rows, groups, (F.col("recipe_id") % 3).cast("double")), ("legumes", "red_meat", "whole_grains"))
 
 

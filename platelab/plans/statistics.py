@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platelab.operators import manifold, statistics
@@ -26,16 +26,26 @@ def weighted_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("c_nationkey", *[F.round(c, 4).alias(c) for c in ("q25", "q50", "q75")])
 
 
+ONE_GROUP = "(SELECT CAST(l_extendedprice AS DOUBLE) AS v, CAST(l_quantity AS DOUBLE) AS w, l_orderkey * 10 + l_linenumber AS k FROM lineitem)"
+
+
+@query("weighted_quantiles_all", "SELECT round(q01, 4) AS q01, round(q50, 4) AS q50, round(q99, 4) AS q99 FROM (" + wq(ONE_GROUP, "", "v", "w", "k", [0.01, 0.5, 0.99]) + ")")
+def weighted_quantiles_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One group of all rows, with many ties."""
+    x = I.read(spark, sf_dir, "lineitem").selectExpr("CAST(l_extendedprice AS DOUBLE) AS v", "CAST(l_quantity AS DOUBLE) AS w", "l_orderkey * 10 + l_linenumber AS k")
+    return statistics.weighted_quantiles(x, [], "v", "w", (0.01, 0.5, 0.99), "k").select(*[F.round(c, 4).alias(c) for c in ("q01", "q50", "q99")])
+
+
 @query(
     "box_stats",
-    "WITH x AS (SELECT *, (c_custkey % 13 + 1)::DOUBLE AS w FROM customer), n AS (SELECT c_mktsegment, count(*) AS n, round(sum(w * c_acctbal) / sum(w), 4) AS mean, sum(w) AS weight FROM x GROUP BY 1 HAVING count(*) >= 150) SELECT c_mktsegment, n, mean, weight, round(q05, 4) AS q05, round(q50, 4) AS q50, round(q95, 4) AS q95 FROM n JOIN ("
+    "WITH x AS (SELECT *, (c_custkey % 13 + 1)::DOUBLE AS w FROM customer), n AS (SELECT c_mktsegment, count(*) AS n, round(sum(w * c_acctbal) / sum(w), 4) AS mean, sum(w) AS weight FROM x GROUP BY 1 HAVING count(*) >= 150) SELECT c_mktsegment, n, mean, weight, round(q05, 4) AS q05, round(q50, 4) AS q50, round(q95, 4) AS q95, row_number() OVER (ORDER BY q50 DESC, c_mktsegment) - 1 AS place FROM n JOIN ("
     + wq("x", "c_mktsegment", "c_acctbal", "w", "c_custkey", [0.05, 0.5, 0.95])
     + ") USING (c_mktsegment)",
 )
 def box_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = I.read(spark, sf_dir, "customer").withColumn("w", (F.col("c_custkey") % 13 + 1).cast("double"))
     b = statistics.box_stats(x, "c_mktsegment", "c_acctbal", "w", 150, "c_custkey")
-    return b.select("c_mktsegment", "n", F.round("mean", 4).alias("mean"), "weight", *[F.round(c, 4).alias(c) for c in ("q05", "q50", "q95")])
+    return b.select("c_mktsegment", "n", F.round("mean", 4).alias("mean"), "weight", *[F.round(c, 4).alias(c) for c in ("q05", "q50", "q95")], F.col("place").cast("long").alias("place"))
 
 
 PAIRS = "(SELECT l_orderkey * 10 + l_linenumber AS k, l_quantity AS a, l_extendedprice AS b, CASE WHEN l_linenumber <> 3 THEN l_discount END AS c FROM lineitem)"
@@ -71,11 +81,11 @@ def weighted_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "binned_trend",
-    "WITH x AS (SELECT *, 1.0::DOUBLE AS w FROM customer), e AS (" + wq("x", "", "c_acctbal", "w", "c_custkey", [0.0, 0.25, 0.5, 0.75, 1.0]) + "), s AS (SELECT 0 AS bin, q00 AS low, q25 AS high FROM e UNION ALL SELECT 1, q25, q50 FROM e UNION ALL SELECT 2, q50, q75 FROM e UNION ALL SELECT 3, q75, q100 FROM e) SELECT bin::INT AS bin, round(low, 4) AS low, round(high, 4) AS high, count(*) AS n FROM x JOIN s ON c_acctbal BETWEEN low AND high GROUP BY ALL HAVING count(*) >= 20",
+    "WITH x AS (SELECT *, 1.0::DOUBLE AS w FROM customer), e AS (" + wq("x", "", "c_acctbal", "w", "c_custkey", [0.0, 0.25, 0.5, 0.75, 1.0]) + "), s AS (SELECT 0 AS bin, q00 AS low, q25 AS high FROM e UNION ALL SELECT 1, q25, q50 FROM e UNION ALL SELECT 2, q50, q75 FROM e UNION ALL SELECT 3, q75, q100 FROM e) SELECT bin::INT AS bin, round(low, 4) AS low, round(high, 4) AS high, n, round(q50, 4) AS median FROM (SELECT bin, low, high, count(*) AS n FROM x JOIN s ON c_acctbal BETWEEN low AND high GROUP BY ALL HAVING count(*) >= 20) JOIN (" + wq("(SELECT x.*, bin FROM x JOIN s ON c_acctbal BETWEEN low AND high)", "bin", "c_custkey", "w", "c_custkey", [0.5]) + ") USING (bin)",
 )
 def binned_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = I.read(spark, sf_dir, "customer").withColumn("w", F.lit(1.0))
-    return statistics.binned_trend(x, "c_acctbal", "c_custkey", "w", "c_custkey", 4).select("bin", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"), "n")
+    return statistics.binned_trend(x, "c_acctbal", "c_custkey", "w", "c_custkey", 4).select("bin", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"), "n", F.round("median", 4).alias("median"))
 
 
 @query("median_price", "SELECT p_name, round(median(p_retailprice), 4) AS median_price, count(*) AS n FROM part WHERE p_retailprice > 0 GROUP BY 1")
@@ -120,8 +130,8 @@ def complete_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("overlay_rank", "SELECT p_partkey, round((rank() OVER (ORDER BY p_size) - 1) / count(p_size) OVER (), 6) AS share FROM part")
 def overlay_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = I.read(spark, sf_dir, "part")
-    return x.select("p_partkey", F.round(manifold.rank_share(F.col("p_size"), Window.partitionBy()), 6).alias("share"))
+    x = manifold.rank_share(I.read(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_size")
+    return x.select("p_partkey", F.round("share", 6).alias("share"))
 
 
 @query("minmax_map", "SELECT p_partkey, round((p_retailprice - min(p_retailprice) OVER ()) / (max(p_retailprice) OVER () - min(p_retailprice) OVER ()) * 1000, 2) AS x FROM part")

@@ -174,9 +174,10 @@ def test_cross_source_finds_words_within_words(spark):
 
 
 def test_swaps_cut_more_than_a_tenth(spark):
-    pairs = spark.createDataFrame([(1, 2, 0.1), (1, 3, 0.1), (1, 4, 0.15), (2, 1, 0.1)], "i long, j long, distance double")
+    v = {1: [1.0, 0.0], 2: [1.0, 0.0], 3: [1.0, 0.0], 4: [0.8, 0.6]}
+    vectors = spark.createDataFrame(list(v.items()), "idx long, vector array<double>")
     dishes = spark.createDataFrame([(1, "a", 10.0, 1.0), (2, "a", 9.5, 5.0), (3, "b", 5.0, 1.0), (4, "b", float("nan"), 9.0)], "idx long, cuisine string, ghg double, health double")
-    assert [(r["idx"], r["swap"]) for r in flexibility.swap_search(pairs, dishes).collect()] == [(1, 3)]
+    assert [(r["idx"], r["swap"]) for r in flexibility.swap_search(vectors, dishes).collect()] == [(1, 3)]
 
 
 def test_cooked_food_counts_at_its_weight_before(spark):
@@ -185,3 +186,10 @@ def test_cooked_food_counts_at_its_weight_before(spark):
     got = {r["recipe_id"]: {k: round(v, 3) for k, v in r["group_grams"].items()} for r in nutrition.meal_groups(rows, groups, 4.0).collect()}
     assert got == {1: {"red_meat": 142.857}, 2: {"red_meat": 100.0}, 3: {"whole_grains": 11.25, "legumes": 10.0}}
     assert {r["recipe_id"] for r in nutrition.meal_groups(rows, groups, F.lit(0.0)).collect()} == {1, 2, 3}
+
+
+def test_ingredients_without_a_food_go_by_name(spark):
+    rows = spark.createDataFrame([(1, "Ground beef, grilled", 80.0), (1, "salt", 5.0), (1, "black beans", 40.0), (2, "pork bacon", 20.0), (2, "rice", 100.0)], "recipe_id long, ingredient string, grams double")
+    groups = spark.createDataFrame([("rice", "whole_grains", "Rice, cooked")], "ingredient string, group string, description string")
+    got = {r["recipe_id"]: r["group_grams"] for r in nutrition.meal_groups(rows, groups, 4.0).collect()}
+    assert got == {1: {"red_meat": 20.0, "legumes": 10.0}, 2: {"processed_meat": 5.0, "whole_grains": 11.25}}
