@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from platelab.session import ship
+
 from .ordering import weighted_quantiles
 
 
@@ -20,6 +22,7 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 def _block_pairs(rows: DataFrame, block: int) -> DataFrame:
     """``sides``: one or two blocks of whole rows (with idx), for each pair of blocks and each block by itself."""
+    ship(rows.sparkSession)
     parts = max(1, -(-rows.count() // block))
     own = F.pmod(F.xxhash64("idx"), F.lit(parts)).cast("int")
     packed = rows.groupBy(own.alias("b")).agg(F.collect_list(F.struct(*rows.columns)).alias("rows"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platelab.session import checkpointed
+from platelab.session import checkpointed, ship
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -60,6 +60,7 @@ def similar_vectors(rows: DataFrame, threshold: float, block: int = 2048) -> Dat
 
     A key's rows are dealt into tiles of bounded size, so a key that most rows share is many tasks.
     """
+    ship(rows.sparkSession)
     sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
     tiles = F.greatest(F.ceil(F.col("n") / block), F.lit(1)).cast("int")
     dealt = rows.select("idx", F.struct("key").alias("key"), F.col("vector").cast("array<double>").alias("vector")).join(sizes.select(F.struct("key").alias("key"), tiles.alias("tiles")), "key")

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from platelab.session import checkpointed
+
 
 def proportions(ingredients: Column) -> Column:
     """Grams not below 0, shares of the whole in percent, and nameless ones left out (though they count in the whole)."""
@@ -97,14 +99,20 @@ def best_of_queries(found: DataFrame, top: int) -> DataFrame:
 def keyword_candidates(items: DataFrame, products: DataFrame, most: int = 5) -> DataFrame:
     """Products whose name holds a word of the item (over two letters), the first few in order of id.
 
-    Words of products are indexed by their three-letter parts, so that only names that share one are compared.
+    A word without a space is in a name if it is in one of its words. So distinct words of items meet distinct words of
+    products, through a three-letter part that both have, and each word carries only the first few products that it
+    leads to: however many items and products share a word, no row is made for each two of them.
     """
+    few = lambda rows, key: rows.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("product_id"))).where(F.col("r") <= most).drop("r")
     grams = lambda s: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 2, F.lit(1))), lambda i: F.substring(s, i, F.lit(3))))
     words = words_of(items, "item")
-    known = products.select("product_id", F.lower("name").alias("product")).withColumn("gram", F.explode(grams(F.col("product"))))
-    hits = words.withColumn("gram", F.substring("word", 1, 3)).join(known, "gram").where("contains(product, word)").select("item", "product_id").distinct()
-    w = Window.partitionBy("item").orderBy("product_id")
-    return hits.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select("item", "product_id")
+    named = products.select("product_id", F.explode(F.array_distinct(F.split(F.lower("name"), " "))).alias("part"))
+    firsts = checkpointed(few(named, "part"))
+    parts = firsts.select("part").distinct().withColumn("gram", F.explode(grams(F.col("part"))))
+    asked = words.select("word").distinct().withColumn("gram", F.substring("word", 1, 3))
+    leads = asked.join(parts, "gram").where("contains(part, word)").select("word", "part").distinct()
+    by_word = few(leads.join(firsts, "part").select("word", "product_id").distinct(), "word")
+    return few(words.join(by_word, "word").select("item", "product_id").distinct(), "item")
 
 
 def union_candidates(vector: DataFrame, keyword: DataFrame) -> DataFrame:
@@ -137,14 +145,16 @@ def cross_source(items: DataFrame, products: DataFrame) -> DataFrame:
     (item, name, value); each product name once, as its first product has it.
 
     Either containment is an equality with a part: all parts of the words are listed, which are few as words are short.
+    Products of one name are one row before they meet the items.
     """
+    products = products.groupBy("name").agg(F.min_by(F.struct("product_id", "value"), "product_id").alias("p")).select("name", "p.*")
     parts = lambda w: F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.transform(F.sequence(F.lit(1), F.length(w) - i + 1), lambda n: F.substring(w, i, n))))))
     a = words_of(items, "item")
     b = words_of(products, "product_id").withColumnRenamed("word", "keyword")
     left, right = a.select("word").distinct(), b.select("keyword").distinct()
     inside = left.select("word", parts(F.col("word")).alias("keyword")).join(right, "keyword").select("word", "keyword").union(right.select("keyword", parts(F.col("keyword")).alias("word")).join(left, "word").select("word", "keyword")).distinct()
     found = a.join(inside, "word").join(b, "keyword").select("item", "product_id").distinct().join(products.select("product_id", "name", "value"), "product_id")
-    return found.groupBy("item", "name").agg(F.min_by("value", "product_id").alias("value"))
+    return found.select("item", "name", "value")
 
 
 def words_of(rows: DataFrame, key: str) -> DataFrame:

@@ -15,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from platelab.session import checkpointed
+from platelab.session import checkpointed, ship
 
 from .cleaning import numbered
 from .flexibility import _block_pairs
 
 #: So many groups are left to one task at the end, where a round has little work for more.
-BLOCK = 2048
+BLOCK = 1024
 #: Nodes made in a round have ids from (round << ROUND) on; leaves have their place.
 ROUND = 40
 _ROW = "rep long, node long, size long, height double, vector array<double>"
@@ -114,6 +114,7 @@ def ward_tree(points: DataFrame, block: int = BLOCK) -> DataFrame:
     block against block, and all pairs that are each other's nearest merge; vectors never reach the driver. Data on which
     few pairs are so (distances that keep growing along a line) take many rounds.
     """
+    ship(points.sparkSession)
     leaves = numbered(points.select("idx", F.col("vector").cast("array<double>").alias("vector")), [F.col("idx")])
     place = F.col("place").cast("long")
     live = checkpointed(leaves.select(place.alias("rep"), place.alias("node"), F.lit(1).cast("long").alias("size"), F.lit(0.0).alias("height"), "vector"))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platelab.functions import scores as S
 from platelab.functions import text as T
 from platelab.operators import flexibility as X
-from platelab.operators import impact, index, manifold, nutrition, statistics
+from platelab.operators import density, graphs, impact, index, linkage, manifold, nutrition, statistics
+from platelab.operators.cleaning import numbered
+from platelab.session import checkpointed
 
 from . import inputs as I
 from .registry import query
@@ -181,37 +182,64 @@ def primary_carb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifold.primary_class(I.recipe_rows(spark, sf_dir), manifold.class_of(food, manifold.CARBS, manifold.NO_CARB))
 
 
-def _centres(spark: SparkSession, sf_dir: str) -> list:
-    """A point per nation: a bounded number for the kernels on the driver."""
-    rows = I.read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("x"), F.avg(F.col("c_custkey") % 1000).alias("y"), F.count("*").alias("n"))
-    return rows.orderBy("c_nationkey").limit(manifold.MOST_LEAVES).collect()
+def _embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.read(spark, sf_dir, "embeddings").selectExpr("vec_id AS idx", "label", "CAST(embedding AS array<double>) AS vector")
 
 
 @query("ward_tree")
 def ward_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No SQL: merges depend on one another. A test compares them with plain computation."""
-    rows = _centres(spark, sf_dir)
-    merges = manifold.ward_tree(np.array([[r["x"], r["y"]] for r in rows]))
-    return spark.createDataFrame([(k, a, b, round(h, 6), n) for k, (a, b, h, n) in enumerate(merges)], "step int, a int, b int, height double, size int")
+    return linkage.ward_tree(_embedded(spark, sf_dir)).withColumn("height", F.round("height", 6))
+
+
+#: Numbers of clades of the views (fixed values).
+CUTS = (24, 150, 800)
 
 
 @query("tree_clades")
 def tree_clades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No SQL, as for ``ward_tree``."""
-    rows = _centres(spark, sf_dir)
-    clades = manifold.cut_tree(manifold.ward_tree(np.array([[r["x"], r["y"]] for r in rows])), len(rows), 5)
-    x = spark.createDataFrame([(c, f"nation {r['c_nationkey']}", r["n"]) for c, r in zip(clades, rows, strict=True)], "clade int, name string, count long")
-    return manifold.clade_members(x, 3)
+    """No SQL, as for ``ward_tree``: the most frequent members of each clade of each cut."""
+    x = _embedded(spark, sf_dir)
+    cut = linkage.clades(checkpointed(linkage.ward_tree(x)), CUTS)
+    named = numbered(x.selectExpr("idx", "concat('dish ', idx) AS name", "idx * 7 % 97 + 1 AS count"), [F.col("idx")]).withColumnRenamed("place", "leaf")
+    rows = cut.join(named.drop("idx"), "leaf").select(F.struct("cut", "clade").alias("clade"), "name", "count")
+    return manifold.clade_members(rows).select("clade.*", "rank", "name", "count", "size")
 
 
 @query("merged_regions")
 def merged_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No SQL, as for ``ward_tree``: average linkage up to a distance, then names that none has twice."""
-    rows = _centres(spark, sf_dir)
-    groups = manifold.average_linkage(np.array([[r["x"], r["y"]] for r in rows]), 85.0)
-    sizes = {g: sum(r["n"] for r, h in zip(rows, groups, strict=True) if h == g) for g in set(groups)}
-    names = manifold.unique_names([(sizes[g], [f"isle {sizes[g] % 5}", f"isle {g}"]) for g in sorted(sizes)])
-    return spark.createDataFrame([(r["c_nationkey"], g, names[g]) for r, g in zip(rows, groups, strict=True)], "nation int, region int, name string")
+    """No SQL, as for ``ward_tree``: average linkage of centres up to a distance, then names that none has twice."""
+    c = I.read(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.avg("c_acctbal").alias("x"), F.avg(F.col("c_custkey") % 1000).alias("y"), F.count("*").alias("n"))
+    c = numbered(c, [F.col("c_nationkey"), F.col("c_mktsegment")]).withColumn("idx", F.col("place").cast("long"))
+    regions = checkpointed(c.join(linkage.average_linkage(c.select("idx", F.array("x", "y").alias("vector")), 85.0), "idx"))
+    wishes = regions.groupBy("region").agg(F.sum("n").cast("double").alias("area"), F.min_by("c_mktsegment", F.struct(-F.col("n"), "c_mktsegment")).alias("most"), F.min("c_nationkey").alias("nation"))
+    names = F.array(F.lower("most"), F.concat(F.lower("most"), F.lit(" "), F.col("nation")), F.concat(F.lit("isle "), F.col("region")))
+    return regions.join(linkage.unique_names(wishes.select("region", "area", names.alias("names"))), "region").select("idx", "region", "name")
+
+
+@query("density_regions")
+def density_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL, as for ``ward_tree``: ten dense places, and every 13th point anywhere."""
+    near = "p_size % 10 * 10 + CAST(p_partkey * 7919 % 1009 AS DOUBLE) / 500"
+    x = I.read(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS idx", f"CASE WHEN p_partkey % 13 = 0 THEN p_partkey * 31 % 997 / 10.0D ELSE {near} END AS x",
+        "CASE WHEN p_partkey % 13 = 0 THEN p_partkey * 17 % 991 / 10.0D ELSE p_size % 3 * 30 + CAST(p_partkey * 6007 % 1013 AS DOUBLE) / 400 END AS y",
+    )
+    return density.density_regions(x)
+
+
+LIKE = "SELECT vec_id AS idx, CASE WHEN vec_id % 2 = 0 THEN 'half' ELSE concat('k', vec_id % 11) END AS key, vec_id * 7 % 50 + 1 AS count"
+
+
+@query(
+    "semantic_merge",
+    f"""WITH RECURSIVE e AS ({LIKE}, list_transform(embedding, lambda v: v::DOUBLE) AS v FROM embeddings), p AS MATERIALIZED (SELECT a.idx AS i, b.idx AS j FROM e a JOIN e b ON a.key = b.key AND a.idx <> b.idx WHERE list_dot_product(a.v, b.v) >= 0.45),
+r AS (SELECT idx, idx AS c FROM e UNION SELECT r.idx, p.j FROM r JOIN p ON r.c = p.i) SELECT r.idx, first(c ORDER BY count DESC, c) AS root, count(*) AS members FROM r JOIN e ON e.idx = c GROUP BY 1""",
+)
+def semantic_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the rows share one key; the test vectors have no near copies, so the threshold is lower than usual."""
+    x = I.read(spark, sf_dir, "embeddings").selectExpr(*LIKE.removeprefix("SELECT ").replace("AS idx, CASE", "AS idx; CASE").replace("AS key, vec_id", "AS key; vec_id").split("; "), "embedding AS vector")
+    return graphs.semantic_merge(x, 0.45).select("idx", "root", "members")
 
 
 @query("clade_labels", "SELECT p_partkey, concat('The ', p_name, CASE WHEN p_size % 2 = 0 THEN ' of' ELSE '' END) AS label FROM part")

@@ -210,6 +210,18 @@ def density_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifold.density_grid(x, 20).withColumn("weight", F.round("weight", 6))
 
 
+GRID = "SELECT CAST(least(floor((p_partkey % 1000) / 1000.0 * 20), 19) AS INT) AS cx, CAST(least(floor((p_partkey * 7 % 1000) / 1000.0 * 20), 19) AS INT) AS cy, sum(log10(p_size + 1)) AS weight FROM part GROUP BY ALL"
+
+
+@query(
+    "smoothed_grid",
+    f"WITH g AS ({GRID}), k AS (SELECT d, exp(-d * d / 8.0) / (2 * sqrt(2 * pi())) AS k FROM (SELECT unnest(range(-6, 7)) AS d)) SELECT (cx + a.d)::INT AS cx, (cy + b.d)::INT AS cy, round(sum(weight * a.k * b.k), 6) AS weight FROM g, k a, k b GROUP BY ALL",
+)
+def smoothed_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = I.read(spark, sf_dir, "part").selectExpr("CAST(p_partkey % 1000 AS DOUBLE) AS x", "CAST(p_partkey * 7 % 1000 AS DOUBLE) AS y", "p_size AS count")
+    return manifold.smoothed_grid(manifold.density_grid(x, 20)).withColumn("weight", F.round("weight", 6))
+
+
 @query("contribution_bars", "SELECT l_orderkey, l_linenumber, round(l_extendedprice / max(l_extendedprice) OVER (PARTITION BY l_orderkey), 6) AS bar FROM lineitem")
 def contribution_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifold.contribution_bars(I.read(spark, sf_dir, "lineitem"), "l_orderkey", "l_extendedprice").select("l_orderkey", "l_linenumber", F.round("bar", 6).alias("bar"))

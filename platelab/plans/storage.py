@@ -90,9 +90,9 @@ def resumed_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second run adds only pairs of keys that the first left out."""
     rows, path = I.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), scratch(spark)
     key = ("l_orderkey", "l_linenumber")
-    writers.append_new(rows.where("l_quantity < 25").select(*key, F.lit(1).alias("run")), path, *key)
-    writers.append_new(rows.select(*key, F.lit(2).alias("run")), path, *key)
-    return spark.read.parquet(path)
+    writers.append_new(rows.where("l_quantity < 25").select(*key, F.lit(1).alias("turn")), path, *key)
+    writers.append_new(rows.select(*key, F.lit(2).alias("turn")), path, *key)
+    return writers.appended(spark, path).select(*key, F.col("turn").alias("run"))
 
 
 @query("output_manifest", "SELECT (SELECT count(*) FROM part) AS n_dishes, (SELECT count(*) FROM orders) AS n_details, 256 AS n_shards")

@@ -1,3 +1,5 @@
+import pytest
+
 from pyspark.sql import functions as F
 
 from platelab.sources import catalog, readers, writers
@@ -29,7 +31,7 @@ def test_writers(spark, tmp_path):
     writers.append_new(x.where("k < 5"), out, "k")
     writers.append_new(x, out, "k")
     writers.append_new(x, out, "k")
-    assert spark.read.parquet(out).count() == 10
+    assert writers.appended(spark, out).count() == 10 and len(writers.runs(spark, out)) == 3
     writers.sharded_json(x, f"{tmp_path}/shards", "k", 4)
     assert spark.read.json(f"{tmp_path}/shards").select("shard").distinct().count() == 4
     writers.sorted_csv(x, f"{tmp_path}/csv", F.desc("v"))
@@ -45,4 +47,36 @@ def test_stream_appends_once(spark, tmp_path):
     x.write.parquet(f"{tmp_path}/in")
     for k in range(2):
         append_stream(spark.readStream.schema("k long").parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/c{k}", "k").awaitTermination(120)
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 10
+    assert writers.appended(spark, f"{tmp_path}/out").count() == 10
+
+
+def test_runs_are_whole_or_not_there(spark, tmp_path):
+    out = f"{tmp_path}/out"
+    x = spark.range(2000).selectExpr("id AS k", "id % 7 AS l", "repeat('x', 50) AS v")
+    assert writers.appended(spark, out) is None
+    writers.append_new(x.where("k < 1000"), out, "k", "l", run="first")
+    failing = x.withColumn("v", F.when(F.col("k") == 1500, F.raise_error(F.lit("no"))).otherwise(F.col("v")))
+    for _ in range(2):
+        with pytest.raises(Exception):
+            writers.append_new(failing, out, "k", "l", run="second")
+    (tmp_path / "out" / "append_run=second" / "append_bucket=0").mkdir(parents=True)
+    (tmp_path / "out" / "append_run=second" / "append_bucket=0" / "half.parquet").write_bytes(b"PAR1")
+    assert writers.runs(spark, out) == ["first"] and writers.appended(spark, out).count() == 1000
+    writers.append_new(x, out, "k", "l", run="second")
+    writers.append_new(x.withColumn("v", F.lit("new")), out, "k", "l", run="second")
+    writers.append_new(x, out, "k", "l", run="third")
+    assert writers.runs(spark, out) == ["first", "second", "third"]
+    got = writers.appended(spark, out)
+    assert got.count() == 2000 and got.select("k", "l").distinct().count() == 2000 and got.where("v = 'new'").isEmpty()
+
+
+def test_a_run_reads_few_of_the_bytes(spark, tmp_path):
+    out = f"{tmp_path}/out"
+    writers.append_new(spark.range(20000).selectExpr("id AS k", "repeat(md5(CAST(id AS STRING)), 20) AS v"), out, "k")
+    held = writers.appended(spark, out)
+    few = spark.range(19998, 20003).select(F.pmod(F.xxhash64("id"), F.lit(64)).cast("int").alias("append_bucket"))
+    part = held.where(F.col("append_bucket").isin([r[0] for r in few.collect()])).select("k")
+    scan = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [append_bucket" in scan and "ReadSchema: struct<k:bigint>" in scan
+    files = {f for (f,) in part.select(F.input_file_name()).distinct().collect()}
+    assert len(files) <= 5 and len(held.inputFiles()) == 64

@@ -5,7 +5,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from platelab.operators import flexibility, graphs, linkage, manifold, ordering, rules, statistics
+from platelab.operators import density, flexibility, graphs, linkage, manifold, ordering, rules, statistics
 
 
 def quantiles(v, w, shares):
@@ -231,3 +231,86 @@ def test_flags_from_tables(spark):
     table = spark.createDataFrame([(1, "drop", "deal", ["for"], "[0-9] for [0-9]")], "rule long, verdict string, reason string, words array<string>, pattern string")
     got = {r["k"]: r["flag"] for r in rules.flagged(x, "k", "name", words, spark.createDataFrame([("of the day",)], "phrase string"), table).collect()}
     assert got == {1: "x", 2: "?", 3: "x", 4: "", 5: "x", 6: "x", 7: "x", 8: "", 9: "x", 10: "x", 11: "x", 12: ""}
+
+
+def plain_regions(p, least):
+    """Density regions by the textbook: all distances, edges by length, a tree that is condensed and judged."""
+    n = len(p)
+    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(axis=2))
+    core = np.sort(d, axis=1)[:, least - 1]
+    reach = np.maximum(d, np.maximum(core[:, None], core))
+    i, j = np.triu_indices(n, 1)
+    order = np.lexsort((j, i, reach[i, j]))
+    parent, tree, held = list(range(2 * n)), {}, {k: [k] for k in range(n)}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    node = n
+    for k in order:
+        a, b = find(int(i[k])), find(int(j[k]))
+        if a != b:
+            parent[a] = parent[b] = node
+            tree[node] = (a, b, float(reach[i[k], j[k]]))
+            held[node] = held[a] + held[b]
+            node += 1
+            if node == 2 * n - 1:
+                break
+    stable, parts, under, born = {}, {}, {}, {}
+    stack = [(2 * n - 2, 2 * n - 2)]
+    born[2 * n - 2] = 0.0
+    stable[2 * n - 2], parts[2 * n - 2], under[2 * n - 2] = 0.0, [], []
+    while stack:
+        at, cluster = stack.pop()
+        a, b, length = tree[at]
+        dense = 1 / max(length, 1e-12)
+        large = [c for c in (a, b) if len(held[c]) >= least]
+        for c in (a, b):
+            stable[cluster] += len(held[c]) * (dense - born[cluster]) if c not in large or len(large) == 2 else 0.0
+            if c not in large:
+                under[cluster] += held[c]
+        if len(large) == 2:
+            for c in large:
+                born[c], stable[c], parts[c], under[c] = dense, 0.0, [], []
+                parts[cluster].append(c)
+                stack.append((c, c))
+        elif large:
+            stack.append((large[0], cluster))
+
+    def best(c):
+        inside = [best(x) for x in parts[c]]
+        total = sum(x[0] for x in inside)
+        if c != 2 * n - 2 and (not inside or stable[c] >= total):
+            return stable[c], [c]
+        return total, [y for x in inside for y in x[1]]
+
+    def below(c):
+        return under[c] + [x for k in parts[c] for x in below(k)]
+
+    labels = np.full(n, -1)
+    for c in best(2 * n - 2)[1]:
+        labels[below(c)] = min(below(c))
+    names = {m: k for k, m in enumerate(sorted(set(labels) - {-1}))}
+    return [names.get(x, -1) for x in labels]
+
+
+def test_density_regions(spark):
+    rng = np.random.default_rng(10)
+    spots = [(0, 0, 2), (30, 5, 3), (33, 30, 1), (60, 60, 6), (62, 10, 0.5), (70, 12, 0.6)]
+    p = np.concatenate([rng.normal((x, y), s, (140, 2)) for x, y, s in spots] + [rng.uniform(-20, 100, (140, 2)), np.full((20, 2), 90.0)])
+    p = p[rng.permutation(len(p))]
+    want = plain_regions(p, 15)
+    assert len(p) == 1000 and max(want) >= 5 and 50 < want.count(-1) < 400
+    x = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(p)], "idx long, x double, y double").repartition(3)
+    got = {r["idx"]: r["region"] for r in density.density_regions(x, 15, tile=256).collect()}
+    assert [got[i] for i in range(1000)] == want
+
+
+def test_density_regions_of_few_points(spark):
+    x = spark.range(10).selectExpr("id AS idx", "CAST(id AS DOUBLE) AS x", "0.0D AS y")
+    assert {r["region"] for r in density.density_regions(x, 60).collect()} == {-1}
+    assert density.density_regions(x.where("idx < 0"), 60).count() == 0
+    assert {r["region"] for r in density.density_regions(x.withColumn("x", F.lit(1.0)), 3).collect()} <= {-1, 0, 1, 2}
