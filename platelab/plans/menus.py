@@ -125,7 +125,7 @@ def fragment_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH k AS (SELECT * FROM {SENTENCES}), t AS (SELECT *, {words("name")} AS w FROM k), p AS (SELECT * FROM {PASSAGE_WORDS}), l AS (SELECT DISTINCT w FROM p WHERE length(w) <= 4),
 q AS (SELECT DISTINCT w || ' ' || next AS two FROM p WHERE next IS NOT NULL), o AS (SELECT id, unnest(w) AS w FROM t), r AS (SELECT id, count(*) AS n, count(*) FILTER (WHERE w IN (SELECT w FROM l) AND length(w) <= 3) AS x FROM o GROUP BY 1),
 b AS (SELECT DISTINCT id FROM (SELECT id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS two FROM t) WHERE two IN (SELECT two FROM q))
-SELECT id, CASE WHEN len(w) = 0 THEN 'x' WHEN len(w) = 1 THEN CASE WHEN w[1] IN (SELECT w FROM l) THEN CASE WHEN length(w[1]) <= 3 THEN 'x' ELSE '?' END WHEN length(w[1]) <= 2 AND NOT regexp_matches(w[1], '^\d+$') THEN 'x' ELSE '' END
+SELECT id, CASE WHEN len(w) = 0 THEN 'x' WHEN len(w) = 1 THEN CASE WHEN w[1] IN (SELECT w FROM l) THEN CASE WHEN length(w[1]) <= 3 THEN 'x' ELSE '?' END WHEN length(w[1]) <= 2 AND NOT regexp_matches(w[1], '^\\d+$') THEN 'x' ELSE '' END
  WHEN name IN (SELECT name FROM {PASSAGE_SENTENCES}) OR r.x = r.n OR b.id IS NOT NULL THEN 'x' ELSE '' END AS flag FROM t LEFT JOIN r USING (id) LEFT JOIN b USING (id)""",
 )
 def flag_names(spark: SparkSession, sf_dir: str) -> DataFrame:
