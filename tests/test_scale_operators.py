@@ -1,6 +1,7 @@
 """Operators that work in ranges, blocks and rounds, against plain computation."""
 
 import numpy as np
+import plain_linkage
 import pytest
 
 from pyspark.sql import functions as F
@@ -123,7 +124,7 @@ def test_ward_tree_of_two_thousand_points(spark):
     ids = rng.permutation(5000)[:2000]
     v = v[np.argsort(ids)]
     ids = np.sort(ids)
-    merges = manifold.ward_tree(v)
+    merges = plain_linkage.ward_tree(v)
     order = sorted(range(1999), key=lambda k: merges[k][2])
     new = {2000 + k: 2000 + at for at, k in enumerate(order)}
     want = [(at, *sorted(new.get(x, x) for x in merges[k][:2]), merges[k][3]) for at, k in enumerate(order)]
@@ -136,7 +137,7 @@ def test_ward_tree_of_two_thousand_points(spark):
     for r in linkage.clades(tree, (1, 24, 150, 800, 2000)).collect():
         cuts.setdefault(r["cut"], {})[r["leaf"]] = r["clade"]
     for k in (1, 24, 150, 800, 2000):
-        assert [cuts[k][i] for i in range(2000)] == manifold.cut_tree(merges, 2000, k)
+        assert [cuts[k][i] for i in range(2000)] == plain_linkage.cut_tree(merges, 2000, k)
 
 
 def test_ward_tree_with_copies(spark):
@@ -153,7 +154,7 @@ def test_ward_tree_with_copies(spark):
 def test_regions_of_average_linkage(spark):
     rng = np.random.default_rng(6)
     p = rng.uniform(0, 1000, (500, 2))
-    want = manifold.average_linkage(p, 85.0)
+    want = plain_linkage.average_linkage(p, 85.0)
     x = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(p)], "idx long, vector array<double>").repartition(3)
     got = {r["idx"]: r["region"] for r in linkage.average_linkage(x, 85.0, block=128).collect()}
     groups = lambda labels: {frozenset(np.flatnonzero(np.array(labels) == k).tolist()) for k in set(labels)}
@@ -164,7 +165,7 @@ def test_names_are_given_once(spark):
     rng = np.random.default_rng(7)
     wishes = [(i, float(rng.integers(1, 60)), [f"n{k}" for k in rng.integers(0, 40, rng.integers(0, 9))]) for i in range(80)]
     got = {r["region"]: r["name"] for r in linkage.unique_names(spark.createDataFrame(wishes, "region long, area double, names array<string>")).collect()}
-    want = manifold.unique_names([(a, w) for _, a, w in wishes])
+    want = plain_linkage.unique_names([(a, w) for _, a, w in wishes])
     assert got == dict(enumerate(want)) and None in want
 
 
