@@ -310,16 +310,6 @@ def test_density_regions(spark):
     assert [got[i] for i in range(1000)] == want
 
 
-def test_density_regions_in_rounds(spark):
-    rng = np.random.default_rng(11)
-    p = np.concatenate([rng.normal(c, 1.0, (60, 2)) for c in ((0, 0), (14, 0), (18, 12))] + [rng.uniform(-10, 30, (40, 2))])
-    p = p[rng.permutation(len(p))]
-    x = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(p)], "idx long, x double, y double").repartition(3)
-    want = plain_regions(p, 8)
-    got = {r["idx"]: r["region"] for r in density.density_regions(x, 8, tile=80, last=60).collect()}
-    assert [got[i] for i in range(len(p))] == want and max(want) >= 2 and -1 in want
-
-
 def test_density_regions_of_few_points(spark):
     x = spark.range(10).selectExpr("id AS idx", "CAST(id AS DOUBLE) AS x", "0.0D AS y")
     assert {r["region"] for r in density.density_regions(x, 60).collect()} == {-1}
