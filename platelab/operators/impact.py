@@ -240,14 +240,19 @@ def multi_impact(rows: DataFrame, table: DataFrame, impacts: Iterable[str]) -> D
 
 def product_pedigree(rows: DataFrame) -> DataFrame:
     """Mark of a recipe from its ingredients' (recipe_id, ingredient, average, ghg_g): the mean of the rounded averages
-    by emission, or the plain mean; and the ingredients marked D or F with their share."""
+    by emission, or the plain mean; and the ingredients marked D or F with their share.
+
+    The plain mean is taken of whole hundredths. A mean is rounded at its hundredfold, where a mean that should lie half
+    way between two marks but is off by its sums' last bit mostly lies half way again.
+    """
     a = F.round("average", 2)
     total = F.sum("ghg_g")
-    mean = F.when(total > 0, F.try_divide(F.sum(a * F.col("ghg_g")), total)).otherwise(F.avg(a))
+    plain = F.sum(F.round(100 * a).cast("long")) / (100.0 * F.count(a))
+    mean = F.when(total > 0, F.try_divide(F.sum(a * F.col("ghg_g")), total)).otherwise(plain)
     w = Window.partitionBy("recipe_id")
     x = rows.withColumn("total", F.sum("ghg_g").over(w)).withColumn("share", F.round(F.try_divide(100 * F.col("ghg_g"), F.col("total")), 1))
     gaps = F.array_sort(F.collect_list(F.when(F.col("average") > 3.5, F.struct("ingredient", "share"))))
-    return x.groupBy("recipe_id").agg(F.round(mean, 2).alias("average"), gaps.alias("gaps"))
+    return x.groupBy("recipe_id").agg((F.round(mean * 100) / 100).alias("average"), gaps.alias("gaps"))
 
 
 #: Impact categories of the factor table and their names here (fixed values).
