@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from platelab.session import ship
+from platelab.session import checkpointed, ship
 
 from .ordering import weighted_quantiles
 
@@ -20,23 +21,45 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - dot)
 
 
+#: Dishes in a block.
+BLOCK = 1024
+
+
+def as_vectors(rows: DataFrame) -> DataFrame:
+    """``rows`` with vector as it goes to the tasks: single precision stays, as it takes half the room, all else is double."""
+    kind = rows.schema["vector"].dataType
+    return rows if isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType) else rows.withColumn("vector", F.col("vector").cast("array<double>"))
+
+
+def matrix(rows: pa.StructArray) -> np.ndarray:
+    """Vectors of a block's rows in double precision."""
+    return rows.field("vector").flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(rows), -1)
+
+
 def _block_pairs(rows: DataFrame, block: int) -> DataFrame:
-    """``sides``: one or two blocks of whole rows (with idx), for each pair of blocks and each block by itself."""
+    """``sides``: one or two blocks of whole rows (with idx), for each pair of blocks and each block by itself.
+
+    Blocks are packed once. Of two blocks one goes to where the other is, now the former and now the latter, so that each
+    block stays in one place and meets half of the others there, one after another; no task collects pairs of blocks.
+    """
     ship(rows.sparkSession)
     parts = max(1, -(-rows.count() // block))
     own = F.pmod(F.xxhash64("idx"), F.lit(parts)).cast("int")
-    packed = rows.groupBy(own.alias("b")).agg(F.collect_list(F.struct(*rows.columns)).alias("rows"))
-    sides = packed.select("b", "rows", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("o"))
-    return sides.groupBy(F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q")).agg(F.collect_list(F.struct("b", "rows")).alias("sides")).select("sides")
+    packed = checkpointed(rows.groupBy(own.alias("b")).agg(F.collect_list(F.struct(*rows.columns)).alias("rows")))
+    goes = lambda o: (o == F.col("b")) | ((F.col("b") < o) == ((F.col("b") + o) % 2 == 0))
+    sent = packed.select(F.struct("b", "rows").alias("one"), F.explode(F.filter(F.sequence(F.lit(0), F.lit(parts - 1)), goes)).alias("o"))
+    held = packed.select(F.col("b").alias("o"), F.struct("b", "rows").alias("other"))
+    pairs = sent.join(held.hint("shuffle_hash"), "o")
+    return pairs.select(F.when(F.col("one.b") == F.col("o"), F.array("one")).otherwise(F.array("one", "other")).alias("sides"))
 
 
-def pairs_within(dishes: DataFrame, radius: float, block: int = 2048) -> DataFrame:
+def pairs_within(dishes: DataFrame, radius: float, block: int = BLOCK) -> DataFrame:
     """(i, j, distance) of all dishes (idx, vector) at most ``radius`` apart; a dish is at distance 0 of itself.
 
     Dishes are dealt into blocks of bounded size, and each pair of blocks is one row of work: a block is sent to as
     many tasks as there are blocks, and a task holds two of them.
     """
-    work = _block_pairs(dishes.select("idx", F.col("vector").cast("array<double>").alias("vector")), block)
+    work = _block_pairs(as_vectors(dishes.select("idx", "vector")), block)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -45,7 +68,7 @@ def pairs_within(dishes: DataFrame, radius: float, block: int = 2048) -> DataFra
                 for side in row:
                     rows = side["rows"].values
                     ids = rows.field("idx").to_numpy()
-                    held.append((ids, rows.field("vector").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)))
+                    held.append((ids, matrix(rows)))
                 combos = [(held[0], held[0])] if len(held) == 1 else [(held[0], held[1])]
                 for (i, a), (j, b) in combos:
                     for top in range(0, len(i), 512):
@@ -81,14 +104,14 @@ def improvements(pairs: DataFrame, metrics: DataFrame, lower: Sequence[str], hig
     return best.select(F.col("i").alias("idx"), rows.alias("r")).select("idx", "r.*")
 
 
-def best_gains(dishes: DataFrame, metrics: DataFrame, lower: Sequence[str], higher: Sequence[str], radii: Sequence[float], block: int = 2048) -> DataFrame:
+def best_gains(dishes: DataFrame, metrics: DataFrame, lower: Sequence[str], higher: Sequence[str], radii: Sequence[float], block: int = BLOCK) -> DataFrame:
     """What ``improvements`` finds among all dishes (idx, vector) that have metrics, without putting out any pair.
 
     A task compares two blocks of dishes and returns, for each dish and radius, how many neighbours the other block has
     and the best of each metric among them. These few rows are merged.
     """
     names = [*lower, *higher]
-    rows = dishes.select("idx", F.col("vector").cast("array<double>").alias("vector")).join(metrics.select("idx", F.array(*[F.col(n).cast("double") for n in names]).alias("m")), "idx")
+    rows = as_vectors(dishes.select("idx", "vector")).join(metrics.select("idx", F.array(*[F.col(n).cast("double") for n in names]).alias("m")), "idx")
     work = _block_pairs(rows, block)
     steps = [float(r) for r in radii]
     sign = np.array([1.0] * len(lower) + [-1.0] * len(higher))
@@ -101,7 +124,7 @@ def best_gains(dishes: DataFrame, metrics: DataFrame, lower: Sequence[str], high
                     x = side["rows"].values
                     ids = x.field("idx").to_numpy()
                     values = np.array(x.field("m").to_pylist(), float).reshape(len(ids), -1) * sign
-                    held.append((ids, x.field("vector").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1), values))
+                    held.append((ids, matrix(x), values))
                 for (i, a, _), (j, b, v) in [(held[0], held[0])] if len(held) == 1 else [(held[0], held[1]), (held[1], held[0])]:
                     for top in range(0, len(i), 256):
                         own = i[top : top + 256]
@@ -158,7 +181,7 @@ def _sides(row: pa.StructScalar, texts: Sequence[str]) -> list[Side]:
     for x in blocks:
         ids = x.field("idx").to_numpy()
         held = {f.name: x.field(f.name).to_numpy(zero_copy_only=False).astype(float) for f in x.type if f.name not in ("idx", "vector", *texts)}
-        out.append(held | {"idx": ids, "vector": x.field("vector").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)})
+        out.append(held | {"idx": ids, "vector": matrix(x)})
     for name in texts:
         codes = pa.concat_arrays([x.field(name) for x in blocks]).dictionary_encode().indices.fill_null(-1).to_numpy()
         for held, part in zip(out, np.split(codes, np.cumsum([len(x) for x in blocks])[:-1]), strict=True):
@@ -166,13 +189,13 @@ def _sides(row: pa.StructScalar, texts: Sequence[str]) -> list[Side]:
     return out
 
 
-def nearest_best(rows: DataFrame, radius: float, visit: Callable[[Side, Side, np.ndarray], dict[str, np.ndarray]], schema: str, texts: Sequence[str] = (), block: int = 2048) -> DataFrame:
+def nearest_best(rows: DataFrame, radius: float, visit: Callable[[Side, Side, np.ndarray], dict[str, np.ndarray]], schema: str, texts: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
     """What ``visit`` finds for each dish among those at most ``radius`` apart, block by block; no pair is put out.
 
     ``rows`` has idx, vector, numbers and ``texts``. ``visit`` gets some dishes, a block of dishes, and which of these are
     near which; it returns columns of ``schema``, a few rows a dish, which the caller merges over the blocks.
     """
-    work = _block_pairs(rows.withColumn("vector", F.col("vector").cast("array<double>")), block)
+    work = _block_pairs(as_vectors(rows), block)
     names = [part.split()[0] for part in schema.split(",")]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +222,7 @@ def _first_best(value: np.ndarray, allowed: np.ndarray, idx: np.ndarray) -> tupl
     return best, idx[at], at
 
 
-def tolerance_sweep(vectors: DataFrame, dishes: DataFrame, metric: str, tolerances: Sequence[float], radius: float, block: int = 2048) -> DataFrame:
+def tolerance_sweep(vectors: DataFrame, dishes: DataFrame, metric: str, tolerances: Sequence[float], radius: float, block: int = BLOCK) -> DataFrame:
     """Mean gain by how far the macronutrients of a neighbour may differ; ``dishes`` has idx, shares and the metric."""
     parts = ("protein", "fat", "carb")
     rows = vectors.select("idx", "vector").join(dishes.select("idx", F.col(metric).cast("double").alias("m"), *[F.col("shares")[p].alias(p) for p in parts]), "idx")
@@ -219,7 +242,7 @@ def tolerance_sweep(vectors: DataFrame, dishes: DataFrame, metric: str, toleranc
     return best.groupBy(tolerance.alias("tolerance")).agg(F.avg(gain).alias("mean_gain"))
 
 
-def best_pick(vectors: DataFrame, metrics: DataFrame, metric: str, radius: float, lower: bool = True, block: int = 2048) -> DataFrame:
+def best_pick(vectors: DataFrame, metrics: DataFrame, metric: str, radius: float, lower: bool = True, block: int = BLOCK) -> DataFrame:
     """The best neighbour of each dish, itself included; ties go to the first."""
     rows = vectors.select("idx", "vector").join(metrics.select("idx", F.col(metric).cast("double").alias("m")), "idx", "left")
     sign = 1.0 if lower else -1.0
@@ -232,7 +255,7 @@ def best_pick(vectors: DataFrame, metrics: DataFrame, metric: str, radius: float
     return found.groupBy("idx").agg(F.min_by("pick", F.struct("m", "pick")).alias("pick"))
 
 
-def swap_search(vectors: DataFrame, dishes: DataFrame, radius: float = 0.2, block: int = 2048) -> DataFrame:
+def swap_search(vectors: DataFrame, dishes: DataFrame, radius: float = 0.2, block: int = BLOCK) -> DataFrame:
     """For each dish (idx, cuisine, ghg, health) the swap that gains most: emission cut by more than a tenth, no less
     health, of the same cuisine if there is one. Dishes without a finite value do not come into question."""
     rows = vectors.select("idx", "vector").join(dishes.select("idx", "cuisine", F.col("ghg").cast("double").alias("ghg"), F.col("health").cast("double").alias("health")), "idx")
@@ -252,7 +275,7 @@ def swap_search(vectors: DataFrame, dishes: DataFrame, radius: float = 0.2, bloc
     return found.groupBy("idx").agg(F.min_by("swap", F.struct("other", "cost", "swap")).alias("swap"))
 
 
-def co_benefits(vectors: DataFrame, dishes: DataFrame, radius: float, block: int = 2048) -> DataFrame:
+def co_benefits(vectors: DataFrame, dishes: DataFrame, radius: float, block: int = BLOCK) -> DataFrame:
     """How often the greenest neighbour is healthier too, and the healthiest greener, and both better at once."""
     rows = vectors.select("idx", "vector").join(dishes.select("idx", F.col("ghg").cast("double").alias("ghg"), F.col("health").cast("double").alias("health")), "idx")
 
