@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,9 +26,22 @@ def vocabulary(rows: DataFrame, name: str) -> DataFrame:
     return numbered(rows.select(F.col(name).alias("value")).where("value is not null").distinct(), [F.col("value")])
 
 
+#: Vectors of no more numbers than this in all are sent to the tasks, which then get rows of dishes without vectors.
+BROADCAST_NUMBERS = 1 << 22
+
+
 def dish_vectors(rows: DataFrame, vectors: DataFrame) -> DataFrame:
     """Mean of ingredients' vectors by weight, at unit length: rows (dish, ingredient, weight), vectors (ingredient,
-    vector). Sums run per dimension, so they combine before the shuffle."""
+    vector). Where vectors are few and of one size, only rows of dishes are shuffled; else vectors are joined to them, and
+    sums run per dimension, so that they combine before the shuffle."""
+    size, numbers = F.size("vector"), [F.col(c).cast("long") for c in ("dish", "ingredient")]
+    count, keys, least, most, holes = vectors.where(size > 0).agg(F.count("*"), F.countDistinct("ingredient"), F.min(size), F.max(size), F.count_if(F.exists("vector", lambda v: v.isNull()))).first()
+    whole_numbers = {dict(x.dtypes)[c] for x, c in ((rows, "dish"), (rows, "ingredient"), (vectors, "ingredient"))} <= {"int", "bigint"}
+    if whole_numbers and count == keys and count and least == most and not holes and count * most <= BROADCAST_NUMBERS:
+        held = vectors.where(size > 0).select(numbers[1], F.col("vector").cast("array<double>")).orderBy("ingredient").collect()  # within the bound above
+        sent = rows.sparkSession.sparkContext.broadcast((np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held])))
+        asked = rows.where("ingredient is not null").select(F.col("dish").isNull().alias("none"), F.coalesce(numbers[0], F.lit(0)).alias("dish"), numbers[1], F.col("weight").cast("double").alias("weight"))
+        return asked.repartition("none", "dish").sortWithinPartitions("none", "dish").mapInArrow(_means(sent), f"dish {dict(rows.dtypes)['dish']}, vector array<double>")
     x = rows.join(vectors, "ingredient").select("dish", "weight", F.posexplode("vector").alias("d", "v"))
     sums = x.groupBy("dish", "d").agg(F.sum(F.col("weight") * F.col("v")).alias("s"))
     whole = sums.groupBy("dish").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "s"))), lambda y: y["s"]).alias("s"))
@@ -34,6 +49,47 @@ def dish_vectors(rows: DataFrame, vectors: DataFrame) -> DataFrame:
     return whole.select("dish", F.transform("s", lambda y: F.try_divide(y, norm)).alias("vector"))
 
 
+def _means(sent: Broadcast):
+    """Rows (none, dish, ingredient, weight) in order of dish to unit vectors; a dish may run on over batches."""
+
+    def unit(key: np.ndarray, none: np.ndarray, total: np.ndarray, weighed: np.ndarray) -> pa.RecordBatch:
+        norm = np.sqrt((total * total).sum(axis=1))
+        bad = ~weighed | (norm == 0)
+        values = pa.array((total / np.where(bad, 1, norm)[:, None]).ravel(), mask=np.repeat(bad, total.shape[1]))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(key) + 1, dtype=np.int32) * total.shape[1]), values)
+        return pa.RecordBatch.from_arrays([pa.array(key, mask=none), lists], ["dish", "vector"])
+
+    def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors = sent.value
+        open_dish = None
+        for batch in batches:
+            for top in range(0, batch.num_rows, 8192):
+                part = batch.slice(top, 8192)
+                place = np.minimum(np.searchsorted(ids, wanted := part.column("ingredient").to_numpy()), len(ids) - 1)
+                met = ids[place] == wanted
+                if not met.any():
+                    continue
+                none, key = part.column("none").to_numpy(zero_copy_only=False)[met], part.column("dish").to_numpy()[met]
+                weighed = part.column("weight").is_valid().to_numpy(zero_copy_only=False)[met]
+                weight = part.column("weight").fill_null(0).to_numpy()[met]
+                first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (none[1:] != none[:-1])))
+                total = np.add.reduceat(np.where(weighed[:, None], vectors[place[met]] * weight[:, None], 0), first)
+                found = [key[first], none[first], total, np.logical_or.reduceat(weighed, first)]
+                if open_dish is not None:
+                    if open_dish[0][0] == found[0][0] and open_dish[1][0] == found[1][0]:
+                        found[2][0] += open_dish[2][0]
+                        found[3][0] |= open_dish[3][0]
+                    else:
+                        found = [np.concatenate(x) for x in zip(open_dish, found, strict=True)]
+                open_dish = [x[-1:] for x in found]
+                if len(found[0]) > 1:
+                    yield unit(*[x[:-1] for x in found])
+        if open_dish is not None:
+            yield unit(*open_dish)
+
+    return means
+
+
 def weighted_vote(rows: DataFrame, key: str, label: Column, weight: Column, default: str) -> DataFrame:
     """The label with most weight per key; ties go to the first in order."""
     sums = rows.select(key, label.alias("label"), weight.alias("w")).groupBy(key, "label").agg(F.sum("w").alias("w"))
