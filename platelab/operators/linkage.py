@@ -52,27 +52,43 @@ def _block(rows: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rep, rows.field("size").to_numpy().astype(float), rows.field("vector").flatten().to_numpy(zero_copy_only=False).reshape(len(rep), -1)
 
 
+def _mutual(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and ``_distances`` of all pairs that can be the nearest of their row or of their column.
+
+    A matrix product gives all distances but for a rounding error that has a bound; only pairs within it of the least are
+    computed as ``_distances`` does.
+    """
+    sa, sb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    weight = 2 * (na[:, None] * nb[None]) / (na[:, None] + nb[None])
+    error = (sa[:, None] + sb[None]) * weight
+    about = a @ b.T
+    about *= -2 * weight
+    about += error
+    error *= 8 * (a.shape[1] + 8) * np.finfo(float).eps
+    about[own[:, None] == other[None]] = np.inf
+    most = about + error
+    about -= error
+    p, q = np.nonzero((about <= most.min(axis=1)[:, None]) | (about <= most.min(axis=0)[None]))
+    p, q = p[own[p] != other[q]], q[own[p] != other[q]]
+    d = np.zeros(len(p))
+    for k in range(a.shape[1]):
+        step = a[p, k] - b[q, k]
+        d += step * step
+    return p, q, d * weight[p, q]
+
+
 def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.column(0):
             held = [_block(side["rows"].values) for side in row]
             (i, ni, a), (j, nj, b) = held[0], held[-1]
-            back = (np.full(len(j), np.inf), np.zeros(len(j), np.int64))
-            for top in range(0, len(i), 128):
-                s = slice(top, top + 128)
-                d = _distances(a[s], ni[s], b, nj)
-                d[i[s, None] == j[None]] = np.inf
-                best, mate = _least(d, i[s], j)
-                yield pa.RecordBatch.from_arrays([pa.array(i[s]), pa.array(best), pa.array(mate)], ["rep", "d", "mate"])
-                if len(held) == 2:
-                    best, mate = _least(d.T, j, i[s])
-                    # blocks are strips of one side, so what is found for the other is compared once more
-                    key = lambda m: (np.minimum(j, m), np.maximum(j, m))
-                    (l0, h0), (l1, h1) = key(back[1]), key(mate)
-                    better = (best < back[0]) | ((best == back[0]) & ((l1 < l0) | ((l1 == l0) & (h1 < h0))))
-                    back = np.where(better, best, back[0]), np.where(better, mate, back[1])
-            if len(held) == 2:
-                yield pa.RecordBatch.from_arrays([pa.array(j), pa.array(back[0]), pa.array(back[1])], ["rep", "d", "mate"])
+            p, q, d = _mutual(a, ni, b, nj, i, j)
+            low, high = np.minimum(i[p], j[q]), np.maximum(i[p], j[q])
+            # least distance, of equals the pair that comes first
+            for at, own, mate in [(p, i, j[q])] if len(held) == 1 else [(p, i, j[q]), (q, j, i[p])]:
+                order = np.lexsort((high, low, d, at))
+                first = order[np.append(True, at[order][1:] != at[order][:-1])[: len(order)]]
+                yield pa.RecordBatch.from_arrays([pa.array(own[at[first]]), pa.array(d[first]), pa.array(mate[first])], ["rep", "d", "mate"])
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
