@@ -316,8 +316,9 @@ def _tie(docs: DataFrame) -> Column | None:
     return None if docs.groupBy("doc_id").count().where("count > 1").isEmpty() else F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def spans(docs: DataFrame) -> tuple[DataFrame, Column]:
-    """Bytes to remove: (doc, tie, spans) with a list of packed spans for each document that has any; and the tie."""
+def spans(docs: DataFrame) -> tuple[DataFrame, Column, DataFrame]:
+    """Bytes to remove: (doc, tie, spans) with a list of packed spans for each document that has any; the tie; and all
+    texts as (doc, tie, text): a join of these with the spans takes the shuffle of texts that the spans have come from."""
     prepare(docs.sparkSession)
     repeated = _tie(docs)
     tie = F.lit(0).cast("long") if repeated is None else repeated
@@ -336,12 +337,12 @@ def spans(docs: DataFrame) -> tuple[DataFrame, Column]:
     contexts = distinct.join(wanted, same).select("doc", "tie", "text", "kept").mapInArrow(_contexts(buckets), _CONTEXTS)
     compared = contexts.groupBy("bucket").applyInArrow(_compare, _OF_DOC)
     gone = met.where("gone is not null").select("doc", "tie", "gone").union(compared.select("doc", "tie", "gone"))
-    return gone.groupBy("doc", "tie").agg(F.collect_list("gone").alias("spans")), tie
+    return gone.groupBy("doc", "tie").agg(F.collect_list("gone").alias("spans")), tie, whole
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and a digest of the bytes that stay."""
-    gone, tie = spans(docs)
+    gone, _, whole = spans(docs)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -355,14 +356,14 @@ def repeats(docs: DataFrame) -> DataFrame:
                 digest.append(hashlib.sha256(kept_bytes(raw, found)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    rows = docs.select("doc_id", tie.alias("__tie"), F.coalesce("text", F.lit("")).alias("text"))
-    joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("__tie") == F.col("tie")), "left").select("doc_id", "text", "spans")
+    gone = gone.withColumnsRenamed({"doc": "d", "tie": "t"})
+    joined = whole.join(gone, F.col("doc").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t")), "left").select(F.col("doc").alias("doc_id"), "text", "spans")
     return joined.mapInArrow(judge, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the bytes that stay as text; bytes of characters cut in two are left out, n_chars follows."""
-    gone, tie = spans(docs)
+    gone, tie, _ = spans(docs)
 
     @F.arrow_udf("string")
     def left(texts: pa.Array, lists: pa.Array) -> pa.Array:
