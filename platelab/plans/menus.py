@@ -107,8 +107,8 @@ def passage_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     two = w.select("item_id", F.posexplode(F.transform("w", lambda x, i: F.struct(x.alias("a"), F.get("w", i + 1).alias("b")))).alias("i", "p")).where("p.b is not null")
     at = (F.col("item_id") * 1000 + F.col("i") + 1).alias("rule")
     verdict = F.when(F.col("item_id") % 3 == 0, "review").otherwise("drop").alias("verdict")
-    pattern = F.concat(F.lit("(^| )"), "p.a", F.lit(" "), "p.b", F.lit("( |$)")).alias("pattern")
-    return two.select(at, verdict, F.concat("p.a", F.lit("+"), "p.b").alias("reason"), F.array("p.a", "p.b").alias("words"), pattern)
+    words = F.array(F.concat("p.a", F.lit(" "), "p.b")).alias("words")
+    return two.select(at, verdict, F.concat("p.a", F.lit("+"), "p.b").alias("reason"), words, F.lit(None).cast("string").alias("pattern"))
 
 
 @query(
