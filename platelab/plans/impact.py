@@ -155,17 +155,17 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact.top_by_cosine(q, p, {"A": 20, "B": 10}, 40, "3").select("query_id", "source", "product_id", F.round("score", 6).alias("score"), "rank")
 
 
-def _simulated(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _simulated(spark: SparkSession, sf_dir: str, **what) -> DataFrame:
     x = I.recipe_rows(spark, sf_dir).join(I.factors(spark, sf_dir), "ingredient")
     low = F.col("ghg") / 2
     x = x.select("recipe_id", "position", "ingredient", "grams", low.alias("least"), F.col("ghg").alias("mode"), F.when(F.col("position") == 2, low).otherwise(F.col("ghg") * 2).alias("most"))
-    return montecarlo.simulated(x)
+    return montecarlo.simulated(x, **what)
 
 
 #: Ten thousand draws of every recipe are too many for SQL; tests hold both queries against the draws themselves.
 @query("monte_carlo_summary")
 def monte_carlo_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _simulated(spark, sf_dir).select("recipe_id", *[F.round(c, 3).alias(c) for c in ("mean", "sd", "p5", "p50", "p95")])
+    return _simulated(spark, sf_dir, top=0).select("recipe_id", *[F.round(c, 3).alias(c) for c in ("mean", "sd", "p5", "p50", "p95")])
 
 
 @query("variance_drivers")
