@@ -170,7 +170,7 @@ def monte_carlo_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("variance_drivers")
 def variance_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _simulated(spark, sf_dir).select("recipe_id", F.posexplode("drivers").alias("at", "d"))
+    x = _simulated(spark, sf_dir, percentiles=False).select("recipe_id", F.posexplode("drivers").alias("at", "d"))
     return x.select("recipe_id", (F.col("at") + 1).alias("rank"), "d.ingredient", F.round("d.share", 4).alias("share"))
 
 
