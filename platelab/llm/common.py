@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from functools import wraps
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,3 +94,48 @@ def counted_side(df: DataFrame) -> DataFrame:
     """``df``, written and counted; marked for broadcast only within the bound, else joined by shuffling."""
     done = checkpointed(df)
     return F.broadcast(done) if done.count() <= BROADCAST_ROWS else done
+
+
+def give_back() -> None:
+    """Memory that this process has freed goes back to the system, as the executor's other workers share its limit."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not the C library of GNU
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def freeing(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``task`` of ``mapInArrow``, after which the worker gives back memory, as it may stay idle for long."""
+
+    @wraps(task)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        give_back()
+
+    return run
+
+
+def freeing_group(task: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """The same for a function of ``applyInArrow``."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = task(table)
+        give_back()
+        return out
+
+    return run
+
+
+_held: dict[str, Callable[[], None]] = {}
+_turned: list[str] = []
+
+
+def turn_to(operator: str, drop: Callable[[], None] | None = None) -> None:
+    """A worker turns to an operator: what it remembers for others is dropped. ``drop`` forgets what this one remembers."""
+    if _turned == [operator]:
+        return
+    _turned[:] = [operator]
+    for name in [n for n in _held if n != operator]:
+        _held.pop(name)()
+    give_back()
+    if drop:
+        _held[operator] = drop

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, nested, prepare
+from .common import checkpointed, freeing, freeing_group, nested, prepare, turn_to
 from .run_index import first_windows
 
 WINDOW = 100
@@ -327,15 +327,15 @@ def spans(docs: DataFrame) -> tuple[DataFrame, Column, DataFrame]:
     buckets = max(32, -(-total // BUCKET_BYTES))
     slots = 1 << min(24, max(16, (total // 40_000).bit_length()))
     most = max(HOT_ROWS, 8 * total // (39 * slots))
-    counts = whole.select("text").mapInArrow(_count_slots(slots), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    counts = whole.select("text").mapInArrow(freeing(_count_slots(slots)), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     hot = frozenset(r[0] for r in counts.where(F.col("n") > most).select("slot").collect())  # fewer than all stretches / most
-    dealt = whole.mapInArrow(_deal(buckets, slots, hot), _ROWS)
-    met = checkpointed(dealt.groupBy("bucket").applyInArrow(_meet, _OF_DOC))
+    dealt = whole.mapInArrow(freeing(_deal(buckets, slots, hot)), _ROWS)
+    met = checkpointed(dealt.groupBy("bucket").applyInArrow(freeing_group(_meet), _OF_DOC))
     wanted = met.where("kept is not null").groupBy("doc", "tie").agg(F.collect_list("kept").alias("kept")).withColumnsRenamed({"doc": "d", "tie": "t"})
     same = F.col("doc").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t"))
     distinct = whole if repeated is None else whole.dropDuplicates(["doc", "tie"])
-    contexts = distinct.join(wanted, same).select("doc", "tie", "text", "kept").mapInArrow(_contexts(buckets), _CONTEXTS)
-    compared = contexts.groupBy("bucket").applyInArrow(_compare, _OF_DOC)
+    contexts = distinct.join(wanted, same).select("doc", "tie", "text", "kept").mapInArrow(freeing(_contexts(buckets)), _CONTEXTS)
+    compared = contexts.groupBy("bucket").applyInArrow(freeing_group(_compare), _OF_DOC)
     gone = met.where("gone is not null").select("doc", "tie", "gone").union(compared.select("doc", "tie", "gone"))
     return gone.groupBy("doc", "tie").agg(F.collect_list("gone").alias("spans")), tie, whole
 
@@ -358,7 +358,7 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     gone = gone.withColumnsRenamed({"doc": "d", "tie": "t"})
     joined = whole.join(gone, F.col("doc").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t")), "left").select(F.col("doc").alias("doc_id"), "text", "spans")
-    return joined.mapInArrow(judge, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(freeing(judge), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -367,6 +367,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     @F.arrow_udf("string")
     def left(texts: pa.Array, lists: pa.Array) -> pa.Array:
+        turn_to("repeats")
         return pa.array([t.as_py() if not s.is_valid or not t.is_valid else kept_bytes(t.as_py().encode("utf-8", "replace"), _merged(s.as_py())).decode("utf-8", "ignore") for t, s in zip(texts, lists, strict=True)], pa.string())
 
     d = nested(docs, F.col("doc_id"), tie.alias("t"), F.col("text")).alias("d")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare
+from .common import prepare, turn_to
 
 SPACE = "▁"
 #: Words whose ids a worker remembers (twice as many, as the last full cache is kept), and pairs it remembers.
@@ -226,6 +226,7 @@ def encoded(text: Column, model_file: str | None = None) -> Column:
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def of(texts: pa.Array) -> pa.Array:
+        turn_to("sentencepiece", prefix_table.cache_clear)
         table = prefix_table(model_file)
         rows = [table.encode(x.as_py()) for x in texts]
         at = np.cumsum([0] + [len(r) // 4 for r in rows])
@@ -239,6 +240,7 @@ def decoded(ids: Column, model_file: str | None = None) -> Column:
 
     @F.arrow_udf(T.StringType())
     def of(rows: pa.Array) -> pa.Array:
+        turn_to("sentencepiece", prefix_table.cache_clear)
         table = prefix_table(model_file)
         return pa.array([None if not x.is_valid else table.decode(np.array(x.as_py(), "<u4").tobytes()) for x in rows], pa.string())
 
@@ -254,6 +256,7 @@ def round_trip(docs: DataFrame, model_file: str | None = None, with_ids: bool =
 
     @F.arrow_udf(T.StructType([*_DIGESTS, *[T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids]))
     def of(texts: pa.Array) -> pa.Array:
+        turn_to("sentencepiece", prefix_table.cache_clear)
         table = prefix_table(model_file)
         rows = [table.encode(x.as_py()) for x in texts]
         columns = {

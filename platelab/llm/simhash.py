@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from .common import as_bytes, checkpointed, nested, prepare
 from .components import connected_components
+from .components import union as _union
 
 WORDS = 3
 SEED = 42
@@ -57,19 +58,6 @@ def fingerprinted(text: Column, words: int = WORDS) -> Column:
     return of(text)
 
 
-def _union(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
-    """Merge the sets of u and v; ``label`` holds each node's least member so far."""
-    while True:
-        a, b = label[u], label[v]
-        differ = a != b
-        if not differ.any():
-            return
-        u, v, a, b = u[differ], v[differ], a[differ], b[differ]
-        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-        while not np.array_equal(label, above := label[label]):
-            label[:] = above
-
-
 def _blocks(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Places of ``x`` in blocks of like quarter counts (the last place repeats as filling), values, least and most counts."""
     counts = np.bitwise_count(np.ascontiguousarray(x).view(np.uint16).reshape(-1, 4)).astype(np.int16)
