@@ -22,7 +22,7 @@ UPDATES = 48
 #: Logits are cut here in training, where sums of their powers need not be scaled.
 MOST = np.float32(70)
 #: Rows whose logits are worked on at one time, so that they stay in the processor's cache.
-PART = 2048
+PART = 1024
 
 Params = dict[str, np.ndarray]
 
@@ -107,36 +107,50 @@ class Work:
             self.held[name] = np.empty((self.rows, width), self.dtype)
         return self.held[name][:rows]
 
+    def step(self, name: str, width: int, top: int, end: int) -> np.ndarray:
+        """What a step's tokens ``top`` to ``end`` have: a row for each number, so that whole rows are worked on."""
+        if name not in self.held:
+            self.held[name] = np.empty(self.rows * width, self.dtype)
+        return self.held[name][width * top : width * end].reshape(width, -1)
+
+
+def _joint(params: Params) -> np.ndarray:
+    """One matrix from a state and an input to the gates, the turned state and what the input gives to the candidate."""
+    out = np.zeros((4 * HIDDEN, HIDDEN + EMBEDDED), params["turn_gates"].dtype)
+    out[: 2 * HIDDEN, :HIDDEN], out[: 2 * HIDDEN, HIDDEN:] = params["turn_gates"].T, params["given_gates"].T
+    out[2 * HIDDEN : 3 * HIDDEN, :HIDDEN], out[3 * HIDDEN :, HIDDEN:] = params["turn_new"].T, params["given_new"].T
+    return out
+
 
 def run(params: Params, work: Work, lanes: Lanes, top: int, end: int, inputs: np.ndarray, keep: np.ndarray, state: np.ndarray) -> np.ndarray:
-    """States after each token of steps ``top`` to ``end``; ``state`` is carried on in place.
+    """States after each token of steps ``top`` to ``end``, each with a 1 behind; ``state`` is carried on in place.
 
-    ``work`` keeps what the way back needs, one row per token: the state before, the gates (update, reset), the
-    candidate and its share of the state. Gates are 1 / (1 + exp(x)).
+    ``work`` keeps what the way back needs, step by step: ``both``, the state before and the input; ``made``, the gates
+    (update, reset), the candidate's share of the state and the candidate. Gates are 1 / (1 + exp(x)).
     """
-    n = len(inputs)
-    embedded = np.take(params["inputs"], inputs, axis=0, out=work("embedded", n, EMBEDDED), mode="clip")
-    to_gates = np.matmul(embedded, params["given_gates"], out=work("to_gates", n, 2 * HIDDEN))
-    to_new = np.matmul(embedded, params["given_new"], out=work("to_new", n, HIDDEN))
-    out, before, all_gates, all_new, all_turned = (work(x, n, w * HIDDEN) for x, w in (("states", 1), ("before", 1), ("gates", 2), ("new", 1), ("turned", 1)))
-    turn_gates, turn_new, keep = params["turn_gates"], params["turn_new"], keep[:, None]
+    joint, carried = _joint(params), state.T
+    embedded = np.take(params["inputs"], inputs, axis=0, out=work("embedded", len(inputs), EMBEDDED), mode="clip")
+    out = work("with_one", len(inputs), HIDDEN + 1)
+    out[:, HIDDEN] = 1
     cuts = (lanes.at[top : end + 1] - lanes.at[top]).tolist()
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        now = state[: b - a]
-        h = np.multiply(now, keep[a:b], out=before[a:b])
-        gates = np.matmul(h, turn_gates, out=all_gates[a:b])
-        gates += to_gates[a:b]
+        now = carried[:, : b - a]
+        x = work.step("both", HIDDEN + EMBEDDED, a, b)
+        h = np.multiply(now, keep[a:b], out=x[:HIDDEN])
+        x[HIDDEN:] = embedded[a:b].T
+        y = np.matmul(joint, x, out=work.step("made", 4 * HIDDEN, a, b))
+        gates, new = y[: 2 * HIDDEN], y[3 * HIDDEN :]
         np.exp(gates, out=gates)
         gates += 1
         np.reciprocal(gates, out=gates)
-        turned = np.matmul(h, turn_new, out=all_turned[a:b])
-        new = np.multiply(gates[:, HIDDEN:], turned, out=all_new[a:b])
-        new += to_new[a:b]
+        after = np.multiply(gates[HIDDEN:], y[2 * HIDDEN : 3 * HIDDEN], out=work.step("after", HIDDEN, 0, b - a))
+        new += after
         np.tanh(new, out=new)
-        after = np.subtract(h, new, out=out[a:b])
-        after *= gates[:, :HIDDEN]
+        np.subtract(h, new, out=after)
+        after *= gates[:HIDDEN]
         after += new
         now[:] = after
+        out[a:b, :HIDDEN] = after.T
     return out
 
 
@@ -149,20 +163,28 @@ def _by_class(classes: np.ndarray, heads: int) -> tuple[np.ndarray, list[tuple[i
     return rows[np.argsort(of, kind="stable")], parts
 
 
-def _log_sum(x: np.ndarray) -> np.ndarray:
-    """Logarithm of the sum of each row's powers, for logits of any size; ``x`` is used up."""
-    most = 0
-    if x.size and x.max() > MOST:
+def _grouped(parts: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, int]]]:
+    """Classes to be worked on at one time, of about ``PART`` rows."""
+    held: list[tuple[int, int, int]] = []
+    for part in parts:
+        if held and part[2] - held[0][1] > PART:
+            yield held
+            held = []
+        held.append(part)
+    if held:
+        yield held
+
+
+def _log_sum(x: np.ndarray, spare: np.ndarray) -> np.ndarray:
+    """Logarithm of the sum of each row's powers, for logits of any size; both arrays are used up."""
+    ones = np.ones(x.shape[1], x.dtype)
+    with np.errstate(over="ignore", invalid="ignore"):
+        total = np.exp(x, out=spare) @ ones
+    if x.size and not 0 < total.min() <= total.max() < np.inf:  # powers too large or too small
         most = x.max(axis=1)
         x -= most[:, None]
-    return np.log(np.exp(x, out=x) @ np.ones(x.shape[1], x.dtype)) + most
-
-
-def _with_one(work: Work, states: np.ndarray) -> np.ndarray:
-    out = work("with_one", len(states), HIDDEN + 1)
-    out[:, :HIDDEN] = states
-    out[:, HIDDEN] = 1
-    return out
+        return np.log(np.exp(x, out=x) @ ones) + most
+    return np.log(total)
 
 
 def _classes(params: Params, work: Work, given: np.ndarray) -> np.ndarray:
@@ -178,42 +200,35 @@ def _inside(params: Params, work: Work, given: np.ndarray, parts: list[tuple[int
     return out
 
 
-def log_probabilities(params: Params, work: Work, states: np.ndarray, classes: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Natural log of the probability of each token's class and, for head words, of the word in its class."""
-    given = _with_one(work, states)
+def log_probabilities(params: Params, work: Work, given: np.ndarray, classes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Natural log of the probability of each token's class and, for head words, of the word in its class, ``given`` what ``run`` returns."""
     out = np.empty(len(given))
     for k in range(0, len(given), PART):
         part = slice(k, k + PART)
         x = _classes(params, work, given[part])
         out[part] = x[np.arange(len(x)), classes[part]]
-        out[part] -= _log_sum(x)
+        out[part] -= _log_sum(x, work("powers", *x.shape))
     rows, parts = _by_class(classes, len(params["words"]))
     own = np.take(given, rows, axis=0, out=work("own", len(rows), HIDDEN + 1), mode="clip")
-    y = _inside(params, work, own, parts)
-    out[rows] += y[np.arange(len(rows)), words[rows]] - _log_sum(y)
+    for some in _grouped(parts):
+        top, end = some[0][1], some[-1][2]
+        at = rows[top:end]
+        y = _inside(params, work, own[top:end], [(c, a - top, b - top) for c, a, b in some])
+        out[at] += y[np.arange(len(at)), words[at]] - _log_sum(y, work("powers_inside", *y.shape))
     return out
 
 
-def _outer(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """``a.T @ b`` of many rows, in blocks that suit the library's kernels better than one long product."""
-    n = len(a) // 64 * 64
-    out = a[n:].T @ b[n:]
-    if n:
-        out += np.matmul(a[:n].reshape(-1, 64, a.shape[1]).transpose(0, 2, 1), b[:n].reshape(-1, 64, b.shape[1])).sum(axis=0)
-    return out
-
-
-def _surprise(logits: np.ndarray, target: np.ndarray, large: bool) -> float:
-    """Turn logits into what the loss changes by with each; returns the negative log-likelihood of the targets."""
+def _surprise(logits: np.ndarray, target: np.ndarray, large: bool) -> tuple[float, np.ndarray]:
+    """The negative log-likelihood of the targets, and a factor for each row by which its logits, changed in place, are
+    what the loss changes by with each of them; what they are multiplied with is narrower, and so the cheaper to scale."""
     every = np.arange(len(logits))
     if large:
         np.minimum(logits, MOST, out=logits)
     loss = -float(logits[every, target].sum())
     np.exp(logits, out=logits)
     total = logits @ np.ones(logits.shape[1], logits.dtype)
-    logits *= (1 / total)[:, None]
-    logits[every, target] -= 1
-    return loss + float(np.log(total).sum())
+    logits[every, target] -= total
+    return loss + float(np.log(total).sum()), (1 / total)[:, None]
 
 
 def gradients(params: Params, grads: Params, work: Work, lanes: Lanes, top: int, end: int, inputs: np.ndarray, keep: np.ndarray, classes: np.ndarray, words: np.ndarray, state: np.ndarray) -> float:
@@ -222,8 +237,7 @@ def gradients(params: Params, grads: Params, work: Work, lanes: Lanes, top: int,
     Tokens of class -1 only move the state.
     """
     n = len(inputs)
-    states = run(params, work, lanes, top, end, inputs, keep, state)
-    given = _with_one(work, states)
+    given = run(params, work, lanes, top, end, inputs, keep, state)
     back = work("back", n, HIDDEN)
     live = np.flatnonzero(classes >= 0)
     counted, by_class, targets = (given, back, classes) if len(live) == n else (given[live], work("by_class", len(live), HIDDEN), classes[live])
@@ -234,59 +248,67 @@ def gradients(params: Params, grads: Params, work: Work, lanes: Lanes, top: int,
     for k in range(0, len(live), PART):
         part = slice(k, min(len(live), k + PART))
         p = _classes(params, work, counted[part])
-        loss += _surprise(p, targets[part], large)
-        grads["classes"] += _outer(counted[part], p)
+        lost, scale = _surprise(p, targets[part], large)
+        loss += lost
+        grads["classes"] += (counted[part] * scale).T @ p
         np.matmul(p, to_states, out=by_class[part])
+        by_class[part] *= scale
     if len(live) < n:
         back.fill(0)
         back[live] = by_class
     rows, parts = _by_class(classes, len(params["words"]))
     own = np.take(given, rows, axis=0, out=work("own", len(rows), HIDDEN + 1), mode="clip")
-    q = _inside(params, work, own, parts)
-    loss += _surprise(q, words[rows], large)
     by_own = work("by_own", len(rows), HIDDEN)
-    for c, a, b in parts:
-        grads["words"][c] += own[a:b].T @ q[a:b]
-        np.matmul(q[a:b], params["words"][c, :HIDDEN].T, out=by_own[a:b])
+    for some in _grouped(parts):
+        top_row, end_row = some[0][1], some[-1][2]
+        mine = own[top_row:end_row]
+        some = [(c, a - top_row, b - top_row) for c, a, b in some]
+        q = _inside(params, work, mine, some)
+        lost, scale = _surprise(q, words[rows[top_row:end_row]], large)
+        loss += lost
+        mine *= scale
+        by_mine = by_own[top_row:end_row]
+        for c, a, b in some:
+            grads["words"][c] += mine[a:b].T @ q[a:b]
+            np.matmul(q[a:b], params["words"][c, :HIDDEN].T, out=by_mine[a:b])
+        by_mine *= scale
     back[rows] += by_own
-    before, gates, new, turned = (work(x, n, 0) for x in ("before", "gates", "new", "turned"))
-    z, r = work("z", n, HIDDEN), work("r", n, HIDDEN)
-    z[:], r[:] = gates[:, :HIDDEN], gates[:, HIDDEN:]
-    spare, by_z, by_r, by_new = (work(x, n, HIDDEN) for x in ("spare", "by_z", "by_r", "by_new"))
-    np.subtract(1, z, out=spare)
-    np.subtract(new, before, out=by_z)  # the gates fall as x grows
-    by_z *= z
-    by_z *= spare
-    np.multiply(new, new, out=by_new)
-    np.subtract(1, by_new, out=by_new)
-    by_new *= spare
-    np.subtract(r, 1, out=by_r)
-    by_r *= r
-    by_r *= turned
-    d_gates, d_turned, d_new = work("d_gates", n, 2 * HIDDEN), work("d_turned", n, HIDDEN), work("d_new", n, HIDDEN)
-    turn_gates, turn_new = np.ascontiguousarray(params["turn_gates"].T), np.ascontiguousarray(params["turn_new"].T)
+    to_both = np.ascontiguousarray(_joint(params).T)
+    total = np.zeros((4 * HIDDEN, HIDDEN + EMBEDDED), back.dtype)
+    by_input, places = grads["inputs"].reshape(-1), np.arange(EMBEDDED)[:, None]
     cuts = (lanes.at[top : end + 1] - lanes.at[top]).tolist()
-    keep = keep[:, None]
-    carry = np.zeros((0, HIDDEN), back.dtype)
+    carry = np.zeros((HIDDEN, 0), back.dtype)
     for a, b in zip(cuts[-2::-1], cuts[:0:-1], strict=True):
-        dh, dg = back[a:b], d_gates[a:b]
-        dh[: len(carry)] += carry
-        dn = np.multiply(dh, by_new[a:b], out=d_new[a:b])
-        np.multiply(dh, by_z[a:b], out=dg[:, :HIDDEN])
-        np.multiply(dn, by_r[a:b], out=dg[:, HIDDEN:])
-        dt = np.multiply(dn, r[a:b], out=d_turned[a:b])
-        carry = dg @ turn_gates
-        carry += dt @ turn_new
-        dh *= z[a:b]
+        x, y = work.step("both", HIDDEN + EMBEDDED, a, b), work.step("made", 4 * HIDDEN, a, b)
+        z, r, turned, new = (y[k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
+        dh, changed = work.step("dh", HIDDEN, 0, b - a), work.step("changed", 4 * HIDDEN, 0, b - a)
+        dz, dr, dt, dn = (changed[k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
+        dh[:] = back[a:b].T
+        dh[:, : carry.shape[1]] += carry
+        spare = np.subtract(1, z, out=dr)
+        np.multiply(dh, spare, out=dn)
+        np.subtract(new, x[:HIDDEN], out=dz)  # the gates fall as what they are made of grows
+        dz *= z
+        dz *= spare
+        dz *= dh
+        np.multiply(new, new, out=spare)
+        np.subtract(1, spare, out=spare)
+        dn *= spare
+        np.multiply(dn, r, out=dt)
+        np.subtract(r, 1, out=dr)
+        dr *= turned
+        dr *= dt
+        total += changed @ x.T
+        by_both = to_both @ changed
+        np.add.at(by_input, (inputs[a:b].astype(np.int64) * EMBEDDED + places).ravel(), by_both[HIDDEN:].ravel())
+        carry = by_both[:HIDDEN]
+        dh *= z
         carry += dh
         carry *= keep[a:b]
-    embedded = work("embedded", n, EMBEDDED)
-    for name, by, changed in (("turn_gates", before, d_gates), ("turn_new", before, d_turned), ("given_gates", embedded, d_gates), ("given_new", embedded, d_new)):
-        grads[name] += _outer(by, changed)
-    by_input = d_gates @ params["given_gates"].T
-    by_input += d_new @ params["given_new"].T
-    places = (inputs.astype(np.int64) * EMBEDDED)[:, None] + np.arange(EMBEDDED)
-    np.add.at(grads["inputs"].reshape(-1), places.ravel(), by_input.ravel())
+    grads["turn_gates"] += total[: 2 * HIDDEN, :HIDDEN].T
+    grads["given_gates"] += total[: 2 * HIDDEN, HIDDEN:].T
+    grads["turn_new"] += total[2 * HIDDEN : 3 * HIDDEN, :HIDDEN].T
+    grads["given_new"] += total[3 * HIDDEN :, HIDDEN:].T
     return loss
 
 
@@ -322,7 +344,7 @@ class Adam:
 
 def train(params: Params, adam: Adam, lanes: Lanes, inputs: np.ndarray, keep: np.ndarray, classes: np.ndarray, words: np.ndarray) -> float:
     """One pass over tokens in lane order; states carry over from window to window. Returns the negative log-likelihood."""
-    state = np.zeros((lanes.lanes, HIDDEN), np.float32)
+    state = np.zeros((HIDDEN, lanes.lanes), np.float32).T
     work = Work(lanes.lanes * WINDOW)
     loss = 0.0
     for top, end in lanes.windows(WINDOW):
@@ -337,7 +359,7 @@ def train(params: Params, adam: Adam, lanes: Lanes, inputs: np.ndarray, keep: np
 
 def score(params: Params, lanes: Lanes, inputs: np.ndarray, keep: np.ndarray, classes: np.ndarray, words: np.ndarray) -> np.ndarray:
     """``log_probabilities`` of all tokens in lane order, the states carried through whole documents."""
-    state = np.zeros((lanes.lanes, HIDDEN), np.float32)
+    state = np.zeros((HIDDEN, lanes.lanes), np.float32).T
     work = Work(lanes.lanes * WINDOW)
     out = np.empty(len(inputs))
     for top, end in lanes.windows(WINDOW):

@@ -46,7 +46,8 @@ ROUNDS = ((2, 0.012), (6, 0.006), (8, 0.003))
 COUNTED = 200_000
 #: Text that a task turns into codes at one time.
 CHUNK_BYTES = 8 << 20
-#: Tokens that a task runs side by side, but for a longer document; documents of over ``LONG`` tokens run among themselves.
+#: Tokens that a task runs side by side, but for a longer document; documents of over ``LONG`` tokens run
+#: among themselves and with the last of the others.
 CHUNK_TOKENS, LONG = 2 << 20, 4096
 #: Tokens of a document that run in one lane in training, and tokens before them that move the state only.
 SEGMENT, WARM = 512, 32
@@ -293,6 +294,8 @@ def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[np.ndarr
                 full[kind] = 0
             held[kind].append((codes, others.slice(i, 1)))
             full[kind] += len(codes)
+    if sum(full) <= CHUNK_TOKENS:  # the few that are left fill the lanes next to the long ones
+        held = ([*held[0], *held[1]], [])
     yield from (h for h in held if h)
 
 
