@@ -53,6 +53,53 @@ def _block_pairs(rows: DataFrame, block: int) -> DataFrame:
     return pairs.select(F.when(F.col("one.b") == F.col("o"), F.array("one")).otherwise(F.array("one", "other")).alias("sides"))
 
 
+#: Blocks of dishes that are packed as one where they are compared with others.
+FACED = 8
+#: Bytes of a packed block, and of all packed blocks that a task holds.
+FACED_BYTES, HELD_BYTES = 4 << 20, 64 << 20
+
+
+def _facing(rows: DataFrame, block: int) -> DataFrame:
+    """(one, other): whole rows (with idx) of a few dishes, and of a larger block that they are compared with, for all.
+
+    Nothing is shuffled but the dishes themselves, once: a task gets some of them and reads the blocks they face where
+    these are packed, in as many parts as its memory asks for. Each dish meets a part in one task, so what is found for it
+    comes in a row for each block and is merged before it leaves the task.
+    """
+    spark = rows.sparkSession
+    ship(spark)
+    count, size = rows.agg(F.count("*"), F.max(F.size("vector"))).first()
+    width = max(1, size or 0) * (4 if rows.schema["vector"].dataType.jsonValue()["elementType"] == "float" else 8)
+    parts = max(1, -(-count // (block * max(1, min(FACED, FACED_BYTES // (block * width))))))
+    cores = spark.sparkContext.defaultParallelism
+    few = min(block, max(64, -(-count // (2 * cores))))
+    own = F.pmod(F.xxhash64("idx"), F.lit(parts)).cast("int")
+    packed = checkpointed(rows.groupBy(own.alias("b")).agg(F.collect_list(F.struct(*rows.columns)).alias("rows"))).select("rows")
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("rows") - 1) / few).cast("int")), lambda k: F.slice("rows", k * few + 1, few))
+    one = packed.select(F.explode(cut).alias("one")).repartition(max(1, min(-(-count // few), max(64, 2 * cores))))
+    return one.hint("shuffle_replicate_nl").crossJoin(packed.select(F.col("rows").alias("other")).coalesce(max(1, -(-count * width // HELD_BYTES))))
+
+
+#: Pairs of dishes whose distances a task has at once.
+STRIP = 1 << 18
+
+
+def _strips(one: np.ndarray, a: np.ndarray, other: np.ndarray, b: np.ndarray, radius: float) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """Some dishes at a time: which, and of their pairs at most ``radius`` apart the row among these, the column and the
+    distance, in order. ``other`` is in order; a dish is at distance 0 of itself."""
+    step = max(1, STRIP // max(1, len(other)))
+    first, last = np.searchsorted(other, one, "left"), np.searchsorted(other, one, "right")
+    for top in range(0, len(one), step):
+        d = a[top : top + step] @ b.T
+        np.subtract(1, d, out=d)
+        np.maximum(0.0, d, out=d)
+        for r in np.flatnonzero(first[top : top + step] < last[top : top + step]):
+            d[r, first[top + r] : last[top + r]] = 0.0
+        hit = np.flatnonzero(d <= radius)
+        r, c = np.divmod(hit, len(other))
+        yield slice(top, top + len(d)), r, c, d.ravel()[hit]
+
+
 def pairs_within(dishes: DataFrame, radius: float, block: int = BLOCK) -> DataFrame:
     """(i, j, distance) of all dishes (idx, vector) at most ``radius`` apart; a dish is at distance 0 of itself.
 
@@ -107,55 +154,55 @@ def improvements(pairs: DataFrame, metrics: DataFrame, lower: Sequence[str], hig
 def best_gains(dishes: DataFrame, metrics: DataFrame, lower: Sequence[str], higher: Sequence[str], radii: Sequence[float], block: int = BLOCK) -> DataFrame:
     """What ``improvements`` finds among all dishes (idx, vector) that have metrics, without putting out any pair.
 
-    A task compares two blocks of dishes and returns, for each dish and radius, how many neighbours the other block has
-    and the best of each metric among them. These few rows are merged.
+    A task compares some dishes with a block and returns, for each dish and radius that is the first to reach any of
+    these, how many it reaches and the best of each metric among them. Radii are summed up once these few rows are merged.
     """
     names = [*lower, *higher]
     rows = as_vectors(dishes.select("idx", "vector")).join(metrics.select("idx", F.array(*[F.col(n).cast("double") for n in names]).alias("m")), "idx")
-    work = _block_pairs(rows, block)
+    work = _facing(rows, block)
     steps = [float(r) for r in radii]
     sign = np.array([1.0] * len(lower) + [-1.0] * len(higher))
+    out = ["idx", "step", "n", *[f"b{c}" for c in range(len(names))]]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.column(0):
-                held = []
-                for side in row:
-                    x = side["rows"].values
-                    ids = x.field("idx").to_numpy()
-                    values = np.array(x.field("m").to_pylist(), float).reshape(len(ids), -1) * sign
-                    held.append((ids, matrix(x), values))
-                for (i, a, _), (j, b, v) in [(held[0], held[0])] if len(held) == 1 else [(held[0], held[1]), (held[1], held[0])]:
-                    for top in range(0, len(i), 256):
-                        own = i[top : top + 256]
-                        d = np.maximum(0.0, 1 - a[top : top + 256] @ b.T)
-                        d[own[:, None] == j[None]] = 0.0
-                        step = np.searchsorted(steps, d)
-                        n, best = np.zeros((len(own), len(steps)), np.int64), np.full((len(own), len(steps), len(names)), np.nan)
-                        for k in range(len(steps)):
-                            here = step == k
-                            n[:, k] = here.sum(axis=1)
-                            if n[:, k].any():
-                                for c in range(len(names)):
-                                    best[:, k, c] = np.fmin.reduce(np.where(here, v[:, c], np.nan), axis=1)
-                        n, best = np.cumsum(n, axis=1), np.fmin.accumulate(best, axis=1) * sign
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.repeat(own, len(steps))), pa.array(np.tile(np.arange(len(steps), dtype=np.int32), len(own))), pa.array(n.ravel()), *[pa.array(best[:, :, c].ravel(), from_pandas=True) for c in range(len(names))]],
-                            ["idx", "step", "n", *[f"b{c}" for c in range(len(names))]],
-                        )
-
-    found = work.mapInArrow(compare, "idx long, step int, n long, " + ", ".join(f"b{c} double" for c in range(len(names))))
-    best = found.groupBy("idx", "step").agg(F.sum("n").alias("neighbors"), *[(F.min if c < len(lower) else F.max)(f"b{c}").alias(f"b{c}") for c in range(len(names))])
+            for one, other in zip(batch.column(0), batch.column(1), strict=True):
+                i, a, j, b = one.values.field("idx").to_numpy(), matrix(one.values), other.values.field("idx").to_numpy(), matrix(other.values)
+                v = other.values.field("m").flatten().to_numpy(zero_copy_only=False).reshape(len(j), len(names)) * sign
+                order = np.argsort(j, kind="stable")
+                j, b, v = j[order], b[order], v[order].T.copy()
+                found = []
+                for strip, r, c, d in _strips(i, a, j, b, steps[-1]):
+                    cell = r * len(steps)
+                    for s in steps[:-1]:
+                        cell += d > s
+                    n = np.bincount(cell)
+                    best = np.full((len(names), len(n)), np.nan)
+                    for k in range(len(names)):
+                        np.fmin.at(best[k], cell, v[k][c])
+                    seen = np.flatnonzero(n)
+                    found.append((i[strip][seen // len(steps)], (seen % len(steps)).astype(np.int32), n[seen], *(best * sign[:, None])[:, seen]))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), from_pandas=True) for x in zip(*found, strict=True)], out)
+
+    found = work.mapInArrow(compare, "idx long, step int, n long, " + ", ".join(f"{b} double" for b in out[3:]))
+    merged = found.groupBy("idx", "step").agg(F.sum("n").alias("n"), *[(F.min if c < len(lower) else F.max)(b).alias(b) for c, b in enumerate(out[3:])])
+    best = merged.groupBy("idx").agg(F.collect_list(F.struct(*out[1:])).alias("s"))
     own = metrics.select("idx", *[F.col(n).alias(f"own_{n}") for n in names])
     gain = lambda c, n: (F.when(F.col(f"own_{n}") > 0, (F.col(f"own_{n}") - F.col(f"b{c}")) / F.col(f"own_{n}")) if n in lower else F.col(f"b{c}") - F.col(f"own_{n}")).alias(n)
-    radius = F.element_at(F.array(*map(F.lit, steps)), F.col("step") + 1).alias("radius")
-    return best.join(own, "idx").select("idx", radius, "neighbors", *[gain(c, n) for c, n in enumerate(names)])
+    within = lambda k: F.filter("s", lambda x: x["step"] <= k)
+    least = [(F.array_min if c < len(lower) else F.array_max)(f"x.s.{b}").alias(b) for c, b in enumerate(out[3:])]
+    each = best.join(own, "idx").select("*", F.explode(F.transform(F.sequence(F.lit(0), F.lit(len(steps) - 1)), lambda k: F.struct(k.alias("step"), within(k).alias("s")))).alias("x"))
+    neighbours = F.aggregate("x.s", F.lit(0).cast("long"), lambda t, x: t + x["n"]).alias("neighbors")
+    radius = F.element_at(F.array(*map(F.lit, steps)), F.col("x.step") + 1).alias("radius")
+    return each.select("idx", radius, neighbours, *least, *[f"own_{n}" for n in names]).select("idx", "radius", "neighbors", *[gain(c, n) for c, n in enumerate(names)])
 
 
 def curve(gains: DataFrame, names: Sequence[str]) -> DataFrame:
     """By radius: mean and median neighbours, and mean and quartiles of each gain."""
-    each = [c for n in names for c in (F.avg(n).alias(f"{n}_mean"), *[F.percentile(n, F.lit(p)).alias(f"{n}_{label}") for p, label in ((0.25, "p25"), (0.5, "median"), (0.75, "p75"))])]
-    return gains.groupBy("radius").agg(F.avg("neighbors").alias("mean_neighbors"), F.percentile("neighbors", F.lit(0.5)).alias("median_neighbors"), *each)
+    shares = {"p25": 0.25, "median": 0.5, "p75": 0.75}
+    of = gains.groupBy("radius").agg(F.avg("neighbors").alias("mean_neighbors"), F.percentile("neighbors", F.lit(0.5)).alias("median_neighbors"), *[c for n in names for c in (F.avg(n).alias(f"{n}_mean"), F.percentile(n, F.array(*map(F.lit, shares.values()))).alias(f"{n}_at"))])
+    return of.select("radius", "mean_neighbors", "median_neighbors", *[c for n in names for c in (F.col(f"{n}_mean"), *[F.get(f"{n}_at", F.lit(k)).alias(f"{n}_{label}") for k, label in enumerate(shares)])])
 
 
 def macro_shares(protein: Column, fat: Column, carb: Column) -> Column:
@@ -170,13 +217,12 @@ def total_variation(a: Column, b: Column) -> Column:
 
 
 Side = dict[str, np.ndarray]
-#: Rows of one side that are compared with all of the other at once.
-STRIP = 256
+#: Rows and columns of the pairs that are near, in order of both.
+Near = tuple[np.ndarray, np.ndarray]
 
 
-def _sides(row: pa.StructScalar, texts: Sequence[str]) -> list[Side]:
-    """The blocks of a row of work as arrays; nulls are NaN, texts are numbers that agree between the blocks."""
-    blocks = [side["rows"].values for side in row]
+def _sides(blocks: Sequence[pa.StructArray], texts: Sequence[str]) -> list[Side]:
+    """Blocks as arrays in order of idx; nulls are NaN, texts are numbers that agree between the blocks."""
     out: list[Side] = []
     for x in blocks:
         ids = x.field("idx").to_numpy()
@@ -186,40 +232,41 @@ def _sides(row: pa.StructScalar, texts: Sequence[str]) -> list[Side]:
         codes = pa.concat_arrays([x.field(name) for x in blocks]).dictionary_encode().indices.fill_null(-1).to_numpy()
         for held, part in zip(out, np.split(codes, np.cumsum([len(x) for x in blocks])[:-1]), strict=True):
             held[name] = part
-    return out
+    orders = [np.argsort(held["idx"], kind="stable") for held in out]
+    return [{k: v[order] for k, v in held.items()} for held, order in zip(out, orders, strict=True)]
 
 
-def nearest_best(rows: DataFrame, radius: float, visit: Callable[[Side, Side, np.ndarray], dict[str, np.ndarray]], schema: str, texts: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
+def nearest_best(rows: DataFrame, radius: float, visit: Callable[[Side, Side, Near], dict[str, np.ndarray]], schema: str, texts: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
     """What ``visit`` finds for each dish among those at most ``radius`` apart, block by block; no pair is put out.
 
     ``rows`` has idx, vector, numbers and ``texts``. ``visit`` gets some dishes, a block of dishes, and which of these are
     near which; it returns columns of ``schema``, a few rows a dish, which the caller merges over the blocks.
     """
-    work = _block_pairs(as_vectors(rows), block)
+    work = _facing(as_vectors(rows), block)
     names = [part.split()[0] for part in schema.split(",")]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.column(0):
-                held = _sides(row, texts)
-                for one, other in [(held[0], held[0])] if len(held) == 1 else [(held[0], held[1]), (held[1], held[0])]:
-                    for top in range(0, len(one["idx"]), STRIP):
-                        own = {k: v[top : top + STRIP] for k, v in one.items()}
-                        d = np.maximum(0.0, 1 - own["vector"] @ other["vector"].T)
-                        d[own["idx"][:, None] == other["idx"][None]] = 0.0
-                        found = visit(own, other, d <= radius)
-                        yield pa.RecordBatch.from_arrays([pa.array(found[n], from_pandas=True) for n in names], names)
+            for row in zip(batch.column(0), batch.column(1), strict=True):
+                one, other = _sides([x.values for x in row], texts)
+                found = [visit({k: v[strip] for k, v in one.items()}, other, (r, c)) for strip, r, c, _ in _strips(one["idx"], one["vector"], other["idx"], other["vector"], radius)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[n] for x in found]), from_pandas=True) for n in names], names)
 
     return work.mapInArrow(compare, schema)
 
 
-def _first_best(value: np.ndarray, allowed: np.ndarray, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Least value of each row where allowed (NaN never is), the least idx that has it, and its column; inf for none."""
-    held = np.where(allowed & ~np.isnan(value), value, np.inf)
-    best = held.min(axis=1, initial=np.inf)
-    order = np.argsort(idx, kind="stable")
-    at = order[np.argmax(held[:, order] == best[:, None], axis=1)]
-    return best, idx[at], at
+def _first_best(value: np.ndarray, near: Near, own: Side, other: Side) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least value (of each pair; NaN never is) of each row, the least idx that has it, and its column; inf for none."""
+    r, c = near
+    held = np.where(np.isnan(value), np.inf, value)
+    best, at = np.full(len(own["idx"]), np.inf), np.zeros(len(own["idx"]), np.int64)
+    if len(r):
+        heads = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
+        best[r[heads]] = np.minimum.reduceat(held, heads)
+        first = np.flatnonzero(held == best[r])[::-1]
+        at[r[first]] = c[first]
+    return best, other["idx"][at], at
 
 
 def tolerance_sweep(vectors: DataFrame, dishes: DataFrame, metric: str, tolerances: Sequence[float], radius: float, block: int = BLOCK) -> DataFrame:
@@ -228,10 +275,11 @@ def tolerance_sweep(vectors: DataFrame, dishes: DataFrame, metric: str, toleranc
     rows = vectors.select("idx", "vector").join(dishes.select("idx", F.col(metric).cast("double").alias("m"), *[F.col("shares")[p].alias(p) for p in parts]), "idx")
     steps = [float(t) for t in tolerances]
 
-    def visit(own: Side, other: Side, near: np.ndarray) -> dict[str, np.ndarray]:
-        far = sum(np.abs(own[p][:, None] - other[p][None]) for p in parts) / 2
-        far[own["idx"][:, None] == other["idx"][None]] = 0.0
-        best = [_first_best(np.broadcast_to(other["m"], near.shape), near & (far <= t), other["idx"])[0] for t in steps]
+    def visit(own: Side, other: Side, near: Near) -> dict[str, np.ndarray]:
+        r, c = near
+        far = sum(np.abs(own[p][r] - other[p][c]) for p in parts) / 2
+        far[own["idx"][r] == other["idx"][c]] = 0.0
+        best = [_first_best(np.where(far <= t, other["m"][c], np.inf), near, own, other)[0] for t in steps]
         n = len(own["idx"])
         return {"idx": np.tile(own["idx"], len(steps)), "step": np.repeat(np.arange(len(steps), dtype=np.int32), n), "b": np.concatenate(best)}
 
@@ -247,8 +295,8 @@ def best_pick(vectors: DataFrame, metrics: DataFrame, metric: str, radius: float
     rows = vectors.select("idx", "vector").join(metrics.select("idx", F.col(metric).cast("double").alias("m")), "idx", "left")
     sign = 1.0 if lower else -1.0
 
-    def visit(own: Side, other: Side, near: np.ndarray) -> dict[str, np.ndarray]:
-        best, pick, _ = _first_best(np.broadcast_to(sign * other["m"], near.shape), near, other["idx"])
+    def visit(own: Side, other: Side, near: Near) -> dict[str, np.ndarray]:
+        best, pick, _ = _first_best(sign * other["m"][near[1]], near, own, other)
         return {"idx": own["idx"], "m": best, "pick": pick}
 
     found = nearest_best(rows, radius, visit, "idx long, m double, pick long", (), block).where("m < double('inf')")
@@ -260,14 +308,15 @@ def swap_search(vectors: DataFrame, dishes: DataFrame, radius: float = 0.2, bloc
     health, of the same cuisine if there is one. Dishes without a finite value do not come into question."""
     rows = vectors.select("idx", "vector").join(dishes.select("idx", "cuisine", F.col("ghg").cast("double").alias("ghg"), F.col("health").cast("double").alias("health")), "idx")
 
-    def visit(own: Side, other: Side, near: np.ndarray) -> dict[str, np.ndarray]:
-        g, h = own["ghg"][:, None], own["health"][:, None]
+    def visit(own: Side, other: Side, near: Near) -> dict[str, np.ndarray]:
+        r, c = near
+        g, h, ghg, health = own["ghg"][r], own["health"][r], other["ghg"][c], other["health"][c]
         with np.errstate(invalid="ignore", divide="ignore"):
-            score = (g - other["ghg"]) / g + 2 * np.maximum(0.0, other["health"] - h)
-            fits = near & (own["idx"][:, None] != other["idx"]) & (other["ghg"] < 0.9 * g) & (other["health"] >= h) & (g > 0) & np.isfinite(other["health"])
+            score = (g - ghg) / g + 2 * np.maximum(0.0, health - h)
+            fits = (own["idx"][r] != other["idx"][c]) & (ghg < 0.9 * g) & (health >= h) & (g > 0) & np.isfinite(health)
             cost = -np.floor(score * 1e9 + 0.5) / 1e9
-        same = own["cuisine"][:, None] == other["cuisine"]
-        first, second = _first_best(cost, fits & same, other["idx"]), _first_best(cost, fits & ~same, other["idx"])
+        same = own["cuisine"][r] == other["cuisine"][c]
+        first, second = [_first_best(np.where(fits & which, cost, np.inf), near, own, other) for which in (same, ~same)]
         n = len(own["idx"])
         return {"idx": np.tile(own["idx"], 2), "other": np.repeat(np.arange(2, dtype=np.int32), n), "cost": np.concatenate([first[0], second[0]]), "swap": np.concatenate([first[1], second[1]])}
 
@@ -279,10 +328,11 @@ def co_benefits(vectors: DataFrame, dishes: DataFrame, radius: float, block: int
     """How often the greenest neighbour is healthier too, and the healthiest greener, and both better at once."""
     rows = vectors.select("idx", "vector").join(dishes.select("idx", F.col("ghg").cast("double").alias("ghg"), F.col("health").cast("double").alias("health")), "idx")
 
-    def visit(own: Side, other: Side, near: np.ndarray) -> dict[str, np.ndarray]:
-        ghg, g, at_g = _first_best(np.broadcast_to(other["ghg"], near.shape), near, other["idx"])
-        health, h, at_h = _first_best(np.broadcast_to(-other["health"], near.shape), near, other["idx"])
-        win = (near & (other["ghg"] < own["ghg"][:, None]) & (other["health"] > own["health"][:, None])).any(axis=1)
+    def visit(own: Side, other: Side, near: Near) -> dict[str, np.ndarray]:
+        r, c = near
+        ghg, g, at_g = _first_best(other["ghg"][c], near, own, other)
+        health, h, at_h = _first_best(-other["health"][c], near, own, other)
+        win = np.bincount(r[(other["ghg"][c] < own["ghg"][r]) & (other["health"][c] > own["health"][r])], minlength=len(own["idx"])) > 0
         return {"idx": own["idx"], "ghg": ghg, "g": g, "g_health": other["health"][at_g], "health": -health, "h": h, "h_ghg": other["ghg"][at_h], "win": win}
 
     found = nearest_best(rows, radius, visit, "idx long, ghg double, g long, g_health double, health double, h long, h_ghg double, win boolean", (), block)
