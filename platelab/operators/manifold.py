@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platelab.functions.text import contains_any
+from platelab.session import checkpointed, ship
 
 from .cleaning import numbered
 from .ordering import ranked
@@ -28,20 +29,29 @@ def vocabulary(rows: DataFrame, name: str) -> DataFrame:
 
 #: Vectors of no more numbers than this in all are sent to the tasks, which then get rows of dishes without vectors.
 BROADCAST_NUMBERS = 1 << 22
+#: Vectors of no more bytes than this are read by each task where they are packed, in parts of ``PART_BYTES``, for
+#: ``LINES`` rows of dishes at a time.
+READ_BYTES, PART_BYTES, LINES = 1 << 28, 16 << 20, 1 << 17
 
 
 def dish_vectors(rows: DataFrame, vectors: DataFrame) -> DataFrame:
     """Mean of ingredients' vectors by weight, at unit length: rows (dish, ingredient, weight), vectors (ingredient,
-    vector). Where vectors are few and of one size, only rows of dishes are shuffled; else vectors are joined to them, and
-    sums run per dimension, so that they combine before the shuffle."""
+    vector). Where vectors are of one size and fit a task, only rows of dishes are shuffled; else vectors are joined to
+    them, and sums run per dimension, so that they combine before the shuffle."""
     size, numbers = F.size("vector"), [F.col(c).cast("long") for c in ("dish", "ingredient")]
     count, keys, least, most, holes = vectors.where(size > 0).agg(F.count("*"), F.countDistinct("ingredient"), F.min(size), F.max(size), F.count_if(F.exists("vector", lambda v: v.isNull()))).first()
     whole_numbers = {dict(x.dtypes)[c] for x, c in ((rows, "dish"), (rows, "ingredient"), (vectors, "ingredient"))} <= {"int", "bigint"}
-    if whole_numbers and count == keys and count and least == most and not holes and count * most <= BROADCAST_NUMBERS:
-        held = vectors.where(size > 0).select(numbers[1], F.col("vector").cast("array<double>")).orderBy("ingredient").collect()  # within the bound above
-        sent = rows.sparkSession.sparkContext.broadcast((np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held])))
-        asked = rows.where("ingredient is not null").select(F.col("dish").isNull().alias("none"), F.coalesce(numbers[0], F.lit(0)).alias("dish"), numbers[1], F.col("weight").cast("double").alias("weight"))
-        return asked.repartition("none", "dish").sortWithinPartitions("none", "dish").mapInArrow(_means(sent), f"dish {dict(rows.dtypes)['dish']}, vector array<double>")
+    if whole_numbers and count == keys and count and least == most and not holes:
+        numbered_rows = rows.where("ingredient is not null").select(F.col("dish").isNull().alias("none"), F.coalesce(numbers[0], F.lit(0)).alias("dish"), numbers[1], F.col("weight").cast("double").alias("weight"))
+        asked, schema = numbered_rows.repartition("none", "dish").sortWithinPartitions("none", "dish"), f"dish {dict(rows.dtypes)['dish']}, vector array<double>"
+        if count * most <= BROADCAST_NUMBERS:
+            held = vectors.where(size > 0).select(numbers[1], F.col("vector").cast("array<double>")).orderBy("ingredient").collect()  # within the bound above
+            sent = rows.sparkSession.sparkContext.broadcast((np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held])))
+            return asked.mapInArrow(_means(sent), schema)
+        single = dict(vectors.dtypes)["vector"] == "array<float>"
+        if count * most * (4 if single else 8) <= READ_BYTES:
+            packed = vectors.where(size > 0).select(numbers[1], F.col("vector").cast("array<float>" if single else "array<double>").alias("vector"))
+            return _faced(asked, packed, max(1, -(-count * most * (4 if single else 8) // PART_BYTES))).mapInArrow(_sums, schema)
     x = rows.join(vectors, "ingredient").select("dish", "weight", F.posexplode("vector").alias("d", "v"))
     sums = x.groupBy("dish", "d").agg(F.sum(F.col("weight") * F.col("v")).alias("s"))
     whole = sums.groupBy("dish").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "s"))), lambda y: y["s"]).alias("s"))
@@ -49,16 +59,28 @@ def dish_vectors(rows: DataFrame, vectors: DataFrame) -> DataFrame:
     return whole.select("dish", F.transform("s", lambda y: F.try_divide(y, norm)).alias("vector"))
 
 
+def _unit(key: np.ndarray, none: np.ndarray, total: np.ndarray, weighed: np.ndarray) -> pa.RecordBatch:
+    norm = np.sqrt((total * total).sum(axis=1))
+    bad = ~weighed | (norm == 0)
+    values = pa.array((total / np.where(bad, 1, norm)[:, None]).ravel(), mask=np.repeat(bad, total.shape[1]))
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(key) + 1, dtype=np.int32) * total.shape[1]), values)
+    return pa.RecordBatch.from_arrays([pa.array(key, mask=none), lists], ["dish", "vector"])
+
+
+def _run_on(open_dish: list[np.ndarray] | None, found: list[np.ndarray]) -> list[np.ndarray]:
+    """Dishes (key, none, total, weighed) with the last of those before, which may be the first of these."""
+    if open_dish is None:
+        return found
+    if open_dish[0][0] == found[0][0] and open_dish[1][0] == found[1][0]:
+        found[2][0] += open_dish[2][0]
+        found[3][0] |= open_dish[3][0]
+        return found
+    return [np.concatenate(x) for x in zip(open_dish, found, strict=True)]
+
+
 def _means(sent: Broadcast):
     """Rows (none, dish, ingredient, weight) in order of dish to unit vectors; a dish may run on over batches."""
 
-    def unit(key: np.ndarray, none: np.ndarray, total: np.ndarray, weighed: np.ndarray) -> pa.RecordBatch:
-        norm = np.sqrt((total * total).sum(axis=1))
-        bad = ~weighed | (norm == 0)
-        values = pa.array((total / np.where(bad, 1, norm)[:, None]).ravel(), mask=np.repeat(bad, total.shape[1]))
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(key) + 1, dtype=np.int32) * total.shape[1]), values)
-        return pa.RecordBatch.from_arrays([pa.array(key, mask=none), lists], ["dish", "vector"])
-
     def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors = sent.value
         open_dish = None
@@ -74,22 +96,84 @@ def _means(sent: Broadcast):
                 weight = part.column("weight").fill_null(0).to_numpy()[met]
                 first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (none[1:] != none[:-1])))
                 total = np.add.reduceat(np.where(weighed[:, None], vectors[place[met]] * weight[:, None], 0), first)
-                found = [key[first], none[first], total, np.logical_or.reduceat(weighed, first)]
-                if open_dish is not None:
-                    if open_dish[0][0] == found[0][0] and open_dish[1][0] == found[1][0]:
-                        found[2][0] += open_dish[2][0]
-                        found[3][0] |= open_dish[3][0]
-                    else:
-                        found = [np.concatenate(x) for x in zip(open_dish, found, strict=True)]
+                found = _run_on(open_dish, [key[first], none[first], total, np.logical_or.reduceat(weighed, first)])
                 open_dish = [x[-1:] for x in found]
                 if len(found[0]) > 1:
-                    yield unit(*[x[:-1] for x in found])
+                    yield _unit(*[x[:-1] for x in found])
         if open_dish is not None:
-            yield unit(*open_dish)
+            yield _unit(*open_dish)
 
     return means
 
 
+def _faced(asked: DataFrame, vectors: DataFrame, parts: int) -> DataFrame:
+    """Rows in order of dish, ``LINES`` at a time, against all parts of the vectors (p, held), one after another. Each task
+    reads the parts where they are packed."""
+    ship(asked.sparkSession)
+    lines = LINES
+    part = F.pmod(F.xxhash64("ingredient"), F.lit(parts)).cast("int")
+    packed = checkpointed(vectors.groupBy(part.alias("p")).agg(F.collect_list(F.struct("ingredient", "vector")).alias("held")))
+    names = ["none", "dish", "ingredient", "weight", "part"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, block = [], 0, 0
+        row = lambda x: pa.RecordBatch.from_arrays([pa.array([block]), *[pa.ListArray.from_arrays([0, len(x)], x.column(c).combine_chunks()) for c in names]], ["block", *names])
+        for batch in batches:
+            held, n = [*held, batch], n + batch.num_rows
+            while n >= lines:
+                whole = pa.Table.from_batches(held)
+                yield row(whole.slice(0, lines))
+                held, n, block = whole.slice(lines).to_batches(), n - lines, block + 1
+        if n:
+            yield row(pa.Table.from_batches(held))
+
+    rows = asked.withColumn("part", part).mapInArrow(pack, "block long, none array<boolean>, dish array<bigint>, ingredient array<bigint>, weight array<double>, part array<int>")
+    return rows.crossJoin(packed.coalesce(1).hint("shuffle_replicate_nl"))
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What ``_faced`` gives to unit vectors; a dish may run on over blocks of rows."""
+    open_dish = found = block = None
+    for batch in batches:
+        for k in range(batch.num_rows):
+            if batch.column("block")[k].as_py() != block:
+                block = batch.column("block")[k].as_py()
+                if found is not None and met.any():
+                    whole = _run_on(open_dish, [x[met] for x in found])
+                    open_dish = [x[-1:] for x in whole]
+                    for top in range(0, len(whole[0]) - 1, 8192):
+                        yield _unit(*[x[:-1][top : top + 8192] for x in whole])
+                none, dish, wanted, weight, part = (batch.column(c)[k].values for c in ("none", "dish", "ingredient", "weight", "part"))
+                none, dish, wanted, part, weighed = none.to_numpy(zero_copy_only=False), dish.to_numpy(), wanted.to_numpy(), part.to_numpy(), weight.is_valid().to_numpy(zero_copy_only=False)
+                weight = weight.fill_null(0).to_numpy()
+                new = np.append(True, (dish[1:] != dish[:-1]) | (none[1:] != none[:-1]))
+                at, order = np.cumsum(new) - 1, np.argsort(part, kind="stable")
+                part, met, found = part[order], np.zeros(at[-1] + 1, bool), None
+            held = batch.column("held")[k].values
+            ids = held.field("ingredient").to_numpy()
+            vectors = held.field("vector").flatten().to_numpy().reshape(len(ids), -1)
+            if found is None:
+                found = [dish[new], none[new], np.zeros((len(met), vectors.shape[1])), np.zeros(len(met), bool)]
+            own = order[slice(*np.searchsorted(part, [p := batch.column("p")[k].as_py(), p + 1]))]
+            by_id = np.argsort(ids)
+            for top in range(0, len(own), 8192):
+                rows = own[top : top + 8192]
+                place = by_id[np.minimum(np.searchsorted(ids, wanted[rows], sorter=by_id), len(ids) - 1)]
+                there = ids[place] == wanted[rows]
+                if there.any():
+                    rows, place = rows[there], place[there]
+                    u = at[rows]
+                    heads = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
+                    found[2][u[heads]] += np.add.reduceat(np.where(weighed[rows, None], vectors[place] * weight[rows, None], 0), heads)
+                    found[3][u[heads]] |= np.logical_or.reduceat(weighed[rows], heads)
+                    met[u] = True
+    if found is not None and met.any():
+        open_dish = _run_on(open_dish, [x[met] for x in found])
+    if open_dish is not None:
+        for top in range(0, len(open_dish[0]), 8192):
+            yield _unit(*[x[top : top + 8192] for x in open_dish])
+
+
 def weighted_vote(rows: DataFrame, key: str, label: Column, weight: Column, default: str) -> DataFrame:
     """The label with most weight per key; ties go to the first in order."""
     sums = rows.select(key, label.alias("label"), weight.alias("w")).groupBy(key, "label").agg(F.sum("w").alias("w"))

@@ -160,7 +160,7 @@ def dish_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = I.read(spark, sf_dir, "embeddings")
     count = e.select(F.max("vec_id") + 1).first()[0] or 1
     rows = I.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("dish"), (F.col("l_partkey") % count).alias("ingredient"), F.col("l_quantity").alias("weight"))
-    v = manifold.dish_vectors(rows, e.selectExpr("vec_id AS ingredient", "CAST(embedding AS array<double>) AS vector"))
+    v = manifold.dish_vectors(rows, e.selectExpr("vec_id AS ingredient", "embedding AS vector"))
     return v.select("dish", F.round(F.aggregate(F.transform("vector", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 4).alias("checksum"))
 
 
