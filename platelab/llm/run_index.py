@@ -14,7 +14,8 @@ import numpy as np
 def suffix_order(symbols: np.ndarray, left: np.ndarray) -> np.ndarray:
     """Suffix array of strings laid end to end; ``left`` counts symbols up to the end mark (symbol 0) that closes each.
 
-    Ranks of prefixes double in length until none grows; equal suffixes stand in the order of their strings.
+    Ranks of prefixes double in length until none grows, among suffixes that are not told apart yet; equal suffixes stand
+    in the order of their strings.
     """
     n = len(symbols)
     most = int(left.max()) + 1
@@ -25,17 +26,29 @@ def suffix_order(symbols: np.ndarray, left: np.ndarray) -> np.ndarray:
         key <<= width
         if k < n:
             key[: n - k] |= np.where(left[: n - k] >= k, symbols[k:], 0)
-    length = first
+    length, bits = first, n.bit_length()
+    order = np.argsort(key, kind="stable")
+    place, rank = np.arange(n), np.empty(n, np.int64)
+    new = np.append(True, key[order[1:]] != key[order[:-1]])
     while True:
-        order = np.argsort(key, kind="stable")
-        step = np.concatenate([[0], np.cumsum(key[order[1:]] != key[order[:-1]])])
-        if length >= most or step[-1] == n - 1:
+        rank[order[place]] = np.maximum.accumulate(np.where(new, place, 0)) + 1
+        place = place[~(new & np.append(new[1:], True))]
+        if length >= most or not len(place):
             return order
-        rank = np.empty(n, np.int64)
-        rank[order] = step + 1
-        second = np.zeros(n, np.int64)
-        second[: n - length] = np.where(left[: n - length] >= length, rank[length:], 0)
-        key = rank * (n + 1) + second
+        at = order[place]
+        key = rank[at] << bits
+        key += np.where(left[at] >= length, rank[np.minimum(at + length, n - 1)], 0)
+        if 3 * bits < 64:
+            key <<= bits
+            key |= at
+            key.sort()  # ties by place, and no order to look up
+            order[place] = key & ((1 << bits) - 1)
+            key >>= bits
+        else:
+            by = np.argsort(key, kind="stable")  # equal ones stand by place since the first sort
+            key = key[by]
+            order[place] = at[by]
+        new = np.append(True, key[1:] != key[:-1])
         length *= 2
 
 
@@ -49,13 +62,13 @@ class RunIndex:
         starts = np.concatenate([[0], np.flatnonzero(before[1:] != before[:-1]) + 1])
         lengths = np.diff(np.concatenate([starts, [n]]))
         heads = before[starts]
-        by_symbol = np.lexsort((starts, heads))
+        by_symbol = np.argsort(heads.astype(np.uint16) if heads.max() < 1 << 16 else heads, kind="stable")
         self.n = n
         self.heads, self.starts, self.lengths = heads[by_symbol], starts[by_symbol], lengths[by_symbol]
         self.ends = order[self.starts + self.lengths - 1]
         self.keys = self.heads * (n + 1) + self.starts
         total = np.cumsum(self.lengths) - self.lengths
-        opens = np.searchsorted(self.heads, self.heads, "left")
+        opens = np.maximum.accumulate(np.where(np.append(True, self.heads[1:] != self.heads[:-1]), np.arange(len(total)), 0))
         self.upto = total - total[opens]
         self.less = np.concatenate([[0], np.cumsum(np.bincount(symbols))])
         self.last = order[self.less[1:] - 1]  # text position of the last row of each symbol's rows
@@ -64,16 +77,22 @@ class RunIndex:
         """First row, row after the last, and text position of the last row of all suffixes that begin with ``symbol``."""
         return self.less[symbol], self.less[symbol + 1], self.last[symbol]
 
-    def _rank(self, symbol: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How often ``symbol`` stands above ``row``, and its last run there (which must exist where it counts)."""
-        run = np.maximum(np.searchsorted(self.keys, symbol * (self.n + 1) + row, "left") - 1, 0)
+    def _rank(self, symbol: np.ndarray, row: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often ``symbol`` stands above ``row``, before which ``upto`` runs begin, and its last run there (which must
+        exist where it counts)."""
+        run = np.maximum(upto - 1, 0)
         there = self.heads[run] == symbol
         return np.where(there, self.upto[run] + np.minimum(row - self.starts[run], self.lengths[run]), 0), run
 
     def extend(self, symbol: np.ndarray, top: np.ndarray, end: np.ndarray, toe: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Put ``symbol`` in front of each match; the longer match must occur."""
-        above, _ = self._rank(symbol, top)
-        upto, run = self._rank(symbol, end)
+        base = symbol * (self.n + 1)
+        begun = np.searchsorted(self.keys, base + top, "left")
+        base += end
+        more = np.flatnonzero(self.keys[np.minimum(begun, len(self.keys) - 1)] < base)  # mostly few: else no run begins in between
+        above, _ = self._rank(symbol, top, begun)
+        begun[more] = np.searchsorted(self.keys, base[more], "left")
+        upto, run = self._rank(symbol, end, begun)
         inside = self.starts[run] + self.lengths[run] >= end
         return self.less[symbol] + above, self.less[symbol] + upto, np.where(inside, toe, self.ends[run]) - 1
 
@@ -116,16 +135,23 @@ def first_windows(group: np.ndarray, contexts: list[bytes], offsets: np.ndarray,
             parts += [s[::-1], [mark, 0]]
     symbols = np.concatenate(parts).astype(np.int64)
     closes = np.flatnonzero(symbols == 0)
-    index = RunIndex(symbols, closes[np.searchsorted(closes, np.arange(len(symbols)))] - np.arange(len(symbols)))
+    index = RunIndex(symbols, np.repeat(closes, np.diff(closes, prepend=-1)) - np.arange(len(symbols)))
     before = index.matching_statistics(side, left, max(map(len, left)))
     after = index.matching_statistics(side + len(groups), right, window)
     counts = np.array([len(c) - window + 1 for c in contexts])
     row = np.repeat(np.arange(len(contexts)), counts)
     place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
     reach = offsets[row] - place  # how far the window begins before the shared text
-    names = np.stack([reach, before[row, reach], after[row, window - reach]])
-    order = np.lexsort(names)
-    new = np.concatenate([[True], (names[:, order[1:]] != names[:, order[:-1]]).any(axis=0)])
-    seen = np.empty(len(row), bool)
-    seen[order] = ~new  # the sort is stable, so the first of equal windows comes first
+    before, after = before[row, reach] + 1, after[row, window - reach] + 1
+    most = index.n + 1
+    if (window + 1) * most**2 < 1 << 63:
+        name = (reach * most + before) * most + after
+        order = np.argsort(name)
+        new = np.append(True, name[order[1:]] != name[order[:-1]])
+    else:
+        names = np.stack([reach, before, after])
+        order = np.lexsort(names)
+        new = np.append(True, (names[:, order[1:]] != names[:, order[:-1]]).any(axis=0))
+    seen = np.ones(len(row), bool)
+    seen[np.minimum.reduceat(order, np.flatnonzero(new))] = False  # the first of equal windows
     return np.split(seen, np.cumsum(counts)[:-1])
